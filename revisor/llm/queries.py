@@ -48,23 +48,98 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{marks}'), (-1L, 1L, 'assistant', '{marks}') AS t(conv_id, turn, role, text)")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    made = chat.format_turns(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    read = made.select(
+        "conv_id",
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.concat("base", "added")).alias("spans"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    docs = _table(spark, sf_dir, "documents")
+    shuffled = sharding.shuffle_into_shards(docs, "doc_id", "text", shards=16)
+    text, key = F.col("record.text"), F.col("record.doc_id")
+    return shuffled.select(
+        key.alias("doc_id"),
+        sharding.size_of(text).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        sharding.shard_of(key, 17, 7).alias("grown_shard"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read
+
+    return archive_and_read(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def queries() -> dict:
-    out = {f.__name__: f for f in (op2_decontamination, op3_simhash, op6_packing, op9_exact_dedup, op10_toxicity)}
-    try:
-        import corpus_pipeline
-    except ModuleNotFoundError as e:
-        if e.name != "corpus_pipeline":
-            raise
-        return out
-    return out | {"pipeline": corpus_pipeline.run}
+    found = (op1_chat, op2_decontamination, op3_simhash, op4_pii, op5_sharding, op6_packing, op7_warc, op8_quality, op9_exact_dedup, op10_toxicity)
+    return {f.__name__: f for f in found}
 
 
 #: Deletes what the comparison of texts ignores.
 _BARE = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
+_ESCAPED = "replace(coalesce({}, ''), '\\', '\\\\')"
+for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_chat": f"""
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   sum(23 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+            FROM c GROUP BY conv_id""",
+        "op7_warc": """
+            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+                 f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
+            SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+            FROM f""",
         "op9_exact_dedup": f"""
             WITH d AS (SELECT doc_id, sha256({_BARE}) AS text_sha256, length(coalesce(text, '')) AS n FROM documents)
             SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
