@@ -243,7 +243,8 @@ def promote_evidence(events: DataFrame, evidence: DataFrame) -> DataFrame:
     may = F.col("classification").endswith("candidate")
     new = F.when(may, F.coalesce("promoted_classification", "classification")).otherwise(F.col("classification"))
     refused = F.col("promoted_classification").isNotNull() & ~may
-    return rows.withColumn("original_classification", F.col("classification")).withColumn("classification", new).withColumn("refused", refused).drop("promoted_classification")
+    out = {"original_classification": F.col("classification"), "classification": new, "refused": refused}
+    return rows.withColumns(out).drop("promoted_classification")
 
 
 def revision_traces(events: DataFrame, observations: DataFrame, keys: list[str]) -> DataFrame:

@@ -1 +1,351 @@
-"""Queries."""
+"""Queries over comparison, classification and column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revisor.functions import identity as fn
+from revisor.operators import compare
+from revisor.plans.bridge import fact, observations, releases, sql, table
+from revisor.plans.registry import query
+
+CELL_SQL = "indicator_key, series_key, observed_period, geo_level, geo_code, unit"
+SOURCES = ["click", "error", "purchase", "signup", "view"]
+
+# ---------------------------------------------------------------- expressions
+
+
+@query("identity_hash", "SELECT p_partkey, substr(sha256(concat_ws(chr(31), coalesce(p_name, ''), coalesce(p_brand, ''), CAST(p_size AS VARCHAR))), 1, 20) AS id FROM part")
+def identity_hash(spark, d):
+    return table(spark, d, "part").select("p_partkey", fn.identity("p_name", "p_brand", "p_size").alias("id"))
+
+
+@query("decimal_lexeme", """SELECT l_orderkey, l_linenumber, CAST(TRY_CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS DECIMAL(28,10)) AS DOUBLE) AS number, CAST(2 AS BIGINT) AS places, TRY_CAST(l_returnflag AS DECIMAL(28,10)) IS NULL AS flag_is_no_number FROM lineitem""")
+def decimal_lexeme(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("lexeme", F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    return rows.select("l_orderkey", "l_linenumber", fn.decimal_of(F.col("lexeme")).cast("double").alias("number"), fn.decimal_places(F.col("lexeme")).cast("long").alias("places"), fn.decimal_of(F.col("l_returnflag")).isNull().alias("flag_is_no_number"))
+
+
+@query("geo_level_code", """SELECT p_partkey, CASE WHEN c = 9999 THEN 'national' WHEN c < 1100 THEN 'non_spatial' WHEN c % 100 = 0 THEN 'province' ELSE 'regency' END AS geo_level
+    FROM (SELECT p_partkey, p_partkey * 37 % 10000 AS c FROM part)""")
+def geo_level_code(spark, d):
+    return table(spark, d, "part").select("p_partkey", fn.geo_level(F.col("p_partkey") * 37 % 10000).alias("geo_level"))
+
+
+@query("normalise_name", """SELECT n_nationkey, CASE n WHEN 'UNITEDSTATES' THEN 'USA' WHEN 'UNITEDKINGDOM' THEN 'UK' ELSE n END AS name
+    FROM (SELECT n_nationkey, regexp_replace(upper(regexp_replace('<b>' || n_name || '</b>', '<[^>]*>', ' ', 'g')), '[^A-Z]', '', 'g') AS n FROM nation)""")
+def normalise_name(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", fn.normalise_name(F.concat(F.lit("<b>"), "n_name", F.lit("</b>"))).alias("name"))
+
+
+@query("eligible_only", sql("SELECT cell_id, observation_id FROM fact JOIN releases r USING (source_id) WHERE r.status = 'active' AND r.role = 'primary'", "fact"))
+def eligible_only(spark, d):
+    good = releases(spark).where("status = 'active' AND role = 'primary'").select("source_id")
+    return fact(spark, d).join(F.broadcast(good), "source_id", "left_semi").select("cell_id", "observation_id")  # a row for each release
+
+
+@query("numeric_guard", """SELECT count(*) AS kept, (SELECT count(*) FROM events WHERE TRY_CAST(CASE WHEN event_id % 7 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS DECIMAL(28,10)) IS NULL) AS dropped
+    FROM events WHERE TRY_CAST(CASE WHEN event_id % 7 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS DECIMAL(28,10)) IS NOT NULL""")
+def numeric_guard(spark, d):
+    lexeme = F.when(F.col("event_id") % 7 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string"))
+    return table(spark, d, "events").agg(F.count_if(fn.is_number(lexeme)).alias("kept"), F.count_if(~fn.is_number(lexeme)).alias("dropped"))
+
+
+@query("year_from_label", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders")
+def year_from_label(spark, d):
+    label = F.concat(F.lit("as of "), F.date_format("o_orderdate", "MMM yyyy"), F.lit(" (prel. 12)"))
+    return table(spark, d, "orders").select("o_orderkey", fn.year_of(label).cast("long").alias("year"))
+
+
+@query("merge_flags", """SELECT p_partkey, array_to_string(list_filter([a, b, CASE WHEN c <> a AND c <> b THEN c END], lambda x: x IS NOT NULL), ';') AS flags
+    FROM (SELECT p_partkey, p_brand AS a, 'size' || CAST(p_size % 5 AS VARCHAR) AS b, 'size' || CAST(p_size % 3 AS VARCHAR) AS c FROM part)""")
+def merge_flags(spark, d):
+    size = lambda n: F.concat(F.lit("size"), (F.col("p_size") % n).cast("string"))
+    one = F.concat_ws(";", "p_brand", size(5))
+    return table(spark, d, "part").select("p_partkey", fn.merge_flags(one, F.concat_ws(";", size(3), "p_brand")).alias("flags"))
+
+
+@query("constant_provenance", sql("SELECT observation_id, CASE WHEN source_id IN ('click', 'view') THEN 'api' ELSE 'publication' END AS source_channel, CASE WHEN source_id IN ('click', 'view') THEN 'retrieved' ELSE 'published' END AS vintage_basis, 'run-1' AS transformation_run_id FROM fact", "fact"))
+def constant_provenance(spark, d):
+    api = F.col("source_id").isin("click", "view")
+    return fact(spark, d).select("observation_id", F.when(api, "api").otherwise("publication").alias("source_channel"), F.when(api, "retrieved").otherwise("published").alias("vintage_basis"), F.lit("run-1").alias("transformation_run_id"))
+
+
+@query("extract_kv", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS variable FROM events")
+def extract_kv(spark, d):
+    key = F.when(F.col("event_id") % 3 == 0, F.lit("novar")).otherwise(F.lit("var"))
+    locator = F.concat(F.lit("src=1;"), key, F.lit("="), F.col("user_id").cast("string"), F.lit(";p=2"))
+    return table(spark, d, "events").select("event_id", fn.key_value(locator, "var").alias("variable"))
+
+
+@query("arrival_filter", sql("SELECT cell_id, observation_id FROM fact WHERE arrival_order = 3", "fact"))
+def arrival_filter(spark, d):
+    return fact(spark, d).where("arrival_order = 3").select("cell_id", "observation_id")
+
+
+@query("null_mismatch_guard", sql("SELECT observation_id, coalesce(prev_value <> value, false) AS changed FROM hist", "hist"))
+def null_mismatch_guard(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("cell_id").orderBy("arrival_order")
+    return fact(spark, d).select("observation_id", fn.changed(F.col("value"), F.lag("value").over(w)).alias("changed"))
+
+
+# ---------------------------------------------------------------- comparison
+
+_BY = f"""by_cell AS (SELECT {CELL_SQL}, min(domain) AS domain, count(DISTINCT source_id) AS snapshot_count, count(DISTINCT value) AS distinct_values, CAST(min(value) AS DOUBLE) AS min_value, CAST(max(value) AS DOUBLE) AS max_value,
+    CAST(max(value) - min(value) AS DOUBLE) AS spread, max(arrival_order) AS last_order, min(vintage_date) AS first_date, max(vintage_date) AS last_date FROM fact GROUP BY {CELL_SQL})"""
+_SPARSE = f"{_BY}, compared AS (SELECT *, CASE WHEN snapshot_count = 1 THEN 'single_source' WHEN distinct_values = 1 THEN 'exact_match' ELSE 'value_mismatch' END AS status FROM by_cell)"
+_OUT = ["observed_period", "geo_code", "snapshot_count", "distinct_values", "min_value", "max_value", "spread", "status"]
+
+
+def _shown(df):
+    return df.withColumns({c: F.col(c).cast("double") for c in ("min_value", "max_value", "spread")}).select(*_OUT)
+
+
+def _compared(spark, d):
+    rows = fact(spark, d)
+    out = compare.compare_sparse(rows, [*compare.CELL, "domain"])
+    return out
+
+
+@query("compare_snapshots", sql(f"WITH {_BY} SELECT {', '.join(_OUT[:-1])}, CASE WHEN snapshot_count < 5 THEN 'missing_snapshot' WHEN distinct_values = 1 THEN 'exact_match' ELSE 'value_mismatch' END AS status FROM by_cell", "fact"))
+def compare_snapshots(spark, d):
+    return _shown(compare.compare_snapshots(observations(spark, d)))
+
+
+@query("compare_sparse", sql(f"WITH {_SPARSE} SELECT {', '.join(_OUT)} FROM compared", "fact"))
+def compare_sparse(spark, d):
+    return _shown(compare.compare_sparse(observations(spark, d)))
+
+
+_SIDE = ", ".join(f"max(value_lexeme) FILTER (source_id = '{s}') AS value_{s}" for s in SOURCES)
+
+
+@query("pivot_discrepancies", sql(f"""SELECT observed_period, geo_code, {", ".join("value_" + s for s in SOURCES)}, CASE WHEN n < 5 THEN 'coverage_gap' ELSE 'unclassified_difference' END AS kind
+    FROM (SELECT {CELL_SQL}, {_SIDE}, count(DISTINCT source_id) AS n, count(DISTINCT value) AS d FROM fact GROUP BY {CELL_SQL}) WHERE n < 5 OR d > 1""", "fact"))
+def pivot_discrepancies(spark, d):
+    return compare.pivot_discrepancies(observations(spark, d), SOURCES).drop("indicator_key", "series_key", "geo_level", "unit")
+
+
+@query("release_candidates", sql(f"WITH {_SPARSE} SELECT observed_period, geo_code, spread, 'release_revision_candidate' AS candidate FROM compared WHERE status = 'value_mismatch'", "fact"))
+def release_candidates(spark, d):
+    out = compare.release_candidates(compare.compare_sparse(observations(spark, d)), {"methodology_index": "methodology_candidate"})
+    return out.select("observed_period", "geo_code", F.col("spread").cast("double").alias("spread"), "candidate")
+
+
+@query("classify_difference", sql(f"""WITH {_BY} SELECT observed_period, geo_code, CASE WHEN spread <= 0.01 THEN 'last_digit_difference' WHEN last_date > first_date THEN 'candidate_revision' ELSE 'unclassified' END AS classification FROM by_cell""", "fact"))
+def classify_difference(spark, d):
+    rows = fact(spark, d)
+    by = rows.groupBy(*compare.CELL).agg((F.max("value") - F.min("value")).alias("spread"), F.max("places").alias("places"), F.min("vintage_date").alias("first"), F.max("vintage_date").alias("last"))
+    return compare.classify_difference(by, F.col("first"), F.col("last")).select("observed_period", "geo_code", "classification")
+
+
+def _hierarchy(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    value = F.round(F.avg(F.col("c_acctbal").cast("decimal(18,2)").cast("double")), 2).cast("decimal(18,2)")
+    child = c.groupBy("r_name", "c_mktsegment", "n_name").agg(value.alias("value")).select("r_name", "c_mktsegment", F.lit("nation").alias("geo_level"), "value")
+    parent = c.groupBy("r_name", "c_mktsegment").agg(value.alias("value")).select("r_name", "c_mktsegment", F.lit("region").alias("geo_level"), "value")
+    return child.unionByName(parent)
+
+
+_HIER = """h AS (SELECT r_name, c_mktsegment, n_name, CAST(round(avg(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE)), 2) AS DECIMAL(18,2)) AS value
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
+    p AS (SELECT r_name, c_mktsegment, CAST(round(avg(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE)), 2) AS DECIMAL(18,2)) AS value
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)"""
+
+
+@query("granularity_report", f"""WITH {_HIER} SELECT r_name, c_mktsegment, CAST(p.value AS DOUBLE) AS parent_value, count(*) AS children, CAST(min(h.value) AS DOUBLE) AS child_min, CAST(max(h.value) AS DOUBLE) AS child_max,
+    round(CAST(sum(h.value) AS DOUBLE) / count(*), 4) AS child_mean, round(CAST(p.value AS DOUBLE) - CAST(sum(h.value) AS DOUBLE) / count(*), 4) AS gap, p.value BETWEEN min(h.value) AND max(h.value) AS in_range
+    FROM h JOIN p USING (r_name, c_mktsegment) GROUP BY r_name, c_mktsegment, p.value""")
+def granularity_report(spark, d):
+    out = compare.granularity_report(_hierarchy(spark, d), ["r_name", "c_mktsegment"], "region", "nation")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("parent_value", "child_min", "child_max")})
+
+
+@query("indicator_summary", sql(f"""WITH {_SPARSE} SELECT domain, count(*) AS cells, count(*) FILTER (snapshot_count > 1) AS overlap, count(*) FILTER (status = 'exact_match') AS exact, count(*) FILTER (status = 'value_mismatch') AS mismatch,
+    count(*) FILTER (snapshot_count = 1) AS missing, round(count(*) FILTER (status = 'value_mismatch') / nullif(count(*) FILTER (snapshot_count > 1), 0), 4) AS mismatch_rate, max(spread) AS max_spread FROM compared GROUP BY 1""", "fact"))
+def indicator_summary(spark, d):
+    return compare.indicator_summary(_compared(spark, d), ["domain"]).withColumn("max_spread", F.col("max_spread").cast("double"))
+
+
+@query("domain_summary", sql(f"""WITH {_SPARSE}, c AS (SELECT domain, count(*) AS cells, count(*) FILTER (status <> 'single_source') AS compared, count(*) FILTER (status = 'exact_match') AS exact, count(*) FILTER (status = 'value_mismatch') AS mismatch,
+    count(*) FILTER (status = 'single_source') AS single FROM compared GROUP BY 1) SELECT * FROM (SELECT domain, count(*) AS observations FROM fact GROUP BY 1) JOIN c USING (domain)""", "fact"))
+def domain_summary(spark, d):
+    return compare.domain_summary(fact(spark, d), _compared(spark, d))
+
+
+@query("scope_overlap", sql("""WITH f AS (SELECT domain, observed_period, geo_code, max(CAST(source_id = 'click' AS INT)) AS a, max(CAST(source_id = 'view' AS INT)) AS b FROM fact GROUP BY 1, 2, 3)
+    SELECT domain, CAST(sum(a) AS BIGINT) AS in_one, CAST(sum(b) AS BIGINT) AS in_two, CAST(sum(a * b) AS BIGINT) AS in_both, min(observed_period) AS first_period, max(observed_period) AS last_period,
+           CASE WHEN sum(a * b) = 0 THEN 'disjoint' WHEN sum(a * b) = sum(a) AND sum(a * b) = sum(b) THEN 'same_scope' ELSE 'partial_overlap' END AS status FROM f GROUP BY 1""", "fact"))
+def scope_overlap(spark, d):
+    return compare.scope_overlap(fact(spark, d), "click", "view", "domain", ["observed_period", "geo_code"]).drop("p0", "p1")
+
+
+def _order_years(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select("c_mktsegment", "c_nationkey", "o_orderpriority", F.year("o_orderdate").alias("year")).distinct()
+
+
+_YEARS = "y AS (SELECT DISTINCT c_mktsegment, c_nationkey, o_orderpriority, year(o_orderdate) AS year FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+@query("profile_variable", f"""WITH {_YEARS} SELECT c_mktsegment, count(*) AS observed_cells, count(DISTINCT c_nationkey) AS units, count(DISTINCT o_orderpriority) AS categories, CAST(min(year) AS BIGINT) AS first_year, CAST(max(year) AS BIGINT) AS last_year,
+    count(DISTINCT c_nationkey) * count(DISTINCT o_orderpriority) * count(DISTINCT year) AS expected_cells, round(count(*) / (count(DISTINCT c_nationkey) * count(DISTINCT o_orderpriority) * count(DISTINCT year)), 4) AS density,
+    coalesce(array_to_string(list_sort(list_filter(range(min(year), max(year) + 1), lambda x: NOT list_contains(list(DISTINCT year), x))), ';'), '') AS year_gaps FROM y GROUP BY 1""")
+def profile_variable(spark, d):
+    out = compare.profile_variable(_order_years(spark, d), ["c_mktsegment"], "c_nationkey", "o_orderpriority", "year")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("first_year", "last_year", "expected_cells")})
+
+
+def _profiles(spark, d):
+    o = _order_years(spark, d).withColumn("indicator_key", F.col("o_orderpriority"))
+    levels = F.array_sort(F.collect_set(F.when(F.col("c_nationkey") < 12, "low").otherwise("high")))
+    return o.groupBy("indicator_key", "c_mktsegment").agg(levels.alias("levels"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.lit("").alias("year_gaps"))
+
+
+def _proposed(spark, d):
+    names = table(spark, d, "orders").select(F.col("o_orderpriority").alias("indicator_key")).distinct().unionByName(spark.sql("SELECT 'unknown' AS indicator_key"))
+    return names.withColumn("proposed", F.array(F.lit("low"), F.lit("mid")))
+
+
+_COVER = f"""{_YEARS}, c AS (SELECT o_orderpriority AS indicator_key, count(DISTINCT c_mktsegment) AS variables, max(year) - min(year) + 1 AS span, array_to_string(list_sort(list(DISTINCT CASE WHEN c_nationkey < 12 THEN 'low' ELSE 'high' END)), ';') AS verified FROM y GROUP BY 1),
+    n AS (SELECT DISTINCT o_orderpriority AS indicator_key FROM orders UNION ALL SELECT 'unknown'),
+    cover AS (SELECT indicator_key, coalesce(variables, 0) AS variables, CASE WHEN variables IS NULL OR verified NOT LIKE '%low%' THEN 'unavailable' ELSE 'partial' END AS status, coalesce(verified, '') AS verified_levels,
+         concat_ws(';', CASE WHEN span < 10 THEN 'short_series' END, CASE WHEN variables > 1 THEN 'multi_variable' END, CASE WHEN verified LIKE '%high%' THEN 'unproposed' END) AS flags FROM n LEFT JOIN c USING (indicator_key))"""
+
+
+@query("indicator_coverage", f"WITH {_COVER} SELECT indicator_key, variables, status, verified_levels, flags FROM cover")
+def indicator_coverage(spark, d):
+    return compare.indicator_coverage(_profiles(spark, d), _proposed(spark, d), 10).withColumn("verified_levels", F.coalesce("verified_levels", F.lit("")))
+
+
+@query("derive_status", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 2 THEN 'unavailable' WHEN o_orderkey % 3 = 1 THEN 'partial' ELSE 'verified' END AS status FROM orders")
+def derive_status(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", compare.derive_status(k % 3, F.lit(2), k % 4).alias("status"))
+
+
+@query("apply_coverage", f"""WITH {_COVER}, i AS (SELECT indicator_key, 'unavailable' AS status, 'old' AS flags FROM n)
+    SELECT i.indicator_key, c.status, concat_ws(';', 'old', nullif(c.flags, '')) AS flags, c.status <> 'unavailable' OR c.flags <> '' AS changed FROM i JOIN cover c USING (indicator_key)""")
+def apply_coverage(spark, d):
+    inventory = _proposed(spark, d).select("indicator_key", F.lit("unavailable").alias("status"), F.lit("old").alias("flags"))
+    return compare.apply_coverage(inventory, compare.indicator_coverage(_profiles(spark, d), _proposed(spark, d), 10))
+
+
+@query("validate_inventory", """WITH i AS (SELECT CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS indicator_key, p_brand AS b, CASE p_size % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'partial' WHEN 2 THEN 'odd' ELSE 'unavailable' END AS status,
+        CASE WHEN p_size % 8 = 0 THEN '' WHEN p_size % 5 = 0 THEN 'click;ghost' ELSE 'click;view' END AS sources FROM part)
+    SELECT 'missing_key' AS rule, indicator_key AS key FROM i WHERE trim(indicator_key) = '' UNION ALL SELECT 'duplicate_key', indicator_key FROM i GROUP BY indicator_key HAVING count(*) > 1
+    UNION ALL SELECT 'unknown_status', indicator_key FROM i WHERE status NOT IN ('verified', 'partial', 'unavailable')
+    UNION ALL SELECT DISTINCT 'unknown_source', indicator_key FROM i WHERE sources LIKE '%ghost%' UNION ALL SELECT 'verified_without_source', indicator_key FROM i WHERE status = 'verified' AND sources = ''""")
+def validate_inventory(spark, d):
+    size = F.col("p_size")
+    status = F.when(size % 4 == 0, "verified").when(size % 4 == 1, "partial").when(size % 4 == 2, "odd").otherwise("unavailable")
+    listed = F.when(size % 8 == 0, "").when(size % 5 == 0, "click;ghost").otherwise("click;view")
+    rows = table(spark, d, "part").select(F.when(F.col("p_partkey") % 17 == 0, "").otherwise(F.col("p_name")).alias("indicator_key"), status.alias("status"), listed.alias("sources"))
+    return compare.validate_inventory(rows, releases(spark), ["verified", "partial", "unavailable"])
+
+
+@query("ingest_union", sql("""WITH u AS (SELECT 'early' AS input_dataset, source_record_id, value_lexeme, domain AS domain_key, observation_id FROM fact WHERE arrival_order <= 3
+        UNION ALL SELECT 'late', source_record_id, value_lexeme, domain, observation_id FROM fact WHERE arrival_order > 3)
+    SELECT input_dataset, observation_id, CASE domain_key WHEN 'd4' THEN NULL ELSE 'D-' || domain_key END AS domain, 'batch-1' AS ingestion_batch_id, CASE WHEN domain_key = 'd4' THEN 'unmapped' END AS problem FROM u""", "fact"))
+def ingest_union(spark, d):
+    rows = fact(spark, d).withColumnRenamed("domain", "domain_key")
+    domains = spark.sql("SELECT * FROM VALUES ('d0', 'D-d0'), ('d1', 'D-d1'), ('d2', 'D-d2'), ('d3', 'D-d3') AS t(domain_key, domain)")
+    out = compare.ingest_union({"early": rows.where("arrival_order <= 3"), "late": rows.where("arrival_order > 3")}, domains, "batch-1", ["observation_id"])
+    return out.select("input_dataset", "observation_id", "domain", "ingestion_batch_id", "problem")
+
+
+@query("ingestion_inventory", sql("SELECT domain, source_id, geo_level, count(*) AS rows, count(DISTINCT indicator_key) AS indicators, min(observed_period) AS first_period, max(observed_period) AS last_period FROM fact GROUP BY 1, 2, 3", "fact"))
+def ingestion_inventory(spark, d):
+    return compare.ingestion_inventory(fact(spark, d), ["domain", "source_id", "geo_level"])
+
+
+RULES = (
+    ("difference", "small", "rounding", "last_digit", "confirmed"),
+    ("difference", "large", "revision_candidate", "revision", "candidate"),
+    ("granularity", "gap", "granularity", "aggregation", "confirmed"),
+)
+_RULES = ", ".join(str(r) for r in RULES)
+_EVENTS = f"""{_SPARSE}, {_HIER}, rules AS (SELECT * FROM (VALUES {_RULES}) t(input_kind, input_label, classification, cause_family, evidence_level)),
+    raw AS (SELECT 'difference' AS input_kind, CASE WHEN spread <= 100 THEN 'small' ELSE 'large' END AS input_label, observed_period || '|' || geo_code AS key FROM compared WHERE status = 'value_mismatch'
+        UNION ALL SELECT 'granularity', 'gap', r_name || '|' || c_mktsegment FROM h JOIN p USING (r_name, c_mktsegment) GROUP BY r_name, c_mktsegment, p.value HAVING round(CAST(p.value AS DOUBLE) - CAST(sum(h.value) AS DOUBLE) / count(*), 4) <> 0
+        UNION ALL SELECT 'coverage', 'single', observed_period || '|' || geo_code FROM compared WHERE status = 'single_source'),
+    ev AS (SELECT input_kind, input_label, key, substr(sha256(concat_ws(chr(31), input_kind, input_label, key)), 1, 20) AS event_id, coalesce(classification, 'missing_rule') AS classification, cause_family, evidence_level
+           FROM raw LEFT JOIN rules USING (input_kind, input_label))"""
+
+
+def _events(spark, d):
+    rules = spark.sql(f"SELECT * FROM VALUES {_RULES} AS t(input_kind, input_label, classification, cause_family, evidence_level)")
+    compared = compare.compare_sparse(observations(spark, d)).withColumn("key", F.concat_ws("|", "observed_period", "geo_code"))
+    differ = compared.where("status = 'value_mismatch'").withColumn("label", F.when(F.col("spread") <= 100, "small").otherwise("large"))
+    gaps = compare.granularity_report(_hierarchy(spark, d), ["r_name", "c_mktsegment"], "region", "nation").withColumn("label", F.lit("gap")).withColumn("key", F.concat_ws("|", "r_name", "c_mktsegment"))
+    single = compared.where("status = 'single_source'").withColumn("label", F.lit("single"))
+    return compare.classify_events(differ, gaps, single, rules)
+
+
+@query("classify_events", sql(f"WITH {_EVENTS} SELECT event_id, input_kind, input_label, key, classification, cause_family, evidence_level FROM ev", "fact"))
+def classify_events(spark, d):
+    return _events(spark, d)
+
+
+@query("classification_summary", sql(f"WITH {_EVENTS} SELECT classification, cause_family, evidence_level, count(*) AS events FROM ev GROUP BY 1, 2, 3", "fact"))
+def classification_summary(spark, d):
+    return compare.classification_summary(_events(spark, d), ["classification", "cause_family", "evidence_level"])
+
+
+@query("gate_metrics", sql(f"""WITH {_EVENTS}, m AS (SELECT 'd' || CAST(length(key) % 5 AS VARCHAR) AS domain, coalesce(cause_family IN ('revision', 'last_digit'), false) AS core, coalesce(evidence_level = 'confirmed', false) AS conf FROM ev),
+    g AS (SELECT CAST(count(DISTINCT domain) AS DOUBLE) AS d, round(avg(CAST(core AS INT)), 4) AS c, round(avg(CAST(core AND conf AS INT)), 4) AS cc, CAST(count(*) FILTER (conf) AS DOUBLE) AS t FROM m)
+    SELECT 'mismatch_domains' AS criterion, d AS value, d >= 3 AS passed FROM g UNION ALL SELECT 'core_share', c, c >= 0.7 FROM g UNION ALL SELECT 'confirmed_core_share', cc, cc >= 0.7 FROM g UNION ALL SELECT 'direct_traces', t, t >= 1 FROM g""", "fact"))
+def gate_metrics(spark, d):
+    rows = _events(spark, d).withColumn("domain", F.concat(F.lit("d"), (F.length("key") % 5).cast("string"))).fillna("", ["cause_family", "evidence_level"])
+    return compare.gate_metrics(rows, ["revision", "last_digit"])
+
+
+@query("promote_evidence", sql(f"""WITH {_EVENTS} SELECT event_id, CASE WHEN classification = 'revision_candidate' AND substr(event_id, 1, 1) < '8' THEN 'confirmed_revision' ELSE classification END AS classification, classification AS original_classification,
+    substr(event_id, 1, 1) < '8' AND classification <> 'revision_candidate' AS refused FROM ev""", "fact"))
+def promote_evidence(spark, d):
+    rows = _events(spark, d)
+    evidence = rows.where(F.substring("event_id", 1, 1) < "8").select("event_id", F.lit("confirmed_revision").alias("promoted_classification"))
+    return compare.promote_evidence(rows, evidence).select("event_id", "classification", "original_classification", "refused")
+
+
+@query("revision_traces", sql(f"""WITH {_SPARSE}, e AS (SELECT observed_period, geo_code FROM compared WHERE status = 'value_mismatch')
+    SELECT observed_period || '|' || geo_code AS event_id, CAST(row_number() OVER (PARTITION BY observed_period, geo_code ORDER BY f.source_id) AS BIGINT) AS vintage_order, f.source_id, value_lexeme FROM e JOIN fact f USING (observed_period, geo_code)""", "fact"))
+def revision_traces(spark, d):
+    rows = observations(spark, d)
+    sources = F.sort_array(F.collect_list("source_id"))  # bounded by the number of sources
+    events = rows.groupBy("observed_period", "geo_code").agg(sources.alias("sources"), F.count_distinct("value").alias("n")).where("n > 1").withColumn("event_id", F.concat_ws("|", "observed_period", "geo_code"))
+    out = compare.revision_traces(events, rows.select("observed_period", "geo_code", "source_id", "value_lexeme"), ["observed_period", "geo_code"])
+    return out.select("event_id", F.col("vintage_order").cast("long").alias("vintage_order"), "source_id", "value_lexeme")
+
+
+@query("cause_distribution", sql(f"WITH {_EVENTS} SELECT cause_family, count(*) AS events, round(count(*) / (SELECT count(*) FROM ev), 4) AS share FROM ev GROUP BY 1", "fact"))
+def cause_distribution(spark, d):
+    return compare.cause_distribution(_events(spark, d))
+
+
+def _lexical(spark, d):
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    titles = table(spark, d, "pages").select(F.col("page_id").alias("title_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return queries, titles
+
+
+_WORDS = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', 'a', 'and', 'by', 'for', 'in', 'of', 'on', 'or', 'per', 'the', 'to', 'with'))"
+
+
+@query("token_coverage", f"""WITH q AS (SELECT item_id AS query_id, {_WORDS.format("text")} AS words FROM benchmark), t AS (SELECT page_id AS title_id, {_WORDS.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS words FROM pages),
+    a AS (SELECT query_id, len(words) AS n, unnest(words) AS word FROM q), b AS (SELECT title_id, unnest(words) AS word FROM t)
+    SELECT query_id, title_id, count(*) / any_value(n) AS coverage FROM a JOIN b USING (word) GROUP BY 1, 2""")
+def token_coverage(spark, d):
+    return compare.token_coverage(*_lexical(spark, d))
+
+
+@query("lexical_candidates")
+def lexical_candidates(spark, d):
+    return compare.lexical_candidates(*_lexical(spark, d), k=5)
+
+
+@query("inventory_summary", sql(f"WITH {_SPARSE} SELECT domain, status, count(*) AS n FROM compared GROUP BY 1, 2", "fact"))
+def inventory_summary(spark, d):
+    return compare.inventory_summary(_compared(spark, d), ["domain", "status"])

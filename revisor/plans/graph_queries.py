@@ -1 +1,245 @@
-"""Queries."""
+"""Queries over what-if injection and the lineage graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revisor.operators import inject, lineage, recall, strategies
+from revisor.plans.bridge import SEED, SIZES, fact, releases, sql
+from revisor.plans.registry import query
+from revisor.plans.vintage_queries import _AUDIT, _METRICS, LAST, _audit, _requests, _scores
+
+_SIZES = ", ".join(f"('sweep_{n:03d}', CAST({n} AS BIGINT))" for n in SIZES)
+STRATEGIES = ["B0", "B1", "B2", "B3"]
+
+
+def _scenarios(spark):
+    return spark.sql(f"SELECT * FROM VALUES {_SIZES} AS t(scenario_id, selection_count)")
+
+
+def _ranked(spark, d):
+    cells = strategies.overwrite_state(fact(spark, d)).select("cell_id", F.col("observation_id").alias("base_id"), "value", "value_lexeme", "unit", "places")
+    return inject.rank_universe(cells, SEED, max(SIZES))
+
+
+def _plan(spark, d):
+    size = fact(spark, d).agg(F.count_distinct("cell_id").alias("cells"))
+    return inject.nested_scenarios(_ranked(spark, d), _scenarios(spark), size)
+
+
+_RANK = f"""sc AS (SELECT * FROM (VALUES {_SIZES}) t(scenario_id, selection_count)),
+    rk AS (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}' || chr(31) || cell_id), cell_id) AS selection_rank FROM current),
+    pl AS (SELECT scenario_id, selection_count, cell_id, observation_id AS base_id, selection_rank, value, prev_observation_id FROM sc JOIN rk ON selection_rank <= selection_count)"""
+
+
+@query("rank_universe", sql(f"WITH {_RANK} SELECT cell_id, selection_rank FROM rk WHERE selection_rank <= {max(SIZES)}", "current"))
+def rank_universe(spark, d):
+    return _ranked(spark, d).select("cell_id", "selection_rank")
+
+
+@query("nested_scenarios", sql(f"WITH {_RANK} SELECT scenario_id, cell_id, selection_rank, round(selection_count / (SELECT count(*) FROM current), 6) AS share FROM pl", "current"))
+def nested_scenarios(spark, d):
+    return _plan(spark, d).select("scenario_id", "cell_id", "selection_rank", "share")
+
+
+@query("mutate_one_unit", sql("SELECT observation_id, CAST(value + 0.01 AS DOUBLE) AS after, CAST(CAST(value + 0.01 AS DECIMAL(18,2)) AS VARCHAR) AS after_lexeme FROM fact", "fact"))
+def mutate_one_unit(spark, d):
+    return inject.mutate_one_unit(fact(spark, d)).select("observation_id", F.col("after").cast("double").alias("after"), "after_lexeme")
+
+
+_SYN = """substr(sha256(concat_ws(chr(31), 'synthetic', DATE '2024-02-06', 'synthetic')), 1, 20)"""
+
+
+def _release(spark, d):
+    seen = fact(spark, d).select("source_id", "vintage_date", "arrival_order").distinct()
+    return inject.synthetic_release(seen, "synthetic")
+
+
+@query("synthetic_release", sql(f"SELECT 'synthetic' AS source_id, CAST(max(vintage_date) + 1 AS VARCHAR) AS vintage_date, CAST(max(arrival_order) + 1 AS BIGINT) AS arrival_order, {_SYN} AS vintage_id FROM fact", "fact"))
+def synthetic_release(spark, d):
+    return _release(spark, d).withColumn("vintage_date", F.col("vintage_date").cast("string"))
+
+
+def _synthetic(spark, d):
+    rows = _plan(spark, d).select("scenario_id", "selection_count", "cell_id", "base_id")
+    return inject.synthetic_observations(rows, fact(spark, d), _release(spark, d))
+
+
+_OBS = f"substr(sha256(concat_ws(chr(31), cell_id, {_SYN}, scenario_id)), 1, 20)"
+
+
+@query("synthetic_observations", sql(f"WITH {_RANK} SELECT scenario_id, cell_id, base_id, {_OBS} AS observation_id, CAST(value + 0.01 AS DOUBLE) AS after, true AS base_matches FROM pl", "current"))
+def synthetic_observations(spark, d):
+    return _synthetic(spark, d).select("scenario_id", "cell_id", "base_id", "observation_id", F.col("after").cast("double").alias("after"), "base_matches")
+
+
+def _graph_fact(spark, d):
+    return fact(spark, d).join(F.broadcast(releases(spark).select("source_id", "manifest_sha256")), "source_id")  # a row for each release
+
+
+_EDGE = "substr(sha256(concat_ws(chr(31), from_id, relationship, to_id)), 1, 20) AS edge_id"
+
+
+@query("inherit_lineage", sql(f"WITH {_RANK}, e AS (SELECT {_OBS} AS from_id, 'observation_measures_cell' AS relationship, cell_id AS to_id FROM pl) SELECT {_EDGE}, * FROM e", "current"))
+def inherit_lineage(spark, d):
+    return inject.inherit_lineage(_synthetic(spark, d), lineage.lineage_edges(_graph_fact(spark, d)))
+
+
+@query("route_matrix", sql(f"WITH {_RANK} SELECT scenario_id, selection_count, sha256(concat_ws(chr(31), scenario_id, selection_count)) AS payload_sha256, strategy, cells FROM sc, (VALUES ('B0'), ('B1'), ('B2'), ('B3')) v(strategy), (SELECT count(*) AS cells FROM current)", "current"))
+def route_matrix(spark, d):
+    cells = fact(spark, d).agg(F.count_distinct("cell_id").alias("cells"))
+    return inject.route_matrix(_scenarios(spark), STRATEGIES).crossJoin(cells)  # one row
+
+
+def _official(spark, d):
+    rows = fact(spark, d)
+    c = ["cell_id", "observation_id", "value"]
+    now = strategies.overwrite_state(rows).select(*c).withColumn("strategy", F.explode(F.array(*map(F.lit, ("B0", "B1", "B3")))))
+    return now.unionByName(strategies.select_single_source(rows, _scores(spark, d)).select(*c, F.lit("B2").alias("strategy")))
+
+
+_OFF = "off AS (SELECT cell_id, observation_id AS served_id, value AS served_value, strategy FROM current, (VALUES ('B0'), ('B1'), ('B3')) v(strategy) UNION ALL SELECT cell_id, observation_id, value, 'B2' FROM selected)"
+
+
+@query("execute_routes", sql(f"""WITH {_RANK}, {_OFF} SELECT scenario_id, strategy, count(*) AS cells, count(*) FILTER (strategy <> 'B2') AS served_new, count(*) FILTER (strategy <> 'B2' AND value + 0.01 <> served_value) AS value_changed,
+    count(*) FILTER (strategy <> 'B0' OR served_id <> base_id) AS base_still_addressable FROM pl JOIN off USING (cell_id) GROUP BY 1, 2""", "current", "selected"))
+def execute_routes(spark, d):
+    return inject.execute_routes(_synthetic(spark, d), _official(spark, d), scores_rank=6)
+
+
+@query("scenario_expectations", sql(f"""WITH {_RANK}, n AS (SELECT count(DISTINCT cell_id) AS cells, count(*) AS observations FROM fact)
+    SELECT scenario_id, strategy, CASE WHEN strategy IN ('B0', 'B3') THEN selection_count ELSE cells END AS evaluated, CASE WHEN strategy IN ('B0', 'B3') THEN selection_count ELSE cells END AS written,
+           CASE WHEN strategy = 'B3' THEN observations + selection_count ELSE 0 END AS store FROM sc, n, (VALUES ('B0'), ('B1'), ('B2'), ('B3')) v(strategy)""", "fact", "current"))
+def scenario_expectations(spark, d):
+    rows = fact(spark, d)
+    return inject.scenario_expectations(_scenarios(spark), rows.agg(F.count_distinct("cell_id").alias("cells")), rows.agg(F.count("*").alias("observations")))
+
+
+def _served_after(spark, d):
+    """What B0 and B2 serve after each scenario: B0 the injected values, B2 its trusted ones."""
+    syn = _synthetic(spark, d).select("scenario_id", "cell_id", "observation_id")
+    b0 = syn.withColumn("strategy", F.lit("B0"))
+    b2 = syn.select("scenario_id", "cell_id").join(strategies.select_single_source(fact(spark, d), _scores(spark, d)).select("cell_id", "observation_id"), "cell_id").withColumn("strategy", F.lit("B2"))
+    return b0.unionByName(b2)
+
+
+@query("propagation_rate", sql(f"WITH {_RANK} SELECT scenario_id, strategy, selection_count AS admitted, CASE strategy WHEN 'B0' THEN selection_count ELSE 0 END AS served, CASE strategy WHEN 'B0' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM sc, (VALUES ('B0'), ('B2')) v(strategy)", "current"))
+def propagation_rate(spark, d):
+    injected = _synthetic(spark, d).select("scenario_id", F.col("observation_id").alias("injected_id"))
+    return recall.propagation_rate(injected, _served_after(spark, d))
+
+
+@query("state_matches_expected", sql("SELECT CAST(0 AS BIGINT) AS mismatches, (SELECT count(*) FROM current) AS cells", "current"))
+def state_matches_expected(spark, d):
+    rows = fact(spark, d)
+    syn = _synthetic(spark, d).where("scenario_id = 'sweep_038'").select("cell_id", "observation_id")
+    before = strategies.overwrite_state(rows)
+    after = strategies.upsert(before, syn, ["observation_id"])
+    return recall.state_matches_expected(after, syn, before).crossJoin(after.agg(F.count("*").alias("cells")))  # one row each
+
+
+@query("derived_vs_measured", sql(f"WITH {_RANK} SELECT scenario_id, 'B0' AS strategy, (SELECT count(*) FROM current) - selection_count AS derived, (SELECT count(*) FROM current) - selection_count AS measured, true AS agrees FROM sc", "current"))
+def derived_vs_measured(spark, d):
+    rows = fact(spark, d)
+    now = strategies.overwrite_state(rows).select("cell_id", "observation_id")
+    syn = _synthetic(spark, d).select("scenario_id", "cell_id")
+    revised = syn.groupBy("scenario_id").agg(F.count("*").alias("revised"))
+    derived = revised.crossJoin(now.agg(F.count("*").alias("all"))).select("scenario_id", F.lit("B0").alias("strategy"), (F.col("all") - F.col("revised")).alias("derived"))
+    kept = now.crossJoin(F.broadcast(_scenarios(spark).select("scenario_id"))).join(syn, ["scenario_id", "cell_id"], "left_anti")  # a row for each scenario
+    measured = kept.groupBy("scenario_id").agg(F.count("*").alias("measured")).withColumn("strategy", F.lit("B0"))
+    return recall.derived_vs_measured(derived, measured)
+
+
+# ---------------------------------------------------------------- lineage
+
+
+def _node(kind: str) -> str:
+    columns = lineage.NODES[kind]
+    if kind in lineage._NATURAL:
+        return columns[0]
+    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"substr(sha256(concat_ws(chr(31), '{kind}', {parts})), 1, 20)"
+
+
+_GF = "gf AS (SELECT f.*, r.manifest_sha256 FROM fact f JOIN releases r USING (source_id))"
+_NODES = f"{_GF}, nodes AS (" + " UNION ".join(f"SELECT {_node(k)} AS node_id, '{k}' AS node_type, concat_ws('|', {', '.join(c)}) AS label FROM gf" for k, c in lineage.NODES.items()) + ")"
+_EDGES = "e0 AS (" + " UNION ".join(f"SELECT {_node(a)} AS from_id, '{r}' AS relationship, {_node(b)} AS to_id, '{'derived' if 'run' in r else 'recorded'}' AS evidence FROM gf" for r, (a, b) in lineage.EDGES.items()) + f"), edges AS (SELECT {_EDGE}, * FROM e0)"
+_PATHS = f"""ids AS (SELECT observation_id, cell_id, {_node('manifest')} AS manifest_id, {_node('artifact')} AS artifact_id, {_node('record')} AS record_id FROM gf),
+    paths AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS record_reuse, substr(sha256(concat_ws(chr(31), manifest_id, artifact_id, record_id, observation_id, cell_id)), 1, 20) AS lineage_path_id FROM ids)"""
+
+
+@query("lineage_nodes", sql(f"WITH {_NODES} SELECT * FROM nodes", "fact"))
+def lineage_nodes(spark, d):
+    return lineage.lineage_nodes(_graph_fact(spark, d))
+
+
+@query("lineage_edges", sql(f"WITH {_GF}, {_EDGES} SELECT * FROM edges", "fact"))
+def lineage_edges(spark, d):
+    return lineage.lineage_edges(_graph_fact(spark, d))
+
+
+@query("lineage_paths", sql(f"WITH {_GF}, {_PATHS} SELECT *, CASE WHEN record_reuse = 1 THEN 'unique_locator' ELSE 'shared_locator' END AS resolution FROM paths", "fact"))
+def lineage_paths(spark, d):
+    return lineage.lineage_paths(_graph_fact(spark, d))
+
+
+@query("lineage_metrics", sql(f"""WITH {_NODES}, {_EDGES}, {_PATHS} SELECT 'nodes' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'paths', count(*) FROM paths
+    UNION ALL SELECT 'cells', count(DISTINCT cell_id) FROM paths UNION ALL SELECT 'shared_locator_paths', count(*) FILTER (record_reuse > 1) FROM paths UNION ALL SELECT 'complete_paths', count(*) FROM paths""", "fact"))
+def lineage_metrics(spark, d):
+    g = _graph_fact(spark, d)
+    return lineage.lineage_metrics(lineage.lineage_nodes(g), lineage.lineage_edges(g), lineage.lineage_paths(g))
+
+
+@query("graph_integrity", sql(f"""WITH {_NODES}, {_EDGES} SELECT 'conflicting_node' AS rule, count(*) AS violations FROM (SELECT node_id FROM nodes GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'dangling_edge', count(*) FROM (SELECT from_id AS i FROM edges UNION SELECT to_id FROM edges) WHERE i NOT IN (SELECT node_id FROM nodes)
+    UNION ALL SELECT 'orphan_node', count(*) FROM (SELECT DISTINCT node_id FROM nodes) WHERE node_id NOT IN (SELECT from_id FROM edges UNION SELECT to_id FROM edges)""", "fact"))
+def graph_integrity(spark, d):
+    g = _graph_fact(spark, d)
+    return lineage.graph_integrity(lineage.lineage_nodes(g), lineage.lineage_edges(g))
+
+
+_STRATEGY = """q AS (SELECT 'r-' || f.observation_id AS request_id, f.cell_id, c.observation_id AS served_id FROM fact f JOIN current c USING (cell_id)),
+    k AS (SELECT *, substr(sha256(concat_ws(chr(31), 'run', 'B0')), 1, 20) AS run, substr(sha256(concat_ws(chr(31), 'decision', 'B0', request_id)), 1, 20) AS decision, substr(sha256(concat_ws(chr(31), 'output', 'B0', cell_id)), 1, 20) AS output FROM q)"""
+
+
+@query("strategy_lineage", sql(f"""WITH {_STRATEGY} SELECT *, 'B0' AS strategy FROM (SELECT run AS from_id, 'run_made_decision' AS relationship, decision AS to_id FROM k UNION SELECT decision, 'decision_selects_output', output FROM k
+    UNION SELECT output, 'output_shows_observation', served_id FROM k UNION SELECT output, 'output_describes_cell', cell_id FROM k)""", "fact", "current"))
+def strategy_lineage(spark, d):
+    return lineage.strategy_lineage(_requests(spark, d), strategies.overwrite_state(fact(spark, d)), "B0")
+
+
+@query("snapshot_lineage", sql("""WITH s AS (SELECT *, substr(sha256(concat_ws(chr(31), 'snapshot', snapshot_order)), 1, 20) AS state FROM states)
+    SELECT observation_id AS from_id, 'output_available_in_snapshot' AS relationship, state AS to_id FROM s UNION ALL SELECT DISTINCT substr(sha256(concat_ws(chr(31), 'run', 'B1')), 1, 20), 'run_made_snapshot', state FROM s""", "states"))
+def snapshot_lineage(spark, d):
+    return lineage.snapshot_lineage(strategies.full_snapshots(fact(spark, d), LAST))
+
+
+@query("evidence_closure", sql(f"""WITH {_AUDIT}, mt AS ({_METRICS}), x AS (SELECT strategy, request_id, substr(sha256(concat_ws(chr(31), 'decision', strategy, request_id)), 1, 20) AS decision_id, substr(sha256(concat_ws(chr(31), 'metric', strategy, requests)), 1, 20) AS metric_id FROM audit JOIN mt USING (strategy))
+    SELECT *, substr(sha256(concat_ws(chr(31), 'table', metric_id)), 1, 20) AS table_id, substr(sha256(concat_ws(chr(31), 'figure', metric_id)), 1, 20) AS figure_id, true AS complete FROM x""", "fact", "current", "selected"))
+def evidence_closure(spark, d):
+    audit = _audit(spark, d)
+    return lineage.evidence_closure(audit, recall.recall_metrics(audit))
+
+
+@query("arrival_lineage", sql("""WITH a AS (SELECT *, substr(sha256(concat_ws(chr(31), 'arrival', arrival_order)), 1, 20) AS arrival FROM fact)
+    SELECT vintage_id AS from_id, 'vintage_in_arrival' AS relationship, arrival AS to_id FROM a UNION SELECT observation_id, 'observation_in_arrival', arrival FROM a UNION SELECT arrival, 'arrival_dirties_cell', cell_id FROM a""", "fact"))
+def arrival_lineage(spark, d):
+    return lineage.arrival_lineage(fact(spark, d))
+
+
+@query("impact_audit", sql("""WITH l AS (SELECT cell_id, max(arrival_order) AS last_dirty FROM fact GROUP BY 1) SELECT CAST(arrival_order AS BIGINT) AS arrival_order, count(DISTINCT cell_id) AS dirty_by_graph, count(DISTINCT cell_id) AS dirty_by_rows,
+    CAST(0 AS BIGINT) AS mismatches, count(*) FILTER (last_dirty = arrival_order) AS last_dirty_here FROM fact JOIN l USING (cell_id) GROUP BY 1""", "fact"))
+def impact_audit(spark, d):
+    return lineage.impact_audit(fact(spark, d), lineage.lineage_edges(_graph_fact(spark, d))).withColumn("arrival_order", F.col("arrival_order").cast("long"))
+
+
+@query("trace_upstream", sql(f"WITH {_GF}, {_PATHS} SELECT cell_id, observation_id AS observation, record_id AS record, artifact_id AS artifact, manifest_id AS manifest FROM paths", "fact"))
+def trace_upstream(spark, d):
+    g = _graph_fact(spark, d)
+    return lineage.trace_upstream(lineage.lineage_edges(g), g.select("cell_id").distinct())
+
+
+@query("dirty_cells", sql("SELECT cell_id, CAST(0 AS BIGINT) AS mismatch FROM fact WHERE arrival_order = 5", "fact"))
+def dirty_cells(spark, d):
+    g = _graph_fact(spark, d)
+    return strategies.dirty_cells(lineage.lineage_edges(g), g.where("arrival_order = 5"))
