@@ -86,13 +86,8 @@ def scenario_expectations(scenarios: DataFrame, cells: DataFrame, observations:
     ``observations`` are one-row counts.
     """
     rows = scenarios.crossJoin(cells).crossJoin(observations)  # one row each
-    per = F.map_from_arrays(
-        F.array(*map(F.lit, ("B0", "B1", "B2", "B3"))),
-        F.array(
-            F.struct(F.col("selection_count").alias("evaluated"), F.col("selection_count").alias("written"), F.lit(0).cast("long").alias("store")),
-            F.struct(F.col("cells"), F.col("cells"), F.lit(0).cast("long")),
-            F.struct(F.col("cells"), F.col("cells"), F.lit(0).cast("long")),
-            F.struct(F.col("selection_count"), F.col("selection_count"), F.col("observations") + F.col("selection_count")),
-        ),
-    )
+    none, few, all_cells = F.lit(0).cast("long"), F.col("selection_count"), F.col("cells")
+    work = {"B0": (few, few, none), "B1": (all_cells, all_cells, none), "B2": (all_cells, all_cells, none), "B3": (few, few, F.col("observations") + few)}
+    structs = [F.struct(a.alias("evaluated"), b.alias("written"), c.alias("store")) for a, b, c in work.values()]
+    per = F.map_from_arrays(F.array(*map(F.lit, work)), F.array(*structs))
     return rows.select("scenario_id", F.explode(per).alias("strategy", "x")).select("scenario_id", "strategy", "x.*")

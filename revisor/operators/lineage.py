@@ -94,16 +94,20 @@ def graph_integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return count(clash, "conflicting_node").unionByName(count(ends.join(ids, "node_id", "left_anti"), "dangling_edge")).unionByName(count(ids.join(ends, "node_id", "left_anti"), "orphan_node"))
 
 
+def _edge(a, relationship: str, b):
+    return F.struct(a.alias("from_id"), F.lit(relationship).alias("relationship"), b.alias("to_id"))
+
+
 def strategy_lineage(requests: DataFrame, serving: DataFrame, strategy: str) -> DataFrame:
     """Edges run → decision → output → cell for each request that a strategy answered."""
     rows = requests.join(serving.select("cell_id", F.col("observation_id").alias("served_id")), "cell_id")
     run, decision = identity(F.lit("run"), F.lit(strategy)), identity(F.lit("decision"), F.lit(strategy), "request_id")
     output = identity(F.lit("output"), F.lit(strategy), "cell_id")
     each = F.array(
-        F.struct(run.alias("from_id"), F.lit("run_made_decision").alias("relationship"), decision.alias("to_id")),
-        F.struct(decision, F.lit("decision_selects_output"), output),
-        F.struct(output, F.lit("output_shows_observation"), F.col("served_id")),
-        F.struct(output, F.lit("output_describes_cell"), F.col("cell_id")),
+        _edge(run, "run_made_decision", decision),
+        _edge(decision, "decision_selects_output", output),
+        _edge(output, "output_shows_observation", F.col("served_id")),
+        _edge(output, "output_describes_cell", F.col("cell_id")),
     )
     return rows.select(F.explode(each).alias("e")).select("e.*").distinct().withColumn("strategy", F.lit(strategy))
 
@@ -130,9 +134,9 @@ def arrival_lineage(fact: DataFrame) -> DataFrame:
     """B3: vintage → arrival, observation → arrival and arrival → cell."""
     arrival = identity(F.lit("arrival"), "arrival_order")
     each = F.array(
-        F.struct(F.col("vintage_id").alias("from_id"), F.lit("vintage_in_arrival").alias("relationship"), arrival.alias("to_id")),
-        F.struct(F.col("observation_id"), F.lit("observation_in_arrival"), arrival),
-        F.struct(arrival, F.lit("arrival_dirties_cell"), F.col("cell_id")),
+        _edge(F.col("vintage_id"), "vintage_in_arrival", arrival),
+        _edge(F.col("observation_id"), "observation_in_arrival", arrival),
+        _edge(arrival, "arrival_dirties_cell", F.col("cell_id")),
     )
     return fact.select(F.explode(each).alias("e")).select("e.*").distinct()
 

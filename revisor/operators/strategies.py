@@ -14,15 +14,23 @@ from pyspark.sql.window import Window
 from revisor.functions.identity import changed, identity
 from revisor.operators.model import KNOWLEDGE
 
-_BY_ARRIVAL = Window.partitionBy("cell_id").orderBy("arrival_order")
-_BY_KNOWLEDGE = Window.partitionBy("cell_id").orderBy(*KNOWLEDGE)
-_CELL = Window.partitionBy("cell_id")
+
+def by_arrival():
+    return Window.partitionBy("cell_id").orderBy("arrival_order")
+
+
+def by_knowledge():
+    return Window.partitionBy("cell_id").orderBy(*KNOWLEDGE)
+
+
+def whole_cell():
+    return Window.partitionBy("cell_id")
 
 
 def overwrite_state(fact: DataFrame) -> DataFrame:
     """B0: the last arrival of each cell, with the observation it replaced."""
     last = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.col("arrival_order").desc()))
-    rows = fact.withColumn("replaced_observation_id", F.lag("observation_id").over(_BY_ARRIVAL)).withColumn("from_last", last)
+    rows = fact.withColumn("replaced_observation_id", F.lag("observation_id").over(by_arrival())).withColumn("from_last", last)
     return rows.where("from_last = 1").drop("from_last").withColumnRenamed("arrival_order", "applied_order")
 
 
@@ -35,7 +43,7 @@ def upsert(state: DataFrame, arrived: DataFrame, columns: list[str]) -> DataFram
 
 def overwrite_operations(fact: DataFrame) -> DataFrame:
     """What each arrival did to B0: inserted, overwritten, of those changed or same, and rows so far."""
-    before = F.lag(F.struct("value")).over(_BY_ARRIVAL)
+    before = F.lag(F.struct("value")).over(by_arrival())
     rows = fact.withColumn("before", before)
     by = rows.groupBy("arrival_order").agg(
         F.count("*").alias("input_rows"),
@@ -49,7 +57,7 @@ def overwrite_operations(fact: DataFrame) -> DataFrame:
 
 def validity(fact: DataFrame) -> DataFrame:
     """Carry-forward intervals: each observation is what its cell says from its arrival until before the next."""
-    return fact.withColumn("valid_from", F.col("arrival_order")).withColumn("valid_to", F.lead("arrival_order").over(_BY_ARRIVAL))
+    return fact.withColumn("valid_from", F.col("arrival_order")).withColumn("valid_to", F.lead("arrival_order").over(by_arrival()))
 
 
 def full_snapshots(fact: DataFrame, last_order: int) -> DataFrame:
@@ -104,8 +112,8 @@ def ranked_candidates(fact: DataFrame, scores: DataFrame) -> DataFrame:
     return (
         fact.join(few, "source_id")
         .withColumn("choice", F.row_number().over(w))
-        .withColumn("candidate_count", F.count("*").over(_CELL))
-        .withColumn("last_arrival", F.max("arrival_order").over(_CELL))
+        .withColumn("candidate_count", F.count("*").over(whole_cell()))
+        .withColumn("last_arrival", F.max("arrival_order").over(whole_cell()))
     )
 
 
@@ -150,10 +158,10 @@ def vintage_store(store: DataFrame, arrived: DataFrame) -> DataFrame:
 
 def resolve_cells(store: DataFrame) -> DataFrame:
     """B3: latest value of each cell, how many vintages it has and how often its value changed."""
-    before = F.lag("value").over(_BY_KNOWLEDGE)
+    before = F.lag("value").over(by_knowledge())
     last = F.row_number().over(Window.partitionBy("cell_id").orderBy(*(F.col(c).desc() for c in KNOWLEDGE)))
     rows = store.withColumn("was", changed(F.col("value"), before).cast("long")).withColumn("from_last", last)
-    rows = rows.withColumn("vintage_count", F.count("*").over(_CELL)).withColumn("value_revision_count", F.sum("was").over(_CELL))
+    rows = rows.withColumn("vintage_count", F.count("*").over(whole_cell())).withColumn("value_revision_count", F.sum("was").over(whole_cell()))
     return rows.where("from_last = 1").drop("from_last", "was")
 
 
@@ -177,8 +185,8 @@ def arrival_catalog(fact: DataFrame) -> DataFrame:
 
     A running argmax gives the resolution before and after each row, so one pass serves all arrivals.
     """
-    now = F.max(F.struct(*KNOWLEDGE, "value")).over(_BY_ARRIVAL.rowsBetween(Window.unboundedPreceding, 0))
-    rows = fact.withColumn("now", now).withColumn("before", F.lag("now").over(_BY_ARRIVAL))
+    now = F.max(F.struct(*KNOWLEDGE, "value")).over(by_arrival().rowsBetween(Window.unboundedPreceding, 0))
+    rows = fact.withColumn("now", now).withColumn("before", F.lag("now").over(by_arrival()))
     moved = F.col("before").isNotNull() & (F.col("now.vintage_id") != F.col("before.vintage_id"))
     by = rows.groupBy("arrival_order").agg(
         F.count("*").alias("dirty_cells"),
@@ -210,7 +218,7 @@ def asof_states(fact: DataFrame, last_order: int) -> DataFrame:
 
 def asof_lookup(requests: DataFrame, fact: DataFrame) -> DataFrame:
     """The observation of a cell known at a request's date, null before the first: a left join on the cell, then the interval."""
-    until = F.lead("vintage_date").over(_BY_KNOWLEDGE)
+    until = F.lead("vintage_date").over(by_knowledge())
     facts = fact.select("cell_id", "observation_id", "value_lexeme", F.col("vintage_date").alias("valid_from"), until.alias("valid_to"))
     inside = (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("as_of") < F.col("valid_to")))
     hits = requests.join(facts, "cell_id").where(inside).select("request_id", "observation_id", "value_lexeme")

@@ -1 +1,237 @@
-"""Queries."""
+"""Queries over scans and sinks.  Files are derived from the given tables and written to a shared scratch folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revisor.operators.strategies import overwrite_state
+from revisor.plans.bridge import fact, releases, sql, table
+from revisor.plans.registry import query
+from revisor.sources import files
+from revisor.streaming import arrivals
+
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]
+
+
+def _csv(spark, d):
+    path = files.scratch(spark, "csv")
+    table(spark, d, "customer").select(*(F.col(c).cast("string") for c in _CUSTOMER)).write.option("header", True).csv(path)
+    return path
+
+
+@query("scan_strict_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
+def scan_strict_csv(spark, d):
+    return files.scan_strict_csv(spark, _csv(spark, d), _CUSTOMER, ["c_custkey"]).drop("c_acctbal")
+
+
+@query("scan_typed_projection", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer")
+def scan_typed_projection(spark, d):
+    staged = files.scan_strict_csv(spark, _csv(spark, d), _CUSTOMER, _CUSTOMER)
+    return files.typed(staged, {"c_custkey": "long", "c_name": "string", "c_nationkey": "long", "c_acctbal": "double"})
+
+
+def _payloads(spark, d):
+    """JSON cubes, one for each segment: nations (code hundred times the key and one) by status by year."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    code = (1100 + F.col("n_nationkey") * 100).cast("string")
+    cells = o.groupBy("c_mktsegment", code.alias("area"), F.col("n_name").alias("area_name"), F.col("o_orderstatus").alias("cat"), F.year("o_orderdate").cast("string").alias("year")).agg(F.count("*").cast("string").alias("n"))
+    dims = lambda v, label: F.array_sort(F.collect_set(F.struct(F.col(v).alias("val"), F.col(label).alias("label"))))
+    by = cells.groupBy("c_mktsegment").agg(
+        dims("area", "area_name").alias("vervar"), dims("cat", "cat").alias("turvar"), dims("year", "year").alias("tahun"),
+        F.map_from_entries(F.collect_list(F.struct(F.concat("area", F.lit("7"), "cat", "year", F.lit("0")), "n"))).alias("datacontent"),
+    )
+    one = lambda v: F.array(F.struct(F.lit(v).alias("val"), F.lit("all").alias("label")))
+    payload = F.to_json(F.struct("vervar", one("7").alias("var"), "turvar", "tahun", one("0").alias("turtahun"), "datacontent", F.lit("2024-02-01").alias("last_update")))
+    return by.select("c_mktsegment", payload.alias("payload"))
+
+
+_CUBE = """cube AS (SELECT c_mktsegment, CAST(1100 + n_nationkey * 100 AS VARCHAR) AS geo_code, n_name AS geo_name, o_orderstatus AS category, CAST(year(o_orderdate) AS VARCHAR) AS observed_period, CAST(count(*) AS VARCHAR) AS value_lexeme
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query("scan_json_cube", f"WITH {_CUBE} SELECT '7' AS series_key, geo_code, geo_name, 'province' AS geo_level, category, observed_period, value_lexeme, true AS numeric FROM cube")
+def scan_json_cube(spark, d):
+    return files.scan_json_cube(_payloads(spark, d), F.col("payload"))
+
+
+@query("scan_json_series")
+def scan_json_series(spark, d):
+    """The cube's areas recoded as the nation, so that its national rows are read."""
+    national = _payloads(spark, d).withColumn("payload", F.regexp_replace("payload", '"1100', '"9999'))
+    years = table(spark, d, "orders").select(F.year("o_orderdate").cast("string").alias("year")).distinct()
+    return files.scan_json_series(national, F.col("payload"), "F", years)
+
+
+@query("scan_json_restricted", f"WITH {_CUBE} SELECT geo_code, observed_period, min(value_lexeme) AS value_lexeme FROM cube WHERE category = 'F' GROUP BY 1, 2")
+def scan_json_restricted(spark, d):
+    wanted = table(spark, d, "orders").where("o_orderstatus = 'F'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    keys = wanted.select((1100 + F.col("c_nationkey") * 100).cast("string").alias("geo_code"), F.year("o_orderdate").cast("string").alias("observed_period"), F.lit("F").alias("category")).distinct()
+    first, _ = files.scan_json_restricted(_payloads(spark, d), F.col("payload"), keys, ["geo_code", "observed_period", "category"])
+    return first.select("geo_code", "observed_period", "value_lexeme")
+
+
+@query("unpack_series", """SELECT o_custkey, CAST(year(o_orderdate) AS VARCHAR) AS year, CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS VARCHAR) AS value_lexeme, CAST(NULL AS VARCHAR) AS problem FROM orders GROUP BY 1, 2""")
+def unpack_series(spark, d):
+    yearly = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("t"))
+    item = F.concat(F.col("y").cast("string"), F.lit(":"), F.col("t").cast("string"))
+    packed = yearly.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(item)), "|").alias("packed"))  # an item for each year
+    return files.unpack_series(packed, "packed")
+
+
+@query("name_code_lookup", "SELECT s_suppkey, CASE WHEN s_nationkey < 20 THEN CAST(s_nationkey AS BIGINT) END AS area_code, s_nationkey >= 20 AS unknown FROM supplier")
+def name_code_lookup(spark, d):
+    nations = table(spark, d, "nation").withColumn("n_name", F.translate("n_name", "0123456789", "ABCDEFGHIJ"))
+    rows = table(spark, d, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("<i>"), F.lower("n_name"), F.lit(" </i>")).alias("printed"))  # nations are few
+    areas = nations.where("n_nationkey < 20").select(F.col("n_name").alias("area_name"), F.col("n_nationkey").cast("long").alias("area_code"))
+    return files.name_code_lookup(rows, "printed", areas).select("s_suppkey", "area_code", "unknown")
+
+
+_TOKEN = "CASE WHEN l_linenumber = 7 THEN '-' WHEN l_quantity < 3 THEN replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') || '1' ELSE replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') END"
+
+
+@query("modal_precision_split", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, replace({_TOKEN}, ',', '.') AS p FROM lineitem),
+    n AS (SELECT *, CASE WHEN p <> '-' THEN length(split_part(p, '.', 2)) END AS dec FROM t),
+    m AS (SELECT l_returnflag, dec AS modal FROM (SELECT l_returnflag, dec, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, dec) AS r FROM n WHERE dec IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
+    SELECT l_orderkey, l_linenumber, CASE WHEN p <> '-' THEN substr(p, 1, length(p) - greatest(dec - modal, 0)) END AS value,
+           CASE WHEN p = '-' THEN 'not_published' WHEN dec > modal THEN 'footnote_' || substr(p, length(p) - (dec - modal) + 1) END AS note FROM n JOIN m USING (l_returnflag)""")
+def modal_precision_split(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.expr(_TOKEN.replace("VARCHAR", "STRING")).alias("token"))
+    return files.modal_precision_split(rows, "l_returnflag", "token").select("l_orderkey", "l_linenumber", "value", "note")
+
+
+@query("verify_manifest")
+def verify_manifest(spark, d):
+    path = files.scratch(spark, "manifest")
+    manifest = files.write_manifested(table(spark, d, "orders"), path)
+    return files.verify_manifest(files.file_digests(spark, path, "*.parquet"), manifest)
+
+
+@query("write_manifested")
+def write_manifested(spark, d):
+    return files.write_manifested(table(spark, d, "lineitem"), files.scratch(spark, "manifested"))
+
+
+@query("batch_id", sql("SELECT substr(sha256(string_agg(source_id || '=' || manifest_sha256, ';' ORDER BY source_id)), 1, 20) AS batch_id FROM releases JOIN (SELECT DISTINCT source_id FROM fact) USING (source_id)", "fact"))
+def batch_id(spark, d):
+    seen = fact(spark, d).select("source_id").distinct()
+    return files.batch_id(releases(spark).join(seen, "source_id").select(F.col("source_id").alias("name"), F.col("manifest_sha256").alias("sha256")))
+
+
+@query("publish_batch", "SELECT count(*) AS rows, count(*) AS read_rows, true AS verified FROM orders")
+def publish_batch(spark, d):
+    return files.publish_batch(table(spark, d, "orders"), files.scratch(spark, "publish"), "b1")
+
+
+@query("partitioned_sink", sql("SELECT domain, count(*) AS rows, count(DISTINCT cell_id) AS cells FROM fact GROUP BY 1", "fact"))
+def partitioned_sink(spark, d):
+    path = files.scratch(spark, "domains")
+    files.partitioned_sink(fact(spark, d), "domain", path)
+    return spark.read.parquet(path).groupBy("domain").agg(F.count("*").alias("rows"), F.count_distinct("cell_id").alias("cells"))
+
+
+def _versions(spark, d):
+    """A table that each release overwrites with the state after it, smaller to larger."""
+    t = files.VersionedTable(spark, files.scratch(spark, "versions"))
+    rows = fact(spark, d)
+    for order in (1, 2, 3):
+        t.overwrite(overwrite_state(rows.where(F.col("arrival_order") <= order)).select("cell_id", "observation_id"))
+    return t
+
+
+_ASOF = "SELECT cell_id, observation_id FROM states WHERE snapshot_order = {}"
+
+
+@query("overwrite_table", sql(_ASOF.format(3), "states"))
+def overwrite_table(spark, d):
+    return _versions(spark, d).read()
+
+
+@query("append_table", sql("SELECT cell_id, observation_id FROM fact", "fact"))
+def append_table(spark, d):
+    t = files.VersionedTable(spark, files.scratch(spark, "append"))
+    rows = fact(spark, d).select("cell_id", "observation_id", "arrival_order")
+    t.append(rows.where("arrival_order <= 3").drop("arrival_order"))
+    t.append(rows.where("arrival_order > 3").drop("arrival_order"))
+    return t.read()
+
+
+@query("truncate", sql("SELECT (SELECT count(*) FROM states WHERE snapshot_order = 3) AS before, CAST(0 AS BIGINT) AS after FROM fact LIMIT 1", "fact", "states"))
+def truncate(spark, d):
+    t = _versions(spark, d)
+    before = t.read().agg(F.count("*").alias("before"))
+    t.truncate()
+    return before.crossJoin(t.read().agg(F.count("*").alias("after")))  # one row each
+
+
+@query("drop_purge", sql("SELECT count(*) AS rows, true AS dropped FROM states WHERE snapshot_order <= 3", "states"))
+def drop_purge(spark, d):
+    t = _versions(spark, d)
+    rows = t.history().count()
+    t.drop()
+    return spark.sql(f"SELECT {rows}L AS rows, {str(not t.versions()).lower()} AS dropped")
+
+
+@query("snapshot_read", sql("SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states WHERE snapshot_order <= 3", "states"))
+def snapshot_read(spark, d):
+    return _versions(spark, d).history().select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
+
+
+@query("expire_versions", sql("SELECT cell_id, observation_id, CAST(3 AS BIGINT) AS version FROM states WHERE snapshot_order = 3", "states"))
+def expire_versions(spark, d):
+    t = _versions(spark, d)
+    t.expire(keep=1)
+    return t.history().select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
+
+
+@query("file_inventory")
+def file_inventory(spark, d):
+    return files.file_inventory(spark, f"{d}/lineitem.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "rows")
+
+
+@query("orphan_files", """SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_size AS BIGINT) * 1024 AS size FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)""")
+def orphan_files(spark, d):
+    listing = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), (F.col("p_size").cast("long") * 1024).alias("size"), F.col("p_size").alias("modified"))
+    referenced = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").cast("string").alias("path"))
+    return files.orphan_files(listing.withColumn("modified", -F.col("modified")), referenced, F.lit(-10)).select("path", "size")
+
+
+@query("event_log_scan")
+def event_log_scan(spark, d):
+    """An event log of one task end for each order, and its totals by stage."""
+    path = files.scratch(spark, "eventlog")
+    line = F.concat(F.lit('{"Event":"SparkListenerTaskEnd","Stage ID":'), (F.col("o_custkey") % 8).cast("string"), F.lit(',"Task Metrics":{"Executor Run Time":1,"Input Metrics":{"Bytes Read":'), F.col("o_orderkey").cast("string"), F.lit(',"Records Read":1},"Shuffle Write Metrics":{"Shuffle Bytes Written":0,"Shuffle Records Written":2}}}'))
+    table(spark, d, "orders").select(line.alias("value")).write.text(path)
+    return files.event_log_scan(spark, path)
+
+
+# ---------------------------------------------------------------- streaming
+
+
+def _arrival_folder(spark, d):
+    path = files.scratch(spark, "arrivals")
+    rows = fact(spark, d).select("cell_id", "observation_id", "vintage_id", "value", "value_lexeme", "vintage_date", "retrieved_at", "arrival_order")
+    rows.repartition("arrival_order").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("stream_arrivals", sql("""SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, count(*) AS vintage_count FROM fact GROUP BY 1""", "fact"))
+def stream_arrivals(spark, d):
+    store, serving = (files.VersionedTable(spark, files.scratch(spark, n)) for n in ("store", "serving"))
+    arrivals.stream_arrivals(_arrival_folder(spark, d), store, serving, files.scratch(spark, "progress")).awaitTermination()
+    return serving.read().select("cell_id", "observation_id", "vintage_count")
+
+
+@query("stream_latest", sql("SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, arg_max(value_lexeme, arrival_order) AS value_lexeme FROM fact GROUP BY 1", "fact"))
+def stream_latest(spark, d):
+    """The running latest, written by an update-mode stream; the last row of each cell in the sink is the answer."""
+    sink = files.VersionedTable(spark, files.scratch(spark, "latest"))
+
+    def put(batch, batch_id):
+        rows = batch.withColumn("batch_id", F.lit(batch_id))
+        rows.write.parquet(f"{sink.path}/version={batch_id + 1}", mode="overwrite")
+
+    found = arrivals.stream_latest(_arrival_folder(spark, d))
+    found.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", files.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return sink.history().groupBy("cell_id").agg(F.max_by(F.struct("observation_id", "value_lexeme"), "batch_id").alias("v")).select("cell_id", "v.*")
+
+

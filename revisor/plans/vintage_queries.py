@@ -226,7 +226,7 @@ def _held(spark, d):
     b0 = at(current, "B0", F.lit(False))
     b2 = at(strategies.select_single_source(rows, _scores(spark, d)), "B2", F.lit(False))
     b1 = at(strategies.full_snapshots(rows, LAST), "B1", F.col("snapshot_order") < LAST)
-    last = F.col("arrival_order") == F.max("arrival_order").over(strategies._CELL)
+    last = F.col("arrival_order") == F.max("arrival_order").over(strategies.whole_cell())
     b3 = at(rows.withColumn("served", last), "B3", ~F.col("served"))
     return b0.unionByName(b1).unionByName(b2).unionByName(b3)
 
