@@ -112,10 +112,10 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple
     sample = []
     for label in (1, 0):
         sample += joined.where(F.col("good") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select(*FEATURES, "good").collect()
+    if len({r["good"] for r in sample}) < 2:
+        return share, {}
     data = np.array([tuple(r) for r in sample], float)
     x, y = _one_hot(data[:, :-1]), data[:, -1]
-    if y.min(initial=1) == y.max(initial=0):
-        return share, {}
     weights = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes weigh the same: a likelihood ratio
     theta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
     ridge[0] = 1e-6

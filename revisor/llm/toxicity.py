@@ -292,8 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         model = json.dumps(fit_bags(bags, toxic_total, clean_total)).encode()
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(model)], pa.binary())], names=["model"])
 
-    packed = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(train, "model binary").first()["model"]
-    return json.loads(zlib.decompress(packed))
+    trained = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(train, "model binary").first()
+    return json.loads(zlib.decompress(trained["model"])) if trained else fit_bags(_Bags(), toxic_total, clean_total)
 
 
 # ---------------------------------------------------------------- scoring
