@@ -25,7 +25,7 @@ def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
         (F.max("value") - F.min("value")).alias("spread"),
-        F.to_json(F.map_from_entries(by_source)).alias("source_values"),
+        F.to_json(by_source).alias("source_values"),
         (F.count("*") - F.count_distinct("source_id")).alias("repeated"),
     )
 

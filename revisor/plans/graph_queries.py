@@ -42,6 +42,11 @@ def nested_scenarios(spark, d):
     return _plan(spark, d).select("scenario_id", "cell_id", "selection_rank", "share")
 
 
+@query("scenario_filter", sql(f"WITH {_RANK} SELECT cell_id, selection_rank FROM pl WHERE scenario_id = 'sweep_016'", "current"))
+def scenario_filter(spark, d):
+    return _plan(spark, d).where("scenario_id = 'sweep_016'").select("cell_id", "selection_rank")
+
+
 @query("mutate_one_unit", sql("SELECT observation_id, CAST(value + 0.01 AS DOUBLE) AS after, CAST(CAST(value + 0.01 AS DECIMAL(18,2)) AS VARCHAR) AS after_lexeme FROM fact", "fact"))
 def mutate_one_unit(spark, d):
     return inject.mutate_one_unit(fact(spark, d)).select("observation_id", F.col("after").cast("double").alias("after"), "after_lexeme")

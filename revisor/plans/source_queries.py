@@ -148,7 +148,7 @@ def overwrite_table(spark, d):
 
 @query("append_table", sql("SELECT cell_id, observation_id FROM fact", "fact"))
 def append_table(spark, d):
-    t = files.VersionedTable(spark, files.scratch(spark, "append"))
+    t = files.AppendTable(spark, files.scratch(spark, "append"))
     rows = fact(spark, d).select("cell_id", "observation_id", "arrival_order")
     t.append(rows.where("arrival_order <= 3").drop("arrival_order"))
     t.append(rows.where("arrival_order > 3").drop("arrival_order"))
@@ -216,7 +216,7 @@ def _arrival_folder(spark, d):
 
 @query("stream_arrivals", sql("""SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, count(*) AS vintage_count FROM fact GROUP BY 1""", "fact"))
 def stream_arrivals(spark, d):
-    store, serving = (files.VersionedTable(spark, files.scratch(spark, n)) for n in ("store", "serving"))
+    store, serving = files.AppendTable(spark, files.scratch(spark, "store")), files.VersionedTable(spark, files.scratch(spark, "serving"))
     arrivals.stream_arrivals(_arrival_folder(spark, d), store, serving, files.scratch(spark, "progress")).awaitTermination()
     return serving.read().select("cell_id", "observation_id", "vintage_count")
 

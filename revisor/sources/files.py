@@ -148,36 +148,51 @@ def partitioned_sink(df: DataFrame, by: str, path: str) -> None:
     df.repartition(by, salt).write.partitionBy(by).parquet(path)
 
 
-class VersionedTable:
-    """Parquet versions under one folder: a write makes a version, readers name one or take the last."""
+class _Folder:
+    """Numbered Parquet folders, each written whole, under one path."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        self.spark, self.path, self.name = spark, path, name
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _hadoop(self, tail: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}{tail}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
+    def numbers(self) -> list[int]:
+        """Folders that were written to their end."""
+        fs, path = self._hadoop()
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in names if n.startswith("version=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        done = [n for n in names if n.startswith(f"{self.name}=") and fs.exists(self._hadoop(f"/{n}/_SUCCESS")[1])]
         return sorted(int(n.split("=")[1]) for n in done)
 
-    def _next(self) -> int:
-        return (self.versions() or [0])[-1] + 1
+    def delete(self, n: int) -> None:
+        fs, path = self._hadoop(f"/{self.name}={n}")
+        fs.delete(path, True)
+
+    def drop(self) -> None:
+        fs, path = self._hadoop()
+        fs.delete(path, True)
+
+
+class VersionedTable(_Folder):
+    """Each write is a version of the whole table; readers name one or take the last.
+
+    A table cannot be overwritten from its own scan in place, so a version never is.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, "version")
+
+    def versions(self) -> list[int]:
+        return self.numbers()
 
     def overwrite(self, df: DataFrame) -> int:
-        n = self._next()
-        df.write.parquet(f"{self.path}/version={n}")
+        n = (self.versions() or [0])[-1] + 1
+        df.write.mode("overwrite").parquet(f"{self.path}/version={n}")
         return n
 
-    def append(self, df: DataFrame) -> int:
-        """A version with the rows of the last and of ``df``."""
-        return self.overwrite(self.read().unionByName(df) if self.versions() else df)
-
     def truncate(self) -> int:
         return self.overwrite(self.read().limit(0))
 
@@ -191,14 +206,31 @@ class VersionedTable:
     def expire(self, keep: int = 1) -> list[int]:
         """Drop all versions but the last ``keep``."""
         gone = self.versions()[:-keep]
-        fs, _ = self._fs()
         for n in gone:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={n}"), True)
+            self.delete(n)
         return gone
 
-    def drop(self) -> None:
-        fs, path = self._fs()
-        fs.delete(path, True)
+
+class AppendTable(_Folder):
+    """Rows in numbered batches: an append writes its own rows only, and one that runs again replaces them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, "batch")
+
+    def append(self, df: DataFrame, batch: int | None = None) -> int:
+        n = (self.numbers() or [-1])[-1] + 1 if batch is None else batch
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={n}")
+        return n
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """Rows of all batches, or of those before a number; None while there are none."""
+        if not (found := [n for n in self.numbers() if before is None or n < before]):
+            return None
+        return self.spark.read.parquet(*(f"{self.path}/batch={n}" for n in found))
+
+    def compact_into(self, other: AppendTable, by: str) -> None:
+        """All rows as one batch of another table, in fewer files, rows of a key together."""
+        other.append(self.read().repartition(by), 0)
 
 
 def file_inventory(spark: SparkSession, path: str, by: Column | None = None) -> DataFrame:

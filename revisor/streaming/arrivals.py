@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from revisor.operators.model import KNOWLEDGE
 from revisor.operators.strategies import resolve_cells, vintage_store
-from revisor.sources.files import VersionedTable
+from revisor.sources.files import AppendTable, VersionedTable
 
 
-def stream_arrivals(arrivals: DataFrame, store: VersionedTable, serving: VersionedTable, checkpoint: str):
-    """Start the query: per batch, append what the store lacks, resolve the dirty cells, write both anew.
+def stream_arrivals(arrivals: DataFrame, store: AppendTable, serving: VersionedTable, checkpoint: str):
+    """Start the query: per batch, append what the store lacks, resolve the dirty cells, write the serving state anew.
 
-    A batch that runs again finds its rows in the store and changes nothing.  Each
-    write is a new version, so a batch that fails half-way leaves the last one whole.
+    The store only ever gets new rows, under the batch's number: a batch that runs
+    again reads what came before it and replaces its own rows.  Each serving state is
+    a version, so a batch that fails half-way leaves the last one whole.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        known = store.versions()
-        fresh = vintage_store(store.read(), batch) if known else batch
-        store.append(fresh.select(batch.columns))
+        before = store.read(before=batch_id)
+        fresh = vintage_store(before, batch) if before is not None else batch
+        store.append(fresh.select(batch.columns), batch_id)
         dirty = batch.select("cell_id").distinct()
-        resolved = resolve_cells(store.read().join(dirty, "cell_id", "left_semi"))
+        resolved = resolve_cells(store.read(before=batch_id + 1).join(dirty, "cell_id", "left_semi"))
         kept = serving.read().join(dirty, "cell_id", "left_anti").unionByName(resolved) if serving.versions() else resolved
         serving.overwrite(kept)
 
