@@ -29,19 +29,50 @@ from .common import small_batches, tasks, written
 
 #: Fixed by the contract: longest sequence, and the id that ends a document.
 ROOM, END_ID = 2048, 1
-#: Encoded words that a Python worker remembers (some 150 MB).
-CACHE_WORDS = 600_000
-#: Longest word the cache takes.
-CACHE_CHARS = 64
+#: Encoded words of a generation; a Python worker remembers four (some 150 MB).
+CACHE_WORDS = 250_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
+class Recent:
+    """Encoded words of two generations: a full young one becomes the old one, and words in use move back."""
+
+    def __init__(self, size: int = CACHE_WORDS):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Make all known words young, and return the others."""
+        new = words.difference(self.young)
+        if len(self.young) + len(new) > self.size:
+            self.old, self.young = self.young, {}
+            new = words
+        out = []
+        for word in new:
+            held = self.old.get(word)
+            if held is None:
+                out.append(word)
+            else:
+                self.young[word] = held
+        return out
+
+
+def _as_bytes_alphabet() -> dict[int, str]:
+    """Code point by byte of the byte-level alphabet: printable bytes stand for themselves, others follow from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in kept else chr(next(rest)) for b in range(256)}
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across ASCII white space.
+    """Ids of texts by a byte-level BPE that never joins across white space and ignores case.
 
-    Such a tokenizer's ids are those of the words one after another, so frequent
-    words are encoded once.  Words are packed as little-endian unsigned 32-bit ids.
+    Such a tokenizer's ids are those of the words one after another, so each word is
+    encoded once: a word of Latin letters, with or without a sign after it, by its
+    lower-case letters straight from the merges, other words by the whole tokenizer.
+    Ids are little-endian unsigned 32 bits.
     """
 
     def __init__(self, path: str):
@@ -49,25 +80,37 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def add(self, words) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            for word, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", made.ids).tobytes()
+        self.alphabet = _as_bytes_alphabet()
+        self.words, self.letters = Recent(), Recent()
+
+    def _learn(self, words: set[str]) -> None:
+        whole, cut, letters = [], [], set()
+        for word in self.words.missing(words):
+            low, sign = word.lower(), ""
+            if not low.isalpha() and word and word[-1] in ".,;:!?":
+                low, sign = low[:-1], word[-1]
+                letters.add(sign)
+            if low.isalpha() and max(low) < "\u0250":
+                cut.append((word, low, sign))
+                letters.add(low)
+            else:
+                whole.append(word)
+        merges = self.tokenizer.model
+        missing = self.letters.missing(letters)
+        into = self.letters.young
+        for low in missing:
+            spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
+            into[low] = array("I", [t.id for t in merges.tokenize(spelt)]).tobytes()
+        known = self.words.young
+        for word, made in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            known[word] = array("I", made.ids).tobytes()
+        for word, low, sign in cut:
+            known[word] = into[low] + into[sign] if sign else into[low]
 
     def encode(self, text: str) -> bytes:
-        words = text.split(" ") if "\t" not in text and "\n" not in text else text.replace("\n", " ").replace("\t", " ").split(" ")
-        return b"".join(map(self.known.__getitem__, words))
-
-    @staticmethod
-    def words(text: str) -> set[str]:
-        return set(text.replace("\n", " ").replace("\t", " ").split(" "))
+        words = text.replace("\n", " ").replace("\t", " ").split(" ")
+        self._learn(set(words))
+        return b"".join(map(self.words.young.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -94,17 +137,14 @@ def _segments(text: str, size: int = 1 << 20):
 
 
 def encoded(text: str, encoder: WordEncoder) -> bytes:
-    out = []
-    for part in _segments(text):
-        encoder.add(encoder.words(part))
-        out.append(encoder.encode(part))
-    return b"".join(out)
+    return b"".join(map(encoder.encode, _segments(text)))
 
 
 def tokenized(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens: the pieces of each row.
 
-    ``tokenizer``: path of a ``tokenizers`` file, the same on every executor.
+    ``tokenizer``: path of a ``tokenizers`` file, the same on every executor.  It must
+    be byte-level BPE with word ends that ignores case and white space, as word_bpe_49k is.
     """
     small_batches(docs.sparkSession)
     end = array("I", [end_id]).tobytes()
