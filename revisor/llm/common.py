@@ -74,6 +74,18 @@ def word_blocks(raw: bytes, size: int = 1 << 20, overlap: int = 0):
             kept = words
 
 
+def hash_sample(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The ``n`` rows with the least hash of a key, of about ``total``.
+
+    A threshold on the hash comes first, so tasks send some 1.5 n rows in all, however
+    many tasks there are.
+    """
+    h = F.xxhash64(key)
+    if total > 2 * n:
+        rows = rows.where(h < int(-(2**63) + 2**64 * 1.5 * n / total))
+    return rows.orderBy(h, key).limit(n)
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, word_blocks, written
+from .common import hash_sample, small_batches, word_blocks, written
 
 #: Labelled rows of each class that the classifier is fitted to at most.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 5_000
 #: Documents with a posterior from here on are kept.
 KEEP = 0.5
 
@@ -111,7 +111,7 @@ def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple
         return share, {}
     sample = []
     for label in (1, 0):
-        sample += joined.where(F.col("good") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select(*FEATURES, "good").collect()
+        sample += hash_sample(joined.where(F.col("good") == label), "doc_id", SAMPLE_ROWS, n.get(label, 0)).select(*FEATURES, "good").collect()
     if len({r["good"] for r in sample}) < 2:
         return share, {}
     data = np.array([tuple(r) for r in sample], float)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import hash_sample, small_batches
 
 #: Kernel: letters of a subsequence (fixed at 4 by the table's index), its longest span, weight per letter of span.
 SPAN, DECAY = 7, 0.7
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     small_batches(docs.sparkSession)
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    chosen = [hash_sample(known.where(F.col("toxic") == t), "doc_id", n, totals.get(t, 0)) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     ids = chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "chosen_id")  # at most TOXIC_ROWS + CLEAN_ROWS rows
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id"))
     toxic_total, clean_total = totals.get(1, 0), totals.get(0, 0)
