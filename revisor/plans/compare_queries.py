@@ -143,15 +143,16 @@ def classify_difference(spark, d):
 
 def _hierarchy(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    value = F.round(F.avg(F.col("c_acctbal").cast("decimal(18,2)").cast("double")), 2).cast("decimal(18,2)")
+    mean = F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double") / F.count("*")
+    value = (F.floor(mean * 100 + 0.5) / 100).cast("decimal(18,2)")
     child = c.groupBy("r_name", "c_mktsegment", "n_name").agg(value.alias("value")).select("r_name", "c_mktsegment", F.lit("nation").alias("geo_level"), "value")
     parent = c.groupBy("r_name", "c_mktsegment").agg(value.alias("value")).select("r_name", "c_mktsegment", F.lit("region").alias("geo_level"), "value")
     return child.unionByName(parent)
 
 
-_HIER = """h AS (SELECT r_name, c_mktsegment, n_name, CAST(round(avg(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE)), 2) AS DECIMAL(18,2)) AS value
+_HIER = """h AS (SELECT r_name, c_mktsegment, n_name, CAST(floor(CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 100 + 0.5) / 100 AS DECIMAL(18,2)) AS value
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
-    p AS (SELECT r_name, c_mktsegment, CAST(round(avg(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE)), 2) AS DECIMAL(18,2)) AS value
+    p AS (SELECT r_name, c_mktsegment, CAST(floor(CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 100 + 0.5) / 100 AS DECIMAL(18,2)) AS value
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)"""
 
 
