@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 #: Between the parts of an identity.
 SEPARATOR = "\u001f"
-#: Spellings of one place (fixed values; the caller may pass others).
-ALIASES = {"UNITEDSTATES": "USA", "UNITEDKINGDOM": "UK"}
+#: Spellings of one place, without signs (fixed values; the caller may pass others).
+ALIASES = {
+    "DIYOGYAKARTA": "DIYOGYAKARTA",
+    "DAERAHISTIMEWAYOGYAKARTA": "DIYOGYAKARTA",
+    "KEPBANGKABELITUNG": "KEPBANGKABELITUNG",
+    "KEPULAUANBANGKABELITUNG": "KEPBANGKABELITUNG",
+    "KEPRIAU": "KEPULAUANRIAU",
+    "DKIJAKARTA": "DKIJAKARTA",
+}
+#: Area codes: the nation, the first that is an area, and what divides a province's (fixed values).
+NATION, FIRST_AREA, PROVINCE = 9999, 1100, 100
 
 
 def identity(*parts: Column | str) -> Column:
@@ -34,11 +43,11 @@ def last_place(places: Column) -> Column:
 
 
 def geo_level(code: Column, non_spatial: bool = True) -> Column:
-    """Level of an area code: 9999 the nation, whole hundreds provinces, below 1100 no area."""
-    level = F.when(code == 9999, "national")
+    """Level of an area code: nation, province, regency, or no area at all."""
+    level = F.when(code == NATION, "national")
     if non_spatial:
-        level = level.when(code < 1100, "non_spatial")
-    return level.when(code % 100 == 0, "province").otherwise("regency")
+        level = level.when(code < FIRST_AREA, "non_spatial")
+    return level.when(code % PROVINCE == 0, "province").otherwise("regency")
 
 
 def normalise_name(name: Column, aliases: dict[str, str] = ALIASES) -> Column:

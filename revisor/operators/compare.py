@@ -62,10 +62,10 @@ def release_candidates(compared: DataFrame, rule: dict[str, str]) -> DataFrame:
 
 
 def classify_difference(compared: DataFrame, published: Column, updated: Column) -> DataFrame:
-    """Rounding where the spread is within one unit of the last published place, else a revision where the source was updated later."""
+    """Mismatches: rounding where the spread is within one unit of the last published place, else a revision where the source was updated later."""
     step = last_place(F.col("places"))
-    label = F.when(F.col("spread") <= step, "last_digit_difference").when(updated > published, "candidate_revision").otherwise("unclassified")
-    return compared.withColumn("classification", label)
+    label = F.when(F.col("spread") <= step, "last_digit_difference").when(updated > published, "candidate_revision").otherwise("unclassified_difference")
+    return compared.where("status = 'value_mismatch'").withColumn("classification", label)
 
 
 def granularity_report(rows: DataFrame, keys: list[str], parent: str, child: str) -> DataFrame:
@@ -223,6 +223,10 @@ def classification_summary(events: DataFrame, by: list[str]) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("events"))
 
 
+#: What each criterion must reach (fixed values).
+GATE = {"mismatch_domains": 3.0, "core_share": 0.70, "confirmed_core_share": 0.70, "direct_traces": 1.0}
+
+
 def gate_metrics(events: DataFrame, core: list[str]) -> DataFrame:
     """criterion, value, passed: are the differences widespread, explained and traceable."""
     is_core, confirmed = F.col("cause_family").isin(core), F.col("evidence_level") == "confirmed"
@@ -232,8 +236,7 @@ def gate_metrics(events: DataFrame, core: list[str]) -> DataFrame:
         F.coalesce(F.avg((is_core & confirmed).cast("double")), F.lit(0.0)).alias("confirmed_core_share"),
         F.count_if(confirmed).cast("double").alias("direct_traces"),
     )
-    least = {"mismatch_domains": 3.0, "core_share": 0.7, "confirmed_core_share": 0.7, "direct_traces": 1.0}
-    out = one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("criterion"), F.round(F.col(k), 4).alias("value"), (F.round(F.col(k), 4) >= v).alias("passed")) for k, v in least.items()))).alias("c"))
+    out = one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("criterion"), F.round(F.col(k), 4).alias("value"), (F.round(F.col(k), 4) >= v).alias("passed")) for k, v in GATE.items()))).alias("c"))
     return out.select("c.*")
 
 
@@ -260,13 +263,19 @@ def cause_distribution(events: DataFrame) -> DataFrame:
     return by.crossJoin(total).select("cause_family", "events", F.round(F.col("events") / F.col("total"), 4).alias("share"))  # one row for each cause
 
 
-#: Words that say nothing about a title (fixed values).
-STOPWORDS = ["a", "and", "by", "for", "in", "of", "on", "or", "per", "the", "to", "with"]
+#: Words that say nothing about a title (fixed values; the caller may pass others).
+STOPWORDS = ("atau", "dan", "dengan", "dari", "ke", "menurut", "pada", "per", "persentase", "proporsi", "rata", "rumah", "tangga", "yang")
+#: Weights of word coverage and of the sequence ratio in a title's score (fixed values).
+COVERAGE, SEQUENCE = 0.7, 0.3
+
+
+def bare_title(text: Column) -> Column:
+    """A title in lower case, letters and digits only, one space between words."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
 def _words(text: Column) -> Column:
-    all_words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.array_distinct(F.array_except(all_words, F.array(*map(F.lit, ["", *STOPWORDS]))))
+    return F.array_distinct(F.array_except(F.split(bare_title(text), " "), F.array(*map(F.lit, ("", *STOPWORDS)))))
 
 
 def token_coverage(queries: DataFrame, titles: DataFrame) -> DataFrame:
@@ -287,9 +296,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def lexical_candidates(queries: DataFrame, titles: DataFrame, k: int) -> DataFrame:
-    """The k best titles of each query by 0.7 coverage and 0.3 sequence ratio, ties by id."""
-    pairs = token_coverage(queries, titles).join(queries.select("query_id", F.lower("query").alias("q")), "query_id").join(titles.select("title_id", F.lower("title").alias("t")), "title_id")
-    scored = pairs.withColumn("score", F.round(0.7 * F.col("coverage") + 0.3 * sequence_ratio("q", "t"), 4))
+    """The k best titles of each query among those that share a word with it, by score, ties by id."""
+    pairs = token_coverage(queries, titles).join(queries.select("query_id", bare_title(F.col("query")).alias("q")), "query_id").join(titles.select("title_id", bare_title(F.col("title")).alias("t")), "title_id")
+    scored = pairs.withColumn("score", F.round(COVERAGE * F.col("coverage") + SEQUENCE * sequence_ratio("q", "t"), 4))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "title_id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "title_id", "score", "place")
 

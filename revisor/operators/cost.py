@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Spread that makes a point doubtful, shift that is still stable, spread of bytes read that still repeats (fixed values).
+DOUBT, STABLE, REPEATS = 0.20, 0.05, 0.001
+
 
 def footprint(objects: DataFrame, listing: DataFrame, by: list[str]) -> DataFrame:
     """Objects, bytes and rows of each group; missing and drifted count objects the listing lacks or sizes otherwise."""
@@ -102,14 +105,14 @@ def project_crossing(lines: DataFrame, incremental: str, largest: float) -> Data
     return rows.select("strategy", "crossing", status.alias("status"))
 
 
-def doubt_rule(timing: DataFrame, by: list[str], threshold: float = 0.2) -> DataFrame:
+def doubt_rule(timing: DataFrame, by: list[str], threshold: float = DOUBT) -> DataFrame:
     """Points whose write times spread over more than ``threshold`` of their median."""
     spread = F.max("write_s") - F.min("write_s")
     ratio = spread / F.nullif(F.median("write_s"), F.lit(0.0))
     return per_repetition(timing, by).groupBy(*by).agg(ratio.alias("spread_ratio")).withColumn("doubtful", F.coalesce(F.col("spread_ratio") > threshold, F.lit(False)))
 
 
-def pool_measurements(reported: DataFrame, extra: DataFrame, by: list[str], stable: float = 0.05) -> DataFrame:
+def pool_measurements(reported: DataFrame, extra: DataFrame, by: list[str], stable: float = STABLE) -> DataFrame:
     """Reported and pooled medians of each point, and whether they agree."""
     a = reported.groupBy(*by).agg(F.median("seconds").alias("reported_median"))
     ran = extra.groupBy(*by).agg(F.count("*").alias("extra_runs"))
@@ -120,7 +123,7 @@ def pool_measurements(reported: DataFrame, extra: DataFrame, by: list[str], stab
     return rows.withColumn("shift", shift).withColumn("status", status)
 
 
-def read_statistics(rows: DataFrame, by: list[str], counters: list[str], measure: str, tolerance: float = 0.001) -> DataFrame:
+def read_statistics(rows: DataFrame, by: list[str], counters: list[str], measure: str, tolerance: float = REPEATS) -> DataFrame:
     """Sums by repetition: counters must repeat exactly, the measure within a tolerance."""
     sums = rows.groupBy(*by, "repetition").agg(*(F.sum(c).alias(c) for c in (*counters, measure)))
     spread = (F.max(measure) - F.min(measure)) / F.nullif(F.max(measure), F.lit(0))

@@ -79,21 +79,22 @@ def snapshot_catalog(fact: DataFrame, last_order: int) -> DataFrame:
     return done.join(sizes, "snapshot_order").withColumn("snapshot_key", identity(F.lit("B1"), "snapshot_order", "state_rows"))
 
 
-#: Weights of trust, and the worth of a source's role and format.
+#: Weights of trust, and the worth of a source's role and format (fixed values).
 TRUST = {"authority": 0.30, "provenance": 0.20, "role": 0.20, "format": 0.15, "coverage": 0.15}
-ROLES, FORMATS = {"primary": 1.0, "secondary": 0.5}, {"api": 1.0, "csv": 1.0, "pdf": 0.5}
+ROLES = {"indicator_values_and_definitions": 1.0, "indicator_values": 0.75}
+FORMATS = {"json": 1.0, "csv": 1.0, "pdf": 0.75}
 
 
 def _worth(column: str, worth: dict[str, float]):
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in worth.items() for x in kv)), F.col(column)), F.lit(0.0))
 
 
-def trust_scores(fact: DataFrame, registry: DataFrame, places: int = 6) -> DataFrame:
-    """Trust of each source: five weighted parts, none of which looks at the values."""
+def trust_scores(fact: DataFrame, registry: DataFrame, authority: str, places: int = 6) -> DataFrame:
+    """Trust of each source: five weighted parts, none of which looks at the values.  ``authority``: the official publisher."""
     cells = fact.groupBy("source_id").agg(F.avg((F.col("source_record_id") != "").cast("double")).alias("provenance"), F.count_distinct("cell_id").alias("cells"))
     total = fact.agg(F.count_distinct("cell_id").alias("all_cells"))
     parts = {
-        "authority": (F.col("status") == "active").cast("double"),
+        "authority": (F.col("publisher") == authority).cast("double"),
         "provenance": F.col("provenance"),
         "role": _worth("role", ROLES),
         "format": _worth("format", FORMATS),

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from revisor.functions.identity import decimal_places, identity
 
-#: source, release date, role, format, status: five sources, two of which tie in trust.
+#: source, release date, role, format, publisher, status: five sources.
 RELEASES = (
-    ("click", "2024-02-01", "primary", "api", "active"),
-    ("error", "2024-02-02", "secondary", "pdf", "active"),
-    ("purchase", "2024-02-03", "primary", "csv", "active"),
-    ("signup", "2024-02-04", "primary", "csv", "active"),
-    ("view", "2024-02-05", "secondary", "api", "paused"),
+    ("click", "2024-02-01", "indicator_values_and_definitions", "json", "office", "active"),
+    ("error", "2024-02-02", "indicator_values", "pdf", "office", "active"),
+    ("purchase", "2024-02-03", "indicator_values_and_definitions", "csv", "office", "active"),
+    ("signup", "2024-02-04", "indicator_values_and_definitions", "csv", "office", "active"),
+    ("view", "2024-02-05", "indicator_values", "json", "agency", "paused"),
 )
+AUTHORITY = "office"
 SIZES = (1, 2, 4, 8, 16, 38)
 SEED = "20260912"
 
-_REL = ", ".join(f"('{s}', DATE '{d}', TIMESTAMP '{d} 01:00:00', {i}, '{role}', '{form}', '{status}')" for i, (s, d, role, form, status) in enumerate(RELEASES, 1))
+_REL = ", ".join(f"('{s}', DATE '{d}', TIMESTAMP '{d} 01:00:00', {i}, '{role}', '{form}', '{publisher}', '{status}')" for i, (s, d, role, form, publisher, status) in enumerate(RELEASES, 1))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def releases(spark: SparkSession) -> DataFrame:
     """One row for each release; the table is as long as RELEASES."""
-    rows = spark.sql(f"SELECT * FROM VALUES {_REL} AS t(source_id, vintage_date, retrieved_at, arrival_order, role, format, status)")
+    rows = spark.sql(f"SELECT * FROM VALUES {_REL} AS t(source_id, vintage_date, retrieved_at, arrival_order, role, format, publisher, status)")
     sha = F.sha2(F.col("source_id"), 256)
     return rows.withColumn("manifest_sha256", sha).withColumn("vintage_id", identity("source_id", "vintage_date", "manifest_sha256"))
 
@@ -72,7 +73,7 @@ def _id(*parts: str) -> str:
 
 CTES = {
     "releases": f"""SELECT *, sha256(source_id) AS manifest_sha256, {_id("source_id", "vintage_date", "sha256(source_id)")} AS vintage_id
-        FROM (VALUES {_REL}) t(source_id, vintage_date, retrieved_at, arrival_order, role, format, status)""",
+        FROM (VALUES {_REL}) t(source_id, vintage_date, retrieved_at, arrival_order, role, format, publisher, status)""",
     "obs": """SELECT source_id, 'd' || CAST(CAST(geo_code AS BIGINT) % 5 AS VARCHAR) AS domain, 'value' AS indicator_key, 'total' AS series_key, observed_period,
                'user' AS geo_level, geo_code, 'amount' AS unit, value, CAST(value AS VARCHAR) AS value_lexeme, source_record_id
         FROM (SELECT event_type AS source_id, strftime(ts, '%Y-%m-%d') AS observed_period, CAST(user_id AS VARCHAR) AS geo_code,
@@ -88,8 +89,8 @@ CTES = {
     "current": "SELECT * FROM hist WHERE from_last = 1",
     "states": "SELECT h.*, s.snapshot_order FROM hist h JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS snapshot_order) s ON h.arrival_order <= s.snapshot_order AND s.snapshot_order < coalesce(h.next_arrival, 6)",
     "scores": """SELECT source_id, vintage_date, trust_score, row_number() OVER (ORDER BY trust_score DESC, vintage_date DESC, source_id) AS source_rank FROM (
-        SELECT r.source_id, r.vintage_date, CAST(round(0.30 * (CASE WHEN status = 'active' THEN 1 ELSE 0 END) + 0.20 * p.provenance
-                 + 0.20 * (CASE role WHEN 'primary' THEN 1.0 ELSE 0.5 END) + 0.15 * (CASE format WHEN 'api' THEN 1.0 WHEN 'csv' THEN 1.0 ELSE 0.5 END) + 0.15 * p.cells / t.cells, 4) AS DOUBLE) AS trust_score
+        SELECT r.source_id, r.vintage_date, CAST(round(0.30 * (CASE WHEN publisher = 'office' THEN 1 ELSE 0 END) + 0.20 * p.provenance
+                 + 0.20 * (CASE role WHEN 'indicator_values' THEN 0.75 ELSE 1.0 END) + 0.15 * (CASE format WHEN 'pdf' THEN 0.75 ELSE 1.0 END) + 0.15 * p.cells / t.cells, 4) AS DOUBLE) AS trust_score
         FROM releases r JOIN (SELECT source_id, avg(CASE WHEN source_record_id <> '' THEN 1.0 ELSE 0.0 END) AS provenance, count(DISTINCT cell_id) AS cells FROM fact GROUP BY 1) p USING (source_id)
              CROSS JOIN (SELECT count(DISTINCT cell_id) AS cells FROM fact) t)""",
     "selected": """SELECT * FROM (SELECT f.*, s.trust_score, s.source_rank, count(*) OVER (PARTITION BY cell_id) AS candidate_count,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from revisor.functions import identity as fn
 from revisor.operators import compare
+from revisor.operators.strategies import ROLES
 from revisor.plans.bridge import fact, observations, releases, sql, table
 from revisor.plans.registry import query
 
@@ -32,15 +33,15 @@ def geo_level_code(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.geo_level(F.col("p_partkey") * 37 % 10000).alias("geo_level"))
 
 
-@query("normalise_name", """SELECT n_nationkey, CASE n WHEN 'UNITEDSTATES' THEN 'USA' WHEN 'UNITEDKINGDOM' THEN 'UK' ELSE n END AS name
+@query("normalise_name", """SELECT n_nationkey, CASE n WHEN 'DAERAHISTIMEWAYOGYAKARTA' THEN 'DIYOGYAKARTA' WHEN 'KEPULAUANBANGKABELITUNG' THEN 'KEPBANGKABELITUNG' WHEN 'KEPRIAU' THEN 'KEPULAUANRIAU' ELSE n END AS name
     FROM (SELECT n_nationkey, regexp_replace(upper(regexp_replace('<b>' || n_name || '</b>', '<[^>]*>', ' ', 'g')), '[^A-Z]', '', 'g') AS n FROM nation)""")
 def normalise_name(spark, d):
     return table(spark, d, "nation").select("n_nationkey", fn.normalise_name(F.concat(F.lit("<b>"), "n_name", F.lit("</b>"))).alias("name"))
 
 
-@query("eligible_only", sql("SELECT cell_id, observation_id FROM fact JOIN releases r USING (source_id) WHERE r.status = 'active' AND r.role = 'primary'", "fact"))
+@query("eligible_only", sql("SELECT cell_id, observation_id FROM fact JOIN releases r USING (source_id) WHERE r.status = 'active' AND r.role IN ('indicator_values', 'indicator_values_and_definitions')", "fact"))
 def eligible_only(spark, d):
-    good = releases(spark).where("status = 'active' AND role = 'primary'").select("source_id")
+    good = releases(spark).where("status = 'active'").where(F.col("role").isin(*ROLES)).select("source_id")
     return fact(spark, d).join(F.broadcast(good), "source_id", "left_semi").select("cell_id", "observation_id")  # a row for each release
 
 
@@ -134,10 +135,11 @@ def release_candidates(spark, d):
     return out.select("observed_period", "geo_code", F.col("spread").cast("double").alias("spread"), "candidate")
 
 
-@query("classify_difference", sql(f"""WITH {_BY} SELECT observed_period, geo_code, CASE WHEN spread <= 0.01 THEN 'last_digit_difference' WHEN last_date > first_date THEN 'candidate_revision' ELSE 'unclassified' END AS classification FROM by_cell""", "fact"))
+@query("classify_difference", sql(f"""WITH {_SPARSE} SELECT observed_period, geo_code, CASE WHEN spread <= 0.01 THEN 'last_digit_difference' WHEN last_date > first_date THEN 'candidate_revision' ELSE 'unclassified_difference' END AS classification FROM compared WHERE status = 'value_mismatch'""", "fact"))
 def classify_difference(spark, d):
     rows = fact(spark, d)
-    by = rows.groupBy(*compare.CELL).agg((F.max("value") - F.min("value")).alias("spread"), F.max("places").alias("places"), F.min("vintage_date").alias("first"), F.max("vintage_date").alias("last"))
+    status = F.when(F.count_distinct("value") > 1, "value_mismatch").otherwise("exact_match").alias("status")
+    by = rows.groupBy(*compare.CELL).agg(status, (F.max("value") - F.min("value")).alias("spread"), F.max("places").alias("places"), F.min("vintage_date").alias("first"), F.max("vintage_date").alias("last"))
     return compare.classify_difference(by, F.col("first"), F.col("last")).select("observed_period", "geo_code", "classification")
 
 
@@ -332,7 +334,7 @@ def _lexical(spark, d):
     return queries, titles
 
 
-_WORDS = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', 'a', 'and', 'by', 'for', 'in', 'of', 'on', 'or', 'per', 'the', 'to', 'with'))"
+_WORDS = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', " + ", ".join(f"'{w}'" for w in compare.STOPWORDS) + "))"
 
 
 @query("token_coverage", f"""WITH q AS (SELECT item_id AS query_id, {_WORDS.format("text")} AS words FROM benchmark), t AS (SELECT page_id AS title_id, {_WORDS.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS words FROM pages),

@@ -86,14 +86,14 @@ def name_code_lookup(spark, d):
     return files.name_code_lookup(rows, "printed", areas).select("s_suppkey", "area_code", "unknown")
 
 
-_TOKEN = "CASE WHEN l_linenumber = 7 THEN '-' WHEN l_quantity < 3 THEN replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') || '1' ELSE replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') END"
+_TOKEN = "CASE WHEN l_linenumber = 7 THEN '…' WHEN l_quantity < 3 THEN replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') || '1' ELSE replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') END"
 
 
 @query("modal_precision_split", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, replace({_TOKEN}, ',', '.') AS p FROM lineitem),
-    n AS (SELECT *, CASE WHEN p <> '-' THEN length(split_part(p, '.', 2)) END AS dec FROM t),
+    n AS (SELECT *, CASE WHEN p <> '…' THEN length(split_part(p, '.', 2)) END AS dec FROM t),
     m AS (SELECT l_returnflag, dec AS modal FROM (SELECT l_returnflag, dec, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, dec) AS r FROM n WHERE dec IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
-    SELECT l_orderkey, l_linenumber, CASE WHEN p <> '-' THEN substr(p, 1, length(p) - greatest(dec - modal, 0)) END AS value,
-           CASE WHEN p = '-' THEN 'not_published' WHEN dec > modal THEN 'footnote_' || substr(p, length(p) - (dec - modal) + 1) END AS note FROM n JOIN m USING (l_returnflag)""")
+    SELECT l_orderkey, l_linenumber, CASE WHEN p <> '…' THEN substr(p, 1, length(p) - greatest(dec - modal, 0)) END AS value,
+           CASE WHEN p = '…' THEN 'not_published' WHEN dec > modal THEN 'footnote_' || substr(p, length(p) - (dec - modal) + 1) END AS note FROM n JOIN m USING (l_returnflag)""")
 def modal_precision_split(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.expr(_TOKEN.replace("VARCHAR", "STRING")).alias("token"))
     return files.modal_precision_split(rows, "l_returnflag", "token").select("l_orderkey", "l_linenumber", "value", "note")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revisor.operators import model, recall, strategies
-from revisor.plans.bridge import fact, releases, sql
+from revisor.plans.bridge import AUTHORITY, fact, releases, sql
 from revisor.plans.registry import query
 
 LAST = 5
 
 
 def _scores(spark, d):
-    return strategies.trust_scores(fact(spark, d), releases(spark), places=4)
+    return strategies.trust_scores(fact(spark, d), releases(spark), AUTHORITY, places=4)
 
 
 def _requests(spark, d):

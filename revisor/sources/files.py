@@ -91,10 +91,17 @@ def name_code_lookup(rows: DataFrame, name: str, areas: DataFrame) -> DataFrame:
     return out.withColumn("unknown", F.col("area_code").isNull()).drop("norm")
 
 
+#: What is printed where a value is not (fixed values).
+MISSING = ("–", "—", "…", "...", "NA")
+
+
 def modal_precision_split(tokens: DataFrame, column: str, token: str) -> DataFrame:
-    """A printed column's most frequent number of decimals tells values from the note digits glued to them."""
-    point = F.regexp_replace(F.trim(token), ",", ".")
-    mark = point.isin("-", "...", "n.a.", "") | F.col(token).isNull()
+    """A printed column's most frequent number of decimals tells values from the note digits glued to them.
+
+    Numbers are printed with a decimal comma and points between thousands.
+    """
+    point = F.replace(F.replace(F.trim(token), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    mark = F.trim(token).isin(*MISSING) | F.col(token).isNull()
     rows = tokens.withColumn("point", point).withColumn("missing", mark).withColumn("decimals", F.when(~mark, F.length(F.split_part(point, F.lit("."), F.lit(2)))))
     w = Window.partitionBy(column).orderBy(F.col("n").desc(), "decimals")
     modal = rows.where("not missing").groupBy(column, "decimals").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w)).where("r = 1").select(column, F.col("decimals").alias("modal"))
