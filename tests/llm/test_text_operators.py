@@ -481,3 +481,22 @@ def test_sparse_groups_shrink_to_their_parents(spark):
     got = {r.doc_id: r for r in quality.posteriors(frame, 0.5, model).collect()}
     assert got[900].host_share > 0.8 and got[900].path_share > 0.7 > got[901].path_share
     assert got[0].quality > 0.95 and got[500].quality < 0.05
+
+
+def test_few_remembered_words_give_the_same_ids(tokenizer):
+    rng = random.Random(15)
+    texts = [_words(rng, 80) + " Étude, naïve. x2 don't" for _ in range(30)]
+    small, large = packing.WordEncoder(tokenizer), packing.WordEncoder(tokenizer)
+    small.words, small.letters = packing.Recent(40), packing.Recent(40)
+    for text in texts:
+        ids = np.frombuffer(small.encode(text), "<u4").tolist()
+        assert ids == np.frombuffer(large.encode(text), "<u4").tolist()
+        assert ids == large.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_hash_sample_is_the_least_hashes(spark):
+    from revisor.llm.common import hash_sample
+
+    rows = spark.range(10_000).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id for r in hash_sample(rows, "doc_id", 100, 10_000).collect()}
+    assert got == {r.doc_id for r in rows.orderBy(F.xxhash64("doc_id")).limit(100).collect()}
