@@ -29,9 +29,9 @@ def whole_cell():
 
 def overwrite_state(fact: DataFrame) -> DataFrame:
     """B0: the last arrival of each cell, with the observation it replaced."""
-    last = F.row_number().over(Window.partitionBy("cell_id").orderBy(F.col("arrival_order").desc()))
-    rows = fact.withColumn("replaced_observation_id", F.lag("observation_id").over(by_arrival())).withColumn("from_last", last)
-    return rows.where("from_last = 1").drop("from_last").withColumnRenamed("arrival_order", "applied_order")
+    is_last = F.lead("cell_id").over(by_arrival()).isNull()  # the same order as the lag, so one sort serves both
+    rows = fact.withColumn("replaced_observation_id", F.lag("observation_id").over(by_arrival())).withColumn("is_last", is_last)
+    return rows.where("is_last").drop("is_last").withColumnRenamed("arrival_order", "applied_order")
 
 
 def upsert(state: DataFrame, arrived: DataFrame, columns: list[str]) -> DataFrame:
@@ -160,10 +160,10 @@ def vintage_store(store: DataFrame, arrived: DataFrame) -> DataFrame:
 def resolve_cells(store: DataFrame) -> DataFrame:
     """B3: latest value of each cell, how many vintages it has and how often its value changed."""
     before = F.lag("value").over(by_knowledge())
-    last = F.row_number().over(Window.partitionBy("cell_id").orderBy(*(F.col(c).desc() for c in KNOWLEDGE)))
-    rows = store.withColumn("was", changed(F.col("value"), before).cast("long")).withColumn("from_last", last)
+    is_last = F.lead("cell_id").over(by_knowledge()).isNull()  # the same order as the lag, so one sort serves both
+    rows = store.withColumn("was", changed(F.col("value"), before).cast("long")).withColumn("is_last", is_last)
     rows = rows.withColumn("vintage_count", F.count("*").over(whole_cell())).withColumn("value_revision_count", F.sum("was").over(whole_cell()))
-    return rows.where("from_last = 1").drop("from_last", "was")
+    return rows.where("is_last").drop("is_last", "was")
 
 
 def dirty_cells(edges: DataFrame, arrived: DataFrame) -> DataFrame:

@@ -7,16 +7,32 @@ from pyspark.sql import functions as F
 from revisor.operators import model, recall, strategies
 from revisor.plans.bridge import AUTHORITY, fact, releases, sql
 from revisor.plans.registry import query
+from revisor.sources.files import scratch
 
 LAST = 5
 
 
+def _stored(spark, d):
+    """The fact as a written table, for queries that read it many times."""
+    path = scratch(spark, "fact")
+    fact(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _scores_of(rows):
+    return strategies.trust_scores(rows, releases(rows.sparkSession), AUTHORITY, places=4)
+
+
 def _scores(spark, d):
-    return strategies.trust_scores(fact(spark, d), releases(spark), AUTHORITY, places=4)
+    return _scores_of(fact(spark, d))
+
+
+def _requests_of(rows):
+    return rows.withColumn("request_id", F.concat(F.lit("r-"), "observation_id"))
 
 
 def _requests(spark, d):
-    return fact(spark, d).withColumn("request_id", F.concat(F.lit("r-"), "observation_id"))
+    return _requests_of(fact(spark, d))
 
 
 @query("release_dimension", sql("SELECT vintage_id, min(source_id) AS source_id, CAST(min(vintage_date) AS VARCHAR) AS vintage_date, count(DISTINCT (source_id, vintage_date)) - 1 AS conflicts FROM fact GROUP BY 1", "fact"))
@@ -177,7 +193,8 @@ def asof_lookup(spark, d):
 @query("run_all_strategies", sql("""SELECT 'B0' AS strategy, cell_id, observation_id FROM current UNION ALL SELECT 'B1', cell_id, observation_id FROM current
     UNION ALL SELECT 'B2', cell_id, observation_id FROM selected UNION ALL SELECT 'B3', cell_id, observation_id FROM current""", "current", "selected"))
 def run_all_strategies(spark, d):
-    return strategies.all_strategies(fact(spark, d), _scores(spark, d), LAST)
+    rows = _stored(spark, d)
+    return strategies.all_strategies(rows, _scores_of(rows), LAST)
 
 
 @query("state_digest")
@@ -199,10 +216,11 @@ def late_release_noop(spark, d):
         CASE WHEN s.observation_id = f.observation_id THEN 'exact' WHEN s.value_lexeme = f.value_lexeme THEN 'same_value_other_vintage' ELSE 'lost' END AS result
     FROM fact f JOIN (SELECT 'B0' AS strategy, cell_id, observation_id, value_lexeme FROM current UNION ALL SELECT 'B2', cell_id, observation_id, value_lexeme FROM selected) s USING (cell_id)""", "fact", "current", "selected"))
 def recall_current(spark, d):
-    rows, asked = fact(spark, d), _requests(spark, d)
+    rows = _stored(spark, d)
+    asked = _requests_of(rows)
     columns = ["request_id", "served_id", "available", "result"]
     b0 = recall.recall_current(asked, strategies.overwrite_state(rows)).select(F.lit("B0").alias("strategy"), *columns)
-    b2 = recall.recall_current(asked, strategies.select_single_source(rows, _scores(spark, d))).select(F.lit("B2").alias("strategy"), *columns)
+    b2 = recall.recall_current(asked, strategies.select_single_source(rows, _scores_of(rows))).select(F.lit("B2").alias("strategy"), *columns)
     return b0.unionByName(b2)
 
 
@@ -218,13 +236,12 @@ def recall_vintage_key(spark, d):
     return recall.recall_vintage_key(_requests(spark, d), fact(spark, d)).select("request_id", "available", "exact")
 
 
-def _held(spark, d):
+def _held(rows):
     """strategy, cell_id, observation_id, historical of all that each strategy holds."""
-    rows = fact(spark, d)
     current = strategies.overwrite_state(rows)
     at = lambda df, name, history: df.select(F.lit(name).alias("strategy"), "cell_id", "observation_id", history.alias("historical"))
     b0 = at(current, "B0", F.lit(False))
-    b2 = at(strategies.select_single_source(rows, _scores(spark, d)), "B2", F.lit(False))
+    b2 = at(strategies.select_single_source(rows, _scores_of(rows)), "B2", F.lit(False))
     b1 = at(strategies.full_snapshots(rows, LAST), "B1", F.col("snapshot_order") < LAST)
     last = F.col("arrival_order") == F.max("arrival_order").over(strategies.whole_cell())
     b3 = at(rows.withColumn("served", last), "B3", ~F.col("served"))
@@ -232,7 +249,8 @@ def _held(spark, d):
 
 
 def _audit(spark, d):
-    return recall.recall_audit(_requests(spark, d), _held(spark, d), fact(spark, d))
+    rows = _stored(spark, d)
+    return recall.recall_audit(_requests_of(rows), _held(rows), rows)
 
 
 _AUDIT = """audit AS (SELECT s.strategy, 'r-' || f.observation_id AS request_id,
@@ -271,10 +289,10 @@ _LOST = """lost AS (SELECT s.strategy, f.*, s.observation_id AS served_id, s.val
 
 
 def _lost(spark, d):
-    rows = fact(spark, d)
+    rows = _stored(spark, d)
     c = ["cell_id", "observation_id", "value"]
-    served = strategies.overwrite_state(rows).select(F.lit("B0").alias("strategy"), *c).unionByName(strategies.select_single_source(rows, _scores(spark, d)).select(F.lit("B2").alias("strategy"), *c))
-    return recall.lost_requests(_requests(spark, d), served)
+    served = strategies.overwrite_state(rows).select(F.lit("B0").alias("strategy"), *c).unionByName(strategies.select_single_source(rows, _scores_of(rows)).select(F.lit("B2").alias("strategy"), *c))
+    return recall.lost_requests(_requests_of(rows), served)
 
 
 _PROFILE = "SELECT strategy, source_id, domain, count(*) AS lost, count(*) FILTER (value <> served_value) AS material, count(*) FILTER (value = served_value) AS duplicate_value FROM lost GROUP BY 1, 2, 3"
