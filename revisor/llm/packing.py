@@ -72,14 +72,15 @@ class WordEncoder:
     Such a tokenizer's ids are those of the words one after another, so each word is
     encoded once: a word of Latin letters, with or without a sign after it, by its
     lower-case letters straight from the merges, other words by the whole tokenizer.
-    Ids are little-endian unsigned 32 bits.
+    Ids are little-endian unsigned 32 bits.  ``specials_as_text`` reads the file's special
+    tokens as plain text; else they get their own ids, as by the tokenizer as loaded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
         self.alphabet = _as_bytes_alphabet()
         self.words, self.letters = Recent(), Recent()
 
@@ -113,16 +114,17 @@ class WordEncoder:
         return b"".join(map(self.words.young.__getitem__, words))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
+def _encoder(path: str, specials_as_text: bool) -> WordEncoder:
+    key = path, specials_as_text
+    if key not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]
 
 
 def _segments(text: str, size: int = 1 << 20):
@@ -140,7 +142,7 @@ def encoded(text: str, encoder: WordEncoder) -> bytes:
     return b"".join(map(encoder.encode, _segments(text)))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = True) -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens: the pieces of each row.
 
     ``tokenizer``: path of a ``tokenizers`` file, the same on every executor.  It must
@@ -150,7 +152,7 @@ def tokenized(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = E
     end = array("I", [end_id]).tobytes()
 
     def cut(batches):
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, specials_as_text)
         for batch in batches:
             for at in range(0, len(batch), 100):
                 part = batch.slice(at, 100)
@@ -268,8 +270,8 @@ def packed(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     return ranked(pieces, max(16, tasks(spark))).mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = True) -> DataFrame:
     """Pieces with their place and a CRC-32 of their ids, for a record of where each id went."""
-    pieces = tokenized(docs, tokenizer, room, id_col=id_col, text_col=text_col)
+    pieces = tokenized(docs, tokenizer, room, id_col=id_col, text_col=text_col, specials_as_text=specials_as_text)
     small = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packed(written(small, "pieces"), room)

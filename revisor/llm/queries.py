@@ -31,7 +31,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _tokenizer())
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer(), specials_as_text=False)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,23 @@ def test_packing(spark, corpus, tokenizer):
     assert packing.pack(_docs(spark, []), tokenizer).count() == 0
 
 
+def test_queries_encode_like_the_tokenizer_as_loaded(spark, tokenizer, monkeypatch):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from revisor.llm import queries
+
+    plain = Tokenizer.from_file(tokenizer)
+    docs = _docs(spark, list(enumerate(["end of it <|endoftext|> next", "a<|endoftext|>.B", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|other|>", None])))
+    monkeypatch.setattr(queries, "_table", lambda *_: docs)
+    want = {}
+    for r in docs.collect():
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want[r.doc_id] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    for rows in (queries.op6_packing(spark, ""), corpus_pipeline.packed(spark, docs, "")):
+        assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in rows.collect()} == want
+
+
 def test_plan_places_every_length():
     rng = random.Random(2)
     histogram = {n: rng.randint(1, 500) for n in rng.sample(range(1, 2049), 300)} | {1: 100_000}
