@@ -3,7 +3,8 @@
 Pass one scatters whole records into buckets that fit in memory: the shard by
 rendezvous hashing of the id (the highest of one seeded hash for each shard, so
 another shard takes rows only into itself), the bucket within the shard by another
-seeded hash.  Pass two puts each bucket in a fixed order, shuffles it by
+seeded hash, of the whole record.  Equal records that would overfill a bucket are
+counted, and dealt out again in chunks that are hashed one by one.  Pass two puts each bucket in a fixed order, shuffles it by
 Fisher-Yates with a seed of its own, and numbers the rows through the shard.
 Buckets are independent and seeded, so a task that runs again gives the same rows.
 
@@ -11,7 +12,7 @@ The number of buckets follows the bytes of the input; counts of buckets, not row
 are gathered for the offsets, and they travel by the same key as the records.
 
 Cases: null text has size 1; rows with a null id go where the hash of nothing sends
-them; rows that repeat an id share a bucket; the record travels as one struct, so
+them; rows that repeat an id share a shard but not a bucket; the record travels as one struct, so
 its column names never clash; an empty table gives an empty result.
 """
 
@@ -42,15 +43,27 @@ def shuffle_into_shards(rows: DataFrame, id_col: str, text_col: str, shards: int
     """record (struct of all columns), shard, slot: the rows of each shard in shuffled order, numbered from 0."""
     total = rows.select(F.sum(size_of(F.col(text_col)))).first()[0] or 0
     within = max(1, -(-total // (shards * bucket_bytes)))
-    key = F.col(id_col)
-    shard = shard_of(key, shards, seed)
-    bucket = shard * F.lit(within) + F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(within)).cast("int")
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    size = size_of(F.col(text_col))
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
+
+    def dealt(records: DataFrame, salt: Column) -> DataFrame:
+        """bucket, id, tie, record for ``records`` (record, and what ``salt`` needs)."""
+        key, tie = F.col(f"record.`{id_col}`"), F.xxhash64(*(F.col(f"record.`{c}`") for c in rows.columns))
+        within_shard = F.pmod(F.xxhash64(F.lit(seed + 1), tie, salt), F.lit(within)).cast("int")
+        return records.select((shard_of(key, shards, seed) * F.lit(within) + within_shard).alias("bucket"), key.alias("id"), tie.alias("tie"), "record")
+
+    record = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("record")
+    often = rows.groupBy(tie.alias("tie")).agg(F.sum(size).alias("bytes")).where(F.col("bytes") > bucket_bytes)
+    heavy = [r["tie"] for r in often.select("tie").collect()] if within > 1 else []  # fewer than there are buckets
+    scattered = dealt((rows.where(~tie.isin(heavy)) if heavy else rows).select(record), F.lit(0).cast("long"))
+    if heavy:
+        counted = rows.where(tie.isin(heavy)).select(record, size.alias("size")).groupBy("record", "size").agg(F.count("*").alias("n"))
+        chunks = counted.withColumn("each", F.expr(f"greatest(1L, {bucket_bytes}L div size)")).withColumn("chunk", F.explode(F.expr("sequence(0L, (n - 1) div each)")))
+        copies = chunks.repartition(shards * within, "record", "chunk").withColumn("copy", F.explode(F.expr("sequence(1L, least(each, n - chunk * each))")))
+        scattered = scattered.unionByName(dealt(copies, F.col("chunk")))
+    counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(F.floor(F.col("bucket") / within)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
-    record = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
-    tie = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
-    scattered = rows.select(bucket.alias("bucket"), key.alias("id"), tie.alias("tie"), record.alias("record"))
 
     def fisher_yates(key, left: pa.Table, right: pa.Table) -> pa.Table:
         bucket = key[0].as_py()

@@ -420,6 +420,30 @@ def test_sharding(spark, corpus):
     assert sharding.shuffle_into_shards(_docs(spark, []), "doc_id", "text").count() == 0
 
 
+def test_buckets_stay_small_whatever_the_keys(spark):
+    """A null id, a repeated id and a repeated record hold a third of the rows each; a task of many holds few of them."""
+    rows = [(None, "t" * 99, str(i)) for i in range(400)] + [(7, "t" * 99, str(i)) for i in range(400)] + [(8, "t" * 99, "same")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, record string")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        cut = sharding.shuffle_into_shards(df, "doc_id", "text", shards=2, bucket_bytes=4_000)
+        got = cut.select("record.*", "shard", "slot", F.spark_partition_id().alias("task")).collect()
+        again = sharding.shuffle_into_shards(df.repartition(7), "doc_id", "text", shards=2, bucket_bytes=4_000).select("record.*", "shard", "slot").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert max(collections.Counter(r.task for r in got).values()) < 250
+    assert collections.Counter(tuple(r)[:3] for r in got) == collections.Counter(rows)
+    assert {tuple(r)[:5] for r in got} == {tuple(r) for r in again}
+    assert len({(r.doc_id, r.shard) for r in got}) == 3
+    for s in {r.shard for r in got}:
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+
+
 def test_shards_are_written(spark, corpus, tmp_path):
     df = _docs(spark, corpus)
     sharding.write_shards(sharding.shuffle_into_shards(df, "doc_id", "text", shards=3), f"file://{tmp_path}/s")
