@@ -1,42 +1,59 @@
 """The corpus pipeline: five stages over documents, each one operator of revisor.llm.
 
 A stage takes (spark, docs, sf_dir) and returns what stays of docs; the last returns
-the packed pieces.  A document without an id cannot be named by a decision on ids,
-so such rows pass the middle stages.
+the packed pieces.  Rows are judged one by one, by a key that a stage writes beside
+them: documents without an id, with a repeated id or repeated whole are rows like others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revisor.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from revisor.llm.common import written
+from revisor.llm.common import tasks, written
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped``; repeated ids go together."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, written, and the key's name; ``ordered`` keys follow doc_id, nulls last."""
+    key = "row_key"
+    while key in docs.columns:
+        key = f"_{key}"
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    if ordered:  # the second column parts the rows of a frequent id
+        order = F.col("doc_id").asc_nulls_last(), F.col(key)
+        rows = rows.repartitionByRange(tasks(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id())
+    return written(rows, "rows"), key
+
+
+def _without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` without those whose key is a doc_id of ``dropped``, and without the key."""
+    return rows.join(dropped.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select([c for c in rows.columns if c != key])
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, written(toxicity.toxicity(docs, model).where("predicted = 1"), "toxic"))
+    rows, key = _keyed(docs)
+    return _without(rows, key, written(toxicity.toxicity(rows, model, key).where("predicted = 1"), "toxic"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the keeper stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    rows, key = _keyed(docs, ordered=True)
+    return _without(rows, key, exact_dedup.exact_dedup(rows, key).where("not kept"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document that names it stays."""
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    rows, key = _keyed(docs, ordered=True)
+    return _without(rows, key, simhash.near_duplicates(rows, key).where("doc_id <> component_id"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    return _without(docs, written(decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks"))
+    rows, key = _keyed(docs)
+    return _without(rows, key, written(decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key), "leaks"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,34 @@ def test_packed_stage(steps):
 
 def test_run_is_the_stages(spark, steps):
     assert corpus_pipeline.run(spark, DIR).count() == steps[-1][1].count()
+
+
+def _filler(rng, n=60):
+    return " ".join("".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+
+
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    """Null, shared and repeated ids: each row is judged by itself."""
+    import random
+
+    rng = random.Random(21)
+    schema = "doc_id long, text string, row_key string"
+    clean = [_filler(rng) for _ in range(6)]
+    near = clean[5].upper()  # not an exact copy, but of the same fingerprint
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").orderBy("item_id").first().text
+    kept = lambda stage, rows: sorted(map(str, map(tuple, stage(spark, spark.createDataFrame([(i, t, "k") for i, t in rows], schema), DIR).select("doc_id", "text").collect())))
+    want = lambda *rows: sorted(map(str, rows))
+    exact = [(None, clean[0]), (None, clean[0]), (1, clean[1]), (1, clean[1]), (2, clean[2]), (3, clean[2]), (3, clean[3]), (None, clean[2])]
+    assert kept(corpus_pipeline.distinct_texts, exact) == want((None, clean[0]), (1, clean[1]), (2, clean[2]), (3, clean[3]))
+    assert kept(corpus_pipeline.one_of_near_copies, [(None, near), (7, clean[5]), (7, clean[4]), (8, clean[3]), (8, clean[3])]) == want((7, clean[5]), (7, clean[4]), (8, clean[3]))
+    leaked = f"{clean[0]} {item} {clean[1]}"
+    assert kept(corpus_pipeline.without_benchmark, [(None, leaked), (None, clean[2]), (4, leaked), (4, clean[3])]) == want((None, clean[2]), (4, clean[3]))
+
+
+def test_toxic_rows_without_an_id_go(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "toxicity", lambda docs, model, id_col="doc_id": docs.select(F.col(id_col).alias("doc_id"), F.col("text").startswith("bad").cast("int").alias("predicted")))
+    docs = spark.createDataFrame([(None, "bad a"), (None, "b"), (1, "bad c"), (1, "d")], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.not_toxic(spark, docs, DIR).collect()) == ["b", "d"]
