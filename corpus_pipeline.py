@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisor.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from revisor.llm import decontaminate, exact_dedup, packing, similar, simhash, toxicity
 from revisor.llm.common import tasks, written
 
 
@@ -45,9 +45,16 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document that names it stays."""
+    """Of each component of near duplicates, the document that names it stays; of the rest, none that is like an earlier one.
+
+    Near duplicates are those of the SimHash operator; alike are texts whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     rows, key = _keyed(docs, ordered=True)
-    return _without(rows, key, simhash.near_duplicates(rows, key).where("doc_id <> component_id"))
+    near = written(simhash.near_duplicates(rows, key).select("doc_id", "component_id"), "near")
+    first, others = near.where("doc_id = component_id"), near.where("doc_id <> component_id")
+    alike = similar.like_smaller(rows, key, among=first).select(F.col("gone").alias("doc_id"))
+    return _without(rows, key, others.select("doc_id").unionByName(alike))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

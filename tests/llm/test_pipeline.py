@@ -92,3 +92,44 @@ def test_toxic_rows_without_an_id_go(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.toxicity, "toxicity", lambda docs, model, id_col="doc_id": docs.select(F.col(id_col).alias("doc_id"), F.col("text").startswith("bad").cast("int").alias("predicted")))
     docs = spark.createDataFrame([(None, "bad a"), (None, "b"), (1, "bad c"), (1, "d")], "doc_id long, text string")
     assert sorted(r.text for r in corpus_pipeline.not_toxic(spark, docs, DIR).collect()) == ["b", "d"]
+
+
+def _shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _alike(sets):
+    """Index pairs a < b with a Jaccard similarity of 0.8 or more."""
+    return {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if x & y and len(x & y) / len(x | y) >= 0.8}
+
+
+def test_no_two_texts_stay_that_are_alike(spark):
+    """Two to six changed words in 120 leave most pairs outside four bits of SimHash; a crowd of copies fills large cells."""
+    import random
+
+    rng = random.Random(22)
+    rows = []
+    for _ in range(40):
+        words = _filler(rng, 120).split()
+        rows.append(" ".join(words))
+        for k in rng.sample(range(120), rng.randint(2, 6)):
+            words[k] = "changed"
+        rows.append(" ".join(words))
+    crowd = _filler(rng, 120).split()
+    for k in range(60):
+        rows.append(" ".join([*crowd[:k], "other", *crowd[k + 1 :], f"end{k}"]))
+    rows += ["one two", "ONE  two", "", None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [_shingles(t) for t in rows]
+    left = [r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, DIR).collect()]
+    assert len(_alike(sets)) > 60 and not _alike([sets[i] for i in sorted(left)])
+    fps = [corpus_pipeline.simhash.fingerprint((t or "").encode()) for t in rows]
+    linked = _alike(sets) | {(a, b) for b in range(len(rows)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 4}
+    assert all(any(x == i for _, x in linked) for i in set(range(len(rows))) - set(left))
+    found = {tuple(r) for r in corpus_pipeline.similar.like_smaller(docs.where("doc_id < 80"), "doc_id").select("like", "gone").collect()}
+    assert found == _alike(sets[:80])
+
+
+def test_no_two_texts_of_the_near_stage_are_alike(steps):
+    assert not _alike([_shingles(r.text) for r in dict(steps)["simhash"].collect()])
