@@ -6,24 +6,33 @@ and inserted letters cost weight but do not hide a match.  Letters are folded
 (case, accents, digits used as letters); other characters count for nothing, and
 single letters set apart by spaces are read as one word.
 
-Training, on a bounded sample of labelled documents, in one task: documents are bags
-of words, and a toxic document needs one toxic word.  Smoothed log-odds of four
-letters in a row pick a first witness in each toxic document; landmarks are drawn from
-witnesses and from the clean words nearest to them; a linear SVM (squared hinge, Newton steps) is
-trained in the Nyström feature space; then witnesses are picked anew and the clean
-words that score highest are added, for some rounds.  A logistic curve maps a
-document's highest margin to a score.  As the kernel is a sum over subsequences,
-landmarks and SVM fold into one table of weights by subsequence, exactly.
-
-Cases: null and empty texts have no words and get the margin of an empty word;
-without toxic or without clean labelled rows every score is the share of toxic
-labels (0 without labels); a document with several labels is toxic if one says so;
-null labels are left out; very long texts are read in parts, very long words in windows.
+Training, on a bounded sample of labelled documents: their sentences are the examples.
+All sentences of a clean document are clean; of a toxic document some are toxic, and
+which is learnt (a multiple-instance SVM).  A sentence stands as its word of the
+highest margin, as one insult among neutral words makes it toxic.  Smoothed log-odds of
+four letters in a row pick the first WITNESSES sentences of each toxic document;
+landmarks are drawn from their words and from the clean words nearest to them; a linear
+SVM (squared hinge, Newton steps) is trained in the Nyström feature space; then each
+sentence's word, the toxic sentences and the hardest clean ones are picked anew, for
+some rounds.  As the kernel is a sum over subsequences, landmarks and SVM fold into one
+table of weights by subsequence, exactly.
+
+FOLDS such SVMs are trained, each in a task of its own and without the documents of one
+fold, and their tables are averaged.  A document's score is a logistic curve over its
+three highest margins and the number and share of its words over the margin.  The curve
+is fitted to margins by the SVM that has not seen the document, both classes weighing
+the same: 0.5 is where the evidence is even, whatever the share of toxic rows.
+
+Cases: null and empty texts have no words and get the curve's value for none; without
+toxic or without clean labelled rows every score is the share of toxic labels (0
+without labels); a document with several labels is toxic if one says so; null labels
+are left out; very long texts are read in parts, very long words in windows.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 import zlib
@@ -35,16 +44,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import hash_sample, small_batches
+from .common import hash_sample, small_batches, written
 
 #: Kernel: letters of a subsequence (fixed at 4 by the table's index), its longest span, weight per letter of span.
 SPAN, DECAY = 7, 0.7
 #: Longest word scored as one; longer ones in windows that overlap by half.
 WINDOW = 24
 #: The fit reads so many labelled rows of each class at most, chosen by a hash of the id.
-TOXIC_ROWS, CLEAN_ROWS = 1500, 4500
-LANDMARKS, ROUNDS, HARD_WORDS = 160, 4, 4000
+TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
+#: and so many UTF-8 bytes of them, in the order of that hash.
+SAMPLE_BYTES = 64 << 20
+LANDMARKS, ROUNDS, HARD_SENTENCES = 160, 4, 4000
+#: Toxic sentences that a toxic document contributes at most, and the folds of the curve's fit.
+WITNESSES, FOLDS = 3, 5
+RIDGE = 0.1
+#: A share of toxic documents under this many times that of clean ones makes a word no witness.
+LEAST_RATIO = 5
 #: Documents with a score from here on are predicted toxic (fixed by the contract).
 THRESHOLD = 0.7
 #: Scored words that a Python worker remembers.
@@ -53,6 +70,8 @@ CACHE_WORDS = 700_000
 _GAPS = [(a, b, c) for a, b, c in combinations(range(1, SPAN), 3)]
 _TABLE = 1 << 20
 _APART = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+_AROUND = ".,;:!?|\"'()"
+_SENTENCE_END = re.compile(r"[.!?]+\s|\n")
 #: Digits and signs that stand for letters (fixed values).
 _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
@@ -125,19 +144,28 @@ def words_of(text: str, size: int = 1 << 20) -> set[str]:
 # ---------------------------------------------------------------- training
 
 
-class _Bags:
-    """Sampled documents as bags of word numbers."""
+class _Sentences:
+    """Sampled documents as sentences of word numbers: each word's sentence, each sentence's document."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.bags: list[np.ndarray] = []
+        self.word: list[int] = []
+        self.sentence: list[int] = []
+        self.document: list[int] = []
         self.toxic: list[int] = []
 
     def add(self, text: str, toxic: int) -> None:
-        parts = {p for w in words_of(text) for p in windows(w)}
-        self.bags.append(np.fromiter((self.number.setdefault(w, len(self.number)) for w in parts), np.int64, len(parts)))
+        for sentence in _SENTENCE_END.split(text):
+            found = sorted({p for w in words_of(sentence) for p in windows(w.strip(_AROUND))})
+            if found:
+                self.word += [self.number.setdefault(w, len(self.number)) for w in found]
+                self.sentence += [len(self.document)] * len(found)
+                self.document.append(len(self.toxic))
         self.toxic.append(toxic)
 
+    def arrays(self):
+        return list(self.number), *(np.array(x, np.int64) for x in (self.word, self.sentence, self.document, self.toxic))
+
 
 def _in_parts(words: list[str], size: int = 20_000):
     for i in range(0, len(words), size):
@@ -183,7 +211,7 @@ def _kernel(words: list[str], rows: dict, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Squared-hinge linear SVM with an unpenalised last column (the bias), by Newton steps."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
@@ -198,74 +226,157 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2) ->
     return w
 
 
-def _logistic(margin: np.ndarray, toxic: np.ndarray, cost: np.ndarray) -> tuple[float, float]:
-    """Slope and offset, fitted to targets drawn in a little so that separable data give finite values."""
-    pos, neg = toxic.sum(), len(toxic) - toxic.sum()
-    target = np.where(toxic == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.stack((margin, np.ones_like(margin)), axis=1)
-    theta = np.array([1.0, 0.0])
+def _logistic(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights of the columns and an offset, ridged a little, both classes weighing the same."""
+    x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    cost = np.where(toxic == 1, (toxic == 0).sum() / max(1, toxic.sum()), 1.0)
+    theta, penalty = np.zeros(x.shape[1]), np.ones(x.shape[1])
+    penalty[-1] = 1e-6
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hessian = (x * (cost * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (cost * (p - target)) + 1e-3 * (theta - [1, 0]))
-        theta -= np.clip(step, -1, 1)
+        hessian = (x * (cost * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(hessian, x.T @ (cost * (toxic - p)) - penalty * theta)
+        theta += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
-    return max(float(theta[0]), 1e-3), float(theta[1])
+    return theta
+
+
+def summary(margins: np.ndarray) -> tuple[float, ...]:
+    """What the curve sees of a document: the margins of its distinct words."""
+    n = len(margins)
+    top = np.sort(np.partition(margins, n - 3)[n - 3 :] if n > 3 else margins)[::-1]
+    top = np.clip(np.concatenate((top, np.full(3 - len(top), -2.0))), -2, 1.5)
+    over, far_over = int((margins > 0).sum()), int((margins > 0.5).sum())
+    share = lambda k: math.log((k + 0.3) / (n + 30))
+    return (*top.tolist(), math.log1p(over), share(over), math.log1p(far_over), share(far_over), math.log1p(n))
+
+
+def _best(values: np.ndarray, group: np.ndarray, at: np.ndarray, most: int, keep) -> np.ndarray:
+    """Of ``at``, by group: the place of the highest value, and of the next ones that ``keep`` (value, highest) says, ``most`` in all."""
+    order = at[np.lexsort((values[at], group[at]))]
+    if not len(order):
+        return order
+    last = np.flatnonzero(np.concatenate((np.diff(group[order]) != 0, [True])))
+    end = last[np.searchsorted(last, np.arange(len(order)))]
+    back = end - np.arange(len(order))
+    return order[(back == 0) | ((back < most) & keep(values[order], values[order[end]]))]
+
+
+class _Landmarks:
+    """The Nyström space of some words."""
+
+    def __init__(self, words: list[str]):
+        entries = list(_subsequences(*_flat(words)))
+        self.rows = np.full(_TABLE, -1)  # where a subsequence of some landmark stands in weights
+        self.used = np.unique(np.concatenate([np.empty(0, np.int64), *(e[0] for e in entries)]))
+        self.rows[self.used] = np.arange(len(self.used))
+        self.weights = np.zeros((len(self.used), len(words)))
+        for index, own, weight in entries:
+            np.add.at(self.weights, (self.rows[index], own), weight)
+        self.weights /= np.maximum(np.linalg.norm(self.weights, axis=0), 1e-12)
+        values, vectors = np.linalg.eigh(self.weights.T @ self.weights)
+        good = values > 1e-6 * values[-1]
+        self.to_space = vectors[:, good] / np.sqrt(values[good])
+
+    def features(self, words: list[str]) -> np.ndarray:
+        return _kernel(words, self.rows, self.weights) @ self.to_space
+
+    def folded(self, w: np.ndarray) -> np.ndarray:
+        """Weights by subsequence that give the same products as ``w`` in the space."""
+        table = np.zeros(_TABLE)
+        table[self.used] = self.weights @ (self.to_space @ w)
+        return table
 
 
-def fit_bags(bags: _Bags, toxic_total: int, clean_total: int) -> dict:
-    """The model: sparse weights by subsequence, bias, slope and offset."""
-    toxic = np.array(bags.toxic, np.int64)
+def fit_margins(words: list[str], word: np.ndarray, sentence: np.ndarray, document: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, list[str]]:
+    """(table, bias, landmarks) of the SVM on the sentences of documents of both classes."""
     pos, neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    if not pos or not neg:
-        share = toxic_total / max(1, toxic_total + clean_total)
-        return {"index": [], "weight": [], "bias": 0.0, "slope": 0.0, "offset": float(np.log((share + 1e-9) / (1 - share + 1e-9))), "landmarks": []}
-    words = list(bags.number)
-    n_toxic, n_clean = np.zeros(len(words)), np.zeros(len(words))
-    for bag, t in zip(bags.bags, toxic, strict=True):
-        (n_toxic if t else n_clean)[bag] += 1
-    scores = _evidence(words, n_toxic, n_clean, pos, neg)
+    of_word = document[sentence]
+    seen = np.unique(of_word * len(words) + word)
+    seen_toxic = toxic[seen // len(words)] == 1
+    n_toxic, n_clean = (np.bincount(seen[k] % len(words), minlength=len(words)).astype(float) for k in (seen_toxic, ~seen_toxic))
+    no_witness = n_clean * pos * LEAST_RATIO > n_toxic * neg
     clean_words = np.flatnonzero(n_clean > 0)
-    near = clean_words[np.argsort(-scores[clean_words], kind="stable")]
-    scores[n_clean * pos > 0.2 * n_toxic * neg] -= 1e6  # as frequent in clean documents: no witness
-    toxic_bags = [b for b, t in zip(bags.bags, toxic, strict=True) if t and len(b)]
-    witnesses = Counter(int(b[np.argmax(scores[b])]) for b in toxic_bags)
-    marks = [i for i, _ in witnesses.most_common(LANDMARKS * 3 // 4)] + near[: LANDMARKS // 4].tolist()
-    # rows: where a subsequence of some landmark stands in weights
-    entries = list(_subsequences(*_flat([words[i] for i in marks])))
-    rows = np.full(_TABLE, -1)
-    used = np.unique(np.concatenate([e[0] for e in entries]))
-    rows[used] = np.arange(len(used))
-    weights = np.zeros((len(used), len(marks)))
-    for index, own, weight in entries:
-        np.add.at(weights, (rows[index], own), weight)
-    weights /= np.maximum(np.linalg.norm(weights, axis=0), 1e-12)
-    values, vectors = np.linalg.eigh(weights.T @ weights)
-    good = values > 1e-6 * values[-1]
-    to_space = vectors[:, good] / np.sqrt(values[good])
-    step = max(1, len(clean_words) // (2 * HARD_WORDS))
-    negatives = set(near[:HARD_WORDS].tolist()) | set(clean_words[::step].tolist())
-    table, bias = np.zeros(_TABLE), 0.0
+    in_toxic, clean = np.flatnonzero(toxic[document] == 1), np.flatnonzero(toxic[document] == 0)
+    some = np.random.default_rng(0).permutation(np.flatnonzero(toxic[of_word] == 0))[:HARD_SENTENCES]
+
+    first = np.flatnonzero(np.concatenate(([True], np.diff(sentence) != 0)))
+    length = np.diff(np.concatenate((first, [len(sentence)])))
+
+    def heads(scores):
+        """Each sentence's word of the highest score, and that score."""
+        values = scores[word]
+        best = np.maximum.reduceat(values, first)
+        at_best = np.flatnonzero(values == np.repeat(best, length))
+        return word[at_best[np.searchsorted(at_best, first)]], best
+
+    scores = _evidence(words, n_toxic, n_clean, pos, neg)
+    keep = lambda value, top: value >= 0.5 * top
+    space, table, bias, marks, hard = None, np.zeros(_TABLE), 0.0, [], np.empty(0, np.int64)
     for _ in range(ROUNDS):
-        at_pos, at_neg = list(witnesses), sorted(negatives - set(witnesses))
-        x = _kernel([words[i] for i in at_pos + at_neg], rows, weights) @ to_space
-        x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
-        y = np.concatenate((np.ones(len(at_pos)), -np.ones(len(at_neg))))
-        cost = np.concatenate(([witnesses[i] / len(toxic_bags) for i in at_pos], np.full(len(at_neg), 1 / max(1, len(at_neg))))) * 1000
-        w = _svm(x, y, cost)
-        table = np.zeros(_TABLE)
-        table[used] = weights @ (to_space @ w[:-1])
-        bias = float(w[-1])
+        toxic_head, toxic_score = heads(scores - 1e6 * no_witness)
+        head, score = heads(scores)
+        chosen = _best(toxic_score, document, in_toxic, WITNESSES, keep)
+        witnesses = np.unique(toxic_head[chosen])
+        hard = np.union1d(hard, clean[np.argsort(-score[clean], kind="stable")[:HARD_SENTENCES]])
+        if space is None:
+            near = clean_words[np.argsort(-scores[clean_words], kind="stable")]
+            marks = [words[i] for i, _ in Counter(toxic_head[chosen].tolist()).most_common(LANDMARKS * 3 // 4)] + [words[i] for i in near[: LANDMARKS // 4]]
+            space = _Landmarks(marks)
+        held = np.bincount(np.concatenate((head[hard], word[some])), minlength=len(words))
+        held[witnesses] = 0
+        against = np.flatnonzero(held)
+        x = np.concatenate((space.features([words[i] for i in witnesses] + [words[i] for i in against]), np.ones((len(witnesses) + len(against), 1))), axis=1)
+        y = np.concatenate((np.ones(len(witnesses)), -np.ones(len(against))))
+        cost = 1000 * np.concatenate((np.full(len(witnesses), 1 / len(witnesses)), held[against] / max(1, held.sum())))
+        w = _svm(x, y, cost, RIDGE)
+        table, bias = space.folded(w[:-1]), float(w[-1])
         scores = _all_scores(words, table) + bias
-        masked = scores - 1e6 * (n_clean * pos > 0.2 * n_toxic * neg)
-        witnesses = Counter(int(b[np.argmax(masked[b])]) for b in toxic_bags)
-        negatives |= set(clean_words[np.argsort(-scores[clean_words], kind="stable")][:HARD_WORDS].tolist())
-    margin = np.array([scores[b].max() if len(b) else bias for b in bags.bags])
-    cost = np.where(toxic == 1, toxic_total / pos, clean_total / neg)
-    slope, offset = _logistic(margin, toxic, cost / cost.mean())
+        keep = lambda value, top: value > 0
+    return table, bias, marks
+
+
+def fold_of(toxic: np.ndarray) -> np.ndarray:
+    """The fold of each document, in turn within its class."""
+    out = np.zeros(len(toxic), np.int64)
+    for t in (0, 1):
+        at = np.flatnonzero(toxic == t)
+        out[at] = np.arange(len(at)) % FOLDS
+    return out
+
+
+def fit_fold(bags: _Sentences, fold: int) -> tuple[dict, list[tuple]]:
+    """The SVM without the documents of a fold, and (toxic, summary) of those; none if a class is missing."""
+    words, word, sentence, document, toxic = bags.arrays()
+    inside = fold_of(toxic) != fold
+    chosen = inside[document]
+    if not toxic[document[chosen]].any() or toxic[document[chosen]].all():
+        return {}, []
+    kept = chosen[sentence]
+    table, bias, marks = fit_margins(words, word[kept], (np.cumsum(chosen) - 1)[sentence[kept]], (np.cumsum(inside) - 1)[document[chosen]], toxic[inside])
+    scores = _all_scores(words, table) + bias
+    seen = np.unique(document[sentence] * len(words) + word)
+    owner, out = seen // len(words), []
+    for d in np.flatnonzero(~inside):
+        own = seen[np.searchsorted(owner, d) : np.searchsorted(owner, d, "right")] % len(words)
+        out.append((int(toxic[d]), summary(scores[own])))
+    at = np.flatnonzero(table)
+    return {"index": at.tolist(), "weight": table[at].tolist(), "bias": bias, "landmarks": marks}, out
+
+
+def averaged(models: list[dict], unseen: list[tuple], toxic_total: int, clean_total: int) -> dict:
+    """The mean of the folds' SVMs with the curve of what each had not seen."""
+    toxic = np.array([t for t, _ in unseen])
+    if not models or not toxic.any() or toxic.all():
+        share = toxic_total / max(1, toxic_total + clean_total)
+        return {"index": [], "weight": [], "bias": 0.0, "curve": [0.0] * 8 + [math.log((share + 1e-9) / (1 - share + 1e-9))], "landmarks": []}
+    table = np.zeros(_TABLE)
+    for m in models:
+        table[np.array(m["index"], np.int64)] += np.array(m["weight"]) / len(models)
     at = np.flatnonzero(table)
-    return {"index": at.tolist(), "weight": table[at].tolist(), "bias": bias, "slope": slope, "offset": offset, "landmarks": [words[i] for i in marks]}
+    curve = _logistic(np.array([x for _, x in unseen]), toxic)
+    return {"index": at.tolist(), "weight": table[at].tolist(), "bias": sum(m["bias"] for m in models) / len(models), "curve": curve.tolist(), "landmarks": sorted({w for m in models for w in m["landmarks"]})}
 
 
 def held_out(id_col: str = "doc_id"):
@@ -274,26 +385,29 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """Train on at most TOXIC_ROWS and CLEAN_ROWS labelled rows outside the held-out third."""
+    """Train on at most TOXIC_ROWS and CLEAN_ROWS labelled rows, and SAMPLE_BYTES of text, outside the held-out third."""
     small_batches(docs.sparkSession)
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [hash_sample(known.where(F.col("toxic") == t), "doc_id", n, totals.get(t, 0)) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     ids = chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "chosen_id")  # at most TOXIC_ROWS + CLEAN_ROWS rows
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id"))
-    toxic_total, clean_total = totals.get(1, 0), totals.get(0, 0)
-
-    def train(batches):
-        bags, order = _Bags(), []
-        for batch in batches:
-            order += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        for _, text, toxic in sorted(order, key=lambda r: (r[0], r[1])):  # the same model however rows arrive
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id"))
+    in_order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)  # over the sample only
+    rows = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(in_order), F.lit(0))).where(F.col("before") + F.octet_length("text") <= SAMPLE_BYTES)
+    sample = written(rows.select("doc_id", "text", "toxic"), "sample")
+
+    def train(key, table):
+        bags, fold = _Sentences(), key[0].as_py()
+        for _, text, toxic in sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)):  # the same model however rows arrive
             bags.add(text, toxic)
-        model = json.dumps(fit_bags(bags, toxic_total, clean_total)).encode()
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(model)], pa.binary())], names=["model"])
+        model, unseen = fit_fold(bags, fold)
+        raw = zlib.compress(json.dumps({"fold": fold, "model": model, "unseen": unseen}).encode())
+        return pa.table({"made": pa.array([raw], pa.binary())})
 
-    trained = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(train, "model binary").first()
-    return json.loads(zlib.decompress(trained["model"])) if trained else fit_bags(_Bags(), toxic_total, clean_total)
+    copies = sample.withColumn("fold", F.explode(F.array(*(F.lit(k) for k in range(FOLDS)))))
+    made = [json.loads(zlib.decompress(r["made"])) for r in copies.groupBy("fold").applyInArrow(train, "made binary").collect()]  # FOLDS rows
+    made.sort(key=lambda m: m["fold"])
+    return averaged([m["model"] for m in made if m["model"]], [u for m in made for u in m["unseen"]], totals.get(1, 0), totals.get(0, 0))
 
 
 # ---------------------------------------------------------------- scoring
@@ -303,10 +417,11 @@ class Scorer:
     def __init__(self, model: dict):
         self.table = np.zeros(_TABLE)
         self.table[np.array(model["index"], np.int64)] = model["weight"]
-        self.bias = model["bias"]
+        self.bias, self.curve = model["bias"], np.array(model["curve"])
         self.known: dict[str, float] = {}
 
-    def margins(self, texts: list[str]) -> list[float]:
+    def scores(self, texts: list[str]) -> list[float]:
+        """The logit of each text's score."""
         bags = [words_of(t) for t in texts]
         new = list({w for bag in bags for w in bag if w not in self.known})
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -318,7 +433,8 @@ class Scorer:
             first = np.concatenate(([0], np.cumsum([len(c) for c in cut])[:-1]))
             self.known.update(zip(part, np.maximum.reduceat(scores, first).tolist(), strict=True))
         get = self.known.__getitem__
-        return [max(map(get, bag), default=self.bias) for bag in bags]
+        seen = np.array([summary(np.fromiter(map(get, bag), float, len(bag))) for bag in bags]).reshape(len(bags), 8)
+        return (seen @ self.curve[:-1] + self.curve[-1]).tolist()
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -338,9 +454,8 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for at in range(0, len(batch), 100):
                 part = batch.slice(at, 100)
-                margins = _SCORERS[name].margins(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(margins, pa.float64())], names=["doc_id", "margin"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_SCORERS[name].scores(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "logit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    value = 1 / (1 + F.exp(-(F.col("margin") * F.lit(model["slope"]) + F.lit(model["offset"]))))
-    return rows.mapInArrow(score, "doc_id long, margin double").select("doc_id", value.alias("score")).select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    made = rows.mapInArrow(score, "doc_id long, logit double").select("doc_id", (1 / (1 + F.exp(-F.col("logit")))).alias("score"))
+    return made.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

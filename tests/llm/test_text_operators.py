@@ -327,6 +327,44 @@ def test_kernel_is_the_sum_over_subsequences():
             assert kernel[i, j] == pytest.approx(sum(v * b[k] for k, v in a.items()))
 
 
+def test_folded_table_gives_the_margins_of_the_nystrom_space():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 12))) for _ in range(60)]
+    space = toxicity._Landmarks(words[:20])
+    w = np.random.default_rng(5).normal(size=space.to_space.shape[1])
+    dense = np.zeros((len(words), toxicity._TABLE))
+    for index, own, weight in toxicity._subsequences(*toxicity._flat(words)):
+        np.add.at(dense, (own, index), weight)
+    marks = dense[:20] / np.maximum(np.linalg.norm(dense[:20], axis=1, keepdims=True), 1e-12)
+    kernel, own = dense @ marks.T, marks @ marks.T
+    found = space.features(words)  # the space is known but for a rotation: its products are what counts
+    assert np.allclose(found @ found.T, kernel @ np.linalg.pinv(own, rcond=1e-6, hermitian=True) @ kernel.T, atol=1e-6)
+    assert np.allclose(space.features(words) @ w, toxicity.table_scores(words, space.folded(w)), atol=1e-6)
+
+
+def test_a_toxic_documents_other_sentences_are_not_held_against_their_words():
+    rng = random.Random(12)
+    bags = toxicity._Sentences()
+    for i in range(120):
+        sentences = [_words(rng, 8) for _ in range(5)]
+        if i % 4 == 0:
+            sentences[rng.randrange(5)] += " zorkwad"
+        bags.add(". ".join(sentences), int(i % 4 == 0))
+    assert len(bags.document) == 600
+    model, unseen = toxicity.fit_fold(bags, 0)
+    scorer = toxicity.Scorer(model | {"curve": [0.0] * 9})
+    scorer.scores([_words(rng, 40) + " zorkwad zorXkwad"])
+    assert scorer.known["zorkwad"] > 0 and sum(v > 0 for v in scorer.known.values()) <= 2
+    assert len(unseen) == 24 and all((s[0] > 0) == bool(t) for t, s in unseen)
+
+
+def test_score_is_the_curve_over_the_documents_margins():
+    model = {"index": [toxicity._subsequences(*toxicity._flat(["abcd"]), [(1, 2, 3)]).__next__()[0][0].item()], "weight": [10.0], "bias": -1.0, "curve": [1.0, 0, 0, 2.0, 0, 0, 0, 0.5, 3.0]}
+    margin = 10.0 * toxicity.DECAY**4 - 1
+    got = toxicity.Scorer(model).scores(["abcd xyz", "", "xyz"])
+    assert got == pytest.approx([min(margin, 1.5) + 2 * np.log(2) + 0.5 * np.log(3) + 3, -2 + 3, -1 + 0.5 * np.log(2) + 3])
+
+
 # ---------------------------------------------------------------- chat
 
 
