@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over documents, each one operator of revisor.llm.
 
 A stage takes (spark, docs, sf_dir) and returns what stays of docs; the last returns
-the packed pieces.  Rows are judged one by one, by a key that a stage writes beside
-them: documents without an id, with a repeated id or repeated whole are rows like others.
+the packed pieces with their token ids.  Rows are judged one by one, by a key of their
+own: documents without an id, with a repeated id or repeated whole are rows like others.
 """
 
 from __future__ import annotations
@@ -11,37 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisor.llm import decontaminate, exact_dedup, packing, similar, simhash, toxicity
-from revisor.llm.common import tasks, written
-
-
-def _keyed(docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
-    """The rows with a key of their own, written, and the key's name; ``ordered`` keys follow doc_id, nulls last."""
-    key = "row_key"
-    while key in docs.columns:
-        key = f"_{key}"
-    rows = docs.withColumn(key, F.monotonically_increasing_id())
-    if ordered:  # the second column parts the rows of a frequent id
-        order = F.col("doc_id").asc_nulls_last(), F.col(key)
-        rows = rows.repartitionByRange(tasks(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id())
-    return written(rows, "rows"), key
+from revisor.llm.common import with_row_key, written
 
 
 def _without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
-    """``rows`` without those whose key is a doc_id of ``dropped``, and without the key."""
-    return rows.join(dropped.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select([c for c in rows.columns if c != key])
+    """``rows`` without those whose key is in ``dropped`` (row), and without the key."""
+    return rows.join(dropped.select(F.col("row").alias(key)).distinct(), key, "left_anti").select([f"`{c}`" for c in rows.columns if c != key])
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows, key = _keyed(docs)
-    return _without(rows, key, written(toxicity.toxicity(rows, model, key).where("predicted = 1"), "toxic"))
+    rows, key = with_row_key(docs)
+    toxic = toxicity.toxicity(rows, model, key).where("predicted = 1").select(F.col("doc_id").alias("row"))
+    return _without(rows, key, written(toxic, "toxic"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the keeper stays."""
-    rows, key = _keyed(docs, ordered=True)
-    return _without(rows, key, exact_dedup.exact_dedup(rows, key).where("not kept"))
+    rows, key = with_row_key(docs)
+    return _without(rows, key, written(exact_dedup.exact_dedup(rows, row_col=key).where("not kept").select("row"), "copies"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,24 +39,25 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Near duplicates are those of the SimHash operator; alike are texts whose sets of
     five-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    rows, key = _keyed(docs, ordered=True)
-    near = written(simhash.near_duplicates(rows, key).select("doc_id", "component_id"), "near")
-    first, others = near.where("doc_id = component_id"), near.where("doc_id <> component_id")
-    alike = similar.like_smaller(rows, key, among=first).select(F.col("gone").alias("doc_id"))
-    return _without(rows, key, others.select("doc_id").unionByName(alike))
+    rows, key = with_row_key(docs)
+    near = written(simhash.near_duplicates(rows, row_col=key).select("row", "named"), "near")
+    first, others = near.where("named").select(F.col("row").alias("doc_id")), near.where("not named").select("row")
+    alike = similar.like_smaller(rows, key, among=first).select(F.col("gone").alias("row"))
+    return _without(rows, key, others.unionByName(alike))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    rows, key = _keyed(docs)
-    return _without(rows, key, written(decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key), "leaks"))
+    rows, key = with_row_key(docs)
+    leaked = decontaminate.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key).select(F.col("doc_id").alias("row"))
+    return _without(rows, key, written(leaked, "leaks"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, in sequences of 2048 tokens."""
+    """The pieces of what is left, with their ids and their places in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), specials_as_text=False)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), specials_as_text=False, with_ids=True)
 
 
 STAGES = [

@@ -1,11 +1,13 @@
-"""What several operators share: the shared folder, written tables, text blocks and components."""
+"""What several operators share: the shared folder, written tables, row keys, text blocks, running folds and components."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Where tables go when the session names no folder (tests on one machine only).
 LOCAL_DIR = "/tmp/checkpoints"
@@ -14,9 +16,11 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one if the master is local, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", f"file://{LOCAL_DIR}")
         found = spark.conf.get("spark.checkpoint.dir")
     return found.rstrip("/")
@@ -42,6 +46,58 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Up to so many input files, their numbers are broadcast (some 30 MB).
+MOST_FILES = 200_000
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name`` with as many underscores before it as keep it apart from the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a unique long of their own, the same each time they are read, and its column's name.
+
+    Rows of Parquet files are named by the number of their file and their place in it, so
+    nothing is copied; other rows are numbered and written.
+    """
+    key, path, place = (free_name(n, docs.columns) for n in ("row_key", "row_file", "row_place"))
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
+    except AnalysisException:
+        return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+    files = written(rows.select(path).distinct(), "files")
+    few = files.count() <= MOST_FILES
+    numbered = files.select(path, F.row_number().over(Window.orderBy(path)).cast("long").alias(key))  # a row for each file
+    rows = rows.join(F.broadcast(numbered) if few else numbered, path)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), (F.shiftleft(key, 40) + F.col(place)).alias(key)), key
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value found once for a row, however often and wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, zero: Column, fold) -> Column:
+    """The fold of each element of an array with all before it.
+
+    In pieces of the cube root of the size, so the work is about the size to the power
+    of 4/3, where a fold for each element would take its square.
+    """
+
+    def over(v: Column, width: Column) -> Column:
+        part = lambda at, n: F.aggregate(F.slice(v, at, n), zero, fold)
+        whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda c: part(c * width + 1, width))
+        before = lambda pieces: F.transform(pieces, lambda _, c: F.aggregate(F.slice(pieces, 1, c), zero, fold))
+        return let(whole, lambda w: let(before(w), lambda b: F.transform(v, lambda _, i: let(F.floor(i / width).cast("int"), lambda c: fold(F.get(b, c), part(c * width + 1, i - c * width + 1))))))
+
+    return F.when(F.size(values) > 0, let(values, lambda v: let(F.greatest(F.ceil(F.cbrt(F.size(v))).cast("int"), F.lit(1)), lambda width: over(v, width)))).otherwise(F.slice(F.array(zero), 1, 0))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -91,7 +147,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     ``edges``: a, b (long).  Returns node, component (the smallest node reachable),
     for every node that has an edge.  Every step is a shuffle; the tables of each
-    round are written in the shared folder, so a lost executor costs one round.
+    round are written in the shared folder, so a lost executor costs one round, and so
+    that a join on them may be split where a node has very many neighbours.
     """
     now = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
@@ -99,12 +156,14 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = written(small.where("u <> v").distinct(), "edges")
-        drop_written(now)
+        for table in (now, least, large, low):
+            drop_written(table)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

@@ -1,22 +1,25 @@
 """Exact deduplication on an index of cuckoo filters over bucketed digests.
 
-The index is a DataFrame.  A digest belongs to the bucket its hash names; each
-bucket has one row with its cuckoo filter and one row for each live digest (the
-bucketed content).  Insertion and deletion send a batch to its buckets, ask the
-filter first, and verify each hit against the stored digests.  A filter that
-overflows is rebuilt at twice the size from those stored keys.
+The index is two tables.  A digest belongs to the bucket its hash names; each bucket
+has one cuckoo filter, and one row of content for each live digest.  Insertion and
+deletion send a batch to the filters of its buckets alone.  What the filter does not
+know is new: it goes into the filter and is appended to the content unseen.  What the
+filter may know is looked up in the stored content, which is read for those hits only:
+a verified hit is merged into its row, a false one is added like a new digest.  A
+filter that overflows is rebuilt at twice the size from the stored keys of its bucket.
 
 Cases: null text counts as empty; null ids sort last among copies and a group of
-null ids only has a null keeper; rows that repeat an id and a text are copies like
-any other, and all rows of the keeper's id count as kept; an empty table gives an
-empty index.  Other columns of the input are ignored, whatever their names.
+null ids only has a null keeper; of rows that repeat an id and a text one is kept, the
+first of them as they are stored; an empty table gives an empty index.  Other columns
+of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from array import array
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,12 @@ from .common import tasks, written
 
 #: The six characters that do not count when texts are compared (fixed by the contract).
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
-#: Live digests that a bucket should hold: about 20 MB in the task that updates it.
+#: Live digests that a bucket should hold: about 20 MB in the task that updates its filter.
 BUCKET_KEYS = 50_000
-#: Copies of one digest reach its bucket in at most so many pre-aggregated rows.
-SALTS = 4
 
-INDEX = "bucket int, filter binary, digest string, keep_id long, keep_chars long, copies long"
+FILTERS = "bucket int, filter binary"
+_STORED = "keep_id long, keep_chars long, keep_row long, copies long"
+CONTENT = f"bucket int, digest string, {_STORED}"
 
 
 class CuckooFilter:
@@ -106,116 +109,175 @@ def _filled(keys, room: int) -> CuckooFilter:
         room *= 2
 
 
-def _stored(part: pd.DataFrame) -> tuple[CuckooFilter, dict]:
-    raw = part.loc[part["filter"].notna(), "filter"]
-    rows = part[part["digest"].notna()]
-    content = {d: (i, c, n) for d, i, c, n in zip(rows["digest"], rows["keep_id"].astype("object").where(rows["keep_id"].notna(), None), rows["keep_chars"], rows["copies"])}
-    return (CuckooFilter.from_bytes(raw.iloc[0]) if len(raw) else CuckooFilter.sized(64)), content
+@dataclass(frozen=True)
+class Index:
+    """``filters`` has a row for each bucket in use, ``content`` one for each live digest; both are written tables."""
 
+    filters: DataFrame
+    content: DataFrame
+    buckets: int
 
-def _rows(bucket: int, index: CuckooFilter, content: dict) -> pd.DataFrame:
-    out = [(bucket, index.tags.tobytes(), None, None, None, None)]
-    out += [(bucket, None, d, i, c, n) for d, (i, c, n) in content.items()]
-    frame = pd.DataFrame(out, columns=["bucket", "filter", "digest", "keep_id", "keep_chars", "copies"])
-    return frame.astype({"keep_id": "Int64", "keep_chars": "Int64", "copies": "Int64"})
 
+def new_index(spark: SparkSession, buckets: int) -> Index:
+    return Index(spark.createDataFrame([], FILTERS), spark.createDataFrame([], CONTENT), buckets)
 
-def _better(a: tuple, b: tuple) -> tuple:
-    """More characters first, then the smaller id, null ids last."""
-    rank = lambda x: (-x[1], x[0] is None, x[0] or 0)
-    return min(a, b, key=rank)
 
+_ASKED = pa.schema([("bucket", pa.int32()), ("filter", pa.binary()), ("digest", pa.string()), ("hit", pa.bool_())])
 
-def _insert(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    index, content = _stored(old)
-    ids = new["keep_id"].astype("object").where(new["keep_id"].notna(), None)
-    for digest, i, chars, n in zip(new["digest"], ids, new["keep_chars"], new["copies"]):
-        if digest in index and digest in content:  # the second test verifies the filter's hit
-            had = content[digest]
-            content[digest] = (*_better(had, (i, chars))[:2], had[2] + n)
-            continue
-        content[digest] = (i, chars, n)
-        if not index.add(digest):
-            index = _filled(content, 2 * len(content))
-    return _rows(int(key[0]), index, content)
 
+def _asked(bucket: int, tags: bytes | None, digests: list[str], hits: list[bool]) -> pa.Table:
+    """A row for the bucket's filter (null: it overflowed), and one for each digest."""
+    n = len(digests)
+    columns = [pa.array([bucket] * (n + 1), pa.int32()), pa.array([tags] + [None] * n, pa.binary()), pa.array([None, *digests], pa.string()), pa.array([None, *hits], pa.bool_())]
+    return pa.Table.from_arrays(columns, schema=_ASKED)
 
-def _delete(key, old: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-    index, content = _stored(old)
-    for digest in gone["digest"]:
-        if digest in index and digest in content:
-            del content[digest]
-            index.remove(digest)
-    return _rows(int(key[0]), index, content)
 
+def _held(filters: pa.Table, room: int) -> CuckooFilter:
+    return CuckooFilter.from_bytes(filters.column("filter")[0].as_py()) if len(filters) else CuckooFilter.sized(max(64, room))
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (SHA-256 of the text without white space), n_chars (of the whole text)."""
+
+def _probe_and_add(key, filters, batch):
+    """Asks the filter for every digest of the batch, then adds those it does not know."""
+    digests = batch.column("digest").to_pylist()
+    index = _held(filters, len(digests))
+    hits = [d in index for d in digests]
+    new = [d for d, hit in zip(digests, hits, strict=True) if not hit]
+    fits = all(index.add(d) for d in new)
+    if not fits and not len(filters):  # a new bucket: all its keys are here
+        index, fits = _filled(new, 2 * len(new)), True
+    return _asked(key[0].as_py(), index.tags.tobytes() if fits else None, digests, hits)
+
+
+def _probe(key, filters, batch):
+    digests = batch.column("digest").to_pylist()
+    index = _held(filters, 0)
+    return _asked(key[0].as_py(), index.tags.tobytes(), digests, [d in index for d in digests])
+
+
+def _add(key, filters, batch):
+    index = _held(filters, len(batch))
+    fits = all(index.add(d) for d in batch.column("digest").to_pylist())
+    return _asked(key[0].as_py(), index.tags.tobytes() if fits else None, [], [])
+
+
+def _remove(key, filters, gone):
+    index = _held(filters, 0)
+    for digest in gone.column("digest").to_pylist():
+        index.remove(digest)
+    return _asked(key[0].as_py(), index.tags.tobytes(), [], [])
+
+
+def _rebuild(key, content):
+    keys = content.column("digest").to_pylist()
+    made = _filled(keys, 2 * len(keys))
+    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([made.tags.tobytes()], pa.binary())], names=["bucket", "filter"])
+
+
+def _sent(index: Index, batch: DataFrame, use) -> DataFrame:
+    """bucket, filter, digest, hit: what ``use`` makes of each bucket's filter and its part of the batch, written."""
+    keys = batch.select("bucket", "digest")
+    return written(index.filters.groupBy("bucket").cogroup(keys.groupBy("bucket")).applyInArrow(use, "bucket int, filter binary, digest string, hit boolean"), "asked")
+
+
+def _with_rebuilt(filters: DataFrame, content: DataFrame) -> DataFrame:
+    """``filters`` with those that are null made anew from the content of their buckets, written."""
+    over = filters.where("filter is null").select("bucket")
+    if over.isEmpty():
+        return filters
+    made = content.join(over, "bucket", "left_semi").select("bucket", "digest").groupBy("bucket").applyInArrow(_rebuild, FILTERS)
+    return written(filters.where("filter is not null").unionByName(made), "filters")
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row (``row_col``, or a number given here), digest (SHA-256 of the text without white space), n_chars (of the whole text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = text
     for c in SPACES:
         bare = F.replace(bare, F.lit(c), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
+        (F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()).alias("row"),
         F.sha2(bare.cast("binary"), 256).alias("digest"),
         F.length(text).cast("long").alias("n_chars"),
     )
 
 
 def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
-
-
-def new_index(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], INDEX)
+    return F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def insert(index: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
-    """The index with the rows of ``digests`` in it.  ``buckets`` must be the index's own number.
+def batch_of(rows: DataFrame, buckets: int) -> DataFrame:
+    """One row for each digest of the rows of ``digests``: CONTENT.
 
-    Copies are pre-aggregated on digest and salt before they are sent to their
-    bucket, so a text that a third of the corpus repeats arrives in a few rows.
+    Copies are aggregated before the shuffle, so a text that a third of the corpus
+    repeats leaves each task as one row.
     """
-    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("inverse")))  # inverse: smaller ids are larger
-    batch = (
-        rows.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-        .agg(best.alias("best"), F.count("*").alias("copies"))
-        .select(
-            _bucket(buckets).alias("bucket"),
-            "digest",
-            F.bitwise_not("best.inverse").alias("keep_id"),
-            F.col("best.n_chars").alias("keep_chars"),
-            "copies",
-        )
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row")))  # negated: smaller ones are larger
+    made = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("copies"))
+    return made.select(
+        _bucket(buckets), "digest", F.bitwise_not("best.id").alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), F.bitwise_not("best.row").alias("keep_row"), "copies"
     )
-    return index.groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInPandas(_insert, INDEX)
 
 
-def delete(index: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
+def _merged(stored: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows of the same digests as one row each: the better keeper and both counts."""
+    both = stored.unionByName(hits)
+    best = F.max(F.struct("keep_chars", F.bitwise_not("keep_id").alias("id"), F.bitwise_not("keep_row").alias("row")))
+    made = both.groupBy("bucket", "digest").agg(best.alias("best"), F.sum("copies").alias("copies"))
+    return made.select("bucket", "digest", F.bitwise_not("best.id").alias("keep_id"), F.col("best.keep_chars").alias("keep_chars"), F.bitwise_not("best.row").alias("keep_row"), "copies")
+
+
+def insert(index: Index, rows: DataFrame) -> Index:
+    """The index with the rows of ``digests`` in it."""
+    batch = written(batch_of(rows, index.buckets), "batch")
+    asked = _sent(index, batch, _probe_and_add)
+    filters = asked.where("digest is null").select("bucket", "filter")
+    hits = asked.where("hit").select("digest")
+    if hits.isEmpty():
+        content = index.content.unionByName(batch)
+    else:
+        stored = written(index.content.join(hits, "digest", "left_semi"), "stored")  # the look-ups
+        wrong = batch.join(hits, "digest", "left_semi").join(stored, "digest", "left_anti")
+        if not wrong.isEmpty():
+            added = _sent(Index(filters.where("filter is not null"), index.content, index.buckets), wrong.join(filters.where("filter is null"), "bucket", "left_anti"), _add)
+            filters = added.select("bucket", "filter").unionByName(filters.where("filter is null"))
+        merged = _merged(stored.select(batch.columns), batch.join(stored, "digest", "left_semi").select(batch.columns))
+        kept = index.content.join(stored, "digest", "left_anti").select(batch.columns)
+        content = kept.unionByName(merged).unionByName(batch.join(stored, "digest", "left_anti").select(batch.columns))
+        content = written(content, "content")
+    return Index(_with_rebuilt(filters, content), content, index.buckets)
+
+
+def delete(index: Index, gone: DataFrame) -> Index:
     """The index without the digests of ``gone``; digests it does not hold change nothing."""
-    batch = gone.select("digest").distinct().select(_bucket(buckets).alias("bucket"), "digest")
-    return index.groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInPandas(_delete, INDEX)
+    batch = gone.select("digest").distinct().select(_bucket(index.buckets), "digest")
+    hits = _sent(index, batch, _probe).where("hit").select("digest")
+    found = written(index.content.join(hits, "digest", "left_semi").select("bucket", "digest"), "found")
+    filters = _sent(index, found, _remove).select("bucket", "filter")
+    return Index(filters, written(index.content.join(found, "digest", "left_anti").select(index.content.columns), "content"), index.buckets)
 
 
-def live(index: DataFrame) -> DataFrame:
-    return index.where("digest is not null").select("digest", "keep_id", "keep_chars", "copies")
+def live(index: Index) -> DataFrame:
+    return index.content.select("digest", "keep_id", "keep_chars", "keep_row", "copies")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of ``docs``.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row, keep_id, group_size, kept, text_sha256: a row for each row of ``docs``.
 
+    ``row``: the unique long ``row_col``, or one given here; one row of each group is kept.
     Plan: one scan to the written digests; partial aggregation and a shuffle of
     digests to their buckets; a join of ids and keepers on the digest, which AQE
     may split where a digest is frequent.  No text is shuffled.
     """
     spark = docs.sparkSession
-    rows = written(digests(docs, id_col, text_col), "digests")
+    rows = written(digests(docs, id_col, text_col, row_col), "digests")
     buckets = max(tasks(spark), -(-rows.count() // BUCKET_KEYS))
-    index = written(insert(new_index(spark), rows, buckets), "index")
+    index = insert(new_index(spark, buckets), rows)
     return rows.join(live(index), "digest").select(
         "doc_id",
+        "row",
         "keep_id",
         F.col("copies").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )

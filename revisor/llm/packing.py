@@ -270,8 +270,21 @@ def packed(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     return ranked(pieces, max(16, tasks(spark))).mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = True) -> DataFrame:
-    """Pieces with their place and a CRC-32 of their ids, for a record of where each id went."""
+def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = True, with_ids: bool = False) -> DataFrame:
+    """Pieces with their place and a CRC-32 of their ids, for a record of where each id went.
+
+    ``with_ids`` carries the ids themselves (little-endian unsigned 32 bits), so that a
+    sequence is what its pieces hold in the order of their offsets; see ``sequences``.
+    """
     pieces = tokenized(docs, tokenizer, room, id_col=id_col, text_col=text_col, specials_as_text=specials_as_text)
-    small = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packed(written(small, "pieces"), room)
+    fields = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", *(["ids"] if with_ids else [])]
+    return packed(written(pieces.select(*fields), "pieces"), room)
+
+
+def sequences(pieces: DataFrame, room: int = ROOM, pad_id: int = 0) -> DataFrame:
+    """sequence_id, ids (binary, ``room`` ids with padding), n_tokens: the sequences of pieces that carry their ids.  A sequence has at most ``room`` pieces."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    filled = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    pad = F.expr(f"unhex(repeat('{pad_id.to_bytes(4, 'little').hex()}', cast({room} - n_tokens as int)))")
+    made = pieces.groupBy("sequence_id").agg(filled.alias("filled"), F.sum("length").alias("n_tokens"))
+    return made.select("sequence_id", F.concat("filled", pad).alias("ids"), "n_tokens")

@@ -5,16 +5,22 @@
 2. Embedding: the 64 bits are 32 segments of two; a segment's count of set bits
    (0 to 2) is kept in unary, so the Manhattan distance of two embeddings is the
    popcount of their XOR.  It never exceeds the Hamming distance.
-3. Grid range-join: the segments form B blocks.  Two fingerprints within
-   ``MAX_BITS`` differ in at most that many blocks, so they agree on the counts of at
-   least B - MAX_BITS blocks.  A grid cell is the counts of one choice of B - MAX_BITS
-   blocks, and every fingerprint goes into its cell for each choice.  B grows with the
-   number of fingerprints so that a cell of unrelated texts stays small; the links
-   found are the same for every B.
-4. In a cell, pairs that pass the Manhattan bound are verified on the fingerprints.
-   Only links that connect something new in the cell are kept (a spanning forest),
-   so a group of n near copies gives n - 1 links, not n squared.
-5. Components of the links; a component's name is its smallest doc_id.
+3. Grid range-join: points are the vectors of counts, cells are one count wide.  Probing
+   the neighbour cells within ``MAX_BITS`` of a point in 32 dimensions would take tens of
+   thousands of probes, so cells are joined by their faces: the segments form B blocks,
+   and of two points within the bound at most ``MAX_BITS`` blocks differ.  A face is the
+   counts of B - MAX_BITS blocks; all neighbour cells that differ in the other blocks
+   lie on it, and a point is put on its face for each choice of blocks.  So the equi-join
+   on faces is the range join over neighbour cells, and it misses none.  B grows with the
+   number of fingerprints so that a face holds few unrelated texts; the links found are
+   the same for every B.
+4. On a face, pairs that pass the Manhattan bound are verified on the fingerprints.
+   Only links that connect something new there are kept (a spanning forest), so a group
+   of n near copies gives n - 1 links, not n squared.  A face of over ``SPLIT_ROWS``
+   fingerprints is dealt out once more, by the bits of each four of eight bytes: two
+   fingerprints within the bound agree in four bytes at least, so no link is lost.
+5. Components of the links over nodes numbered in the order of their first doc_id, so
+   a component's smallest node gives its name, its smallest doc_id.
 
 Cases: null text counts as empty and has fingerprint zero, which links like any
 other; fewer than four words make one shingle of them all; null ids take part, but
@@ -41,6 +47,8 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 CELL_ROWS = 128
 #: From this many rows on, a cell is walked breadth first instead of pair by pair.
 WALK_ROWS = 64
+#: Faces of more fingerprints are split by a second grid.
+SPLIT_ROWS = 20_000
 
 _EVEN = 0x5555555555555555
 
@@ -66,15 +74,16 @@ def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        fps = [fingerprint(x.as_py()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        fps = [fingerprint(x.as_py()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "row", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row, fp (the fingerprint as a signed long)."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("raw")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), text.alias("raw")).mapInArrow(_fingerprint_batches, "doc_id long, row long, fp long")
 
 
 def blocks_for(n: int) -> int:
@@ -117,35 +126,35 @@ def _near(counts, fps, one_counts, one_fp):
 
 
 def _walk(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning forest of one cell: each text is compared with those not reached yet only."""
-    found, rest, queue = [], fps, []
+    """Spanning forest of one cell, as places: each text is compared with those not reached yet only."""
+    found, rest, queue = [], np.arange(len(fps)), []
     counts = _unary(fps)
     while len(rest) > 1 or queue:
         if queue:
             at = queue.pop()
         else:
-            at, rest, counts = rest[0], rest[1:], counts[1:]
+            at, rest = rest[0], rest[1:]
         if not len(rest):
             break
-        hit = _near(counts, rest, _unary(np.array([at]))[0], at)
+        hit = _near(counts[rest], fps[rest], counts[at], fps[at])
         if len(hit):
             found.append((np.full(len(hit), at), rest[hit]))
             queue.extend(rest[hit])
             left = np.ones(len(rest), bool)
             left[hit] = False
-            rest, counts = rest[left], counts[left]
+            rest = rest[left]
     return found
 
 
 def _cell_links(cells: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of whole cells; rows come ordered by cell."""
+    """Links of whole cells, as places; rows come ordered by cell."""
     found = []
     start = np.flatnonzero(np.concatenate(([True], np.any(cells[1:] != cells[:-1], axis=1))))
     length = np.diff(np.concatenate((start, [len(fps)])))
     for s, n in zip(start[length > WALK_ROWS], length[length > WALK_ROWS], strict=True):
-        found += _walk(fps[s : s + n])
+        found += [(s + a, s + b) for a, b in _walk(fps[s : s + n])]
     run = np.repeat(np.arange(len(start)), length)
-    few = np.repeat((length > 1) & (length <= WALK_ROWS), length)
+    few = np.flatnonzero(np.repeat((length > 1) & (length <= WALK_ROWS), length))
     run, fps = run[few], fps[few]
     counts = _unary(fps)
     for d in range(1, WALK_ROWS):  # every pair of a small cell, one distance in the order at a time
@@ -154,58 +163,75 @@ def _cell_links(cells: np.ndarray, fps: np.ndarray) -> list[tuple[np.ndarray, np
             break
         hit = same[_near(counts[same], fps[same], counts[same + d], fps[same + d])]
         if len(hit):
-            found.append((fps[hit], fps[hit + d]))
+            found.append((few[hit], few[hit + d]))
     return found
 
 
 def _link_batches(batches):
-    held_cells, held_fps = np.empty((0, 2), np.int64), np.empty(0, np.uint64)
+    """a, b (nodes) of the links; batches: choice, cell, fp, node, whole cells one after another."""
+    held: list[np.ndarray] = []  # parts of the cell that may go on, put together once it has ended
 
-    def out(found):
+    def out(rows):
+        found = _cell_links(rows[:, :2], rows[:, 2].view(np.uint64)) if len(rows) > 1 else []
         if found:
-            a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+            a, b = (rows[np.concatenate(x), 3] for x in zip(*found, strict=True))
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        choice, cell, fp = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-        cells = np.concatenate((held_cells, np.stack((choice, cell), axis=1)))
-        fps = np.concatenate((held_fps, fp.view(np.uint64)))
-        if not len(fps):
+        if not len(batch):
             continue
-        open_at = np.flatnonzero(np.any(cells != cells[-1], axis=1))  # the last cell may go on
-        cut = open_at[-1] + 1 if len(open_at) else 0
-        yield from out(_cell_links(cells[:cut], fps[:cut]) if cut else [])
-        held_cells, held_fps = cells[cut:], fps[cut:]
-    if len(held_fps):
-        yield from out(_cell_links(held_cells, held_fps))
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        other = np.flatnonzero(np.any(rows[:, :2] != rows[-1, :2], axis=1))
+        if len(other) or (held and (held[-1][-1, :2] != rows[-1, :2]).any()):  # a cell ends in this batch
+            cut = other[-1] + 1 if len(other) else 0
+            yield from out(np.concatenate((*held, rows[:cut])))
+            held, rows = [], rows[cut:]
+        held.append(rows)
+    if held:
+        yield from out(np.concatenate(held))
+
+
+def _byte_masks() -> list[int]:
+    """For each choice of four of eight bytes, their bits (signed)."""
+    masks = [sum(0xFF << (8 * k) for k in chosen) for chosen in combinations(range(8), 8 - MAX_BITS)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def links(distinct: DataFrame, n: int) -> DataFrame:
-    """a, b: links that connect what is connected, among distinct fingerprints ``fp``."""
+    """a, b (nodes): links that connect what is connected, among distinct fingerprints (node, fp)."""
     spark = distinct.sparkSession
+    chosen = [F.struct(F.lit(i).alias("choice"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(cell_masks(blocks_for(n)))]
+    cells = distinct.select("fp", "node", embedding(F.col("fp")).alias("counts")).select("fp", "node", F.explode(F.array(*chosen)).alias("c")).select("c.choice", "c.cell", "fp", "node")
+    hot = written(cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS).select("choice", "cell"), "hot")
+    if not hot.isEmpty():
+        again = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(_byte_masks())]
+        dealt = cells.join(hot, ["choice", "cell"], "left_semi").withColumn("s", F.explode(F.array(*again)))
+        named = F.xxhash64("cell", "s.bits").alias("cell")  # two parts under one name cost a comparison, no link
+        cells = cells.join(hot, ["choice", "cell"], "left_anti").unionByName(dealt.select((-1 - F.col("choice") * len(again) - F.col("s.part")).alias("choice"), named, "fp", "node"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
-    choices = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(cell_masks(blocks_for(n))))))
-    cells = distinct.select("fp", embedding(F.col("fp")).alias("counts")).select("fp", choices.alias("c")).select("c.choice", "c.cell", "fp")
-    found = written(cells.repartition(tasks(spark), "choice", "cell").sortWithinPartitions("choice", "cell", "fp").mapInArrow(_link_batches, "a long, b long"), "links")
+    found = written(cells.select("choice", "cell", "fp", "node").repartition(tasks(spark), "choice", "cell").sortWithinPartitions("choice", "cell", "fp").mapInArrow(_link_batches, "a long, b long"), "links")
     small_batches(spark)
     return found
 
 
 def components(rows: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for rows (doc_id, fp)."""
-    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "groups")
-    found = links(groups, groups.count())
-    member = connected_components(found)
-    named = (
-        groups.join(member.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    )
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.join(least, "component").select("fp", "component_id"), "fp")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: a row for each row of ``docs``."""
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    return components(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """fp, component_id, component_row for rows (doc_id, row, fp), written: the doc_id and row that name each fingerprint's component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    order = ("no_id", "doc_id", "row")
+    groups = rows.groupBy("fp").agg(first).select("fp", "first.*").repartitionByRange(tasks(rows.sparkSession), *order).sortWithinPartitions(*order)
+    groups = written(groups.select("fp", F.col("doc_id").alias("component_id"), F.col("row").alias("component_row"), F.monotonically_increasing_id().alias("node")), "groups")
+    member = connected_components(links(groups.select("fp", "node"), groups.count()))
+    names = groups.select(F.col("node").alias("component"), "component_id", "component_row")
+    of = groups.select("fp", "node").join(member, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return written(of.join(names, "component").select("fp", "component_id", "component_row"), "components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row, fingerprint (16 hex digits), component_id, named: a row for each row of ``docs``.
+
+    ``row``: the unique long ``row_col``, or one given here; ``named`` holds for the one row that names its component.
+    """
+    rows = written(fingerprints(docs, id_col, text_col, row_col), "fingerprints")
+    text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return rows.join(components(rows), "fp").select("doc_id", "row", text, "component_id", (F.col("row") == F.col("component_row")).alias("named"))

@@ -47,23 +47,62 @@ def test_exact_dedup(spark, corpus):
         groups[hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()].append((i, len(t or "")))
     want = []
     for digest, rows in groups.items():
-        keep = min(rows, key=lambda r: (-r[1], r[0] is None, r[0] or 0))[0]
-        want += [(i, keep, len(rows), i == keep, digest) for i, _ in rows]
-    got = [tuple(r) for r in exact_dedup.exact_dedup(_docs(spark, corpus)).collect()]
+        keep = min(rows, key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+        kept = rows.index(keep)  # of rows that are the same in id and length, one
+        want += [(i, keep[0], len(rows), k == kept, digest) for k, (i, _) in enumerate(rows)]
+    got = [tuple(r) for r in exact_dedup.exact_dedup(_docs(spark, corpus)).drop("row").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert exact_dedup.exact_dedup(_docs(spark, [])).count() == 0
 
 
 def test_index_inserts_and_deletes(spark):
     rows = exact_dedup.digests(_docs(spark, [(i, f"text {i % 50}") for i in range(200)])).cache()
-    index = exact_dedup.insert(exact_dedup.new_index(spark), rows, 3).cache()
+    index = exact_dedup.insert(exact_dedup.new_index(spark, 3), rows)
     assert {tuple(r) for r in exact_dedup.live(index).select("copies").collect()} == {(4,)}
+    twice = exact_dedup.insert(index, rows.where("doc_id >= 50"))
+    assert exact_dedup.live(twice).count() == 50 and {r.copies for r in exact_dedup.live(twice).collect()} == {7}
+    assert {r.keep_id for r in exact_dedup.live(twice).collect()} == set(range(50))
     gone = rows.where("doc_id < 10")
-    less = exact_dedup.delete(index, gone, 3).cache()
+    less = exact_dedup.delete(index, gone)
     assert exact_dedup.live(less).count() == 40
-    again = exact_dedup.insert(less, gone, 3)
+    assert exact_dedup.live(exact_dedup.delete(less, gone)).count() == 40
+    again = exact_dedup.insert(less, gone)
     assert exact_dedup.live(again).count() == 50
-    assert exact_dedup.live(exact_dedup.delete(again, rows, 3)).count() == 0
+    assert exact_dedup.live(exact_dedup.delete(again, rows)).count() == 0
+
+
+def test_only_hits_of_the_filter_are_looked_up(spark, monkeypatch):
+    looked_up = []
+    written = exact_dedup.written
+
+    def watched(df, name="table"):
+        out = written(df, name)
+        if name == "stored":
+            looked_up.append(out.count())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "written", watched)
+    texts = lambda a, b: exact_dedup.digests(_docs(spark, [(i, f"text {i}") for i in range(a, b)])).cache()
+    index = exact_dedup.insert(exact_dedup.new_index(spark, 2), texts(0, 3000))
+    assert looked_up == []  # an empty index is never read
+    grown = exact_dedup.insert(index, texts(3000, 9000))  # filters overflow and are rebuilt
+    assert sum(looked_up) <= 10  # none of these is stored; a few tags are alike
+    assert exact_dedup.live(grown).count() == 9000
+    looked_up.clear()
+    same = exact_dedup.insert(grown, texts(0, 100))
+    assert sum(looked_up) == 100 and exact_dedup.live(same).count() == 9000
+    filters = {r.bucket: exact_dedup.CuckooFilter.from_bytes(bytes(r["filter"])) for r in grown.filters.collect()}
+    assert all(r.digest in filters[r.bucket] for r in grown.content.select("bucket", "digest").collect())
+    assert exact_dedup.live(exact_dedup.delete(same, texts(50, 8950))).count() == 100
+
+
+def test_false_hits_are_added_and_deleted_apart(spark, monkeypatch):
+    """A filter that says yes to everything: all is decided by the content."""
+    monkeypatch.setattr(exact_dedup.CuckooFilter, "__contains__", lambda *_: True)
+    rows = exact_dedup.digests(_docs(spark, [(i, f"text {i % 20}") for i in range(40)])).cache()
+    index = exact_dedup.insert(exact_dedup.new_index(spark, 2), rows)
+    assert sorted(r.copies for r in exact_dedup.live(index).collect()) == [2] * 20
+    assert exact_dedup.live(exact_dedup.delete(index, rows.where("doc_id < 5"))).count() == 15
 
 
 def test_cuckoo_filter_grows_from_its_keys():
@@ -113,14 +152,16 @@ def _plain_components(rows):
 def test_near_duplicates(spark, corpus):
     rows = [(i, _plain_fingerprint(t)) for i, t in corpus]
     want = sorted(str((i, f"{fp:016x}", c)) for (i, fp), c in zip(rows, _plain_components(rows), strict=True))
-    got = sorted(str(tuple(r)) for r in simhash.near_duplicates(_docs(spark, corpus)).collect())
+    got = sorted(str(tuple(r)) for r in simhash.near_duplicates(_docs(spark, corpus)).select("doc_id", "fingerprint", "component_id").collect())
     assert got == want
+    named = simhash.near_duplicates(_docs(spark, corpus)).groupBy("component_id").agg(F.sum(F.col("named").cast("int")).alias("n")).collect()
+    assert all(r.n == 1 for r in named)
     assert simhash.near_duplicates(_docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("blocks", [6, 7, 8])
-def test_all_links_of_dense_and_sparse_fingerprints(spark, blocks, monkeypatch):
-    """Chains, a dense group beyond the size of a walked cell, and unrelated ones; the same for any number of blocks."""
+@pytest.mark.parametrize(("blocks", "split"), [(6, 20_000), (7, 100), (8, 20_000), (6, 10), (9, 40), (12, 20_000)])
+def test_all_links_of_dense_and_sparse_fingerprints(spark, blocks, split, monkeypatch):
+    """Chains, a dense group beyond the size of a walked cell, and unrelated ones; the same for any number of blocks and split cells."""
     rng = random.Random(blocks)
     centre = rng.getrandbits(64)
     fps = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(500)}
@@ -130,8 +171,9 @@ def test_all_links_of_dense_and_sparse_fingerprints(spark, blocks, monkeypatch):
         fps.add(chain)
     rows = list(enumerate(fps))
     monkeypatch.setattr(simhash, "blocks_for", lambda n: blocks)
-    df = spark.createDataFrame([(i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in rows], "doc_id long, fp long")
-    got = dict(simhash.components(df).select("doc_id", "component_id").collect())
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", split)
+    df = spark.createDataFrame([(i, i, fp - (1 << 64) if fp >> 63 else fp) for i, fp in rows], "doc_id long, row long, fp long")
+    got = dict(df.join(simhash.components(df), "fp").select("doc_id", "component_id").collect())
     assert [got[i] for i, _ in rows] == _plain_components(rows)
 
 
