@@ -82,11 +82,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
+    from .common import new_path
 
     docs = _table(spark, sf_dir, "documents")
-    shuffled = sharding.shuffle_into_shards(docs, "doc_id", "text", shards=16)
+    shuffled, path = sharding.shuffle_into_shards(docs, "doc_id", "text", shards=16), new_path(spark, "shards")
+    sharding.write_shards(shuffled, path)
     text, key = F.col("record.text"), F.col("record.doc_id")
-    return shuffled.select(
+    return sharding.read_shards(spark, path, shuffled.schema).select(
         key.alias("doc_id"),
         sharding.size_of(text).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
