@@ -238,16 +238,43 @@ def _plain_tiling(item, text, least):
             return tiles
 
 
-def test_tiling_covers_what_the_textbook_covers():
+def test_tiles_are_those_of_the_textbook():
     rng = random.Random(4)
-    for _ in range(40):
-        item = [rng.randint(1, 4) for _ in range(rng.randint(5, 25))]
+    for _ in range(150):
+        item = [rng.randint(1, 4) for _ in range(rng.randint(1, 25))]
         text = [rng.randint(1, 5) for _ in range(rng.randint(0, 40))]
-        got = decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), 3)
-        assert max((t[2] for t in got), default=0) == max((t[2] for t in _plain_tiling(item, text, 3)), default=0)
-        assert abs(sum(t[2] for t in got) - sum(t[2] for t in _plain_tiling(item, text, 3))) <= 3
-        assert all(item[p : p + n] == text[t : t + n] for p, t, n in got)
-        assert len({q for p, _, n in got for q in range(p, p + n)}) == sum(n for *_, n in got)
+        got = decontaminate.tile(np.array(item, np.uint32), np.array(text, np.uint32), 3)
+        assert got == _plain_tiling(item, text, min(3, len(item)))
+
+
+def test_rolling_hashes_tell_windows_apart():
+    rng = random.Random(2)
+    ids = np.array([rng.randint(0, 3) for _ in range(400)], np.uint32)
+    hashes = decontaminate.Rolling(ids)
+    for width in (1, 2, 5, 40, 400, 401):
+        found = hashes.windows(width).tolist()
+        windows = [tuple(ids[i : i + width]) for i in range(max(0, len(ids) - width + 1))]
+        assert len(found) == len(windows) and len(set(zip(found, windows, strict=True))) == len(set(found)) == len(set(windows))
+
+
+def test_the_bound_loses_no_leak():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    block = decontaminate.Items(list(enumerate(texts)), 3)
+    for _ in range(40):
+        words = [rng.choice("abcde") for _ in range(rng.randint(0, 60))]
+        ids = np.fromiter((block.vocabulary.get(w, 0) for w in words), np.uint32)
+        want = []
+        for k, item in block.items:
+            tiles = _plain_tiling(item.tolist(), [int(i) or -1 for i in ids], min(3, len(item)))
+            if sum(t[2] for t in tiles) / len(item) >= 0.8:
+                want.append((k, len(tiles)))
+        assert [(k, n) for k, _, n in block.matches(words, 0.8)] == want
+
+
+def test_tokens_of_long_texts_are_not_cut():
+    text = "ab, cd_1\u00e9 x-y " * 50
+    assert list(decontaminate.tokens(text, 7)) == re.findall(r"\w+", text)
 
 
 # ---------------------------------------------------------------- packing
