@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import running
+
 TURN, BODY, PART, END = "<|turn|>", "<|body|>", "<|part|>", "<|end|>"
 #: Control strings of this and of common other templates; texts never show them unescaped.
 CONTROLS = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -82,7 +84,8 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     shown = one.withColumn("shown", F.transform("parts", rendered))
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(BODY))
     # where each part begins in its body: lengths of the parts before it, and of the marks between
-    before = F.transform("shown", lambda _, i: F.aggregate(F.slice("shown", 1, i), F.lit(0), lambda a, s: a + F.length(s) + len(PART)))
+    ends = running(F.transform("shown", lambda s: F.length(s) + len(PART)), F.lit(0), lambda a, n: a + n)
+    before = F.zip_with(ends, "shown", lambda e, s: e - F.length(s) - len(PART))
     spans = F.filter(
         F.zip_with(F.transform("parts", _is_text), F.zip_with("shown", before, lambda s, b: F.struct(b.alias("start"), (b + F.length(s)).alias("stop"))), lambda t, s: F.when(t, s)),
         lambda s: s.isNotNull(),

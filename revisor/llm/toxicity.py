@@ -36,12 +36,14 @@ import math
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,7 +57,7 @@ WINDOW = 24
 #: The fit reads so many labelled rows of each class at most, chosen by a hash of the id.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 #: and so many UTF-8 bytes of them, in the order of that hash.
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 32 << 20
 LANDMARKS, ROUNDS, HARD_SENTENCES = 160, 4, 4000
 #: Toxic sentences that a toxic document contributes at most, and the folds of the curve's fit.
 WITNESSES, FOLDS = 3, 5
@@ -149,17 +151,14 @@ class _Sentences:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.word: list[int] = []
-        self.sentence: list[int] = []
-        self.document: list[int] = []
-        self.toxic: list[int] = []
+        self.word, self.sentence, self.document, self.toxic = (array("q") for _ in range(4))
 
     def add(self, text: str, toxic: int) -> None:
         for sentence in _SENTENCE_END.split(text):
             found = sorted({p for w in words_of(sentence) for p in windows(w.strip(_AROUND))})
             if found:
-                self.word += [self.number.setdefault(w, len(self.number)) for w in found]
-                self.sentence += [len(self.document)] * len(found)
+                self.word.extend(self.number.setdefault(w, len(self.number)) for w in found)
+                self.sentence.extend([len(self.document)] * len(found))
                 self.document.append(len(self.toxic))
         self.toxic.append(toxic)
 
@@ -196,7 +195,7 @@ def _evidence(words, n_toxic, n_clean, toxic_docs, clean_docs) -> np.ndarray:
 def _kernel(words: list[str], rows: dict, weights: np.ndarray) -> np.ndarray:
     """Kernel of words with the landmarks; ``weights``: a row for each subsequence of a landmark, a column for each landmark."""
     out = np.zeros((len(words), weights.shape[1]))
-    for i, part in _in_parts(words, 2000):
+    for i, part in _in_parts(words, 300):  # some 40 MB at once
         found = [(rows[index], own, weight) for index, own, weight in _subsequences(*_flat(part))]
         row = np.concatenate([r for r, _, _ in found]) if found else np.zeros(0, np.int64)
         own = np.concatenate([o for _, o, _ in found]) if found else row
@@ -398,8 +397,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
     def train(key, table):
         bags, fold = _Sentences(), key[0].as_py()
-        for _, text, toxic in sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)):  # the same model however rows arrive
-            bags.add(text, toxic)
+        for i in pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_pylist():  # the same model however rows arrive
+            bags.add(table.column("text")[i].as_py(), table.column("toxic")[i].as_py())
         model, unseen = fit_fold(bags, fold)
         raw = zlib.compress(json.dumps({"fold": fold, "model": model, "unseen": unseen}).encode())
         return pa.table({"made": pa.array([raw], pa.binary())})
