@@ -136,15 +136,6 @@ def read_statistics(rows: DataFrame, by: list[str], counters: list[str], measure
     )
 
 
-def plan_audit(plans: DataFrame) -> DataFrame:
-    """Plan texts without object ids: digest, first operator, joins used and whether files are rewritten."""
-    bare = F.regexp_replace(F.regexp_replace("plan", r"#\d+L?", ""), r"\[id=#?\d*\]|plan_id=\d+", "")
-    rows = plans.withColumn("bare", bare)
-    joins = F.array_sort(F.array_distinct(F.regexp_extract_all("bare", F.lit(r"(\w+Join)\b"), F.lit(1))))
-    top = F.regexp_extract("bare", r"([A-Z]\w+)", 1)
-    return rows.select("name", F.sha2("bare", 256).alias("digest"), top.alias("top"), F.array_join(joins, ",").alias("joins"), F.col("bare").rlike("ReplaceData|WriteDelta").alias("rewrites_files"))
-
-
 def cost_of_recall(recall: DataFrame, failures: DataFrame, lines: DataFrame, reads: DataFrame) -> DataFrame:
     """Recall, material failures, cost of a revision and bytes read of each strategy, with a verdict."""
     rows = recall.join(failures, "strategy", "left").join(lines, "strategy", "left").join(reads, "strategy", "left")

@@ -49,9 +49,9 @@ def synthetic_observations(injected: DataFrame, base: DataFrame, release: DataFr
 
 def inherit_lineage(synthetic: DataFrame, edges: DataFrame) -> DataFrame:
     """Cell edges of the synthetic observations, taken over from their base observations."""
-    own = edges.where("relationship = 'observation_measures_cell'").select(F.col("from_id").alias("base_id"), "to_id")
+    own = edges.where("relationship = 'observation_materializes_cell'").select(F.col("from_id").alias("base_id"), "to_id")
     rows = synthetic.select("base_id", F.col("observation_id").alias("from_id")).join(own, "base_id")
-    rel = F.lit("observation_measures_cell")
+    rel = F.lit("observation_materializes_cell")
     return rows.select(identity("from_id", rel, "to_id").alias("edge_id"), "from_id", rel.alias("relationship"), "to_id")
 
 

@@ -11,33 +11,33 @@ from pyspark.sql import functions as F
 
 from revisor.functions.identity import identity
 
-#: Node types, and the columns that name a node of each.
+#: Node types and relationships of the published graph (fixed values), with the columns that name a node.
 NODES = {
-    "manifest": ("manifest_sha256",),
-    "artifact": ("source_id", "manifest_sha256"),
-    "record": ("source_id", "manifest_sha256", "source_record_id"),
+    "source_manifest": ("manifest_sha256",),
+    "source_artifact": ("source_id", "manifest_sha256"),
+    "source_record": ("source_id", "manifest_sha256", "source_record_id"),
     "vintage": ("vintage_id",),
-    "batch": ("vintage_date",),
-    "run": ("vintage_date", "domain"),
-    "version": ("unit",),
+    "ingestion_batch": ("vintage_date",),
+    "transformation_run": ("vintage_date", "domain"),
+    "transformation_version": ("unit",),
     "observation": ("observation_id",),
-    "cell": ("cell_id",),
+    "indicator_cell": ("cell_id",),
 }
 #: Relationship, and the types it goes from and to.
 EDGES = {
-    "manifest_lists_artifact": ("manifest", "artifact"),
-    "artifact_holds_record": ("artifact", "record"),
-    "record_yields_observation": ("record", "observation"),
-    "observation_measures_cell": ("observation", "cell"),
-    "vintage_comes_from_manifest": ("vintage", "manifest"),
-    "observation_in_vintage": ("observation", "vintage"),
-    "observation_in_batch": ("observation", "batch"),
-    "run_made_observation": ("run", "observation"),
-    "run_used_version": ("run", "version"),
+    "manifest_declares_artifact": ("source_manifest", "source_artifact"),
+    "manifest_declares_vintage": ("source_manifest", "vintage"),
+    "artifact_contains_record": ("source_artifact", "source_record"),
+    "record_sources_observation": ("source_record", "observation"),
+    "vintage_contextualizes_observation": ("vintage", "observation"),
+    "ingestion_batch_feeds_run": ("ingestion_batch", "transformation_run"),
+    "transformation_run_derives_observation": ("transformation_run", "observation"),
+    "transformation_version_projects_observation": ("transformation_version", "observation"),
+    "observation_materializes_cell": ("observation", "indicator_cell"),
 }
 #: The four hops from a manifest to a cell.
-CORE = ("manifest_lists_artifact", "artifact_holds_record", "record_yields_observation", "observation_measures_cell")
-_NATURAL = ("observation", "cell", "vintage")  # nodes that are named by their own id
+CORE = ("manifest_declares_artifact", "artifact_contains_record", "record_sources_observation", "observation_materializes_cell")
+_NATURAL = ("observation", "indicator_cell", "vintage")  # nodes that are named by their own id
 
 
 def node_id(kind: str):
@@ -65,7 +65,7 @@ def lineage_edges(fact: DataFrame) -> DataFrame:
 
 def lineage_paths(fact: DataFrame) -> DataFrame:
     """One core path for each observation, and how many observations share its record."""
-    ids = fact.select("observation_id", "cell_id", *(node_id(k).alias(f"{k}_id") for k in ("manifest", "artifact", "record")))
+    ids = fact.select("observation_id", "cell_id", *(node_id(f"source_{k}").alias(f"{k}_id") for k in ("manifest", "artifact", "record")))
     reuse = ids.groupBy("record_id").agg(F.count("*").alias("record_reuse"))
     mode = F.when(F.col("record_reuse") == 1, "unique_locator").otherwise("shared_locator")
     return ids.join(reuse, "record_id").withColumn("resolution", mode).withColumn("lineage_path_id", identity("manifest_id", "artifact_id", "record_id", "observation_id", "cell_id"))
@@ -143,7 +143,7 @@ def arrival_lineage(fact: DataFrame) -> DataFrame:
 
 def impact_audit(fact: DataFrame, edges: DataFrame) -> DataFrame:
     """Dirty cells of each arrival by the graph against the rows' own cells, and cells whose last change it was."""
-    reach = edges.where("relationship = 'observation_measures_cell'").select(F.col("from_id").alias("observation_id"), F.col("to_id").alias("reached"))
+    reach = edges.where("relationship = 'observation_materializes_cell'").select(F.col("from_id").alias("observation_id"), F.col("to_id").alias("reached"))
     rows = fact.select("arrival_order", "observation_id", "cell_id").join(reach, "observation_id", "left")
     last = fact.groupBy("cell_id").agg(F.max("arrival_order").alias("last_dirty"))
     by = rows.join(last, "cell_id").groupBy("arrival_order")
@@ -162,4 +162,4 @@ def trace_upstream(edges: DataFrame, cells: DataFrame) -> DataFrame:
         kind = EDGES[relationship][0]
         hop = edges.where(F.col("relationship") == relationship).select(F.col("to_id").alias(at), F.col("from_id").alias(kind))
         out, at = out.join(hop, at), kind
-    return out.select("cell_id", "observation", "record", "artifact", "manifest")
+    return out.select("cell_id", "observation", *(F.col(f"source_{k}").alias(k) for k in ("record", "artifact", "manifest")))

@@ -168,7 +168,7 @@ def resolve_cells(store: DataFrame) -> DataFrame:
 
 def dirty_cells(edges: DataFrame, arrived: DataFrame) -> DataFrame:
     """Cells that the arriving observations reach through the lineage edges; ``mismatch`` counts those that are not the row's own."""
-    reach = edges.where("relationship = 'observation_measures_cell'").select(F.col("from_id").alias("observation_id"), F.col("to_id").alias("reached"))
+    reach = edges.where("relationship = 'observation_materializes_cell'").select(F.col("from_id").alias("observation_id"), F.col("to_id").alias("reached"))
     hit = arrived.select("observation_id", "cell_id").join(reach, "observation_id")
     return hit.groupBy(F.col("reached").alias("cell_id")).agg(F.count_if(F.col("reached") != F.col("cell_id")).alias("mismatch"))
 

@@ -133,14 +133,6 @@ def read_statistics(spark, d):
     return cost.read_statistics(rows, ["strategy"], ["files"], "bytes")
 
 
-@query("plan_audit")
-def plan_audit(spark, d):
-    """Plan texts made of the orders: an upsert's with rewritten files, or a look-up's."""
-    text = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("ReplaceData\n+- SortMergeJoin [k#"), F.col("o_orderkey").cast("string"), F.lit("L] FullOuter"))).otherwise(F.concat(F.lit("Project\n+- BroadcastHashJoin [k#"), F.col("o_orderkey").cast("string"), F.lit("]")))
-    plans = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("name"), text.alias("plan"))
-    return cost.plan_audit(plans).groupBy("digest", "top", "joins", "rewrites_files").agg(F.count("*").alias("plans"))
-
-
 @query("cost_of_recall", sql(f"""WITH {_AUDIT}, m AS ({_METRICS}), l AS (SELECT 'B0' AS strategy, count(*) AS material FROM fact f JOIN current c USING (cell_id) WHERE f.observation_id <> c.observation_id AND f.value <> c.value
         UNION ALL SELECT 'B2', count(*) FROM fact f JOIN selected c USING (cell_id) WHERE f.observation_id <> c.observation_id AND f.value <> c.value), {_T}, {_LINES},
     names AS (SELECT strategy, 'B' || CAST(row_number() OVER (ORDER BY strategy) - 1 AS VARCHAR) AS b FROM lines)

@@ -85,7 +85,7 @@ def _graph_fact(spark, d):
 _EDGE = "substr(sha256(concat_ws(chr(31), from_id, relationship, to_id)), 1, 20) AS edge_id"
 
 
-@query("inherit_lineage", sql(f"WITH {_RANK}, e AS (SELECT {_OBS} AS from_id, 'observation_measures_cell' AS relationship, cell_id AS to_id FROM pl) SELECT {_EDGE}, * FROM e", "current"))
+@query("inherit_lineage", sql(f"WITH {_RANK}, e AS (SELECT {_OBS} AS from_id, 'observation_materializes_cell' AS relationship, cell_id AS to_id FROM pl) SELECT {_EDGE}, * FROM e", "current"))
 def inherit_lineage(spark, d):
     return inject.inherit_lineage(_synthetic(spark, d), lineage.lineage_edges(_graph_fact(spark, d)))
 
@@ -169,7 +169,7 @@ def _node(kind: str) -> str:
 _GF = "gf AS (SELECT f.*, r.manifest_sha256 FROM fact f JOIN releases r USING (source_id))"
 _NODES = f"{_GF}, nodes AS (" + " UNION ".join(f"SELECT {_node(k)} AS node_id, '{k}' AS node_type, concat_ws('|', {', '.join(c)}) AS label FROM gf" for k, c in lineage.NODES.items()) + ")"
 _EDGES = "e0 AS (" + " UNION ".join(f"SELECT {_node(a)} AS from_id, '{r}' AS relationship, {_node(b)} AS to_id, '{'derived' if 'run' in r else 'recorded'}' AS evidence FROM gf" for r, (a, b) in lineage.EDGES.items()) + f"), edges AS (SELECT {_EDGE}, * FROM e0)"
-_PATHS = f"""ids AS (SELECT observation_id, cell_id, {_node('manifest')} AS manifest_id, {_node('artifact')} AS artifact_id, {_node('record')} AS record_id FROM gf),
+_PATHS = f"""ids AS (SELECT observation_id, cell_id, {_node('source_manifest')} AS manifest_id, {_node('source_artifact')} AS artifact_id, {_node('source_record')} AS record_id FROM gf),
     paths AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS record_reuse, substr(sha256(concat_ws(chr(31), manifest_id, artifact_id, record_id, observation_id, cell_id)), 1, 20) AS lineage_path_id FROM ids)"""
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from revisor.operators.strategies import overwrite_state
-from revisor.plans.bridge import fact, releases, sql, table
+from revisor.operators.strategies import full_snapshots, overwrite_state
+from revisor.plans.bridge import RELEASES, fact, releases, sql, table
 from revisor.plans.registry import query
 from revisor.sources import files
 from revisor.streaming import arrivals
@@ -51,23 +53,36 @@ _CUBE = """cube AS (SELECT c_mktsegment, CAST(1100 + n_nationkey * 100 AS VARCHA
 
 @query("scan_json_cube", f"WITH {_CUBE} SELECT '7' AS series_key, geo_code, geo_name, 'province' AS geo_level, category, observed_period, value_lexeme, true AS numeric FROM cube")
 def scan_json_cube(spark, d):
-    return files.scan_json_cube(_payloads(spark, d), F.col("payload"))
+    return files.scan_json_cube(_payloads(spark, d), F.col("payload")).drop("place", "c_mktsegment")
+
 
+@query("cube_report", f"""WITH {_CUBE} SELECT c_mktsegment, count(*) + count(*) FILTER (geo_code = '1200') AS cells, count(*) FILTER (observed_period = '1995') + count(*) FILTER (observed_period = '1995' AND geo_code = '1200') AS skipped,
+    2 * count(*) FILTER (geo_code = '1200') AS duplicates FROM cube GROUP BY 1""")
+def cube_report(spark, d):
+    """The cubes with one area listed twice, and with a dash for the numbers of one year."""
+    twice = F.regexp_replace("payload", r'(\{"val":"1200","label":"[^"]*"\})', "$1,$1")
+    dashed = F.regexp_replace(twice, r'("\d+7[A-Z]?\d*1995\d*"):"\d+"', '$1:"-"')
+    return files.cube_report(files.scan_json_cube(_payloads(spark, d).withColumn("payload", dashed), F.col("payload")), ["c_mktsegment"])
 
-@query("scan_json_series")
+
+@query("scan_json_series", f"WITH {_CUBE} SELECT observed_period, '7' AS series_key, '9999' AS geo_code, geo_name, 'national' AS geo_level, category, value_lexeme, true AS numeric FROM cube WHERE geo_code = '1100' AND category = 'F'")
 def scan_json_series(spark, d):
     """The cube's areas recoded as the nation, so that its national rows are read."""
     national = _payloads(spark, d).withColumn("payload", F.regexp_replace("payload", '"1100', '"9999'))
     years = table(spark, d, "orders").select(F.year("o_orderdate").cast("string").alias("year")).distinct()
-    return files.scan_json_series(national, F.col("payload"), "F", years)
+    return files.scan_json_series(national, F.col("payload"), "F", years).drop("place", "c_mktsegment")
 
 
-@query("scan_json_restricted", f"WITH {_CUBE} SELECT geo_code, observed_period, min(value_lexeme) AS value_lexeme FROM cube WHERE category = 'F' GROUP BY 1, 2")
+@query("scan_json_restricted", f"""WITH {_CUBE}, w AS (SELECT DISTINCT geo_code, observed_period FROM cube WHERE category = 'F' UNION SELECT DISTINCT geo_code, '1900' FROM cube),
+    f AS (SELECT geo_code, observed_period, arg_min(value_lexeme, c_mktsegment) AS value_lexeme FROM cube WHERE category = 'F' GROUP BY 1, 2)
+    SELECT geo_code, observed_period, value_lexeme, value_lexeme IS NULL AS missing FROM w LEFT JOIN f USING (geo_code, observed_period)""")
 def scan_json_restricted(spark, d):
-    wanted = table(spark, d, "orders").where("o_orderstatus = 'F'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    keys = wanted.select((1100 + F.col("c_nationkey") * 100).cast("string").alias("geo_code"), F.year("o_orderdate").cast("string").alias("observed_period"), F.lit("F").alias("category")).distinct()
-    first, _ = files.scan_json_restricted(_payloads(spark, d), F.col("payload"), keys, ["geo_code", "observed_period", "category"])
-    return first.select("geo_code", "observed_period", "value_lexeme")
+    """Wanted are the nations' years of one status, and a year that no payload has; the first payload is that of the first segment."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = o.select((1100 + F.col("n_nationkey") * 100).cast("string").alias("geo_code"), F.when(F.col("o_orderstatus") == "F", F.year("o_orderdate").cast("string")).alias("year"))
+    keys = rows.select("geo_code", F.explode(F.array("year", F.lit("1900"))).alias("observed_period")).where("observed_period is not null").distinct().withColumn("category", F.lit("F"))
+    got = files.scan_json_restricted(_payloads(spark, d), F.col("payload"), keys, ["geo_code", "observed_period", "category"], ["c_mktsegment"])
+    return got.select("geo_code", "observed_period", "value_lexeme", "missing")
 
 
 @query("unpack_series", """SELECT o_custkey, CAST(year(o_orderdate) AS VARCHAR) AS year, CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS VARCHAR) AS value_lexeme, CAST(NULL AS VARCHAR) AS problem FROM orders GROUP BY 1, 2""")
@@ -99,16 +114,27 @@ def modal_precision_split(spark, d):
     return files.modal_precision_split(rows, "l_returnflag", "token").select("l_orderkey", "l_linenumber", "value", "note")
 
 
-@query("verify_manifest")
+@query("verify_manifest", """WITH f AS (SELECT o_custkey % 40 AS k, sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey) || chr(10)) AS sha, count(*) AS n FROM orders GROUP BY 1),
+    m AS (SELECT k, CASE WHEN k % 10 = 3 THEN sha256(sha) ELSE sha END AS listed, CASE WHEN k % 10 = 4 THEN n + 1 ELSE n END AS listed_n FROM f WHERE k % 10 <> 5 UNION ALL SELECT k + 1000, sha, n FROM f WHERE k < 5)
+    SELECT 'k=' || CAST(k AS VARCHAR) AS name, CASE WHEN sha IS NULL THEN 'missing' WHEN listed IS NULL THEN 'unlisted' WHEN sha <> listed THEN 'drifted' WHEN n <> listed_n THEN 'rows_differ' ELSE 'ok' END AS status FROM f FULL JOIN m USING (k)""")
 def verify_manifest(spark, d):
+    """Text files of order keys against a manifest with drifted digests, wrong counts, files that are not there and files it does not list."""
     path = files.scratch(spark, "manifest")
-    manifest = files.write_manifested(table(spark, d, "orders"), path)
-    return files.verify_manifest(files.file_digests(spark, path, "*.parquet"), manifest)
-
-
-@query("write_manifested")
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("k"), "o_orderkey")
+    rows.repartition("k").sortWithinPartitions("k", "o_orderkey").select("k", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("k").text(path)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    counts = spark.read.text(path).groupBy(name.alias("name")).agg(F.count("*").alias("rows"))
+    found = files.file_digests(spark, path, "*.txt", parts=2).withColumn("name", F.split_part("name", F.lit("/"), F.lit(1))).join(counts, "name")
+    k = F.split_part("name", F.lit("="), F.lit(2)).cast("int")
+    planted = found.where(k % 10 != 5).withColumn("sha256", F.when(k % 10 == 3, F.sha2("sha256", 256)).otherwise(F.col("sha256"))).withColumn("rows", F.when(k % 10 == 4, F.col("rows") + 1).otherwise(F.col("rows")))
+    gone = found.where(k < 5).withColumn("name", F.concat(F.lit("k="), k + 1000))
+    return files.verify_manifest(found, planted.unionByName(gone))
+
+
+@query("write_manifested", "SELECT 'output' AS kind, l_returnflag AS part, count(*) AS rows FROM lineitem GROUP BY 2 UNION ALL SELECT 'input', NULL, count(*) FROM lineitem")
 def write_manifested(spark, d):
-    return files.write_manifested(table(spark, d, "lineitem"), files.scratch(spark, "manifested"))
+    made = files.write_manifested(table(spark, d, "lineitem"), files.scratch(spark, "manifested"), by="l_returnflag")
+    return made.groupBy("kind", "part").agg(F.sum("rows").alias("rows"))
 
 
 @query("batch_id", sql("SELECT substr(sha256(string_agg(source_id || '=' || manifest_sha256, ';' ORDER BY source_id)), 1, 20) AS batch_id FROM releases JOIN (SELECT DISTINCT source_id FROM fact) USING (source_id)", "fact"))
@@ -129,63 +155,73 @@ def partitioned_sink(spark, d):
     return spark.read.parquet(path).groupBy("domain").agg(F.count("*").alias("rows"), F.count_distinct("cell_id").alias("cells"))
 
 
-def _versions(spark, d):
-    """A table that each release overwrites with the state after it, smaller to larger."""
-    t = files.VersionedTable(spark, files.scratch(spark, "versions"))
-    rows = fact(spark, d)
-    for order in (1, 2, 3):
-        t.overwrite(overwrite_state(rows.where(F.col("arrival_order") <= order)).select("cell_id", "observation_id"))
-    return t
+LAST = len(RELEASES)
 
 
-_ASOF = "SELECT cell_id, observation_id FROM states WHERE snapshot_order = {}"
+def _state(rows, order):
+    """What is served after a release."""
+    return overwrite_state(rows.where(F.col("arrival_order") <= order)).select("cell_id", "observation_id")
 
 
-@query("overwrite_table", sql(_ASOF.format(3), "states"))
+def _versions(spark, d):
+    """The state after each release as a partition of one table."""
+    path = files.scratch(spark, "versions")
+    full_snapshots(fact(spark, d), LAST).select("cell_id", "observation_id", F.col("snapshot_order").cast("long").alias("version")).write.partitionBy("version").parquet(path)
+    return path
+
+
+@query("overwrite_table", sql(f"SELECT cell_id, observation_id FROM states WHERE snapshot_order = {LAST}", "states"))
 def overwrite_table(spark, d):
-    return _versions(spark, d).read()
+    """Each release overwrites one table with the state after it, smaller and larger ones in turn."""
+    path, rows = files.scratch(spark, "overwritten"), fact(spark, d)
+    for order in range(1, LAST + 1):
+        _state(rows, order).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("append_table", sql("SELECT cell_id, observation_id FROM fact", "fact"))
 def append_table(spark, d):
-    t = files.AppendTable(spark, files.scratch(spark, "append"))
-    rows = fact(spark, d).select("cell_id", "observation_id", "arrival_order")
-    t.append(rows.where("arrival_order <= 3").drop("arrival_order"))
-    t.append(rows.where("arrival_order > 3").drop("arrival_order"))
-    return t.read()
+    path, rows = files.scratch(spark, "append"), fact(spark, d)
+    for order in range(1, LAST + 1):
+        rows.where(F.col("arrival_order") == order).select("cell_id", "observation_id").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
-@query("truncate", sql("SELECT (SELECT count(*) FROM states WHERE snapshot_order = 3) AS before, CAST(0 AS BIGINT) AS after FROM fact LIMIT 1", "fact", "states"))
+@query("truncate", sql("SELECT (SELECT count(*) FROM current) AS before, CAST(0 AS BIGINT) AS after FROM fact LIMIT 1", "fact", "current"))
 def truncate(spark, d):
-    t = _versions(spark, d)
-    before = t.read().agg(F.count("*").alias("before"))
-    t.truncate()
-    return before.crossJoin(t.read().agg(F.count("*").alias("after")))  # one row each
+    path, rows = files.scratch(spark, "truncated"), _state(fact(spark, d), LAST)
+    rows.write.parquet(path)
+    before = files.written(spark.read.parquet(path).agg(F.count("*").alias("before")), "before")
+    rows.limit(0).write.mode("overwrite").parquet(path)
+    return before.crossJoin(spark.read.schema(rows.schema).parquet(path).agg(F.count("*").alias("after")))  # one row each
 
 
-@query("drop_purge", sql("SELECT count(*) AS rows, true AS dropped FROM states WHERE snapshot_order <= 3", "states"))
+@query("drop_purge", sql("SELECT CAST(snapshot_order AS BIGINT) AS version, count(*) AS rows, true AS dropped FROM states GROUP BY 1", "states"))
 def drop_purge(spark, d):
-    t = _versions(spark, d)
-    rows = t.history().count()
-    t.drop()
-    return spark.sql(f"SELECT {rows}L AS rows, {str(not t.versions()).lower()} AS dropped")
+    """The rows by version of a catalog table before it is dropped, and whether the catalog has lost it."""
+    name = f"dropped_{uuid.uuid4().hex}"
+    spark.read.parquet(_versions(spark, d)).write.saveAsTable(name)
+    rows = files.written(spark.table(name).groupBy("version").agg(F.count("*").alias("rows")), "rows")
+    spark.sql(f"DROP TABLE {name} PURGE")
+    left = spark.sql(f"SHOW TABLES LIKE '{name}'").agg((F.count("*") == 0).alias("dropped"))
+    return rows.crossJoin(left)  # one row
 
 
-@query("snapshot_read", sql("SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states WHERE snapshot_order <= 3", "states"))
+@query("snapshot_read", sql("SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states", "states"))
 def snapshot_read(spark, d):
-    return _versions(spark, d).history().select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
+    return spark.read.parquet(_versions(spark, d)).select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
 
 
-@query("expire_versions", sql("SELECT cell_id, observation_id, CAST(3 AS BIGINT) AS version FROM states WHERE snapshot_order = 3", "states"))
+@query("expire_versions", sql(f"SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states WHERE snapshot_order > {LAST - 2}", "states"))
 def expire_versions(spark, d):
-    t = _versions(spark, d)
-    t.expire(keep=1)
-    return t.history().select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
+    kept = files.keep_last(_versions(spark, d), files.scratch(spark, "kept"), spark, "version", keep=2)
+    return kept.select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
 
 
-@query("file_inventory")
+@query("file_inventory", "SELECT 'lineitem' AS name, true AS sized, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', true, count(*) FROM orders")
 def file_inventory(spark, d):
-    return files.file_inventory(spark, f"{d}/lineitem.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "rows")
+    each = [files.file_inventory(spark, f"{d}/{t}.parquet").agg((F.min("size") > 0).alias("sized"), F.sum("rows").alias("rows")).select(F.lit(t).alias("name"), "sized", "rows") for t in ("lineitem", "orders")]
+    return each[0].unionByName(each[1])
 
 
 @query("orphan_files", """SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(p_size AS BIGINT) * 1024 AS size FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)""")
@@ -195,15 +231,6 @@ def orphan_files(spark, d):
     return files.orphan_files(listing.withColumn("modified", -F.col("modified")), referenced, F.lit(-10)).select("path", "size")
 
 
-@query("event_log_scan")
-def event_log_scan(spark, d):
-    """An event log of one task end for each order, and its totals by stage."""
-    path = files.scratch(spark, "eventlog")
-    line = F.concat(F.lit('{"Event":"SparkListenerTaskEnd","Stage ID":'), (F.col("o_custkey") % 8).cast("string"), F.lit(',"Task Metrics":{"Executor Run Time":1,"Input Metrics":{"Bytes Read":'), F.col("o_orderkey").cast("string"), F.lit(',"Records Read":1},"Shuffle Write Metrics":{"Shuffle Bytes Written":0,"Shuffle Records Written":2}}}'))
-    table(spark, d, "orders").select(line.alias("value")).write.text(path)
-    return files.event_log_scan(spark, path)
-
-
 # ---------------------------------------------------------------- streaming
 
 
@@ -216,22 +243,19 @@ def _arrival_folder(spark, d):
 
 @query("stream_arrivals", sql("""SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, count(*) AS vintage_count FROM fact GROUP BY 1""", "fact"))
 def stream_arrivals(spark, d):
-    store, serving = files.AppendTable(spark, files.scratch(spark, "store")), files.VersionedTable(spark, files.scratch(spark, "serving"))
-    arrivals.stream_arrivals(_arrival_folder(spark, d), store, serving, files.scratch(spark, "progress")).awaitTermination()
-    return serving.read().select("cell_id", "observation_id", "vintage_count")
+    serving = files.scratch(spark, "serving")
+    arrivals.stream_arrivals(_arrival_folder(spark, d), files.scratch(spark, "store"), serving, files.scratch(spark, "progress")).awaitTermination()
+    return spark.read.parquet(serving).select("cell_id", "observation_id", "vintage_count")
 
 
 @query("stream_latest", sql("SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, arg_max(value_lexeme, arrival_order) AS value_lexeme FROM fact GROUP BY 1", "fact"))
 def stream_latest(spark, d):
     """The running latest, written by an update-mode stream; the last row of each cell in the sink is the answer."""
-    sink = files.VersionedTable(spark, files.scratch(spark, "latest"))
+    sink = files.scratch(spark, "latest")
 
     def put(batch, batch_id):
-        rows = batch.withColumn("batch_id", F.lit(batch_id))
-        rows.write.parquet(f"{sink.path}/version={batch_id + 1}", mode="overwrite")
+        batch.write.parquet(f"{sink}/batch_id={batch_id}", mode="overwrite")
 
     found = arrivals.stream_latest(_arrival_folder(spark, d))
     found.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", files.scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return sink.history().groupBy("cell_id").agg(F.max_by(F.struct("observation_id", "value_lexeme"), "batch_id").alias("v")).select("cell_id", "v.*")
-
-
+    return spark.read.parquet(sink).groupBy("cell_id").agg(F.max_by(F.struct("observation_id", "value_lexeme"), "batch_id").alias("v")).select("cell_id", "v.*")

@@ -1,4 +1,4 @@
-"""Scans and sinks: strict CSV, JSON cubes, packed series, manifests and versioned tables.
+"""Scans and sinks: strict CSV, JSON cubes, packed series, manifests and partitioned tables.
 
 Paths go through Spark's readers and writers only, so any store that Spark opens works.
 """
@@ -16,11 +16,31 @@ from revisor.functions.identity import decimal_of, geo_level, normalise_name
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder that driver and executors share: in spark.checkpoint.dir; where it is unset, a local one if the master is local, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder and read it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a side of a join is broadcast.
+MOST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it if its rows are counted to be few; else as it is."""
+    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df
+
+
 def scan_strict_csv(spark: SparkSession, path: str, columns: list[str], required: list[str]) -> DataFrame:
     """CSV with a header, all strings; a row with too many or few fields fails, as does a missing column."""
     if missing := set(required) - set(columns):
@@ -42,15 +62,17 @@ def scan_json_cube(rows: DataFrame, payload: str) -> DataFrame:
     """Cells of multi-dimensional payloads (JSON text): areas by categories by periods.
 
     A cell's number is looked up by its concatenated dimension ids; cells without a
-    number are left out, and ``numeric`` says whether the text is a number.
+    number are left out.  ``numeric`` says whether the text is a number, ``place`` where
+    the cell stands in its payload; ``cube_report`` counts what a caller may not accept.
     """
     p = rows.withColumn("p", F.from_json(payload, CUBE)).select("*", F.col("p.var")[0]["val"].alias("variable"), F.col("p.turtahun")[0]["val"].alias("part"), "p.datacontent", "p.last_update")
-    cells = (
-        p.withColumn("area", F.explode("p.vervar")).withColumn("category", F.explode("p.turvar")).withColumn("period", F.explode("p.tahun"))
-    )
+    cells = p
+    for dimension, name in (("vervar", "area"), ("turvar", "category"), ("tahun", "period")):
+        cells = cells.select("*", F.posexplode(f"p.{dimension}").alias(f"{name}_at", name))
     key = F.concat("area.val", "variable", "category.val", "period.val", "part")
     found = cells.withColumn("value_lexeme", F.try_element_at("datacontent", key)).where("value_lexeme is not null")
     return found.select(
+        *(F.col(c) for c in rows.columns if c != "payload"),
         F.col("variable").alias("series_key"),
         F.col("area.val").alias("geo_code"),
         F.col("area.label").alias("geo_name"),
@@ -59,20 +81,31 @@ def scan_json_cube(rows: DataFrame, payload: str) -> DataFrame:
         F.col("period.label").alias("observed_period"),
         "value_lexeme",
         decimal_of(F.col("value_lexeme")).isNotNull().alias("numeric"),
+        F.struct("area_at", "category_at", "period_at").alias("place"),
     )
 
 
+def cube_report(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Cells of ``scan_json_cube`` by payload: all, those skipped for not being numeric, and those whose ids repeat."""
+    ids = ["series_key", "geo_code", "category", "observed_period"]
+    again = F.count("*").over(Window.partitionBy(*by, *ids)) > 1
+    return cells.withColumn("again", again).groupBy(*by).agg(F.count("*").alias("cells"), F.count_if(~F.col("numeric")).alias("skipped"), F.count_if("again").alias("duplicates"))
+
+
 def scan_json_series(rows: DataFrame, payload: str, category: str, years: DataFrame) -> DataFrame:
     """National yearly values of one category, for the years wanted."""
     cube = scan_json_cube(rows, payload).where((F.col("geo_level") == "national") & (F.col("category") == category) & F.col("numeric"))
-    return cube.join(F.broadcast(years.select(F.col("year").alias("observed_period"))), "observed_period", "left_semi")  # a row for each year
+    return cube.join(years.select(F.col("year").alias("observed_period")), "observed_period", "left_semi")
+
 
+def scan_json_restricted(rows: DataFrame, payload: str, wanted: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Cells that another source published: a row for each wanted key, with the first cell of it or none (``missing``).
 
-def scan_json_restricted(rows: DataFrame, payload: str, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Cells that another source published, the first of each key; and the keys that are missing here."""
-    cells = scan_json_cube(rows, payload).where("numeric").join(wanted.select(keys), keys, "left_semi")
-    first = cells.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("value_lexeme"))).where("n = 1").drop("n")
-    return first, wanted.join(first, keys, "left_anti")
+    The first is the first in ``order`` (columns of ``rows``), then by its place in the payload.
+    """
+    cells = scan_json_cube(rows, payload).where("numeric")
+    first = cells.join(wanted.select(keys), keys, "left_semi").groupBy(*keys).agg(F.min_by(F.struct("value_lexeme", "geo_name"), F.struct(*order, "place")).alias("first"))
+    return wanted.select(keys).distinct().join(first, keys, "left").select(*keys, "first.*", F.col("first").isNull().alias("missing"))
 
 
 def unpack_series(rows: DataFrame, packed: str) -> DataFrame:
@@ -85,9 +118,9 @@ def unpack_series(rows: DataFrame, packed: str) -> DataFrame:
 
 
 def name_code_lookup(rows: DataFrame, name: str, areas: DataFrame) -> DataFrame:
-    """Codes by normalised name; ``unknown`` where no area has the name.  Areas are few."""
+    """Codes by normalised name; ``unknown`` where no area has the name."""
     codes = areas.select(normalise_name(F.col("area_name")).alias("norm"), "area_code").dropDuplicates(["norm"])
-    out = rows.withColumn("norm", normalise_name(F.col(name))).join(F.broadcast(codes), "norm", "left")
+    out = rows.withColumn("norm", normalise_name(F.col(name))).join(small(codes), "norm", "left")
     return out.withColumn("unknown", F.col("area_code").isNull()).drop("norm")
 
 
@@ -112,26 +145,50 @@ def modal_precision_split(tokens: DataFrame, column: str, token: str) -> DataFra
     return out.withColumn("value", value).withColumn("note", note).drop("point", "missing", "decimals", "modal")
 
 
-def file_digests(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """name, size, sha256 of the files of a folder; files are read whole, one in a task's memory at a time."""
+def _tail(path: str, parts: int) -> Column:
+    """The last parts of a path: tasks give a file the same name in each partition's folder."""
+    return F.array_join(F.slice(F.split(F.col(path), "/"), -parts, parts), "/")
+
+
+def file_digests(spark: SparkSession, folder: str, pattern: str, parts: int = 1) -> DataFrame:
+    """name (the last ``parts`` of the path), size, sha256 of the files of a folder.
+
+    A file is read whole, one in a task's memory at a time, and may have 2 GB at most.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select(_tail("path", parts).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """name, status: ok, drifted, missing or unlisted."""
-    m = manifest.select("name", F.col("sha256").alias("listed"))
-    rows = found.select("name", "sha256").join(m, "name", "full_outer")
-    status = F.when(F.col("sha256").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(F.col("sha256") == F.col("listed"), "ok").otherwise("drifted")
+    """name, status: ok, drifted, rows_differ, missing or unlisted; both sides have name, sha256 and rows."""
+    m = manifest.select("name", F.col("sha256").alias("listed"), F.col("rows").alias("listed_rows"))
+    rows = found.select("name", "sha256", "rows").join(m, "name", "full_outer")
+    status = (
+        F.when(F.col("sha256").isNull(), "missing")
+        .when(F.col("listed").isNull(), "unlisted")
+        .when(F.col("sha256") != F.col("listed"), "drifted")
+        .when(~F.col("rows").eqNullSafe(F.col("listed_rows")), "rows_differ")
+        .otherwise("ok")
+    )
     return rows.select("name", status.alias("status"))
 
 
-def write_manifested(df: DataFrame, path: str) -> DataFrame:
-    """Write Parquet and return its manifest: name, size, sha256, rows."""
-    df.write.parquet(path)
-    spark = df.sparkSession
-    rows = spark.read.parquet(path).groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name")).agg(F.count("*").alias("rows"))
-    return file_digests(spark, path, "*.parquet").join(rows, "name", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+def write_manifested(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """Write Parquet and return its manifest: kind, name, part (the value of ``by``), size, sha256, rows.
+
+    Outputs are the files written, inputs those that ``df`` was read from, with their rows.
+    """
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    spark, parts = df.sparkSession, 2 if by else 1
+    name = _tail("_metadata.file_path", parts)
+    part = (F.col(by).cast("string") if by else F.lit(None).cast("string")).alias("part")
+    rows = spark.read.parquet(path).groupBy(name.alias("name"), part).agg(F.count("*").alias("rows"))
+    out = file_digests(spark, path, "*.parquet", parts).join(rows, "name", "left").select(F.lit("output").alias("kind"), "name", "part", "size", "sha256", F.coalesce("rows", F.lit(0)).alias("rows"))
+    sources = [f for f in df.inputFiles()]
+    if not sources:
+        return out
+    read = spark.read.parquet(*sources).groupBy(name.alias("name"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("rows"))
+    return out.unionByName(read.withColumn("kind", F.lit("input")), allowMissingColumns=True)
 
 
 def batch_id(manifest: DataFrame) -> DataFrame:
@@ -155,89 +212,12 @@ def partitioned_sink(df: DataFrame, by: str, path: str) -> None:
     df.repartition(by, salt).write.partitionBy(by).parquet(path)
 
 
-class _Folder:
-    """Numbered Parquet folders, each written whole, under one path."""
-
-    def __init__(self, spark: SparkSession, path: str, name: str):
-        self.spark, self.path, self.name = spark, path, name
-
-    def _hadoop(self, tail: str = ""):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}{tail}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def numbers(self) -> list[int]:
-        """Folders that were written to their end."""
-        fs, path = self._hadoop()
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in names if n.startswith(f"{self.name}=") and fs.exists(self._hadoop(f"/{n}/_SUCCESS")[1])]
-        return sorted(int(n.split("=")[1]) for n in done)
-
-    def delete(self, n: int) -> None:
-        fs, path = self._hadoop(f"/{self.name}={n}")
-        fs.delete(path, True)
-
-    def drop(self) -> None:
-        fs, path = self._hadoop()
-        fs.delete(path, True)
-
-
-class VersionedTable(_Folder):
-    """Each write is a version of the whole table; readers name one or take the last.
-
-    A table cannot be overwritten from its own scan in place, so a version never is.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        super().__init__(spark, path, "version")
-
-    def versions(self) -> list[int]:
-        return self.numbers()
-
-    def overwrite(self, df: DataFrame) -> int:
-        n = (self.versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/version={n}")
-        return n
-
-    def truncate(self) -> int:
-        return self.overwrite(self.read().limit(0))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/version={version or self.versions()[-1]}")
-
-    def history(self) -> DataFrame:
-        """Rows of all versions with their number."""
-        return self.spark.read.parquet(self.path)
-
-    def expire(self, keep: int = 1) -> list[int]:
-        """Drop all versions but the last ``keep``."""
-        gone = self.versions()[:-keep]
-        for n in gone:
-            self.delete(n)
-        return gone
-
-
-class AppendTable(_Folder):
-    """Rows in numbered batches: an append writes its own rows only, and one that runs again replaces them."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        super().__init__(spark, path, "batch")
-
-    def append(self, df: DataFrame, batch: int | None = None) -> int:
-        n = (self.numbers() or [-1])[-1] + 1 if batch is None else batch
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={n}")
-        return n
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """Rows of all batches, or of those before a number; None while there are none."""
-        if not (found := [n for n in self.numbers() if before is None or n < before]):
-            return None
-        return self.spark.read.parquet(*(f"{self.path}/batch={n}" for n in found))
-
-    def compact_into(self, other: AppendTable, by: str) -> None:
-        """All rows as one batch of another table, in fewer files, rows of a key together."""
-        other.append(self.read().repartition(by), 0)
+def keep_last(path: str, to: str, spark: SparkSession, by: str, keep: int = 1) -> DataFrame:
+    """The last ``keep`` values of a table's partition column, written elsewhere; the partitions before them are not read."""
+    table = spark.read.parquet(path)
+    last = [r[0] for r in table.select(by).distinct().orderBy(F.col(by).desc()).limit(keep).collect()]  # ``keep`` values
+    table.where(F.col(by).isin(last)).write.partitionBy(by).parquet(to)
+    return spark.read.parquet(to)
 
 
 def file_inventory(spark: SparkSession, path: str, by: Column | None = None) -> DataFrame:
@@ -249,18 +229,3 @@ def file_inventory(spark: SparkSession, path: str, by: Column | None = None) ->
 def orphan_files(listing: DataFrame, referenced: DataFrame, before: Column) -> DataFrame:
     """Listed objects that no metadata refers to and that are older than a time; nothing is deleted here."""
     return listing.join(referenced.select("path").distinct(), "path", "left_anti").where(F.col("modified") < before)
-
-
-def event_log_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Stage totals of a Spark event log: tasks, bytes and records read, records written to shuffles."""
-    log = spark.read.schema(
-        "`Event` string, `Stage ID` int, `Task Metrics` struct<`Executor Run Time`:bigint,`Input Metrics`:struct<`Bytes Read`:bigint,`Records Read`:bigint>,`Shuffle Write Metrics`:struct<`Shuffle Bytes Written`:bigint,`Shuffle Records Written`:bigint>>"
-    ).json(path)
-    ended = log.where("Event = 'SparkListenerTaskEnd'")
-    m = F.col("Task Metrics")
-    return ended.groupBy(F.col("Stage ID").alias("stage_id")).agg(
-        F.count("*").alias("tasks"),
-        F.sum(m["Input Metrics"]["Bytes Read"]).alias("bytes_read"),
-        F.sum(m["Input Metrics"]["Records Read"]).alias("records_read"),
-        F.sum(m["Shuffle Write Metrics"]["Shuffle Records Written"]).alias("shuffle_records"),
-    )

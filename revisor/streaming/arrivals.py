@@ -1,31 +1,58 @@
-"""Releases as a stream: each micro-batch appends to the store and resolves the cells it touches."""
+"""Releases as a stream: each micro-batch adds to the store and resolves the cells of the parts it touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisor.operators.model import KNOWLEDGE
-from revisor.operators.strategies import resolve_cells, vintage_store
-from revisor.sources.files import AppendTable, VersionedTable
+from revisor.operators.strategies import resolve_cells
 
+#: Parts of the store and of the serving state, by a hash of the cell.
+PARTS = 64
 
-def stream_arrivals(arrivals: DataFrame, store: AppendTable, serving: VersionedTable, checkpoint: str):
-    """Start the query: per batch, append what the store lacks, resolve the dirty cells, write the serving state anew.
 
-    The store only ever gets new rows, under the batch's number: a batch that runs
-    again reads what came before it and replaces its own rows.  Each serving state is
-    a version, so a batch that fails half-way leaves the last one whole.
+def part_of(cell: str) -> Column:
+    return F.pmod(F.xxhash64(cell), F.lit(PARTS)).cast("int")
+
+
+def _read(spark: SparkSession, path: str, touched: list[int]) -> DataFrame | None:
+    """The touched parts of a table, or None where nothing is written yet."""
+    try:
+        return spark.read.parquet(path).where(F.col("part").isin(touched))
+    except AnalysisException:
+        return None
+
+
+def _put(rows: DataFrame, path: str, *by: str) -> None:
+    """Replace the partitions that ``rows`` has and leave the others as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def stream_arrivals(arrivals: DataFrame, store: str, serving: str, checkpoint: str):
+    """Start the query: per batch, add what the store lacks, and resolve the cells of the touched parts anew.
+
+    ``store`` and ``serving`` are paths of tables in PARTS parts by a hash of cell_id; a
+    batch reads and writes its own parts only.  The store has a folder for each part and
+    batch: a batch that runs again reads what other batches wrote and replaces its own
+    rows, so it gives the same store and the same serving state.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        before = store.read(before=batch_id)
-        fresh = vintage_store(before, batch) if before is not None else batch
-        store.append(fresh.select(batch.columns), batch_id)
-        dirty = batch.select("cell_id").distinct()
-        resolved = resolve_cells(store.read(before=batch_id + 1).join(dirty, "cell_id", "left_semi"))
-        kept = serving.read().join(dirty, "cell_id", "left_anti").unionByName(resolved) if serving.versions() else resolved
-        serving.overwrite(kept)
+        spark = batch.sparkSession
+        rows = batch.withColumn("part", part_of("cell_id")).withColumn("batch", F.lit(batch_id))
+        touched = [r["part"] for r in rows.select("part").distinct().collect()]  # PARTS numbers at most
+        if not touched:
+            return
+        before = _read(spark, store, touched)
+        if before is not None:
+            known = before.where(F.col("batch") != batch_id).select("cell_id", "vintage_id")
+            rows = rows.join(known, ["cell_id", "vintage_id"], "left_anti").select(rows.columns)
+        _put(rows.repartition("part"), store, "part", "batch")
+        after = _read(spark, store, touched)
+        if after is not None:
+            _put(resolve_cells(after.drop("batch")).repartition("part"), serving, "part")
 
     return arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -145,7 +145,7 @@ def test_lineage_reaches_the_manifest(fact):
 def test_orphans_and_dangling_edges_are_found(fact):
     g = fact.withColumn("manifest_sha256", F.sha2("source_id", 256))
     nodes, edges = lineage.lineage_nodes(g), lineage.lineage_edges(g)
-    broken = dict(lineage.graph_integrity(nodes.where("node_type <> 'cell'"), edges).collect())
+    broken = dict(lineage.graph_integrity(nodes.where("node_type <> 'indicator_cell'"), edges).collect())
     assert broken["dangling_edge"] == 14
 
 
@@ -169,47 +169,57 @@ def test_csv_rows_of_wrong_length_fail(spark, tmp_path):
         files.scan_strict_csv(spark, f"file://{tmp_path}/x.csv", ["a", "b"], ["c"])
 
 
-def test_drifted_files_are_found(spark, tmp_path):
+def test_manifest_of_files_and_inputs(spark, tmp_path):
+    spark.range(7).write.parquet(f"file://{tmp_path}/in")
     path = f"file://{tmp_path}/t"
-    manifest = files.write_manifested(spark.range(10), path)
-    bad = manifest.withColumn("sha256", F.lit("0" * 64))
-    assert {r.status for r in files.verify_manifest(files.file_digests(spark, path, "*.parquet"), bad).collect()} == {"drifted"}
-
-
-def test_versions(spark, tmp_path):
-    t = files.VersionedTable(spark, f"file://{tmp_path}/v")
-    t.overwrite(spark.range(3))
-    t.overwrite(t.read().unionByName(spark.range(3, 5)))
-    assert t.versions() == [1, 2] and t.read().count() == 5 and t.read(1).count() == 3
-    assert t.expire() == [1] and t.read().count() == 5
-    t.truncate()
-    assert t.read().count() == 0
-    t.drop()
-    assert t.versions() == []
-
-
-def test_appends(spark, tmp_path):
-    t = files.AppendTable(spark, f"file://{tmp_path}/a")
-    assert t.read() is None
-    t.append(spark.range(3))
-    t.append(spark.range(3, 5))
-    t.append(spark.range(3, 5), 1)  # the batch runs again
-    assert t.read().count() == 5 and t.read(before=1).count() == 3
-    other = files.AppendTable(spark, f"file://{tmp_path}/b")
-    t.compact_into(other, "id")
-    assert other.read().count() == 5
+    manifest = files.write_manifested(spark.read.parquet(f"file://{tmp_path}/in"), path)
+    assert {r.kind: r.rows for r in manifest.groupBy("kind").agg(F.sum("rows").alias("rows")).collect()} == {"output": 7, "input": 7}
+    listed = manifest.where("kind = 'output'")
+    status = lambda found, m: {r.status for r in files.verify_manifest(found, m).collect()}
+    found = files.file_digests(spark, path, "*.parquet").join(listed.select("name", "rows"), "name")
+    assert status(found, listed) == {"ok"}
+    assert status(found, listed.withColumn("sha256", F.lit("0" * 64))) == {"drifted"}
+    assert status(found, listed.withColumn("rows", F.col("rows") + 1)) == {"rows_differ"}
+    assert status(found.limit(0), listed) == {"missing"} and status(found, listed.limit(0)) == {"unlisted"}
+
+
+def test_last_versions_are_kept(spark, tmp_path):
+    spark.range(10).select("id", (F.col("id") % 4).alias("version")).write.partitionBy("version").parquet(f"file://{tmp_path}/v")
+    kept = files.keep_last(f"file://{tmp_path}/v", f"file://{tmp_path}/k", spark, "version", 2)
+    assert {r.version for r in kept.collect()} == {2, 3} and kept.count() == 4
+
+
+def test_small_tables_alone_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(files, "MOST_ROWS", 5)
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(files.small(spark.range(5))) and not hinted(files.small(spark.range(6)))
 
 
 def test_a_stream_of_releases(spark, fact, tmp_path):
     from revisor.streaming.arrivals import stream_arrivals
 
     fact.repartition(3, "arrival_order").write.parquet(f"file://{tmp_path}/in")
-    store, serving = files.AppendTable(spark, f"file://{tmp_path}/store"), files.VersionedTable(spark, f"file://{tmp_path}/serving")
+    store, serving = f"file://{tmp_path}/store", f"file://{tmp_path}/serving"
     for again in range(2):  # the same batches again add nothing
         source = spark.readStream.schema(fact.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
         stream_arrivals(source, store, serving, f"file://{tmp_path}/progress{again}").awaitTermination()
     columns = ["cell_id", "observation_id", "vintage_count"]
-    assert strategies.symmetric_difference(serving.read().select(columns), strategies.resolve_cells(fact).select(columns)).count() == 0
+    assert strategies.symmetric_difference(spark.read.parquet(serving).select(columns), strategies.resolve_cells(fact).select(columns)).count() == 0
+    assert spark.read.parquet(store).count() == fact.count()
+
+
+def test_a_batch_leaves_other_parts_alone(spark, fact, tmp_path):
+    from revisor.streaming import arrivals
+
+    path = f"file://{tmp_path}/serving"
+    rows = fact.withColumn("part", arrivals.part_of("cell_id"))
+    arrivals._put(rows, path, "part")
+    files_of = lambda: {r.f: r.p for r in spark.read.parquet(path).select(F.input_file_name().alias("f"), F.col("part").alias("p")).distinct().collect()}
+    before, one = files_of(), rows.first()["part"]
+    arrivals._put(rows.where(F.col("part") == one), path, "part")
+    after = files_of()
+    assert {f for f, p in before.items() if p != one} == {f for f, p in after.items() if p != one}
+    assert not {f for f, p in before.items() if p == one} & set(after)
 
 
 def test_modal_precision(spark):
