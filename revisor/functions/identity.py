@@ -27,8 +27,8 @@ def identity(*parts: Column | str) -> Column:
 
 
 def decimal_of(lexeme: Column) -> Column:
-    """The number that a published text says, null unless it is finite and fits."""
-    return F.trim(lexeme).try_cast("decimal(28,10)")
+    """The number that a published text says, null unless it is finite and has 28 digits before the point at most; ten after it count."""
+    return F.trim(lexeme).try_cast("decimal(38,10)")
 
 
 def decimal_places(lexeme: Column) -> Column:

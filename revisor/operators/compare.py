@@ -197,7 +197,7 @@ def ingest_union(datasets: dict[str, DataFrame], domains: DataFrame, batch: str,
     for name, rows in datasets.items():
         part = rows.withColumn("input_dataset", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    rows = out.join(F.broadcast(domains), "domain_key", "left").withColumn("ingestion_batch_id", F.lit(batch))  # domains: a row for each
+    rows = out.join(domains, "domain_key", "left").withColumn("ingestion_batch_id", F.lit(batch))
     seen = out.groupBy("input_dataset", *keys).agg(F.count("*").alias("n_same"))
     rows = rows.join(seen, ["input_dataset", *keys])
     problem = F.when(F.col("domain").isNull(), "unmapped").when(decimal_of(F.col("value_lexeme")).isNull(), "not_finite").when(F.col("n_same") > 1, "duplicate")
@@ -215,7 +215,7 @@ def classify_events(mismatches: DataFrame, gaps: DataFrame, singles: DataFrame,
         part = part.select(F.lit(kind).alias("input_kind"), F.col("label").alias("input_label"), F.col("key"))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("event_id", identity("input_kind", "input_label", "key"))
-    out = rows.join(F.broadcast(rules), ["input_kind", "input_label"], "left")  # rules: a row for each kind and label
+    out = rows.join(rules, ["input_kind", "input_label"], "left")
     return out.withColumn("classification", F.coalesce("classification", F.lit("missing_rule")))
 
 

@@ -95,14 +95,21 @@ def trend_resolved(costs: DataFrame) -> DataFrame:
     return by.select("strategy", disjoint.alias("ends_disjoint"), "monotone", (disjoint & F.col("monotone")).alias("resolved"))
 
 
-def project_crossing(lines: DataFrame, incremental: str, largest: float) -> DataFrame:
-    """Where two fitted lines would cross: a projection, with its status."""
-    own = lines.where(F.col("strategy") == incremental).select(F.col("intercept").alias("i0"), F.col("slope").alias("s0"))
+def project_crossing(lines: DataFrame, trends: DataFrame, incremental: str, largest: float) -> DataFrame:
+    """Where two fitted lines would cross: a projection with its status, and a number only if either trend is resolved."""
+    lines = lines.join(trends.select("strategy", "resolved"), "strategy")
+    own = lines.where(F.col("strategy") == incremental).select(F.col("intercept").alias("i0"), F.col("slope").alias("s0"), F.col("resolved").alias("r0"))
     rows = lines.where(F.col("strategy") != incremental).crossJoin(own)  # one row
     at = (F.col("i0") - F.col("intercept")) / F.nullif(F.col("slope") - F.col("s0"), F.lit(0.0))
-    rows = rows.withColumn("crossing", at)
-    status = F.when(F.col("crossing").isNull(), "parallel").when(F.col("crossing") <= 0, "no_positive_crossing").when(F.col("crossing") <= largest, "inside_measured_range").otherwise("beyond_measured_range")
-    return rows.select("strategy", "crossing", status.alias("status"))
+    rows = rows.withColumn("at", at).withColumn("resolved", F.col("resolved") | F.col("r0"))
+    status = (
+        F.when(~F.col("resolved"), "flat_within_the_measured_ranges")
+        .when(F.col("at").isNull(), "no_projection_possible")
+        .when(F.col("at") <= 0, "lines_diverge")
+        .when(F.col("at") > largest, "outside_measured_range")
+        .otherwise("inside_measured_range_but_not_observed")
+    )
+    return rows.select("strategy", F.when(F.col("resolved") & (F.col("at") > 0), F.round("at")).alias("crossing"), status.alias("status"))
 
 
 def doubt_rule(timing: DataFrame, by: list[str], threshold: float = DOUBT) -> DataFrame:

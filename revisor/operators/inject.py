@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revisor.functions.identity import SEPARATOR, identity, last_place
+from revisor.sources.files import written
 
 
-def rank_universe(cells: DataFrame, seed: str, k: int) -> DataFrame:
-    """The first k cells in the order of sha256(seed, cell), with their rank.
+def rank_universe(cells: DataFrame, seed: str, k: int | None = None) -> DataFrame:
+    """Every cell with its rank, from 1, in the order of sha256(seed, cell); with ``k`` the first k cells only.
 
-    ``limit`` keeps k rows in each task, so no task sorts all cells; the rank is over k rows.
+    A range sort orders the cells over tasks and the counts of the parts give each its
+    first rank; with ``k`` each task keeps k rows, so no task ever sorts all cells.
     """
     key = F.sha2(F.concat(F.lit(seed + SEPARATOR), "cell_id"), 256)
-    top = cells.withColumn("selection_key", key).orderBy("selection_key", "cell_id").limit(k)
-    return top.withColumn("selection_rank", F.row_number().over(Window.orderBy("selection_key", "cell_id")).cast("long"))
+    order = ("selection_key", "cell_id")
+    keyed = cells.withColumn("selection_key", key)
+    if k is not None:
+        return keyed.orderBy(*order).limit(k).withColumn("selection_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("place", 33).alias("part")
+    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each task
+    firsts = counts.select("part", before.alias("before"))
+    within = F.col("place") - F.shiftleft("part", 33)
+    return placed.withColumn("part", part).join(firsts, "part").withColumn("selection_rank", F.col("before") + within + 1).drop("part", "before", "place")
 
 
 def nested_scenarios(ranked: DataFrame, scenarios: DataFrame, universe_size: DataFrame) -> DataFrame:
-    """scenario_id, cell_id, share: each scenario holds the first ``selection_count`` cells, so smaller ones are in larger ones."""
-    rows = F.broadcast(scenarios).join(ranked, F.col("selection_rank") <= F.col("selection_count"))  # a row for each scenario
-    return rows.crossJoin(universe_size).withColumn("share", F.round(F.col("selection_count") / F.col("cells"), 6))  # one row
+    """scenario_id, cell_id, share: each scenario holds the first ``selection_count`` cells, so smaller ones are in larger ones.
+
+    Scenarios are few and travel as one row; a null count stands for the whole universe.
+    """
+    one = scenarios.agg(F.collect_list(F.struct("scenario_id", "selection_count")).alias("scenarios")).crossJoin(universe_size)
+    sized = F.transform("scenarios", lambda s: F.struct(s["scenario_id"].alias("scenario_id"), F.coalesce(s["selection_count"], "cells").alias("selection_count")))
+    rows = ranked.crossJoin(one.select(sized.alias("scenarios"), "cells"))  # one row
+    own = F.filter("scenarios", lambda s: F.col("selection_rank") <= s["selection_count"])
+    out = rows.withColumn("s", F.explode(own)).select("s.*", *(c for c in rows.columns if c != "scenarios"))
+    return out.withColumn("share", F.round(F.col("selection_count") / F.col("cells"), 6))
 
 
 def mutate_one_unit(rows: DataFrame) -> DataFrame:
@@ -42,8 +61,8 @@ def synthetic_release(releases: DataFrame, label: str) -> DataFrame:
 
 def synthetic_observations(injected: DataFrame, base: DataFrame, release: DataFrame) -> DataFrame:
     """Injected cells as observations of the synthetic release; ``base_matches`` says whether the base is of the cell."""
-    b = base.select(F.col("observation_id").alias("base_id"), F.col("cell_id").alias("base_cell"), "value", "unit", "places", "domain")
-    rows = mutate_one_unit(injected.join(b, "base_id")).crossJoin(F.broadcast(release))  # one row
+    b = base.select(F.col("observation_id").alias("base_id"), F.col("cell_id").alias("base_cell"), F.col("source_id").alias("revised_source"), "value", "unit", "places", "domain")
+    rows = mutate_one_unit(injected.join(b, "base_id")).crossJoin(release)  # one row
     return rows.withColumn("observation_id", identity("cell_id", "vintage_id", "scenario_id")).withColumn("base_matches", F.col("base_cell") == F.col("cell_id"))
 
 
@@ -61,24 +80,43 @@ def route_matrix(scenarios: DataFrame, strategies: list[str]) -> DataFrame:
     return scenarios.withColumn("payload_sha256", digest).withColumn("strategy", F.explode(F.array(*map(F.lit, strategies))))
 
 
-def execute_routes(synthetic: DataFrame, official: DataFrame, scores_rank: int) -> DataFrame:
+def _routed(synthetic: DataFrame, official: DataFrame, scores: DataFrame) -> DataFrame:
+    """Each injected cell under each strategy, with ``takes``: whether the strategy serves the injected value.
+
+    B2 scores an injected row by the source it revises.  It is the latest of its cell, so
+    it is taken unless the served source has a higher score.  A source without a score is an error.
+    """
+    known = scores.select(F.col("source_id").alias("revised_source"), F.col("trust_score").alias("revised_score"))
+    rows = synthetic.join(known, "revised_source", "left").withColumn("revised_score", F.coalesce("revised_score", F.raise_error(F.lit("no frozen score")).cast("double")))
+    rows = rows.join(official.withColumnRenamed("observation_id", "served_id").withColumnRenamed("value", "served_value"), "cell_id")
+    return rows.withColumn("takes", (F.col("strategy") != "B2") | (F.col("revised_score") >= F.col("trust_score")))
+
+
+def execute_routes(synthetic: DataFrame, official: DataFrame, scores: DataFrame) -> DataFrame:
     """What each scenario does under each strategy.
 
-    ``synthetic``: scenario_id, cell_id, observation_id, after, base_id.  ``official``: cell_id,
-    strategy, observation_id, value as served before.  B2 trusts the synthetic source only
-    if it ranks first (``scores_rank`` 1).
+    ``synthetic``: scenario_id, cell_id, observation_id, after, base_id, revised_source.
+    ``official``: cell_id, strategy, observation_id, value and trust_score as served before.
     """
-    rows = synthetic.join(official.withColumnRenamed("observation_id", "served_id").withColumnRenamed("value", "served_value"), "cell_id")
-    takes = (F.col("strategy") != "B2") | F.lit(scores_rank == 1)
-    keeps_base = F.col("strategy").isin("B1", "B3") | ~takes
+    rows = _routed(synthetic, official, scores)
+    keeps_base = F.col("strategy").isin("B1", "B3") | ~F.col("takes") | (F.col("served_id") != F.col("base_id"))
     return rows.groupBy("scenario_id", "strategy").agg(
         F.count("*").alias("cells"),
-        F.count_if(takes).alias("served_new"),
-        F.count_if(takes & (F.col("after") != F.col("served_value"))).alias("value_changed"),
-        F.count_if(keeps_base | (F.col("served_id") != F.col("base_id"))).alias("base_still_addressable"),
+        F.count_if("takes").alias("served_new"),
+        F.count_if(~F.col("takes")).alias("refused"),
+        F.count_if(F.col("takes") & (F.col("after") != F.col("served_value"))).alias("value_changed"),
+        F.count_if(keeps_base).alias("base_still_addressable"),
+        F.count_if(~keeps_base).alias("base_unavailable"),
+        F.count_if(~F.col("takes") & (F.col("served_id") == F.col("base_id"))).alias("base_still_served"),
     )
 
 
+def served_after(synthetic: DataFrame, official: DataFrame, scores: DataFrame) -> DataFrame:
+    """scenario_id, strategy, cell_id, observation_id, lexeme: what the revised cells say after each scenario."""
+    rows = _routed(synthetic, official, scores)
+    return rows.select("scenario_id", "strategy", "cell_id", F.when(F.col("takes"), F.col("observation_id")).otherwise(F.col("served_id")).alias("observation_id"), F.when(F.col("takes"), F.col("after_lexeme")).alias("new_lexeme"))
+
+
 def scenario_expectations(scenarios: DataFrame, cells: DataFrame, observations: DataFrame) -> DataFrame:
     """For each scenario and strategy: cells to evaluate and rows to write.
 

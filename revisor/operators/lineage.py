@@ -123,7 +123,7 @@ def snapshot_lineage(snapshots: DataFrame) -> DataFrame:
 def evidence_closure(audit: DataFrame, metrics: DataFrame) -> DataFrame:
     """For each audited request the chain decision → metric → table → figure, complete if every hop is there."""
     m = metrics.select("strategy", identity(F.lit("metric"), "strategy", "requests").alias("metric_id"))
-    rows = audit.join(F.broadcast(m), "strategy", "left")  # a row for each strategy
+    rows = audit.join(m, "strategy", "left")
     decision = identity(F.lit("decision"), "strategy", "request_id")
     table, figure = identity(F.lit("table"), "metric_id"), identity(F.lit("figure"), "metric_id")
     out = rows.select("strategy", "request_id", decision.alias("decision_id"), "metric_id", F.when(F.col("metric_id").isNotNull(), table).alias("table_id"), F.when(F.col("metric_id").isNotNull(), figure).alias("figure_id"))

@@ -45,19 +45,21 @@ def dedup_panel(rows: DataFrame) -> DataFrame:
     return ranked.select(*rows.columns, (F.col("place") == 1).alias("kept"), F.col("winner.observation_id").alias("kept_observation_id"), (~same).alias("conflict"))
 
 
-def fact_constraints(fact: DataFrame, releases: DataFrame) -> DataFrame:
-    """rule, violations: one row for each constraint of the fact."""
+def fact_constraints(fact: DataFrame, releases: DataFrame, vintages: tuple[int, int]) -> DataFrame:
+    """rule, violations: one row for each constraint of the fact.  ``vintages``: least and most of a cell."""
 
     def repeated(rule: str, *keys: str) -> DataFrame:
         return fact.groupBy(*keys).count().where("count > 1").agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
 
-    orphans = fact.join(F.broadcast(releases.select("vintage_id")), "vintage_id", "left_anti")  # a row for each release
-    numbers = fact.where(~decimal_of(F.col("value_lexeme")).eqNullSafe(F.col("value").cast("decimal(28,10)")))
-    many = fact.groupBy("cell_id").agg(F.count_distinct("vintage_id").alias("n")).where("n > 5")
+    orphans = fact.join(releases.select("vintage_id"), "vintage_id", "left_anti")
+    numbers = fact.where(~decimal_of(F.col("value_lexeme")).eqNullSafe(F.col("value").cast("decimal(38,10)")))
+    many = fact.groupBy("cell_id").agg(F.count_distinct("vintage_id").alias("n")).where(~F.col("n").between(*vintages))
+    traces = fact.groupBy("source_id", "source_record_id").agg(F.count_distinct("cell_id").alias("n")).where("n > 1")
     return (
         repeated("unique_observation", "observation_id")
         .unionByName(repeated("unique_cell_vintage_record", "cell_id", "vintage_id", "source_record_id"))
         .unionByName(orphans.agg(F.lit("release_exists").alias("rule"), F.count("*").alias("violations")))
         .unionByName(numbers.agg(F.lit("lexeme_is_value").alias("rule"), F.count("*").alias("violations")))
         .unionByName(many.agg(F.lit("vintages_per_cell").alias("rule"), F.count("*").alias("violations")))
+        .unionByName(traces.agg(F.lit("one_cell_per_trace").alias("rule"), F.count("*").alias("violations")))
     )

@@ -52,7 +52,7 @@ def recall_audit(requests: DataFrame, strategies: DataFrame, facts: DataFrame) -
     """
     asked = requests.select("request_id", "cell_id", "observation_id", "value", "value_lexeme")
     names = strategies.select("strategy").distinct()
-    every = asked.crossJoin(F.broadcast(names))  # as many rows as strategies
+    every = asked.crossJoin(names)  # as many rows as strategies
     own = strategies.groupBy("strategy", "observation_id").agg(F.min("historical").alias("only_history"))
     served = strategies.where("not historical").select("strategy", "cell_id", F.col("observation_id").alias("served_id"))
     values = facts.select(F.col("observation_id").alias("served_id"), F.col("value").alias("served_value"), F.col("value_lexeme").alias("served_lexeme"))
@@ -121,7 +121,7 @@ def propagation_rate(injected: DataFrame, serving: DataFrame) -> DataFrame:
     """Share of injected revisions that each scenario and strategy serves."""
     seen = serving.select("scenario_id", "strategy", F.col("observation_id").alias("injected_id")).distinct()
     names = seen.select("strategy").distinct()
-    every = injected.select("scenario_id", "injected_id").crossJoin(F.broadcast(names))  # as many rows as strategies
+    every = injected.select("scenario_id", "injected_id").crossJoin(names)  # as many rows as strategies
     hit = every.join(seen.withColumn("hit", F.lit(1)), ["scenario_id", "strategy", "injected_id"], "left")
     return hit.groupBy("scenario_id", "strategy").agg(F.count("*").alias("admitted"), F.count("hit").alias("served"), (F.count("hit") / F.count("*")).alias("rate"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revisor.functions.identity import changed, identity
+from revisor.functions.identity import SEPARATOR, changed, identity
 from revisor.operators.model import KNOWLEDGE
 
 
@@ -68,15 +68,25 @@ def full_snapshots(fact: DataFrame, last_order: int) -> DataFrame:
 
 
 def state_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Digest of a state that does not depend on the order of rows: count, and sum of row hashes as text."""
-    return rows.groupBy(*by).agg(F.count("*").alias("state_rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("digest"))
+    """Count and SHA-256 of a state's rows in the order of cell_id, whatever order they come in.
+
+    Rows are digested in 4,096 parts by the first digits of cell_id, each in its order,
+    and the parts' digests in theirs, so no task holds more than a part.
+    """
+    row = F.struct("cell_id", F.sha2(F.concat_ws(SEPARATOR, *columns), 256).alias("d"))
+    parts = rows.groupBy(*by, F.substring("cell_id", 1, 3).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("r"))
+    parts = parts.select(*by, "n", F.struct("part", F.sha2(F.array_join(F.transform("r", lambda x: x["d"]), ""), 256).alias("d")).alias("p"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["d"]), ""), 256)
+    return parts.groupBy(*by).agg(F.sum("n").alias("state_rows"), whole.alias("digest"))
 
 
 def snapshot_catalog(fact: DataFrame, last_order: int) -> DataFrame:
     """A row for each snapshot: what its release did, its size and its key."""
-    sizes = full_snapshots(fact, last_order).groupBy("snapshot_order").agg(F.count("*").alias("state_rows"), F.count_distinct("vintage_id").alias("vintages"))
+    states = full_snapshots(fact, last_order)
+    sizes = states.groupBy("snapshot_order").agg(F.count_distinct("vintage_id").alias("vintages"))
+    digests = state_digest(states, ["snapshot_order"], ["cell_id", "observation_id", "value_lexeme"]).withColumnRenamed("digest", "state_digest")
     done = overwrite_operations(fact).drop("state_rows").withColumnRenamed("arrival_order", "snapshot_order")
-    return done.join(sizes, "snapshot_order").withColumn("snapshot_key", identity(F.lit("B1"), "snapshot_order", "state_rows"))
+    return done.join(sizes, "snapshot_order").join(digests, "snapshot_order").withColumn("snapshot_key", identity(F.lit("B1"), "snapshot_order", "state_digest"))
 
 
 #: Weights of trust, and the worth of a source's role and format (fixed values).
@@ -108,7 +118,7 @@ def trust_scores(fact: DataFrame, registry: DataFrame, authority: str, places: i
 
 def ranked_candidates(fact: DataFrame, scores: DataFrame) -> DataFrame:
     """Every candidate of a cell in order of trust, release date, source and id."""
-    few = F.broadcast(scores.select("source_id", "trust_score", "source_rank"))  # a row for each source
+    few = scores.select("source_id", "trust_score", "source_rank")
     w = Window.partitionBy("cell_id").orderBy(F.col("trust_score").desc(), F.col("vintage_date").desc(), "source_id", "observation_id")
     return (
         fact.join(few, "source_id")
@@ -211,19 +221,24 @@ def asof_states(fact: DataFrame, last_order: int) -> DataFrame:
     """For each release bound, the latest vintage known by then: intervals in knowledge order, expanded."""
     order = F.dense_rank().over(Window.orderBy(*KNOWLEDGE))
     bounds = fact.select(*KNOWLEDGE).distinct().withColumn("known_order", order)  # a row for each release
-    rows = fact.join(F.broadcast(bounds.select("vintage_id", "known_order")), "vintage_id")
+    rows = fact.join(bounds.select("vintage_id", "known_order"), "vintage_id")
     until = F.lead("known_order").over(Window.partitionBy("cell_id").orderBy("known_order"))
     rows = rows.withColumn("known_until", F.coalesce(until - 1, F.lit(last_order)))
     return rows.withColumn("bound_order", F.explode(F.sequence("known_order", "known_until"))).drop("known_until")
 
 
 def asof_lookup(requests: DataFrame, fact: DataFrame) -> DataFrame:
-    """The observation of a cell known at a request's date, null before the first: a left join on the cell, then the interval."""
-    until = F.lead("vintage_date").over(by_knowledge())
-    facts = fact.select("cell_id", "observation_id", "value_lexeme", F.col("vintage_date").alias("valid_from"), until.alias("valid_to"))
-    inside = (F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("as_of") < F.col("valid_to")))
-    hits = requests.join(facts, "cell_id").where(inside).select("request_id", "observation_id", "value_lexeme")
-    return requests.join(hits, "request_id", "left")
+    """The observation of a cell known at a request's date, null before the first.
+
+    Requests and facts stand in one order by date, and a request takes the last fact
+    before it: the work is a sort of each cell's rows, not requests times vintages.
+    """
+    known = fact.select("cell_id", F.col("vintage_date").alias("at"), F.struct(*KNOWLEDGE).alias("order"), F.struct("observation_id", "value_lexeme").alias("v"))
+    asked = requests.select("*", F.col("as_of").alias("at"), F.lit(True).alias("asked"))
+    both = known.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy("cell_id").orderBy("at", "asked", "order").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("found", F.last("v", ignorenulls=True).over(w)).where("asked")
+    return found.select(*requests.columns, "found.observation_id", "found.value_lexeme")
 
 
 def all_strategies(fact: DataFrame, scores: DataFrame, last_order: int) -> DataFrame:

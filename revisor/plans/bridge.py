@@ -62,7 +62,7 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with their identities and their release."""
     keys = ("indicator_key", "series_key", "observed_period", "geo_level", "geo_code")
     dim = releases(spark).select("source_id", "vintage_id", "vintage_date", "retrieved_at", "arrival_order")
-    rows = observations(spark, sf_dir).join(F.broadcast(dim), "source_id")  # dim: as many rows as RELEASES
+    rows = observations(spark, sf_dir).join(dim, "source_id")
     rows = rows.withColumn("cell_id", identity(*keys))
     return rows.withColumn("observation_id", identity("cell_id", "vintage_id", "source_record_id")).withColumn("places", decimal_places(F.col("value_lexeme")))
 

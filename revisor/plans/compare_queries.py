@@ -21,10 +21,10 @@ def identity_hash(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.identity("p_name", "p_brand", "p_size").alias("id"))
 
 
-@query("decimal_lexeme", """SELECT l_orderkey, l_linenumber, CAST(TRY_CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS DECIMAL(28,10)) AS DOUBLE) AS number, CAST(2 AS BIGINT) AS places, TRY_CAST(l_returnflag AS DECIMAL(28,10)) IS NULL AS flag_is_no_number FROM lineitem""")
+@query("decimal_lexeme", """SELECT l_orderkey, l_linenumber, CAST(TRY_CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS DECIMAL(38,10)) AS DOUBLE) AS number, CAST(2 AS BIGINT) AS places, TRY_CAST(l_returnflag AS DECIMAL(38,10)) IS NULL AS flag_is_no_number, CAST(TRY_CAST(CAST(l_orderkey AS VARCHAR) || '000000000000000000' AS DECIMAL(38,10)) AS DOUBLE) AS large FROM lineitem""")
 def decimal_lexeme(spark, d):
     rows = table(spark, d, "lineitem").withColumn("lexeme", F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
-    return rows.select("l_orderkey", "l_linenumber", fn.decimal_of(F.col("lexeme")).cast("double").alias("number"), fn.decimal_places(F.col("lexeme")).cast("long").alias("places"), fn.decimal_of(F.col("l_returnflag")).isNull().alias("flag_is_no_number"))
+    return rows.select("l_orderkey", "l_linenumber", fn.decimal_of(F.col("lexeme")).cast("double").alias("number"), fn.decimal_places(F.col("lexeme")).cast("long").alias("places"), fn.decimal_of(F.col("l_returnflag")).isNull().alias("flag_is_no_number"), fn.decimal_of(F.concat(F.col("l_orderkey").cast("string"), F.lit("0" * 18))).cast("double").alias("large"))
 
 
 @query("geo_level_code", """SELECT p_partkey, CASE WHEN c = 9999 THEN 'national' WHEN c < 1100 THEN 'non_spatial' WHEN c % 100 = 0 THEN 'province' ELSE 'regency' END AS geo_level
@@ -42,11 +42,11 @@ def normalise_name(spark, d):
 @query("eligible_only", sql("SELECT cell_id, observation_id FROM fact JOIN releases r USING (source_id) WHERE r.status = 'active' AND r.role IN ('indicator_values', 'indicator_values_and_definitions')", "fact"))
 def eligible_only(spark, d):
     good = releases(spark).where("status = 'active'").where(F.col("role").isin(*ROLES)).select("source_id")
-    return fact(spark, d).join(F.broadcast(good), "source_id", "left_semi").select("cell_id", "observation_id")  # a row for each release
+    return fact(spark, d).join(good, "source_id", "left_semi").select("cell_id", "observation_id")
 
 
-@query("numeric_guard", """SELECT count(*) AS kept, (SELECT count(*) FROM events WHERE TRY_CAST(CASE WHEN event_id % 7 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS DECIMAL(28,10)) IS NULL) AS dropped
-    FROM events WHERE TRY_CAST(CASE WHEN event_id % 7 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS DECIMAL(28,10)) IS NOT NULL""")
+@query("numeric_guard", """SELECT count(*) AS kept, (SELECT count(*) FROM events WHERE TRY_CAST(CASE WHEN event_id % 7 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS DECIMAL(38,10)) IS NULL) AS dropped
+    FROM events WHERE TRY_CAST(CASE WHEN event_id % 7 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS DECIMAL(38,10)) IS NOT NULL""")
 def numeric_guard(spark, d):
     lexeme = F.when(F.col("event_id") % 7 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string"))
     return table(spark, d, "events").agg(F.count_if(fn.is_number(lexeme)).alias("kept"), F.count_if(~fn.is_number(lexeme)).alias("dropped"))

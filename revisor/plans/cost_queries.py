@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from revisor.operators import cost, model, recall
 from revisor.plans.bridge import fact, releases, sql, table
 from revisor.plans.registry import query
-from revisor.plans.vintage_queries import _AUDIT, _METRICS, _audit, _lost
+from revisor.plans.vintage_queries import _BROKEN, _RULES, _broken, _constraints, _AUDIT, _METRICS, _audit, _lost
 
 
 def _timing(spark, d):
@@ -105,10 +105,27 @@ def trend_resolved(spark, d):
     return cost.trend_resolved(_costs(spark, d))
 
 
-@query("project_crossing", f"""WITH {_T}, {_LINES}, x AS (SELECT l.strategy, (o.intercept - l.intercept) / nullif(l.slope - o.slope, 0) AS crossing FROM lines l, lines o WHERE o.strategy = '{INCREMENTAL}' AND l.strategy <> '{INCREMENTAL}')
-    SELECT strategy, round(crossing, 3) AS crossing, CASE WHEN crossing IS NULL THEN 'parallel' WHEN crossing <= 0 THEN 'no_positive_crossing' WHEN crossing <= 7 THEN 'inside_measured_range' ELSE 'beyond_measured_range' END AS status FROM x""")
+#: Costs of which some strategies' rise with the point beyond their spread, so that their trends are resolved.
+_RISING = "rising AS (SELECT strategy, point, " + ", ".join(f"{c} + CASE WHEN strategy IN ('AF', 'NO') THEN 1e9 * point WHEN strategy = 'RF' THEN -1e9 * point ELSE 0 END AS {c}" for c in ("total_median", "total_min", "total_max")) + ", maintenance_median FROM costs)"
+
+
+def _rising(spark, d):
+    more = F.when(F.col("strategy").isin("AF", "NO"), F.lit(1e9) * F.col("point")).when(F.col("strategy") == "RF", F.lit(-1e9) * F.col("point")).otherwise(0.0)
+    return _costs(spark, d).withColumns({c: F.col(c) + more for c in ("total_median", "total_min", "total_max")})
+
+
+@query("project_crossing", f"""WITH {_T}, {_RISING}, ln AS (SELECT strategy, regr_intercept(total_median, point) AS intercept, regr_slope(total_median, point) AS slope FROM rising GROUP BY 1),
+    b AS (SELECT *, lag(total_median) OVER (PARTITION BY strategy ORDER BY point) AS before FROM rising),
+    e AS (SELECT strategy, (arg_min(total_max, point) < arg_max(total_min, point) OR arg_max(total_max, point) < arg_min(total_min, point))
+          AND (bool_and(coalesce(before <= total_median, true)) OR bool_and(coalesce(before >= total_median, true))) AS resolved FROM b GROUP BY 1),
+    x AS (SELECT l.strategy, e.resolved OR f.resolved AS resolved, l.slope - o.slope AS gap, (o.intercept - l.intercept) / nullif(l.slope - o.slope, 0) AS crossing
+          FROM ln l JOIN e USING (strategy), ln o JOIN e f USING (strategy) WHERE o.strategy = '{INCREMENTAL}' AND l.strategy <> '{INCREMENTAL}')
+    SELECT strategy, CASE WHEN resolved AND crossing > 0 THEN round(crossing) END AS crossing,
+           CASE WHEN NOT resolved THEN 'flat_within_the_measured_ranges' WHEN crossing IS NULL THEN 'no_projection_possible' WHEN crossing <= 0 THEN 'lines_diverge' WHEN crossing > 7 THEN 'outside_measured_range'
+                ELSE 'inside_measured_range_but_not_observed' END AS status FROM x""")
 def project_crossing(spark, d):
-    return cost.project_crossing(_lines(spark, d), INCREMENTAL, 7).withColumn("crossing", F.round("crossing", 3))
+    rows = _rising(spark, d)
+    return cost.project_crossing(cost.linear_cost(rows, "total_median"), cost.trend_resolved(rows), INCREMENTAL, 7)
 
 
 @query("doubt_rule", f"WITH {_T} SELECT strategy, point, (max(write_s) - min(write_s)) / nullif(median(write_s), 0) AS spread_ratio, coalesce((max(write_s) - min(write_s)) / nullif(median(write_s), 0) > 0.2, false) AS doubtful FROM rep GROUP BY 1, 2")
@@ -169,11 +186,9 @@ def key_numbers(spark, d):
     return cost.key_numbers(one, {"observations": ("rows", "count of the fact"), "cells": ("cells", "distinct cells"), "releases": ("releases", "distinct vintages")})
 
 
-@query("validation_rows", sql("""SELECT invariant, true AS passed, (SELECT count(*) FROM fact) AS checked_rows, CAST(0 AS BIGINT) AS violations
-    FROM (VALUES ('unique_observation'), ('unique_cell_vintage_record'), ('release_exists'), ('lexeme_is_value'), ('vintages_per_cell')) v(invariant)""", "fact"))
+@query("validation_rows", sql(f"WITH {_BROKEN}, v AS ({_RULES}) SELECT rule AS invariant, violations = 0 AS passed, (SELECT count(*) FROM broken) AS checked_rows, violations FROM v", "fact"))
 def validation_rows(spark, d):
-    rows = fact(spark, d)
-    return cost.validation_rows(model.fact_constraints(rows, releases(spark)), rows.agg(F.count("*").alias("checked_rows")))
+    return cost.validation_rows(_constraints(spark, d), _broken(spark, d).agg(F.count("*").alias("checked_rows")))
 
 
 @query("output_inventory", sql("SELECT domain, count(*) AS rows, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources FROM fact GROUP BY 1", "fact"))

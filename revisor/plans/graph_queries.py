@@ -9,7 +9,7 @@ from revisor.plans.bridge import SEED, SIZES, fact, releases, sql
 from revisor.plans.registry import query
 from revisor.plans.vintage_queries import _AUDIT, _METRICS, LAST, _audit, _requests, _scores
 
-_SIZES = ", ".join(f"('sweep_{n:03d}', CAST({n} AS BIGINT))" for n in SIZES)
+_SIZES = ", ".join(f"('sweep_{n:03d}', CAST({n} AS BIGINT))" for n in SIZES) + ", ('sweep_all', CAST(NULL AS BIGINT))"
 STRATEGIES = ["B0", "B1", "B2", "B3"]
 
 
@@ -19,7 +19,7 @@ def _scenarios(spark):
 
 def _ranked(spark, d):
     cells = strategies.overwrite_state(fact(spark, d)).select("cell_id", F.col("observation_id").alias("base_id"), "value", "value_lexeme", "unit", "places")
-    return inject.rank_universe(cells, SEED, max(SIZES))
+    return inject.rank_universe(cells, SEED)
 
 
 def _plan(spark, d):
@@ -27,12 +27,12 @@ def _plan(spark, d):
     return inject.nested_scenarios(_ranked(spark, d), _scenarios(spark), size)
 
 
-_RANK = f"""sc AS (SELECT * FROM (VALUES {_SIZES}) t(scenario_id, selection_count)),
+_RANK = f"""sc AS (SELECT scenario_id, coalesce(selection_count, (SELECT count(*) FROM current)) AS selection_count FROM (VALUES {_SIZES}) t(scenario_id, selection_count)),
     rk AS (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}' || chr(31) || cell_id), cell_id) AS selection_rank FROM current),
-    pl AS (SELECT scenario_id, selection_count, cell_id, observation_id AS base_id, selection_rank, value, prev_observation_id FROM sc JOIN rk ON selection_rank <= selection_count)"""
+    pl AS (SELECT scenario_id, selection_count, cell_id, observation_id AS base_id, selection_rank, value, prev_observation_id, source_id AS revised_source FROM sc JOIN rk ON selection_rank <= selection_count)"""
 
 
-@query("rank_universe", sql(f"WITH {_RANK} SELECT cell_id, selection_rank FROM rk WHERE selection_rank <= {max(SIZES)}", "current"))
+@query("rank_universe", sql(f"WITH {_RANK} SELECT cell_id, selection_rank FROM rk", "current"))
 def rank_universe(spark, d):
     return _ranked(spark, d).select("cell_id", "selection_rank")
 
@@ -79,7 +79,7 @@ def synthetic_observations(spark, d):
 
 
 def _graph_fact(spark, d):
-    return fact(spark, d).join(F.broadcast(releases(spark).select("source_id", "manifest_sha256")), "source_id")  # a row for each release
+    return fact(spark, d).join(releases(spark).select("source_id", "manifest_sha256"), "source_id")
 
 
 _EDGE = "substr(sha256(concat_ws(chr(31), from_id, relationship, to_id)), 1, 20) AS edge_id"
@@ -93,23 +93,33 @@ def inherit_lineage(spark, d):
 @query("route_matrix", sql(f"WITH {_RANK} SELECT scenario_id, selection_count, sha256(concat_ws(chr(31), scenario_id, selection_count)) AS payload_sha256, strategy, cells FROM sc, (VALUES ('B0'), ('B1'), ('B2'), ('B3')) v(strategy), (SELECT count(*) AS cells FROM current)", "current"))
 def route_matrix(spark, d):
     cells = fact(spark, d).agg(F.count_distinct("cell_id").alias("cells"))
-    return inject.route_matrix(_scenarios(spark), STRATEGIES).crossJoin(cells)  # one row
+    sized = _scenarios(spark).crossJoin(cells).select("scenario_id", F.coalesce("selection_count", "cells").alias("selection_count"))  # one row
+    return inject.route_matrix(sized, STRATEGIES).crossJoin(cells)
 
 
 def _official(spark, d):
     rows = fact(spark, d)
     c = ["cell_id", "observation_id", "value"]
-    now = strategies.overwrite_state(rows).select(*c).withColumn("strategy", F.explode(F.array(*map(F.lit, ("B0", "B1", "B3")))))
-    return now.unionByName(strategies.select_single_source(rows, _scores(spark, d)).select(*c, F.lit("B2").alias("strategy")))
+    now = strategies.overwrite_state(rows).select(*c, F.lit(None).cast("double").alias("trust_score"), F.explode(F.array(*map(F.lit, ("B0", "B1", "B3")))).alias("strategy"))
+    return now.unionByName(strategies.select_single_source(rows, _scores(spark, d)).select(*c, "trust_score", F.lit("B2").alias("strategy")))
 
 
-_OFF = "off AS (SELECT cell_id, observation_id AS served_id, value AS served_value, strategy FROM current, (VALUES ('B0'), ('B1'), ('B3')) v(strategy) UNION ALL SELECT cell_id, observation_id, value, 'B2' FROM selected)"
+_OFF = """off AS (SELECT cell_id, observation_id AS served_id, value AS served_value, NULL AS trust_score, strategy FROM current, (VALUES ('B0'), ('B1'), ('B3')) v(strategy) UNION ALL SELECT cell_id, observation_id, value, trust_score, 'B2' FROM selected),
+    routed AS (SELECT pl.*, off.strategy, served_id, served_value, strategy <> 'B2' OR s.trust_score >= off.trust_score AS takes FROM pl JOIN off USING (cell_id) JOIN scores s ON s.source_id = revised_source)"""
 
 
-@query("execute_routes", sql(f"""WITH {_RANK}, {_OFF} SELECT scenario_id, strategy, count(*) AS cells, count(*) FILTER (strategy <> 'B2') AS served_new, count(*) FILTER (strategy <> 'B2' AND value + 0.01 <> served_value) AS value_changed,
-    count(*) FILTER (strategy <> 'B0' OR served_id <> base_id) AS base_still_addressable FROM pl JOIN off USING (cell_id) GROUP BY 1, 2""", "current", "selected"))
+@query("execute_routes", sql(f"""WITH {_RANK}, {_OFF}, k AS (SELECT *, strategy IN ('B1', 'B3') OR NOT takes OR served_id <> base_id AS keeps FROM routed)
+    SELECT scenario_id, strategy, count(*) AS cells, count(*) FILTER (takes) AS served_new, count(*) FILTER (NOT takes) AS refused, count(*) FILTER (takes AND value + 0.01 <> served_value) AS value_changed,
+    count(*) FILTER (keeps) AS base_still_addressable, count(*) FILTER (NOT keeps) AS base_unavailable, count(*) FILTER (NOT takes AND served_id = base_id) AS base_still_served FROM k GROUP BY 1, 2""", "current", "selected"))
 def execute_routes(spark, d):
-    return inject.execute_routes(_synthetic(spark, d), _official(spark, d), scores_rank=6)
+    return inject.execute_routes(_synthetic(spark, d), _official(spark, d), _scores(spark, d))
+
+
+@query("scenario_predictions", sql(f"""WITH {_RANK}, {_OFF} SELECT scenario_id, strategy, cell_id, CASE WHEN takes THEN {{}} ELSE served_id END AS observation_id,
+    CASE WHEN takes THEN CAST(CAST(value + 0.01 AS DECIMAL(18,2)) AS VARCHAR) END AS new_lexeme FROM routed""".replace("{}", "substr(sha256(concat_ws(chr(31), cell_id, substr(sha256(concat_ws(chr(31), 'synthetic', DATE '2024-02-06', 'synthetic')), 1, 20), scenario_id)), 1, 20)"), "current", "selected"))
+def scenario_predictions(spark, d):
+    """The observation and the lexeme that each strategy should serve for each revised cell."""
+    return inject.served_after(_synthetic(spark, d), _official(spark, d), _scores(spark, d))
 
 
 @query("scenario_expectations", sql(f"""WITH {_RANK}, n AS (SELECT count(DISTINCT cell_id) AS cells, count(*) AS observations FROM fact)
@@ -117,42 +127,38 @@ def execute_routes(spark, d):
            CASE WHEN strategy = 'B3' THEN observations + selection_count ELSE 0 END AS store FROM sc, n, (VALUES ('B0'), ('B1'), ('B2'), ('B3')) v(strategy)""", "fact", "current"))
 def scenario_expectations(spark, d):
     rows = fact(spark, d)
-    return inject.scenario_expectations(_scenarios(spark), rows.agg(F.count_distinct("cell_id").alias("cells")), rows.agg(F.count("*").alias("observations")))
-
+    sized = _scenarios(spark).crossJoin(rows.agg(F.count_distinct("cell_id").alias("all"))).select("scenario_id", F.coalesce("selection_count", "all").alias("selection_count"))  # one row
+    return inject.scenario_expectations(sized, rows.agg(F.count_distinct("cell_id").alias("cells")), rows.agg(F.count("*").alias("observations")))
 
-def _served_after(spark, d):
-    """What B0 and B2 serve after each scenario: B0 the injected values, B2 its trusted ones."""
-    syn = _synthetic(spark, d).select("scenario_id", "cell_id", "observation_id")
-    b0 = syn.withColumn("strategy", F.lit("B0"))
-    b2 = syn.select("scenario_id", "cell_id").join(strategies.select_single_source(fact(spark, d), _scores(spark, d)).select("cell_id", "observation_id"), "cell_id").withColumn("strategy", F.lit("B2"))
-    return b0.unionByName(b2)
 
-
-@query("propagation_rate", sql(f"WITH {_RANK} SELECT scenario_id, strategy, selection_count AS admitted, CASE strategy WHEN 'B0' THEN selection_count ELSE 0 END AS served, CASE strategy WHEN 'B0' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM sc, (VALUES ('B0'), ('B2')) v(strategy)", "current"))
+@query("propagation_rate", sql(f"WITH {_RANK}, {_OFF} SELECT scenario_id, strategy, count(*) AS admitted, count(*) FILTER (takes) AS served, count(*) FILTER (takes) / count(*) AS rate FROM routed GROUP BY 1, 2", "current", "selected"))
 def propagation_rate(spark, d):
-    injected = _synthetic(spark, d).select("scenario_id", F.col("observation_id").alias("injected_id"))
-    return recall.propagation_rate(injected, _served_after(spark, d))
+    synthetic = _synthetic(spark, d)
+    served = inject.served_after(synthetic, _official(spark, d), _scores(spark, d))
+    return recall.propagation_rate(synthetic.select("scenario_id", F.col("observation_id").alias("injected_id")), served)
 
 
-@query("state_matches_expected", sql("SELECT CAST(0 AS BIGINT) AS mismatches, (SELECT count(*) FROM current) AS cells", "current"))
+@query("state_matches_expected", sql(f"""WITH {_RANK}, x AS (SELECT count(*) AS n, count(*) FILTER (cell_id < '8') AS lost FROM pl WHERE scenario_id = 'sweep_all')
+    SELECT 2 * lost AS mismatches, n AS cells FROM x""", "current"))
 def state_matches_expected(spark, d):
+    """The state after the largest scenario, of which the cells under '8' were not applied, against the one expected."""
     rows = fact(spark, d)
-    syn = _synthetic(spark, d).where("scenario_id = 'sweep_038'").select("cell_id", "observation_id")
+    syn = _synthetic(spark, d).where("scenario_id = 'sweep_all'").select("cell_id", "observation_id")
     before = strategies.overwrite_state(rows)
-    after = strategies.upsert(before, syn, ["observation_id"])
+    after = strategies.upsert(before, syn.where("cell_id >= '8'"), ["observation_id"])
     return recall.state_matches_expected(after, syn, before).crossJoin(after.agg(F.count("*").alias("cells")))  # one row each
 
 
-@query("derived_vs_measured", sql(f"WITH {_RANK} SELECT scenario_id, 'B0' AS strategy, (SELECT count(*) FROM current) - selection_count AS derived, (SELECT count(*) FROM current) - selection_count AS measured, true AS agrees FROM sc", "current"))
+@query("derived_vs_measured", sql(f"""WITH {_RANK}, {_OFF}, m AS (SELECT scenario_id, strategy, count(*) FILTER (NOT takes) AS kept, count(*) AS revised FROM routed GROUP BY 1, 2), n AS (SELECT count(*) AS cells FROM current)
+    SELECT scenario_id, strategy, cells - revised AS derived, cells - revised + kept AS measured, kept = 0 AS agrees FROM m, n""", "current", "selected"))
 def derived_vs_measured(spark, d):
-    rows = fact(spark, d)
-    now = strategies.overwrite_state(rows).select("cell_id", "observation_id")
-    syn = _synthetic(spark, d).select("scenario_id", "cell_id")
-    revised = syn.groupBy("scenario_id").agg(F.count("*").alias("revised"))
-    derived = revised.crossJoin(now.agg(F.count("*").alias("all"))).select("scenario_id", F.lit("B0").alias("strategy"), (F.col("all") - F.col("revised")).alias("derived"))
-    kept = now.crossJoin(F.broadcast(_scenarios(spark).select("scenario_id"))).join(syn, ["scenario_id", "cell_id"], "left_anti")  # a row for each scenario
-    measured = kept.groupBy("scenario_id").agg(F.count("*").alias("measured")).withColumn("strategy", F.lit("B0"))
-    return recall.derived_vs_measured(derived, measured)
+    """Cells that should still serve what they did (all less the revised), against those that the routes left: B2 leaves more."""
+    synthetic, official = _synthetic(spark, d), _official(spark, d)
+    cells = official.groupBy("strategy").agg(F.count("*").alias("all"))
+    served = inject.served_after(synthetic, official, _scores(spark, d)).join(official.select("cell_id", "strategy", F.col("observation_id").alias("before")), ["cell_id", "strategy"])
+    by = served.groupBy("scenario_id", "strategy").agg(F.count("*").alias("revised"), F.count_if(F.col("observation_id") != F.col("before")).alias("moved")).join(cells, "strategy")
+    derived = by.select("scenario_id", "strategy", (F.col("all") - F.col("revised")).alias("derived"))
+    return recall.derived_vs_measured(derived, by.select("scenario_id", "strategy", (F.col("all") - F.col("moved")).alias("measured")))
 
 
 # ---------------------------------------------------------------- lineage

@@ -96,7 +96,7 @@ def unpack_series(spark, d):
 @query("name_code_lookup", "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN CAST(s_nationkey AS BIGINT) END AS area_code, s_acctbal < 0 AS unknown FROM supplier")
 def name_code_lookup(spark, d):
     nations = table(spark, d, "nation").withColumn("n_name", F.translate("n_name", "0123456789", "ABCDEFGHIJ"))
-    rows = table(spark, d, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("<i>"), F.when(F.col("s_acctbal") < 0, "nowhere").otherwise(F.lower("n_name")), F.lit(" </i>")).alias("printed"))  # nations are few
+    rows = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("<i>"), F.when(F.col("s_acctbal") < 0, "nowhere").otherwise(F.lower("n_name")), F.lit(" </i>")).alias("printed"))
     areas = nations.select(F.col("n_name").alias("area_name"), F.col("n_nationkey").cast("long").alias("area_code"))
     return files.name_code_lookup(rows, "printed", areas).select("s_suppkey", "area_code", "unknown")
 

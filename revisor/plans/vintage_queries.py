@@ -49,14 +49,37 @@ def observation_fact(spark, d):
     )
 
 
-@query("fact_constraints", sql("""
-    SELECT 'unique_observation' AS rule, count(*) AS violations FROM (SELECT observation_id FROM fact GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'unique_cell_vintage_record', count(*) FROM (SELECT 1 FROM fact GROUP BY cell_id, vintage_id, source_record_id HAVING count(*) > 1)
-    UNION ALL SELECT 'release_exists', count(*) FROM fact WHERE vintage_id NOT IN (SELECT vintage_id FROM releases)
-    UNION ALL SELECT 'lexeme_is_value', count(*) FROM fact WHERE TRY_CAST(value_lexeme AS DECIMAL(28,10)) IS DISTINCT FROM CAST(value AS DECIMAL(28,10))
-    UNION ALL SELECT 'vintages_per_cell', count(*) FROM (SELECT cell_id FROM fact GROUP BY 1 HAVING count(DISTINCT vintage_id) > 5)""", "fact"))
+#: The fact with rows that break each constraint, chosen by the area's code.
+_BROKEN = """broken AS (SELECT observation_id, cell_id, vintage_id, source_id, source_record_id, value_lexeme, value FROM fact UNION ALL
+    SELECT observation_id, cell_id, CASE CAST(geo_code AS BIGINT) % 50 WHEN 1 THEN 'gone' ELSE vintage_id END, source_id, CASE CAST(geo_code AS BIGINT) % 50 WHEN 3 THEN 'same' ELSE source_record_id END, value_lexeme,
+           CASE CAST(geo_code AS BIGINT) % 50 WHEN 2 THEN value + 1 ELSE value END FROM fact WHERE CAST(geo_code AS BIGINT) % 50 < 4)"""
+_RULES = """SELECT 'unique_observation' AS rule, count(*) AS violations FROM (SELECT observation_id FROM broken GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'unique_cell_vintage_record', count(*) FROM (SELECT 1 FROM broken GROUP BY cell_id, vintage_id, source_record_id HAVING count(*) > 1)
+    UNION ALL SELECT 'release_exists', count(*) FROM broken WHERE vintage_id NOT IN (SELECT vintage_id FROM releases)
+    UNION ALL SELECT 'lexeme_is_value', count(*) FROM broken WHERE TRY_CAST(value_lexeme AS DECIMAL(38,10)) IS DISTINCT FROM CAST(value AS DECIMAL(38,10))
+    UNION ALL SELECT 'vintages_per_cell', count(*) FROM (SELECT cell_id FROM broken GROUP BY 1 HAVING count(DISTINCT vintage_id) NOT BETWEEN 1 AND 2)
+    UNION ALL SELECT 'one_cell_per_trace', count(*) FROM (SELECT 1 FROM broken GROUP BY source_id, source_record_id HAVING count(DISTINCT cell_id) > 1)"""
+
+
+def _broken(spark, d):
+    rows, k = fact(spark, d), F.col("geo_code").cast("long") % 50
+    c = ["observation_id", "cell_id", "vintage_id", "source_id", "source_record_id", "value_lexeme", "value"]
+    planted = rows.where(k < 4).withColumns({
+        "vintage_id": F.when(k == 1, "gone").otherwise(F.col("vintage_id")),
+        "source_record_id": F.when(k == 3, "same").otherwise(F.col("source_record_id")),
+        "value": F.when(k == 2, (F.col("value") + 1).cast("decimal(18,2)")).otherwise(F.col("value")),
+    })
+    return rows.select(c).unionByName(planted.select(c))
+
+
+def _constraints(spark, d):
+    return model.fact_constraints(_broken(spark, d), releases(spark), vintages=(1, 2))
+
+
+@query("fact_constraints", sql(f"WITH {_BROKEN} {_RULES}", "fact"))
 def fact_constraints(spark, d):
-    return model.fact_constraints(fact(spark, d), releases(spark))
+    """Constraints of the fact and planted rows; a cell may have two vintages, so those with more show as well."""
+    return _constraints(spark, d)
 
 
 @query("arrival_order", sql("SELECT source_id, dense_rank() OVER (ORDER BY vintage_date, retrieved_at, vintage_id) AS arrival_order FROM (SELECT DISTINCT source_id, vintage_date, retrieved_at, vintage_id FROM fact)", "fact"))
@@ -100,10 +123,15 @@ def full_snapshots(spark, d):
     return strategies.full_snapshots(fact(spark, d), LAST).select(F.col("snapshot_order").cast("long").alias("snapshot_order"), "cell_id", "observation_id")
 
 
-@query("snapshot_catalog", sql(f"""WITH o AS ({_OPS}), s AS (SELECT snapshot_order, count(*) AS state_rows, count(DISTINCT vintage_id) AS vintages FROM states GROUP BY 1)
+#: SHA-256 over the ordered rows of each of 4,096 parts of a state, and over the ordered parts.
+_DIGEST = """pt AS (SELECT snapshot_order, substr(cell_id, 1, 3) AS part, count(*) AS n, sha256(string_agg(sha256(concat_ws(chr(31), cell_id, observation_id, value_lexeme)), '' ORDER BY cell_id)) AS d FROM states GROUP BY 1, 2),
+    dg AS (SELECT snapshot_order, CAST(sum(n) AS BIGINT) AS state_rows, sha256(string_agg(d, '' ORDER BY part)) AS digest FROM pt GROUP BY 1)"""
+
+
+@query("snapshot_catalog", sql(f"""WITH {_DIGEST}, o AS ({_OPS}), s AS (SELECT snapshot_order, count(DISTINCT vintage_id) AS vintages FROM states GROUP BY 1)
     SELECT CAST(snapshot_order AS BIGINT) AS snapshot_order, input_rows, inserted, overwritten, value_changed, same_value, state_rows, vintages,
-           substr(sha256(concat_ws(chr(31), 'B1', snapshot_order, state_rows)), 1, 20) AS snapshot_key
-    FROM o JOIN s ON arrival_order = snapshot_order""", "states"))
+           digest AS state_digest, substr(sha256(concat_ws(chr(31), 'B1', snapshot_order, digest)), 1, 20) AS snapshot_key
+    FROM o JOIN s ON arrival_order = snapshot_order JOIN dg USING (snapshot_order)""", "states"))
 def snapshot_catalog(spark, d):
     return strategies.snapshot_catalog(fact(spark, d), LAST).withColumn("snapshot_order", F.col("snapshot_order").cast("long"))
 
@@ -197,7 +225,7 @@ def run_all_strategies(spark, d):
     return strategies.all_strategies(rows, _scores_of(rows), LAST)
 
 
-@query("state_digest")
+@query("state_digest", sql(f"WITH {_DIGEST} SELECT snapshot_order, state_rows, digest FROM dg", "states"))
 def state_digest(spark, d):
     return strategies.state_digest(strategies.full_snapshots(fact(spark, d), LAST), ["snapshot_order"], ["cell_id", "observation_id", "value_lexeme"])
 
