@@ -219,6 +219,20 @@ def classify_events(mismatches: DataFrame, gaps: DataFrame, singles: DataFrame,
     return out.withColumn("classification", F.coalesce("classification", F.lit("missing_rule")))
 
 
+def release_change(mismatches: DataFrame, candidate: str, changed: str, pair: tuple[str, str]) -> DataFrame:
+    """``mismatches`` with the label ``changed`` for candidates that two dated releases both published, with different values."""
+    values = F.from_json("source_values", "array<struct<source_id:string,value_lexeme:string>>")
+    lexeme = lambda source: F.get(F.filter(values, lambda v: v["source_id"] == source), F.lit(0))["value_lexeme"]
+    one, two = map(lexeme, pair)
+    both = (F.col("label") == candidate) & F.coalesce(decimal_of(one) != decimal_of(two), F.lit(False))
+    return mismatches.withColumn("label", F.when(both, changed).otherwise(F.col("label")))
+
+
+def missing_rules(events: DataFrame) -> DataFrame:
+    """The kinds and labels of events that no rule covers, with their number: each is a violation."""
+    return events.where("classification = 'missing_rule'").groupBy("input_kind", "input_label").agg(F.count("*").alias("events"))
+
+
 def classification_summary(events: DataFrame, by: list[str]) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("events"))
 
@@ -241,13 +255,18 @@ def gate_metrics(events: DataFrame, core: list[str]) -> DataFrame:
 
 
 def promote_evidence(events: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Reviewed evidence overrides the class of candidates; the original class stays beside it."""
-    rows = events.join(evidence.select("event_id", "promoted_classification"), "event_id", "left")
-    may = F.col("classification").endswith("candidate")
+    """Reviewed evidence overrides the class of candidates; the original class stays beside it.
+
+    Evidence counts if it names where it was found (``reference``) and a source of its
+    own (``source_id``), one that is not among the event's (``sources``, an array).
+    """
+    rows = events.join(evidence.select("event_id", "promoted_classification", "reference", F.col("source_id").alias("evidence_source")), "event_id", "left")
+    corroborates = (F.coalesce("reference", F.lit("")) != "") & F.coalesce(~F.array_contains("sources", F.col("evidence_source")), F.lit(False))
+    may = F.col("classification").endswith("candidate") & corroborates
     new = F.when(may, F.coalesce("promoted_classification", "classification")).otherwise(F.col("classification"))
     refused = F.col("promoted_classification").isNotNull() & ~may
     out = {"original_classification": F.col("classification"), "classification": new, "refused": refused}
-    return rows.withColumns(out).drop("promoted_classification")
+    return rows.withColumns(out).drop("promoted_classification", "reference", "evidence_source")
 
 
 def revision_traces(events: DataFrame, observations: DataFrame, keys: list[str]) -> DataFrame:

@@ -91,8 +91,8 @@ def lost_requests(requests: DataFrame, serving: DataFrame) -> DataFrame:
 
 
 def failure_profile(lost: DataFrame) -> DataFrame:
-    """Lost requests by strategy, source and domain: all, with another value, with the same value."""
-    return lost.groupBy("strategy", "source_id", "domain").agg(
+    """Lost requests by strategy, source, domain and level of area: all, with another value, with the same value."""
+    return lost.groupBy("strategy", "source_id", "domain", "geo_level").agg(
         F.count("*").alias("lost"), F.count_if("material").alias("material"), F.count_if(~F.col("material")).alias("duplicate_value")
     )
 
@@ -109,12 +109,16 @@ def superseded_serving(serving: DataFrame, fact: DataFrame) -> DataFrame:
     return serving.join(latest, "cell_id").where((F.col("observation_id") != F.col("latest_id")) & (F.col("value") != F.col("latest_value")))
 
 
-def failure_synthesis(profile: DataFrame, all_strategies: list[str]) -> DataFrame:
-    """For each kind of failure: total, strategies affected and strategies free of it."""
+def failure_synthesis(profile: DataFrame, all_strategies: list[str], costs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """For each kind of failure: total, strategies affected, strategies free of it, and the cheapest of all with full recall.
+
+    ``costs``: strategy, cost.  ``metrics``: strategy, recall_rate; ties go to the first name.
+    """
+    full = metrics.where("recall_rate >= 1").join(costs, "strategy").agg(F.min_by("strategy", F.struct("cost", "strategy")).alias("cheapest_full_recall"))
     long = profile.select("strategy", F.explode(F.create_map(F.lit("material"), "material", F.lit("duplicate_value"), "duplicate_value")).alias("failure", "n"))
     by = long.groupBy("failure").agg(F.sum("n").alias("total"), F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.col("strategy")))).alias("hit"))
     free = F.sort_array(F.array_except(F.array(*map(F.lit, all_strategies)), "hit"))
-    return by.select("failure", "total", F.array_join("hit", ",").alias("affected"), F.array_join(free, ",").alias("free"))
+    return by.select("failure", "total", F.array_join("hit", ",").alias("affected"), F.array_join(free, ",").alias("free")).crossJoin(full)  # one row
 
 
 def propagation_rate(injected: DataFrame, serving: DataFrame) -> DataFrame:

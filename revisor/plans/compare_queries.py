@@ -267,11 +267,14 @@ def ingestion_inventory(spark, d):
 RULES = (
     ("difference", "small", "rounding", "last_digit", "confirmed"),
     ("difference", "large", "revision_candidate", "revision", "candidate"),
+    ("difference", "changed", "published_release_change", "revision", "confirmed"),
     ("granularity", "gap", "granularity", "aggregation", "confirmed"),
 )
 _RULES = ", ".join(str(r) for r in RULES)
 _EVENTS = f"""{_SPARSE}, {_HIER}, rules AS (SELECT * FROM (VALUES {_RULES}) t(input_kind, input_label, classification, cause_family, evidence_level)),
-    raw AS (SELECT 'difference' AS input_kind, CASE WHEN spread <= 100 THEN 'small' ELSE 'large' END AS input_label, observed_period || '|' || geo_code AS key FROM compared WHERE status = 'value_mismatch'
+    raw AS (SELECT 'difference' AS input_kind, CASE WHEN spread <= 100 THEN 'small' WHEN p.value <> q.value THEN 'changed' ELSE 'large' END AS input_label, observed_period || '|' || geo_code AS key
+        FROM compared LEFT JOIN (SELECT observed_period, geo_code, value FROM fact WHERE source_id = 'purchase') p USING (observed_period, geo_code) LEFT JOIN (SELECT observed_period, geo_code, value FROM fact WHERE source_id = 'signup') q USING (observed_period, geo_code)
+        WHERE status = 'value_mismatch'
         UNION ALL SELECT 'granularity', 'gap', r_name || '|' || c_mktsegment FROM h JOIN p USING (r_name, c_mktsegment) GROUP BY r_name, c_mktsegment, p.value HAVING round(CAST(p.value AS DOUBLE) - CAST(sum(h.value) AS DOUBLE) / count(*), 4) <> 0
         UNION ALL SELECT 'coverage', 'single', observed_period || '|' || geo_code FROM compared WHERE status = 'single_source'),
     ev AS (SELECT input_kind, input_label, key, substr(sha256(concat_ws(chr(31), input_kind, input_label, key)), 1, 20) AS event_id, coalesce(classification, 'missing_rule') AS classification, cause_family, evidence_level
@@ -284,7 +287,7 @@ def _events(spark, d):
     differ = compared.where("status = 'value_mismatch'").withColumn("label", F.when(F.col("spread") <= 100, "small").otherwise("large"))
     gaps = compare.granularity_report(_hierarchy(spark, d), ["r_name", "c_mktsegment"], "region", "nation").withColumn("label", F.lit("gap")).withColumn("key", F.concat_ws("|", "r_name", "c_mktsegment"))
     single = compared.where("status = 'single_source'").withColumn("label", F.lit("single"))
-    return compare.classify_events(differ, gaps, single, rules)
+    return compare.classify_events(compare.release_change(differ, "large", "changed", ("purchase", "signup")), gaps, single, rules)
 
 
 @query("classify_events", sql(f"WITH {_EVENTS} SELECT event_id, input_kind, input_label, key, classification, cause_family, evidence_level FROM ev", "fact"))
@@ -292,6 +295,11 @@ def classify_events(spark, d):
     return _events(spark, d)
 
 
+@query("missing_rules", sql(f"WITH {_EVENTS} SELECT input_kind, input_label, count(*) AS events FROM ev WHERE classification = 'missing_rule' GROUP BY 1, 2", "fact"))
+def missing_rules(spark, d):
+    return compare.missing_rules(_events(spark, d))
+
+
 @query("classification_summary", sql(f"WITH {_EVENTS} SELECT classification, cause_family, evidence_level, count(*) AS events FROM ev GROUP BY 1, 2, 3", "fact"))
 def classification_summary(spark, d):
     return compare.classification_summary(_events(spark, d), ["classification", "cause_family", "evidence_level"])
@@ -305,11 +313,13 @@ def gate_metrics(spark, d):
     return compare.gate_metrics(rows, ["revision", "last_digit"])
 
 
-@query("promote_evidence", sql(f"""WITH {_EVENTS} SELECT event_id, CASE WHEN classification = 'revision_candidate' AND substr(event_id, 1, 1) < '8' THEN 'confirmed_revision' ELSE classification END AS classification, classification AS original_classification,
-    substr(event_id, 1, 1) < '8' AND classification <> 'revision_candidate' AS refused FROM ev""", "fact"))
+@query("promote_evidence", sql(f"""WITH {_EVENTS}, x AS (SELECT event_id, classification, substr(event_id, 1, 1) < '8' AS reviewed, classification = 'revision_candidate' AND substr(event_id, 2, 1) >= '4' AND substr(event_id, 3, 1) >= '4' AS may FROM ev)
+    SELECT event_id, CASE WHEN reviewed AND may THEN 'confirmed_revision' ELSE classification END AS classification, classification AS original_classification, reviewed AND NOT may AS refused FROM x""", "fact"))
 def promote_evidence(spark, d):
-    rows = _events(spark, d)
-    evidence = rows.where(F.substring("event_id", 1, 1) < "8").select("event_id", F.lit("confirmed_revision").alias("promoted_classification"))
+    """Evidence for half of the events; some of it names no reference, and some a source that is the event's own."""
+    rows = _events(spark, d).withColumn("sources", F.array(F.lit("purchase"), F.lit("signup")))
+    digit = lambda i: F.substring("event_id", i, 1)
+    evidence = rows.where(digit(1) < "8").select("event_id", F.lit("confirmed_revision").alias("promoted_classification"), F.when(digit(2) >= "4", "annex").alias("reference"), F.when(digit(3) >= "4", "bulletin").otherwise("signup").alias("source_id"))
     return compare.promote_evidence(rows, evidence).select("event_id", "classification", "original_classification", "refused")
 
 

@@ -323,7 +323,7 @@ def _lost(spark, d):
     return recall.lost_requests(_requests_of(rows), served)
 
 
-_PROFILE = "SELECT strategy, source_id, domain, count(*) AS lost, count(*) FILTER (value <> served_value) AS material, count(*) FILTER (value = served_value) AS duplicate_value FROM lost GROUP BY 1, 2, 3"
+_PROFILE = "SELECT strategy, source_id, domain, geo_level, count(*) AS lost, count(*) FILTER (value <> served_value) AS material, count(*) FILTER (value = served_value) AS duplicate_value FROM lost GROUP BY 1, 2, 3, 4"
 
 
 @query("failure_profile", sql(f"WITH {_LOST} {_PROFILE}", "fact", "current", "selected"))
@@ -344,13 +344,26 @@ def superseded_serving(spark, d):
     return recall.superseded_serving(strategies.select_single_source(rows, _scores(spark, d)), rows).select("cell_id", "observation_id", "latest_id")
 
 
-@query("failure_synthesis", sql(f"""WITH {_LOST}, p AS ({_PROFILE}), l AS (SELECT strategy, 'material' AS failure, material AS n FROM p UNION ALL SELECT strategy, 'duplicate_value', duplicate_value FROM p),
+#: Rows that each strategy holds stand for its cost.
+_COST = "ct AS (SELECT 'B0' AS strategy, count(*) AS cost FROM current UNION ALL SELECT 'B1', count(*) FROM states UNION ALL SELECT 'B2', count(*) FROM selected UNION ALL SELECT 'B3', count(*) FROM fact)"
+
+
+def _rows_held(spark, d):
+    rows = _stored(spark, d)
+    cells = rows.agg(F.count_distinct("cell_id").alias("c"), F.count("*").alias("n"))
+    snapshots = strategies.full_snapshots(rows, LAST).agg(F.count("*").alias("s"))
+    costs = F.array(*(F.struct(F.lit(b).alias("strategy"), F.col(c).alias("cost")) for b, c in (("B0", "c"), ("B1", "s"), ("B2", "c"), ("B3", "n"))))
+    return cells.crossJoin(snapshots).select(F.explode(costs).alias("x")).select("x.*")  # one row
+
+
+@query("failure_synthesis", sql(f"""WITH {_AUDIT}, mt AS ({_METRICS}), {_COST}, {_LOST}, p AS ({_PROFILE}), l AS (SELECT strategy, 'material' AS failure, material AS n FROM p UNION ALL SELECT strategy, 'duplicate_value', duplicate_value FROM p),
     h AS (SELECT failure, strategy, sum(n) AS n FROM l GROUP BY 1, 2)
     SELECT failure, CAST(sum(n) AS BIGINT) AS total, coalesce(string_agg(strategy, ',' ORDER BY strategy) FILTER (n > 0), '') AS affected,
-           concat_ws(',', CASE WHEN count(*) FILTER (strategy = 'B0' AND n > 0) = 0 THEN 'B0' END, 'B1', CASE WHEN count(*) FILTER (strategy = 'B2' AND n > 0) = 0 THEN 'B2' END, 'B3') AS free
-    FROM h GROUP BY 1""", "fact", "current", "selected"))
+           concat_ws(',', CASE WHEN count(*) FILTER (strategy = 'B0' AND n > 0) = 0 THEN 'B0' END, 'B1', CASE WHEN count(*) FILTER (strategy = 'B2' AND n > 0) = 0 THEN 'B2' END, 'B3') AS free,
+           (SELECT arg_min(strategy, cost) FROM ct JOIN mt USING (strategy) WHERE recall_rate >= 1) AS cheapest_full_recall
+    FROM h GROUP BY 1""", "fact", "current", "selected", "states"))
 def failure_synthesis(spark, d):
-    return recall.failure_synthesis(recall.failure_profile(_lost(spark, d)), ["B0", "B1", "B2", "B3"])
+    return recall.failure_synthesis(recall.failure_profile(_lost(spark, d)), ["B0", "B1", "B2", "B3"], _rows_held(spark, d), recall.recall_metrics(_audit(spark, d)))
 
 
 @query("expected_arrival_states", sql(f"""WITH o AS ({_OPS}), c AS (SELECT arrival_order, sum(inserted) OVER (ORDER BY arrival_order) AS cells, sum(input_rows) OVER (ORDER BY arrival_order) AS stored FROM o),
