@@ -76,7 +76,7 @@ class WordEncoder:
     tokens as plain text; else they get their own ids, as by the tokenizer as loaded.
     """
 
-    def __init__(self, path: str, specials_as_text: bool = True):
+    def __init__(self, path: str, specials_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -142,7 +142,7 @@ def encoded(text: str, encoder: WordEncoder) -> bytes:
     return b"".join(map(encoder.encode, _segments(text)))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = True) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = False) -> DataFrame:
     """doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens: the pieces of each row.
 
     ``tokenizer``: path of a ``tokenizers`` file, the same on every executor.  It must
@@ -270,7 +270,7 @@ def packed(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     return ranked(pieces, max(16, tasks(spark))).mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = True, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, id_col: str = "doc_id", text_col: str = "text", specials_as_text: bool = False, with_ids: bool = False) -> DataFrame:
     """Pieces with their place and a CRC-32 of their ids, for a record of where each id went.
 
     ``with_ids`` carries the ids themselves (little-endian unsigned 32 bits), so that a

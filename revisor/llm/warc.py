@@ -60,21 +60,37 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(labels))}{port}){parts.path or '/'}{'?' + parts.query if parts.query else ''}"
 
 
-def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC/1.1 record; a revisit holds headers only."""
+def _uri(url: str | None) -> str:
+    return (url or "").encode("unicode_escape").decode()
+
+
+def info_bytes(name: str) -> bytes:
+    """The warcinfo record that an archive begins with."""
+    block = b"software: revisor\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def record_bytes(page_id, url, payload: bytes, digest: str, refers_to, refers_url=None) -> bytes:
+    """One WARC/1.1 record; a revisit holds headers only, and names what it repeats by URI and date, as its profile asks."""
     revisit = refers_to is not None
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {(url or '').encode('unicode_escape').decode()}",
+        f"WARC-Target-URI: {_uri(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To-Target-URI: {_uri(refers_url)}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"X-Refers-To-Page-ID: {refers_to}",
+        ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (b"" if revisit else payload)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -104,16 +120,17 @@ _RECORDS = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("record_ty
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to: what each record will say.
+    """page_id, url, payload, digest, refers_to, refers_url: what each record will say.
 
     First ids are pre-aggregated by digest; the join on the digest may be split by
     AQE where one payload is frequent.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    first = rows.where(F.length("payload") >= REVISIT_BYTES).groupBy("digest")
+    first = first.agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first.page_id", "first.url").toDF("digest", "first_id", "first_url")
+    again = ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
@@ -125,13 +142,16 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         out, name, at = None, "", 0
         for batch in batches:
             found = []
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, digest, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None or at >= ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                member = gzip.compress(record_bytes(page_id, url, payload, digest, refers_to), 1, mtime=0)
+                    info = gzip.compress(info_bytes(name), 1, mtime=0)
+                    out.write(info)
+                    at = len(info)
+                member = gzip.compress(record_bytes(page_id, url, payload, digest, refers_to, refers_url), 1, mtime=0)
                 out.write(member)
                 found.append((url_key(url), page_id, name, at, len(member)))
                 at += len(member)
