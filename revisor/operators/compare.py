@@ -129,8 +129,11 @@ def scope_overlap(rows: DataFrame, one: str, two: str, by: str, keys: list[str])
     return out.withColumn("status", F.when(F.col("in_both") == 0, "disjoint").when((F.col("in_both") == F.col("in_one")) & (F.col("in_both") == F.col("in_two")), "same_scope").otherwise("partial_overlap"))
 
 
-def profile_variable(rows: DataFrame, by: list[str], unit: str, category: str, year: str) -> DataFrame:
-    """Observed against possible cells of a variable, its years and their gaps; sets are of areas, categories and years."""
+def profile_variable(rows: DataFrame, by: list[str], unit: str, category: str, year: str, level: str, period: str, updated: str) -> DataFrame:
+    """Observed against possible cells of a variable, its years and their gaps, the areas of each level, the kinds of period and the last update.
+
+    Sets are of areas, categories and years.
+    """
     years = F.collect_set(year)  # bounded by the years of a calendar
     out = rows.groupBy(*by).agg(
         F.count("*").alias("observed_cells"),
@@ -139,7 +142,13 @@ def profile_variable(rows: DataFrame, by: list[str], unit: str, category: str, y
         F.min(year).alias("first_year"),
         F.max(year).alias("last_year"),
         years.alias("years"),
+        F.collect_set(F.struct(F.col(level).alias("level"), F.col(unit).alias("unit"))).alias("areas"),
+        F.array_join(F.sort_array(F.collect_set(period)), ";").alias("period_types"),
+        F.max(updated).alias("last_update"),
     )
+    levels = F.sort_array(F.array_distinct(F.transform("areas", lambda a: a["level"])))
+    per_level = F.transform(levels, lambda x: F.concat(x, F.lit("="), F.size(F.filter("areas", lambda a: a["level"] == x)).cast("string")))
+    out = out.withColumn("units_by_level", F.array_join(per_level, ";")).drop("areas")
     possible = F.col("units") * F.col("categories") * F.size("years")
     gaps = F.sort_array(F.array_except(F.sequence(F.col("first_year"), F.col("last_year")), F.col("years")))
     return out.withColumn("expected_cells", possible).withColumn("density", F.round(F.col("observed_cells") / possible, 4)).withColumn("year_gaps", F.array_join(gaps, ";")).drop("years")
@@ -315,8 +324,16 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def lexical_candidates(queries: DataFrame, titles: DataFrame, k: int) -> DataFrame:
-    """The k best titles of each query among those that share a word with it, by score, ties by id."""
-    pairs = token_coverage(queries, titles).join(queries.select("query_id", bare_title(F.col("query")).alias("q")), "query_id").join(titles.select("title_id", bare_title(F.col("title")).alias("t")), "title_id")
+    """The k best titles of each query among those that share a word with it, by score, ties by id.
+
+    The sequence ratio is at most 1, so a pair whose coverage with a full ratio is under
+    the k-th coverage with none cannot be among the best: its texts are never compared.
+    """
+    by_coverage = Window.partitionBy("query_id").orderBy(F.col("coverage").desc())
+    found = token_coverage(queries, titles).withColumn("r", F.row_number().over(by_coverage))
+    least = F.coalesce(F.max(F.when(F.col("r") == k, F.col("coverage"))).over(Window.partitionBy("query_id")), F.lit(0.0))
+    may_be = found.withColumn("least", least).where(F.round(COVERAGE * F.col("coverage") + SEQUENCE, 4) >= F.round(COVERAGE * F.col("least"), 4)).drop("r", "least")
+    pairs = may_be.join(queries.select("query_id", bare_title(F.col("query")).alias("q")), "query_id").join(titles.select("title_id", bare_title(F.col("title")).alias("t")), "title_id")
     scored = pairs.withColumn("score", F.round(COVERAGE * F.col("coverage") + SEQUENCE * sequence_ratio("q", "t"), 4))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "title_id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "title_id", "score", "place")

@@ -22,6 +22,12 @@ def footprint(objects: DataFrame, listing: DataFrame, by: list[str]) -> DataFram
     )
 
 
+def footprint_spread(footprints: DataFrame, by: list[str]) -> DataFrame:
+    """Least, median and most bytes and objects of each group over its repetitions."""
+    each = [f(c).alias(f"{c}_{name}") for c in ("bytes", "objects") for name, f in (("min", F.min), ("median", F.median), ("max", F.max))]
+    return footprints.groupBy(*by).agg(F.count("*").alias("repetitions"), *each)
+
+
 def unreferenced(listing: DataFrame, referenced: DataFrame, by: list[str]) -> DataFrame:
     """Listed objects that nothing refers to."""
     return listing.join(referenced.select("path").distinct(), "path", "left_anti").groupBy(*by).agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))

@@ -187,17 +187,20 @@ def scope_overlap(spark, d):
 
 def _order_years(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.select("c_mktsegment", "c_nationkey", "o_orderpriority", F.year("o_orderdate").alias("year")).distinct()
+    level = F.when(F.col("c_nationkey") % 3 == 0, "province").otherwise("regency").alias("level")
+    return o.groupBy("c_mktsegment", "c_nationkey", "o_orderpriority", F.year("o_orderdate").alias("year"), level).agg(F.max("o_orderdate").cast("string").alias("updated")).withColumn("period", F.when(F.col("year") % 2 == 0, "annual").otherwise("survey"))
 
 
-_YEARS = "y AS (SELECT DISTINCT c_mktsegment, c_nationkey, o_orderpriority, year(o_orderdate) AS year FROM orders JOIN customer ON o_custkey = c_custkey)"
+_YEARS = "y AS (SELECT c_mktsegment, c_nationkey, o_orderpriority, year(o_orderdate) AS year, CASE WHEN c_nationkey % 3 = 0 THEN 'province' ELSE 'regency' END AS level, CAST(max(o_orderdate) AS VARCHAR) AS updated, CASE WHEN year(o_orderdate) % 2 = 0 THEN 'annual' ELSE 'survey' END AS period FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 
 
 @query("profile_variable", f"""WITH {_YEARS} SELECT c_mktsegment, count(*) AS observed_cells, count(DISTINCT c_nationkey) AS units, count(DISTINCT o_orderpriority) AS categories, CAST(min(year) AS BIGINT) AS first_year, CAST(max(year) AS BIGINT) AS last_year,
     count(DISTINCT c_nationkey) * count(DISTINCT o_orderpriority) * count(DISTINCT year) AS expected_cells, round(count(*) / (count(DISTINCT c_nationkey) * count(DISTINCT o_orderpriority) * count(DISTINCT year)), 4) AS density,
-    coalesce(array_to_string(list_sort(list_filter(range(min(year), max(year) + 1), lambda x: NOT list_contains(list(DISTINCT year), x))), ';'), '') AS year_gaps FROM y GROUP BY 1""")
+    coalesce(array_to_string(list_sort(list_filter(range(min(year), max(year) + 1), lambda x: NOT list_contains(list(DISTINCT year), x))), ';'), '') AS year_gaps,
+    concat_ws(';', 'province=' || nullif(count(DISTINCT c_nationkey) FILTER (level = 'province'), 0), 'regency=' || nullif(count(DISTINCT c_nationkey) FILTER (level = 'regency'), 0)) AS units_by_level,
+    string_agg(DISTINCT period, ';' ORDER BY period) AS period_types, max(updated) AS last_update FROM y GROUP BY 1""")
 def profile_variable(spark, d):
-    out = compare.profile_variable(_order_years(spark, d), ["c_mktsegment"], "c_nationkey", "o_orderpriority", "year")
+    out = compare.profile_variable(_order_years(spark, d), ["c_mktsegment"], "c_nationkey", "o_orderpriority", "year", "level", "period", "updated")
     return out.withColumns({c: F.col(c).cast("long") for c in ("first_year", "last_year", "expected_cells")})
 
 

@@ -49,6 +49,14 @@ def footprint_fold(spark, d):
     return cost.footprint(objects, changed, ["p_brand"])
 
 
+@query("footprint_spread", """WITH f AS (SELECT p_brand, p_size % 3 AS repetition, CAST(sum(CAST(p_size AS BIGINT) * 1024) AS BIGINT) AS bytes, count(*) AS objects FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY 1, 2)
+    SELECT p_brand, count(*) AS repetitions, min(bytes) AS bytes_min, median(bytes) AS bytes_median, max(bytes) AS bytes_max, min(objects) AS objects_min, median(objects) AS objects_median, max(objects) AS objects_max FROM f GROUP BY 1""")
+def footprint_spread(spark, d):
+    listing = table(spark, d, "part").select(F.col("p_partkey").alias("path"), "p_brand", (F.col("p_size") % 3).alias("repetition"), (F.col("p_size").cast("long") * 1024).alias("size"))
+    objects = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.count("*").alias("records")).join(listing, "path")
+    return cost.footprint_spread(cost.footprint(objects, listing, ["p_brand", "repetition"]), ["p_brand"])
+
+
 @query("unreferenced_objects", """SELECT p_brand, count(*) AS objects, CAST(sum(CAST(p_size AS BIGINT) * 1024) AS BIGINT) AS bytes FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) GROUP BY 1""")
 def unreferenced_objects(spark, d):
     listing = table(spark, d, "part").select(F.col("p_partkey").alias("path"), "p_brand", (F.col("p_size").cast("long") * 1024).alias("size"))
