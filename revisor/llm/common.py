@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 #: Where tables go when the session names no folder (tests on one machine only).
 LOCAL_DIR = "/tmp/checkpoints"
-#: Rows of an Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,8 +99,9 @@ def running(values: Column, zero: Column, fold) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows; texts may be long."""
+    """Bound the Arrow batches by rows and bytes; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -147,7 +147,11 @@ def _alike_pairs(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, width:
     best = written(near.groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b"), "best")
     alike = _verified(texts, best, width, least)
     others = written(near.select("a", "b").join(alike.select("b").distinct(), "b", "left_anti").join(best, ["a", "b"], "left_anti"), "others")
-    return alike if others.isEmpty() else alike.unionByName(_verified(texts, others, width, least))
+    if not others.isEmpty():
+        alike = alike.unionByName(_verified(texts, others, width, least))
+    for table in (near, best, others):
+        drop_written(table)
+    return alike
 
 
 def like_smaller(docs: DataFrame, id_col: str, text_col: str = "text", among: DataFrame | None = None, width: int = WIDTH, least: float = LEAST) -> DataFrame:
@@ -168,6 +172,7 @@ def like_smaller(docs: DataFrame, id_col: str, text_col: str = "text", among: Da
         pairs = written(pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "pairs")
         alike = _alike_pairs(texts, sketches, pairs, width, least)
         found.append(alike)
+        drop_written(pairs)
         if lead.isEmpty():
             every = found[0]
             for more in found[1:]:

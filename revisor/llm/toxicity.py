@@ -55,9 +55,9 @@ SPAN, DECAY = 7, 0.7
 #: Longest word scored as one; longer ones in windows that overlap by half.
 WINDOW = 24
 #: The fit reads so many labelled rows of each class at most, chosen by a hash of the id.
-TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
+TOXIC_ROWS, CLEAN_ROWS = 1000, 2500
 #: and so many UTF-8 bytes of them, in the order of that hash.
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 24 << 20
 LANDMARKS, ROUNDS, HARD_SENTENCES = 160, 4, 4000
 #: Toxic sentences that a toxic document contributes at most, and the folds of the curve's fit.
 WITNESSES, FOLDS = 3, 5
@@ -67,7 +67,7 @@ LEAST_RATIO = 5
 #: Documents with a score from here on are predicted toxic (fixed by the contract).
 THRESHOLD = 0.7
 #: Scored words that a Python worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 _GAPS = [(a, b, c) for a, b, c in combinations(range(1, SPAN), 3)]
 _TABLE = 1 << 20
@@ -151,7 +151,7 @@ class _Sentences:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.word, self.sentence, self.document, self.toxic = (array("q") for _ in range(4))
+        self.word, self.sentence, self.document, self.toxic = (array("i") for _ in range(4))
 
     def add(self, text: str, toxic: int) -> None:
         for sentence in _SENTENCE_END.split(text):
@@ -163,7 +163,7 @@ class _Sentences:
         self.toxic.append(toxic)
 
     def arrays(self):
-        return list(self.number), *(np.array(x, np.int64) for x in (self.word, self.sentence, self.document, self.toxic))
+        return list(self.number), *(np.array(x, np.int32) for x in (self.word, self.sentence, self.document, self.toxic))
 
 
 def _in_parts(words: list[str], size: int = 20_000):
@@ -292,7 +292,7 @@ def fit_margins(words: list[str], word: np.ndarray, sentence: np.ndarray, docume
     """(table, bias, landmarks) of the SVM on the sentences of documents of both classes."""
     pos, neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
     of_word = document[sentence]
-    seen = np.unique(of_word * len(words) + word)
+    seen = np.unique(of_word.astype(np.int64) * len(words) + word)
     seen_toxic = toxic[seen // len(words)] == 1
     n_toxic, n_clean = (np.bincount(seen[k] % len(words), minlength=len(words)).astype(float) for k in (seen_toxic, ~seen_toxic))
     no_witness = n_clean * pos * LEAST_RATIO > n_toxic * neg
@@ -353,9 +353,9 @@ def fit_fold(bags: _Sentences, fold: int) -> tuple[dict, list[tuple]]:
     if not toxic[document[chosen]].any() or toxic[document[chosen]].all():
         return {}, []
     kept = chosen[sentence]
-    table, bias, marks = fit_margins(words, word[kept], (np.cumsum(chosen) - 1)[sentence[kept]], (np.cumsum(inside) - 1)[document[chosen]], toxic[inside])
+    table, bias, marks = fit_margins(words, word[kept], (np.cumsum(chosen, dtype=np.int32) - 1)[sentence[kept]], (np.cumsum(inside, dtype=np.int32) - 1)[document[chosen]], toxic[inside])
     scores = _all_scores(words, table) + bias
-    seen = np.unique(document[sentence] * len(words) + word)
+    seen = np.unique(document[sentence].astype(np.int64) * len(words) + word)
     owner, out = seen // len(words), []
     for d in np.flatnonzero(~inside):
         own = seen[np.searchsorted(owner, d) : np.searchsorted(owner, d, "right")] % len(words)
