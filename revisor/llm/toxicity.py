@@ -391,20 +391,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     chosen = [hash_sample(known.where(F.col("toxic") == t), "doc_id", n, totals.get(t, 0)) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     ids = chosen[0].unionByName(chosen[1]).withColumnRenamed("doc_id", "chosen_id")  # at most TOXIC_ROWS + CLEAN_ROWS rows
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("chosen_id"))
+    texts = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # of rows that share an id, one
     in_order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)  # over the sample only
     rows = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(in_order), F.lit(0))).where(F.col("before") + F.octet_length("text") <= SAMPLE_BYTES)
     sample = written(rows.select("doc_id", "text", "toxic"), "sample")
 
-    def train(key, table):
-        bags, fold = _Sentences(), key[0].as_py()
+    def train(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table, bags = pa.Table.from_batches(held), _Sentences()
+        fold = table.column("fold")[0].as_py()
         for i in pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_pylist():  # the same model however rows arrive
             bags.add(table.column("text")[i].as_py(), table.column("toxic")[i].as_py())
         model, unseen = fit_fold(bags, fold)
         raw = zlib.compress(json.dumps({"fold": fold, "model": model, "unseen": unseen}).encode())
-        return pa.table({"made": pa.array([raw], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["made"])
 
     copies = sample.withColumn("fold", F.explode(F.array(*(F.lit(k) for k in range(FOLDS)))))
-    made = [json.loads(zlib.decompress(r["made"])) for r in copies.groupBy("fold").applyInArrow(train, "made binary").collect()]  # FOLDS rows
+    made = [json.loads(zlib.decompress(r["made"])) for r in copies.repartitionById(FOLDS, F.col("fold")).mapInArrow(train, "made binary").collect()]  # FOLDS rows
     made.sort(key=lambda m: m["fold"])
     return averaged([m["model"] for m in made if m["model"]], [u for m in made for u in m["unseen"]], totals.get(1, 0), totals.get(0, 0))
 
