@@ -302,18 +302,18 @@ def bare_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.array_except(F.split(bare_title(text), " "), F.array(*map(F.lit, ("", *STOPWORDS)))))
+def _words(text: Column, stopwords: tuple[str, ...]) -> Column:
+    return F.array_distinct(F.array_except(F.split(bare_title(text), " "), F.array(*map(F.lit, ("", *stopwords)))))
 
 
-def token_coverage(queries: DataFrame, titles: DataFrame) -> DataFrame:
+def token_coverage(queries: DataFrame, titles: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """query_id, title_id, coverage: share of a query's words in a title, for pairs that share a word.
 
     An inverted index joins on the word; a query's words are counted once.
     """
-    q = queries.select("query_id", _words(F.col("query")).alias("words"))
+    q = queries.select("query_id", _words(F.col("query"), stopwords).alias("words"))
     q = q.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    t = titles.select("title_id", F.explode(_words(F.col("title"))).alias("word"))
+    t = titles.select("title_id", F.explode(_words(F.col("title"), stopwords)).alias("word"))
     return q.join(t, "word").groupBy("query_id", "title_id").agg((F.count("*") / F.first("n")).alias("coverage"))
 
 
@@ -323,14 +323,14 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def lexical_candidates(queries: DataFrame, titles: DataFrame, k: int) -> DataFrame:
+def lexical_candidates(queries: DataFrame, titles: DataFrame, k: int, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """The k best titles of each query among those that share a word with it, by score, ties by id.
 
     The sequence ratio is at most 1, so a pair whose coverage with a full ratio is under
     the k-th coverage with none cannot be among the best: its texts are never compared.
     """
     by_coverage = Window.partitionBy("query_id").orderBy(F.col("coverage").desc())
-    found = token_coverage(queries, titles).withColumn("r", F.row_number().over(by_coverage))
+    found = token_coverage(queries, titles, stopwords).withColumn("r", F.row_number().over(by_coverage))
     least = F.coalesce(F.max(F.when(F.col("r") == k, F.col("coverage"))).over(Window.partitionBy("query_id")), F.lit(0.0))
     may_be = found.withColumn("least", least).where(F.round(COVERAGE * F.col("coverage") + SEQUENCE, 4) >= F.round(COVERAGE * F.col("least"), 4)).drop("r", "least")
     pairs = may_be.join(queries.select("query_id", bare_title(F.col("query")).alias("q")), "query_id").join(titles.select("title_id", bare_title(F.col("title")).alias("t")), "title_id")

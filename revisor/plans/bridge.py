@@ -90,7 +90,7 @@ CTES = {
     "states": "SELECT h.*, s.snapshot_order FROM hist h JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS snapshot_order) s ON h.arrival_order <= s.snapshot_order AND s.snapshot_order < coalesce(h.next_arrival, 6)",
     "scores": """SELECT source_id, vintage_date, trust_score, row_number() OVER (ORDER BY trust_score DESC, vintage_date DESC, source_id) AS source_rank FROM (
         SELECT r.source_id, r.vintage_date, CAST(round(0.30 * (CASE WHEN publisher = 'office' THEN 1 ELSE 0 END) + 0.20 * p.provenance
-                 + 0.20 * (CASE role WHEN 'indicator_values' THEN 0.75 ELSE 1.0 END) + 0.15 * (CASE format WHEN 'pdf' THEN 0.75 ELSE 1.0 END) + 0.15 * p.cells / t.cells, 4) AS DOUBLE) AS trust_score
+                 + 0.20 * (CASE role WHEN 'indicator_values' THEN 0.75 ELSE 1.0 END) + 0.15 * (CASE format WHEN 'pdf' THEN 0.75 ELSE 1.0 END) + 0.15 * p.cells / t.cells, 6) AS DOUBLE) AS trust_score
         FROM releases r JOIN (SELECT source_id, avg(CASE WHEN source_record_id <> '' THEN 1.0 ELSE 0.0 END) AS provenance, count(DISTINCT cell_id) AS cells FROM fact GROUP BY 1) p USING (source_id)
              CROSS JOIN (SELECT count(DISTINCT cell_id) AS cells FROM fact) t)""",
     "selected": """SELECT * FROM (SELECT f.*, s.trust_score, s.source_rank, count(*) OVER (PARTITION BY cell_id) AS candidate_count,

@@ -20,7 +20,7 @@ def _stored(spark, d):
 
 
 def _scores_of(rows):
-    return strategies.trust_scores(rows, releases(rows.sparkSession), AUTHORITY, places=4)
+    return strategies.trust_scores(rows, releases(rows.sparkSession), AUTHORITY)
 
 
 def _scores(spark, d):

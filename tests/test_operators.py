@@ -230,3 +230,24 @@ def test_modal_precision(spark):
 def test_packed_series_problems(spark):
     rows = spark.createDataFrame([("k", "2018:9.00|2018:9.10|2019:x")], "k string, packed string")
     assert _rows(files.unpack_series(rows, "packed").fillna(""), "year", "problem") == [("2018", "duplicate_year"), ("2018", "duplicate_year"), ("2019", "not_numeric")]
+
+
+def test_best_titles_are_those_of_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    words = "alpha beta gamma delta dan yang".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+    queries, titles = [(i, text()) for i in range(12)], [(i, text()) for i in range(40)]
+    want = []
+    for q, query in queries:
+        own = set(query.split()) - set(compare.STOPWORDS)
+        scored = []
+        for t, title in titles:
+            both = own & set(title.split())
+            if both:
+                scored.append((-round(compare.COVERAGE * len(both) / len(own) + compare.SEQUENCE * SequenceMatcher(None, query, title).ratio(), 4), t))
+        want += [(q, t, n) for n, (_, t) in enumerate(sorted(scored)[:3], 1)]
+    got = compare.lexical_candidates(spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(titles, "title_id int, title string"), 3)
+    assert _rows(got, "query_id", "title_id", "place") == sorted(want)
