@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, tasks, written
+from .common import give_back, small_batches, tasks, written
 
 #: Fixed by the contract: longest sequence, and the id that ends a document.
 ROOM, END_ID = 2048, 1
@@ -171,6 +171,7 @@ def tokenized(docs: DataFrame, tokenizer: str, room: int = ROOM, end_id: int = E
                     [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary()), pa.array(totals, pa.int64())],
                     names=["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 

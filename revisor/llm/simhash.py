@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import connected_components, small_batches, tasks, word_blocks, written
+from .common import connected_components, give_back, small_batches, tasks, word_blocks, written
 
 #: Fixed by the contract.
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -76,6 +76,7 @@ def _fingerprint_batches(batches):
     for batch in batches:
         fps = [fingerprint(x.as_py()) for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "row", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:

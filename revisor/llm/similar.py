@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import drop_written, small_batches, word_blocks, written
+from .common import drop_written, give_back, small_batches, word_blocks, written
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -92,6 +92,7 @@ def _sketch(width: int):
             flat = pa.array(np.concatenate(cells) if cells else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), flat)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), lists], names=["doc_id", "n", "mark", "cells"])
+        give_back()
 
     return sketch
 
@@ -111,6 +112,7 @@ def _sets(width: int):
         for batch in batches:
             made = [shingles(raw.as_py(), width).tobytes() for raw in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "set"])
+        give_back()
 
     return sets
 
@@ -124,6 +126,7 @@ def _alike(least: float):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both / (len(x) + len(y) - both) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return alike
 

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hash_sample, small_batches, written
+from .common import give_back, hash_sample, small_batches, written
 
 #: Kernel: letters of a subsequence (fixed at 4 by the table's index), its longest span, weight per letter of span.
 SPAN, DECAY = 7, 0.7
@@ -406,6 +406,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             bags.add(table.column("text")[i].as_py(), table.column("toxic")[i].as_py())
         model, unseen = fit_fold(bags, fold)
         raw = zlib.compress(json.dumps({"fold": fold, "model": model, "unseen": unseen}).encode())
+        del held, table, bags
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["made"])
 
     copies = sample.withColumn("fold", F.explode(F.array(*(F.lit(k) for k in range(FOLDS)))))
