@@ -133,3 +133,15 @@ def test_no_two_texts_stay_that_are_alike(spark):
 
 def test_no_two_texts_of_the_near_stage_are_alike(steps):
     assert not _alike([_shingles(r.text) for r in dict(steps)["simhash"].collect()])
+
+
+def test_empty_tables_and_null_texts(spark):
+    schema = "doc_id long, text string, row_key string, `_row_key` int"
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty, DIR)
+        assert got.count() == 0 and (name == "packing" or got.columns == empty.columns)
+    rows = spark.createDataFrame([(1, None, "a", 1), (2, None, "a", 1), (None, "", "b", 2), (3, "x", None, None)], schema)
+    assert sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.distinct_texts(spark, rows, DIR).collect()) == [(1, ""), (3, "x")]
+    assert corpus_pipeline.without_benchmark(spark, rows, DIR).count() == 4
+    assert sorted(r.length for r in corpus_pipeline.packed(spark, rows, DIR).collect()) == [1, 1, 1, 2]
