@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 #: Shortest tile, and the least share of an item under tiles that counts as a leak.
 MIN_TILE, MIN_COVERAGE = 5, 0.8
@@ -221,5 +221,6 @@ def _search(block, coverage: float):
                 out += [(doc_id.as_py(), *m) for m in block.value.matches(tokens(text.as_py()), coverage)]
             columns = zip(*out, strict=True) if out else [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+        give_back()
 
     return search

@@ -461,6 +461,8 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             for at in range(0, len(batch), 100):
                 part = batch.slice(at, 100)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_SCORERS[name].scores(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "logit"])
+        _SCORERS.clear()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = rows.mapInArrow(score, "doc_id long, logit double").select("doc_id", (1 / (1 + F.exp(-F.col("logit")))).alias("score"))
