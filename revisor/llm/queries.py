@@ -112,8 +112,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    at = lambda text: merkle.leaf(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = _table(spark, sf_dir, "documents").select(
+        "source",
+        "doc_id",
+        at(F.col("text")).alias("leaf"),
+        F.when(tampered & F.contains("text", F.lit("\n")), at(F.replace("text", F.lit("\n"), F.lit("")))).alias("tampered"),
+    )
+    proofs = merkle.prove(merkle.build(rows, "source", "doc_id", "leaf"))
+    folded = merkle.fold(F.coalesce("tampered", "digest"), F.col("proof"))
+    named = proofs.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return named.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
-    found = (op1_chat, op2_decontamination, op3_simhash, op4_pii, op5_sharding, op6_packing, op7_warc, op8_quality, op9_exact_dedup, op10_toxicity)
+    found = (op1_chat, op2_decontamination, op3_simhash, op4_pii, op5_sharding, op6_packing, op7_warc, op8_quality, op9_exact_dedup, op10_toxicity, op11_merkle)
     return {f.__name__: f for f in found}
 
 
@@ -125,8 +142,47 @@ for _c in ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 
 
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value} END"
+
+
+#: CRC-32 of an id's digits, byte by byte and bit by bit.
+_BITS = "list_reduce(list_prepend(xor(r, b), [0::UBIGINT FOR i IN range(8)]), lambda v, i: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))"
+_BYTES = "[CAST(ascii(c) AS UBIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {_BYTES}), lambda r, b: {_BITS}), 4294967295::UBIGINT)"
+
+
+def _merkle_sql() -> str:
+    """Levels by recursion, siblings by windows over runs of three, proofs as lists that are folded."""
+    leaf = lambda text: "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    level = "sha256(string_agg(h, '' ORDER BY place))"
+    beside = "coalesce(string_agg(h, '') OVER (PARTITION BY {0}level, place // 3 ORDER BY place ROWS BETWEEN {1}), '')"
+    before, after = "UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING"
+    return f"""
+        WITH RECURSIVE l AS (
+            SELECT doc_id, source, leaf, tampered, row_number() OVER () AS id,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+            FROM (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN crc32_of % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS tampered
+                  FROM (SELECT *, {_CRC32} AS crc32_of FROM documents))),
+        up AS (SELECT source, 0 AS level, place, n, leaf AS h FROM l
+               UNION ALL SELECT source, level + 1, place // 3, (any_value(n) + 2) // 3, {level} FROM up WHERE n > 1 GROUP BY source, level, place // 3),
+        subroots AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (SELECT 0 AS level, place, n, h FROM subroots
+                UNION ALL SELECT level + 1, place // 3, (any_value(n) + 2) // 3, {level} FROM top WHERE n > 1 GROUP BY level, place // 3),
+        steps AS (SELECT source, level, place, {beside.format("source, ", before)} AS lo, {beside.format("source, ", after)} AS hi FROM up WHERE n > 1),
+        top_steps AS (SELECT level, place, {beside.format("", before)} AS lo, {beside.format("", after)} AS hi FROM top WHERE n > 1),
+        paths AS (SELECT id, 0 AS part, s.level, lo, hi FROM l JOIN steps s ON l.source IS NOT DISTINCT FROM s.source AND s.place = l.place // CAST(pow(3, s.level) AS BIGINT)
+                  UNION ALL SELECT id, 1, s.level, lo, hi FROM l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source JOIN top_steps s ON s.place = r.place // CAST(pow(3, s.level) AS BIGINT)),
+        proofs AS (SELECT l.id, list({{'lo': lo, 'hi': hi}} ORDER BY part, level) FILTER (lo IS NOT NULL) AS proof FROM l LEFT JOIN paths ON l.id = paths.id GROUP BY 1),
+        found AS (SELECT doc_id, leaf, r.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(array_to_string([s.lo || s.hi FOR s IN proof], ''), '')) AS proof_sha256,
+                         list_reduce(list_prepend({{'lo': coalesce(tampered, leaf), 'hi': ''}}, coalesce(proof, [])), lambda a, s: {{'lo': sha256(s.lo || a.lo || s.hi), 'hi': ''}}).lo AS folded_root
+                  FROM l JOIN proofs USING (id) JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source)
+        SELECT *, folded_root = root AS verified FROM found"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_merkle": _merkle_sql(),
         "op1_chat": f"""
             WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
