@@ -30,6 +30,7 @@ from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -170,9 +171,9 @@ def _expand(groups: int):
     """Step 3 for a piece: every leaf with its group's root, the root, and its proof."""
 
     def expand(leaves: pa.Table, fetched: pa.Table) -> pa.Table:
-        told = pa.compute.is_null(fetched["level"])
+        told = pc.is_null(fetched["level"])
         nodes: dict[int, dict[int, dict[int, str]]] = {}
-        for r in fetched.filter(pa.compute.invert(told)).select(["tree", "level", "place", "digest"]).to_pylist():
+        for r in fetched.filter(pc.invert(told)).select(["tree", "level", "place", "digest"]).to_pylist():
             nodes.setdefault(r["tree"], {}).setdefault(r["level"], {})[r["place"]] = r["digest"]
         leaves = leaves.sort_by("at")
         trees, upper = _by_tree(leaves, fetched.filter(told)), nodes.get(TOP, {})

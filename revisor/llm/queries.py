@@ -129,8 +129,22 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = _table(spark, sf_dir, "documents")
+    return mix(docs, F.col("doc_id"), F.col("text"), F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import codes
+
+    coded, books = codes.encode(_table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
-    found = (op1_chat, op2_decontamination, op3_simhash, op4_pii, op5_sharding, op6_packing, op7_warc, op8_quality, op9_exact_dedup, op10_toxicity, op11_merkle)
+    found = (op1_chat, op2_decontamination, op3_simhash, op4_pii, op5_sharding, op6_packing, op7_warc, op8_quality, op9_exact_dedup, op10_toxicity, op11_merkle, op12_mixing, op13_codes)
     return {f.__name__: f for f in found}
 
 
@@ -180,9 +194,47 @@ def _merkle_sql() -> str:
         SELECT *, folded_root = root AS verified FROM found"""
 
 
+#: A mix where every document has one source: targets by a running rest, extra words by a running sum over the seeded order.
+_MIX_SQL = """
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(concat_ws(chr(31), 'mix-1', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+    w AS (SELECT *, [5, 2, 1][place % 3 + 1] AS weight, 3 * source_size AS bound FROM s),
+    r AS (SELECT *, sum(source_size) OVER () - coalesce(sum(bound) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                 sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM w WINDOW o AS (ORDER BY source_size::DOUBLE / weight::DOUBLE, place)),
+    c AS (SELECT *, bound::DOUBLE * others::DOUBLE <= weight::DOUBLE * rest::DOUBLE AS stops FROM r),
+    t AS (SELECT source, source_size, CASE WHEN stops THEN bound::DOUBLE ELSE (weight * (sum(source_size) OVER () - coalesce(sum(bound) FILTER (stops) OVER (), 0)))::DOUBLE / (sum(weight) FILTER (NOT stops) OVER ())::DOUBLE END AS target FROM c),
+    o AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS before
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE size * (quota // source_size) + least(greatest(quota % source_size - before, 0), size) END AS taken FROM o"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """A round is two tables: each part's nearest entry, and the entries' new components."""
+    square = "list_sum([(p.c[i] - b.c[i]) * (p.c[i] - b.c[i]) FOR i IN range(1, len(p.c) + 1)])"
+    near = lambda book: f"SELECT p.rid, p.part, p.c, min({{'d': {square}, 'entry': b.entry}}) AS m FROM p JOIN {book} b USING (part) GROUP BY ALL"
+    steps = [f"""
+        kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, [CAST(floor({scale} * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v
+                              FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT rid, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS c FROM kept, range({parts}) t(part)),
+        b0 AS MATERIALIZED (SELECT part, rid AS entry, c FROM p WHERE rid < {entries})"""]
+    for r in range(rounds):
+        steps.append(f"""
+        a{r} AS MATERIALIZED ({near(f"b{r}")}),
+        s{r} AS (SELECT part, m.entry AS entry, i, CAST(sum(c[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, (SELECT max(len(v)) FROM kept) // {parts} + 1) t(i) GROUP BY ALL),
+        f{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY ALL),
+        b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(f.c, b.c) AS c FROM b{r} b LEFT JOIN f{r} f USING (part, entry))""")
+    last = f"""
+        z AS (SELECT rid, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM ({near(f"b{rounds}")}) GROUP BY rid),
+        book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS digest FROM b{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM kept JOIN z USING (rid), book"""
+    return "WITH " + ",".join(steps) + "," + last
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_merkle": _merkle_sql(),
+        "op12_mixing": _MIX_SQL,
+        "op13_codes": _codes_sql(),
         "op1_chat": f"""
             WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
