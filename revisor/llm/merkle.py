@@ -259,7 +259,7 @@ def _grown(leaves: DataFrame, trees: DataFrame, groups: int, most: int) -> tuple
         nodes = nodes.unionByName(now)
         if FAN**levels >= most:
             return nodes, looked.where("digest IS NULL")
-        now, levels = nodes.where(F.col("level") == levels), levels + BLOCK[1]
+        now, levels = nodes.where((F.col("level") >= levels) & F.col("n").isNotNull()), levels + BLOCK[1]
 
 
 def build(rows: DataFrame, group: str, key: str, digest: str) -> Manifest:
