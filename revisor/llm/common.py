@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 LOCAL_DIR = "/tmp/checkpoints"
 #: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: A writer holds a row group in memory until it is full.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it again."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -29,8 +29,8 @@ from .common import give_back, small_batches, tasks, written
 
 #: Fixed by the contract: longest sequence, and the id that ends a document.
 ROOM, END_ID = 2048, 1
-#: Encoded words of a generation; a Python worker remembers four (some 150 MB).
-CACHE_WORDS = 250_000
+#: Encoded words of a generation; a Python worker remembers four (some 90 MB).
+CACHE_WORDS = 150_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 

@@ -422,7 +422,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 class Scorer:
     def __init__(self, model: dict):
         self.table = np.zeros(_TABLE)
-        self.table[np.array(model["index"], np.int64)] = model["weight"]
+        self.table[np.asarray(model["index"], np.int64)] = model["weight"]
         self.bias, self.curve = model["bias"], np.array(model["curve"])
         self.known: dict[str, float] = {}
 
@@ -450,7 +450,7 @@ def toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """doc_id, score, predicted: a narrow pass over whole texts."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model | {"index": np.array(model["index"], np.int32), "weight": np.array(model["weight"], float)})  # a worker keeps it: arrays are a tenth of lists
     name = zlib.crc32(json.dumps(model, sort_keys=True).encode())
 
     def score(batches):
