@@ -29,6 +29,8 @@ from .common import tasks, written
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 #: Live digests that a bucket should hold: about 20 MB in the task that updates its filter.
 BUCKET_KEYS = 50_000
+#: Batches in which a table enters a new index: filters are sized for the first and overflow later.
+BATCHES = 3
 
 FILTERS = "bucket int, filter binary"
 _STORED = "keep_id long, keep_chars long, keep_row long, copies long"
@@ -265,14 +267,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, row, keep_id, group_size, kept, text_sha256: a row for each row of ``docs``.
 
     ``row``: the unique long ``row_col``, or one given here; one row of each group is kept.
-    Plan: one scan to the written digests; partial aggregation and a shuffle of
-    digests to their buckets; a join of ids and keepers on the digest, which AQE
-    may split where a digest is frequent.  No text is shuffled.
+    Plan: one scan to the written digests, which enter the index in ``BATCHES`` batches by
+    a hash of the row, so a digest of an earlier batch is a hit of the filters and is
+    looked up in the content; in each, partial aggregation and a shuffle of digests to
+    their buckets; at last a join of ids and keepers on the digest, which AQE may split
+    where a digest is frequent.  No text is shuffled.
     """
     spark = docs.sparkSession
     rows = written(digests(docs, id_col, text_col, row_col), "digests")
     buckets = max(tasks(spark), -(-rows.count() // BUCKET_KEYS))
-    index = insert(new_index(spark, buckets), rows)
+    index = new_index(spark, buckets)
+    for k in range(BATCHES):
+        index = insert(index, rows.where(F.pmod(F.xxhash64("row"), F.lit(BATCHES)) == k))
     return rows.join(live(index), "digest").select(
         "doc_id",
         "row",

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -105,6 +106,36 @@ def test_false_hits_are_added_and_deleted_apart(spark, monkeypatch):
     assert exact_dedup.live(exact_dedup.delete(index, rows.where("doc_id < 5"))).count() == 15
 
 
+def test_deduplication_goes_through_the_filters(spark, monkeypatch):
+    """Copies of an earlier batch are hits that the content decides; filters overflow on the way; a filter that lies changes the look-ups, not the rows."""
+    written, made = exact_dedup.written, {}
+
+    def watched(df, name="table"):
+        out = written(df, name)
+        made.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(exact_dedup, "written", watched)
+    docs = _docs(spark, [(i, f"text {i % 2000}") for i in range(3000)])
+    rows = sorted(map(str, exact_dedup.exact_dedup(docs).drop("row").collect()))
+    hits = [t.where("hit").count() for t in made["asked"] if t.columns == ["bucket", "filter", "digest", "hit"]]
+    stored = [t.count() for t in made["stored"]]
+    assert hits[0] == 0 and sum(hits) >= sum(stored) > 500  # what was looked up are the hits, not the whole index
+    assert sum(t.where("digest is null and filter is null").count() for t in made["asked"]) > 0 and made["filters"]  # overflow, and filters made anew
+    made.clear()
+
+    honest = exact_dedup._probe_and_add
+
+    def liar(key, filters, batch):
+        answer = honest(key, filters, batch)
+        hit = pa.array([None if h is None else h or (len(filters) > 0 and d < "4") for h, d in zip(answer.column("hit").to_pylist(), answer.column("digest").to_pylist(), strict=True)], pa.bool_())
+        return answer.set_column(3, "hit", hit)
+
+    monkeypatch.setattr(exact_dedup, "_probe_and_add", liar)
+    assert sorted(map(str, exact_dedup.exact_dedup(docs).drop("row").collect())) == rows
+    assert sum(t.where("hit").count() for t in made["asked"] if "hit" in t.columns) > sum(hits)
+
+
 def test_cuckoo_filter_grows_from_its_keys():
     keys = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(2000)]
     small = exact_dedup.CuckooFilter.sized(64)
