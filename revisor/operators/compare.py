@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-from pyspark.sql.window import Window
 
 from revisor.functions.identity import decimal_of, identity, last_place, merge_flags
 
@@ -129,52 +124,6 @@ def scope_overlap(rows: DataFrame, one: str, two: str, by: str, keys: list[str])
     return out.withColumn("status", F.when(F.col("in_both") == 0, "disjoint").when((F.col("in_both") == F.col("in_one")) & (F.col("in_both") == F.col("in_two")), "same_scope").otherwise("partial_overlap"))
 
 
-def profile_variable(rows: DataFrame, by: list[str], unit: str, category: str, year: str, level: str, period: str, updated: str) -> DataFrame:
-    """Observed against possible cells of a variable, its years and their gaps, the areas of each level, the kinds of period and the last update.
-
-    Sets are of areas, categories and years.
-    """
-    years = F.collect_set(year)  # bounded by the years of a calendar
-    out = rows.groupBy(*by).agg(
-        F.count("*").alias("observed_cells"),
-        F.count_distinct(unit).alias("units"),
-        F.count_distinct(category).alias("categories"),
-        F.min(year).alias("first_year"),
-        F.max(year).alias("last_year"),
-        years.alias("years"),
-        F.collect_set(F.struct(F.col(level).alias("level"), F.col(unit).alias("unit"))).alias("areas"),
-        F.array_join(F.sort_array(F.collect_set(period)), ";").alias("period_types"),
-        F.max(updated).alias("last_update"),
-    )
-    levels = F.sort_array(F.array_distinct(F.transform("areas", lambda a: a["level"])))
-    per_level = F.transform(levels, lambda x: F.concat(x, F.lit("="), F.size(F.filter("areas", lambda a: a["level"] == x)).cast("string")))
-    out = out.withColumn("units_by_level", F.array_join(per_level, ";")).drop("areas")
-    possible = F.col("units") * F.col("categories") * F.size("years")
-    gaps = F.sort_array(F.array_except(F.sequence(F.col("first_year"), F.col("last_year")), F.col("years")))
-    return out.withColumn("expected_cells", possible).withColumn("density", F.round(F.col("observed_cells") / possible, 4)).withColumn("year_gaps", F.array_join(gaps, ";")).drop("years")
-
-
-def indicator_coverage(profiles: DataFrame, proposed: DataFrame, minimum_span: int) -> DataFrame:
-    """Profiles of an indicator's variables rolled up, with what they prove of the proposed levels and flags for what they lack."""
-    by = profiles.groupBy("indicator_key").agg(
-        F.count("*").alias("variables"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("levels")))).alias("verified"),
-        F.min("first_year").alias("first_year"),
-        F.max("last_year").alias("last_year"),
-        F.max(F.col("year_gaps") != "").alias("gap"),
-    )
-    rows = proposed.join(by, "indicator_key", "left")
-    short = F.coalesce(F.col("last_year") - F.col("first_year") + 1 < minimum_span, F.lit(False))
-    flags = [(short, "short_series"), (F.coalesce("gap", F.lit(False)), "period_gap"), (F.coalesce(F.col("variables") > 1, F.lit(False)), "multi_variable"), (F.size(F.array_except(F.coalesce("verified", F.array().cast("array<string>")), "proposed")) > 0, "unproposed")]
-    named = F.array_join(F.filter(F.array(*(F.when(c, n) for c, n in flags)), lambda f: f.isNotNull()), ";")
-    missing = F.size(F.array_except("proposed", F.coalesce("verified", F.array().cast("array<string>"))))
-    return rows.select("indicator_key", F.coalesce("variables", F.lit(0)).alias("variables"), derive_status(missing, F.size("proposed"), F.coalesce("variables", F.lit(0))).alias("status"), F.array_join("verified", ";").alias("verified_levels"), named.alias("flags"))
-
-
-def derive_status(missing: Column, proposed: Column, evidence: Column) -> Column:
-    return F.when((evidence == 0) | (missing == proposed), "unavailable").when(missing > 0, "partial").otherwise("verified")
-
-
 def apply_coverage(inventory: DataFrame, coverage: DataFrame) -> DataFrame:
     """The inventory with derived status and flags where there are some, and whether a row changed."""
     c = coverage.select("indicator_key", F.col("status").alias("new_status"), F.col("flags").alias("new_flags"))
@@ -291,53 +240,5 @@ def cause_distribution(events: DataFrame) -> DataFrame:
     return by.crossJoin(total).select("cause_family", "events", F.round(F.col("events") / F.col("total"), 4).alias("share"))  # one row for each cause
 
 
-#: Words that say nothing about a title (fixed values; the caller may pass others).
-STOPWORDS = ("atau", "dan", "dengan", "dari", "ke", "menurut", "pada", "per", "persentase", "proporsi", "rata", "rumah", "tangga", "yang")
-#: Weights of word coverage and of the sequence ratio in a title's score (fixed values).
-COVERAGE, SEQUENCE = 0.7, 0.3
-
-
-def bare_title(text: Column) -> Column:
-    """A title in lower case, letters and digits only, one space between words."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-
-
-def _words(text: Column, stopwords: tuple[str, ...]) -> Column:
-    return F.array_distinct(F.array_except(F.split(bare_title(text), " "), F.array(*map(F.lit, ("", *stopwords)))))
-
-
-def token_coverage(queries: DataFrame, titles: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """query_id, title_id, coverage: share of a query's words in a title, for pairs that share a word.
-
-    An inverted index joins on the word; a query's words are counted once.
-    """
-    q = queries.select("query_id", _words(F.col("query"), stopwords).alias("words"))
-    q = q.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    t = titles.select("title_id", F.explode(_words(F.col("title"), stopwords)).alias("word"))
-    return q.join(t, "word").groupBy("query_id", "title_id").agg((F.count("*") / F.first("n")).alias("coverage"))
-
-
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two texts by matching blocks (difflib), for candidate pairs only."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def lexical_candidates(queries: DataFrame, titles: DataFrame, k: int, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """The k best titles of each query among those that share a word with it, by score, ties by id.
-
-    The sequence ratio is at most 1, so a pair whose coverage with a full ratio is under
-    the k-th coverage with none cannot be among the best: its texts are never compared.
-    """
-    by_coverage = Window.partitionBy("query_id").orderBy(F.col("coverage").desc())
-    found = token_coverage(queries, titles, stopwords).withColumn("r", F.row_number().over(by_coverage))
-    least = F.coalesce(F.max(F.when(F.col("r") == k, F.col("coverage"))).over(Window.partitionBy("query_id")), F.lit(0.0))
-    may_be = found.withColumn("least", least).where(F.round(COVERAGE * F.col("coverage") + SEQUENCE, 4) >= F.round(COVERAGE * F.col("least"), 4)).drop("r", "least")
-    pairs = may_be.join(queries.select("query_id", bare_title(F.col("query")).alias("q")), "query_id").join(titles.select("title_id", bare_title(F.col("title")).alias("t")), "title_id")
-    scored = pairs.withColumn("score", F.round(COVERAGE * F.col("coverage") + SEQUENCE * sequence_ratio("q", "t"), 4))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "title_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "title_id", "score", "place")
-
-
 def inventory_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from revisor.operators.medians import exact_median
+
 #: Spread that makes a point doubtful, shift that is still stable, spread of bytes read that still repeats (fixed values).
 DOUBT, STABLE, REPEATS = 0.20, 0.05, 0.001
 
@@ -63,6 +65,28 @@ def apply_cost(timing: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def apply_report(costs: DataFrame, storage: DataFrame, recall: DataFrame, revisions: DataFrame, by: list[str]) -> DataFrame:
+    """``apply_cost`` with bytes before, after and added (medians of the repetitions), the rate of recall, and of revisions that are served.
+
+    ``storage``: repetition, baseline_bytes, after_bytes, data_bytes added, of a table each.
+    ``recall``: requests, exact.  ``revisions``: admitted, served.  Without requests or
+    admitted revisions a rate is null.
+    """
+    sums = storage.groupBy(*by, "repetition").agg(F.sum("baseline_bytes").alias("before"), F.sum("after_bytes").alias("after"), F.sum("data_bytes").alias("data"))
+    added = F.col("after") - F.col("before")
+    sizes = sums.groupBy(*by).agg(
+        F.median("before").alias("before_bytes_median"),
+        F.median("after").alias("after_bytes_median"),
+        F.median(added).alias("added_bytes_median"),
+        F.min(added).alias("added_bytes_min"),
+        F.max(added).alias("added_bytes_max"),
+        F.median("data").alias("data_bytes_median"),
+    )  # a row for each repetition
+    rate = lambda df, part, whole, name: df.groupBy(*by).agg(F.round(F.sum(part) / F.nullif(F.sum(whole), F.lit(0)), 4).alias(name))
+    out = costs.join(sizes, by, "left").join(rate(recall, "exact", "requests", "recall_rate"), by, "left").join(rate(revisions, "served", "admitted", "propagation_rate"), by, "left")
+    return out.withColumn("metadata_bytes_median", F.col("added_bytes_median") - F.col("data_bytes_median"))
+
+
 def arrival_cost(costs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Cost of each arrival with the bytes it added over the one before."""
     w = Window.partitionBy("strategy").orderBy("point")
@@ -127,9 +151,9 @@ def doubt_rule(timing: DataFrame, by: list[str], threshold: float = DOUBT) -> Da
 
 def pool_measurements(reported: DataFrame, extra: DataFrame, by: list[str], stable: float = STABLE) -> DataFrame:
     """Reported and pooled medians of each point, and whether they agree."""
-    a = reported.groupBy(*by).agg(F.median("seconds").alias("reported_median"))
+    a = exact_median(reported, by, "seconds").withColumnRenamed("median", "reported_median")
     ran = extra.groupBy(*by).agg(F.count("*").alias("extra_runs"))
-    b = reported.select(*by, "seconds").unionByName(extra.select(*by, "seconds")).groupBy(*by).agg(F.median("seconds").alias("pooled_median"))
+    b = exact_median(reported.select(*by, "seconds").unionByName(extra.select(*by, "seconds")), by, "seconds").withColumnRenamed("median", "pooled_median")
     rows = a.join(b, by).join(ran, by, "left").withColumn("extra_runs", F.coalesce("extra_runs", F.lit(0)))
     shift = F.abs(F.col("pooled_median") - F.col("reported_median")) / F.nullif(F.col("reported_median"), F.lit(0.0))
     status = F.when(F.col("extra_runs") == 0, "not_rerun").when(shift <= stable, "stable").otherwise("shifted")

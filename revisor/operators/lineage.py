@@ -11,54 +11,51 @@ from pyspark.sql import functions as F
 
 from revisor.functions.identity import identity
 
-#: Node types and relationships of the published graph (fixed values), with the columns that name a node.
+#: Node types of the published graph and the columns of the fact that name a node (fixed values); a caller whose columns differ passes others.
 NODES = {
     "source_manifest": ("manifest_sha256",),
     "source_artifact": ("source_id", "manifest_sha256"),
     "source_record": ("source_id", "manifest_sha256", "source_record_id"),
     "vintage": ("vintage_id",),
-    "ingestion_batch": ("vintage_date",),
-    "transformation_run": ("vintage_date", "domain"),
-    "transformation_version": ("unit",),
+    "ingestion_batch": ("ingestion_batch_id",),
+    "transformation_run": ("transformation_run_id",),
+    "transformation_version": ("transformation_version",),
     "observation": ("observation_id",),
     "indicator_cell": ("cell_id",),
 }
-#: Relationship, and the types it goes from and to.
+#: Relationship, the types it goes from and to, and what it rests on: a field of the fact, or one that a run derived (fixed values).
 EDGES = {
-    "manifest_declares_artifact": ("source_manifest", "source_artifact"),
-    "manifest_declares_vintage": ("source_manifest", "vintage"),
-    "artifact_contains_record": ("source_artifact", "source_record"),
-    "record_sources_observation": ("source_record", "observation"),
-    "vintage_contextualizes_observation": ("vintage", "observation"),
-    "ingestion_batch_feeds_run": ("ingestion_batch", "transformation_run"),
-    "transformation_run_derives_observation": ("transformation_run", "observation"),
-    "transformation_version_projects_observation": ("transformation_version", "observation"),
-    "observation_materializes_cell": ("observation", "indicator_cell"),
+    "manifest_declares_artifact": ("source_manifest", "source_artifact", "recorded"),
+    "manifest_declares_vintage": ("source_manifest", "vintage", "recorded"),
+    "artifact_contains_record": ("source_artifact", "source_record", "recorded"),
+    "record_sources_observation": ("source_record", "observation", "recorded"),
+    "vintage_contextualizes_observation": ("vintage", "observation", "recorded"),
+    "ingestion_batch_feeds_run": ("ingestion_batch", "transformation_run", "derived"),
+    "transformation_run_derives_observation": ("transformation_run", "observation", "derived"),
+    "transformation_version_projects_observation": ("transformation_version", "observation", "recorded"),
+    "observation_materializes_cell": ("observation", "indicator_cell", "recorded"),
 }
 #: The four hops from a manifest to a cell.
 CORE = ("manifest_declares_artifact", "artifact_contains_record", "record_sources_observation", "observation_materializes_cell")
 _NATURAL = ("observation", "indicator_cell", "vintage")  # nodes that are named by their own id
 
+Names = dict[str, tuple[str, ...]]
 
-def node_id(kind: str):
-    columns = NODES[kind]
+
+def node_id(kind: str, names: Names = NODES):
+    columns = names[kind]
     return F.col(columns[0]) if kind in _NATURAL else identity(F.lit(kind), *columns)
 
 
-def lineage_nodes(fact: DataFrame) -> DataFrame:
+def lineage_nodes(fact: DataFrame, names: Names = NODES) -> DataFrame:
     """node_id, node_type, label: the nine nodes of every observation, each once."""
-    each = F.array(*(F.struct(node_id(k).alias("node_id"), F.lit(k).alias("node_type"), F.concat_ws("|", *c).alias("label")) for k, c in NODES.items()))
+    each = F.array(*(F.struct(node_id(k, names).alias("node_id"), F.lit(k).alias("node_type"), F.concat_ws("|", *c).alias("label")) for k, c in names.items()))
     return fact.select(F.explode(each).alias("n")).select("n.*").distinct()
 
 
-def lineage_edges(fact: DataFrame) -> DataFrame:
+def lineage_edges(fact: DataFrame, names: Names = NODES) -> DataFrame:
     """edge_id, from_id, relationship, to_id, evidence: nine edges of every observation, each once."""
-    each = F.array(
-        *(
-            F.struct(node_id(a).alias("from_id"), F.lit(r).alias("relationship"), node_id(b).alias("to_id"), F.lit("derived" if "run" in r else "recorded").alias("evidence"))
-            for r, (a, b) in EDGES.items()
-        )
-    )
+    each = F.array(*(F.struct(node_id(a, names).alias("from_id"), F.lit(r).alias("relationship"), node_id(b, names).alias("to_id"), F.lit(basis).alias("evidence")) for r, (a, b, basis) in EDGES.items()))
     rows = fact.select(F.explode(each).alias("e")).select("e.*").distinct()
     return rows.select(identity("from_id", "relationship", "to_id").alias("edge_id"), "*")
 
@@ -120,16 +117,6 @@ def snapshot_lineage(snapshots: DataFrame) -> DataFrame:
     return held.unionByName(made)
 
 
-def evidence_closure(audit: DataFrame, metrics: DataFrame) -> DataFrame:
-    """For each audited request the chain decision → metric → table → figure, complete if every hop is there."""
-    m = metrics.select("strategy", identity(F.lit("metric"), "strategy", "requests").alias("metric_id"))
-    rows = audit.join(m, "strategy", "left")
-    decision = identity(F.lit("decision"), "strategy", "request_id")
-    table, figure = identity(F.lit("table"), "metric_id"), identity(F.lit("figure"), "metric_id")
-    out = rows.select("strategy", "request_id", decision.alias("decision_id"), "metric_id", F.when(F.col("metric_id").isNotNull(), table).alias("table_id"), F.when(F.col("metric_id").isNotNull(), figure).alias("figure_id"))
-    return out.withColumn("complete", F.col("figure_id").isNotNull())
-
-
 def arrival_lineage(fact: DataFrame) -> DataFrame:
     """B3: vintage → arrival, observation → arrival and arrival → cell."""
     arrival = identity(F.lit("arrival"), "arrival_order")
@@ -141,18 +128,28 @@ def arrival_lineage(fact: DataFrame) -> DataFrame:
     return fact.select(F.explode(each).alias("e")).select("e.*").distinct()
 
 
-def impact_audit(fact: DataFrame, edges: DataFrame) -> DataFrame:
-    """Dirty cells of each arrival by the graph against the rows' own cells, and cells whose last change it was."""
+def impact_audit(fact: DataFrame, edges: DataFrame, catalog: DataFrame, current: DataFrame) -> DataFrame:
+    """Dirty cells of each arrival by the graph, against the rows' own cells, the catalog's count and the served cells' last recomputation.
+
+    ``catalog``: arrival_order, dirty_cells.  ``current``: cell_id, recomputed_at_arrival.
+    ``agrees`` if nothing was missed: no row reaches another cell than its own, the
+    catalog counts what the graph reaches, and no cell that the arrival dirtied last was
+    last recomputed at another arrival, or is not served.
+    """
     reach = edges.where("relationship = 'observation_materializes_cell'").select(F.col("from_id").alias("observation_id"), F.col("to_id").alias("reached"))
     rows = fact.select("arrival_order", "observation_id", "cell_id").join(reach, "observation_id", "left")
-    last = fact.groupBy("cell_id").agg(F.max("arrival_order").alias("last_dirty"))
-    by = rows.join(last, "cell_id").groupBy("arrival_order")
-    return by.agg(
+    last = fact.groupBy("cell_id").agg(F.max("arrival_order").alias("last_dirty")).join(current.select("cell_id", "recomputed_at_arrival"), "cell_id", "left")
+    here = F.col("last_dirty") == F.col("arrival_order")
+    by = rows.join(last, "cell_id").groupBy("arrival_order").agg(
         F.count_distinct("reached").alias("dirty_by_graph"),
         F.count_distinct("cell_id").alias("dirty_by_rows"),
         F.count_if(~F.col("reached").eqNullSafe(F.col("cell_id"))).alias("mismatches"),
-        F.count_if(F.col("last_dirty") == F.col("arrival_order")).alias("last_dirty_here"),
+        F.count_if(here).alias("last_dirty_here"),
+        F.count_if(here & ~F.col("recomputed_at_arrival").eqNullSafe(F.col("arrival_order"))).alias("stale_cells"),
     )
+    out = by.join(catalog.select("arrival_order", F.col("dirty_cells").alias("dirty_reported")), "arrival_order", "left")
+    right = (F.col("mismatches") == 0) & (F.col("stale_cells") == 0) & F.col("dirty_reported").eqNullSafe(F.col("dirty_by_graph"))
+    return out.withColumn("agrees", right)
 
 
 def trace_upstream(edges: DataFrame, cells: DataFrame) -> DataFrame:

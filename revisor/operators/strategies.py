@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from revisor.functions.identity import SEPARATOR, changed, identity
+from revisor.functions.identity import changed, identity
 from revisor.operators.model import KNOWLEDGE
+from revisor.operators.states import LEAF_ROWS, state_digest
+from revisor.sources.files import written
 
 
 def by_arrival():
@@ -67,24 +69,11 @@ def full_snapshots(fact: DataFrame, last_order: int) -> DataFrame:
     return validity(fact).withColumn("snapshot_order", orders).drop("valid_from", "valid_to")
 
 
-def state_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Count and SHA-256 of a state's rows in the order of cell_id, whatever order they come in.
-
-    Rows are digested in 4,096 parts by the first digits of cell_id, each in its order,
-    and the parts' digests in theirs, so no task holds more than a part.
-    """
-    row = F.struct("cell_id", F.sha2(F.concat_ws(SEPARATOR, *columns), 256).alias("d"))
-    parts = rows.groupBy(*by, F.substring("cell_id", 1, 3).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("r"))
-    parts = parts.select(*by, "n", F.struct("part", F.sha2(F.array_join(F.transform("r", lambda x: x["d"]), ""), 256).alias("d")).alias("p"))
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["d"]), ""), 256)
-    return parts.groupBy(*by).agg(F.sum("n").alias("state_rows"), whole.alias("digest"))
-
-
-def snapshot_catalog(fact: DataFrame, last_order: int) -> DataFrame:
+def snapshot_catalog(fact: DataFrame, last_order: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """A row for each snapshot: what its release did, its size and its key."""
-    states = full_snapshots(fact, last_order)
+    states = written(full_snapshots(fact, last_order).select("snapshot_order", "vintage_id", "cell_id", "observation_id", "value_lexeme"), "states")
     sizes = states.groupBy("snapshot_order").agg(F.count_distinct("vintage_id").alias("vintages"))
-    digests = state_digest(states, ["snapshot_order"], ["cell_id", "observation_id", "value_lexeme"]).withColumnRenamed("digest", "state_digest")
+    digests = state_digest(states, ["snapshot_order"], ["cell_id", "observation_id", "value_lexeme"], leaf_rows).withColumnRenamed("digest", "state_digest")
     done = overwrite_operations(fact).drop("state_rows").withColumnRenamed("arrival_order", "snapshot_order")
     return done.join(sizes, "snapshot_order").join(digests, "snapshot_order").withColumn("snapshot_key", identity(F.lit("B1"), "snapshot_order", "state_digest"))
 
@@ -162,9 +151,17 @@ def discarded_candidates(fact: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.select("cell_id", "observation_id", F.col("w.observation_id").alias("selected_id"), reason.alias("reason"))
 
 
+def admitted(store: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The rows of an arrival with ``refused``: in_store if the store holds their (cell, vintage), repeated if an earlier row of the arrival has it, else null."""
+    order = Window.partitionBy("cell_id", "vintage_id").orderBy("observation_id", "source_record_id")
+    held = store.select("cell_id", "vintage_id").distinct().withColumn("held", F.lit(True))
+    rows = arrived.withColumn("place", F.row_number().over(order)).join(held, ["cell_id", "vintage_id"], "left")
+    return rows.withColumn("refused", F.when(F.col("held"), "in_store").when(F.col("place") > 1, "repeated")).drop("place", "held")
+
+
 def vintage_store(store: DataFrame, arrived: DataFrame) -> DataFrame:
-    """B3: the rows of an arrival whose (cell, vintage) the store does not hold yet; replays add nothing."""
-    return arrived.join(store.select("cell_id", "vintage_id"), ["cell_id", "vintage_id"], "left_anti")
+    """B3: the rows of an arrival that the store takes, one for each (cell, vintage) it does not hold yet; replays add nothing."""
+    return admitted(store, arrived).where("refused IS NULL").select(arrived.columns)
 
 
 def resolve_cells(store: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisor.functions.identity import decimal_places, identity
+from revisor.operators.lineage import NODES
+from revisor.operators.model import with_releases
 
 #: source, release date, role, format, publisher, status: five sources.
 RELEASES = (
@@ -20,6 +22,8 @@ RELEASES = (
 )
 AUTHORITY = "office"
 SIZES = (1, 2, 4, 8, 16, 38)
+#: Columns that stand for the batch, run and version of an observation, which the given tables lack.
+LINEAGE = NODES | {"ingestion_batch": ("vintage_date",), "transformation_run": ("vintage_date", "domain"), "transformation_version": ("unit",)}
 SEED = "20260912"
 
 _REL = ", ".join(f"('{s}', DATE '{d}', TIMESTAMP '{d} 01:00:00', {i}, '{role}', '{form}', '{publisher}', '{status}')" for i, (s, d, role, form, publisher, status) in enumerate(RELEASES, 1))
@@ -58,11 +62,16 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def released(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
+    """Observations with their release, and ``problem`` where they have none."""
+    dim = releases(spark) if dim is None else dim
+    return with_releases(observations(spark, sf_dir), dim.select("source_id", "vintage_id", "vintage_date", "retrieved_at", "arrival_order"))
+
+
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations with their identities and their release."""
+    """Observations of known releases with their identities; ``released`` shows the others."""
     keys = ("indicator_key", "series_key", "observed_period", "geo_level", "geo_code")
-    dim = releases(spark).select("source_id", "vintage_id", "vintage_date", "retrieved_at", "arrival_order")
-    rows = observations(spark, sf_dir).join(dim, "source_id")
+    rows = released(spark, sf_dir).where("problem IS NULL").drop("problem")
     rows = rows.withColumn("cell_id", identity(*keys))
     return rows.withColumn("observation_id", identity("cell_id", "vintage_id", "source_record_id")).withColumn("places", decimal_places(F.col("value_lexeme")))
 
@@ -112,6 +121,8 @@ def sql(body: str, *names: str) -> str:
     found = _with(names, {})
     ctes = ", ".join(f"{n} AS ({CTES[n]})" for n in found)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revisor.functions import identity as fn
-from revisor.operators import compare
+from revisor.operators import compare, coverage, lexical
 from revisor.operators.strategies import ROLES
 from revisor.plans.bridge import fact, observations, releases, sql, table
 from revisor.plans.registry import query
@@ -185,58 +185,111 @@ def scope_overlap(spark, d):
     return compare.scope_overlap(fact(spark, d), "click", "view", "domain", ["observed_period", "geo_code"]).drop("p0", "p1")
 
 
-def _order_years(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    level = F.when(F.col("c_nationkey") % 3 == 0, "province").otherwise("regency").alias("level")
-    return o.groupBy("c_mktsegment", "c_nationkey", "o_orderpriority", F.year("o_orderdate").alias("year"), level).agg(F.max("o_orderdate").cast("string").alias("updated")).withColumn("period", F.when(F.col("year") % 2 == 0, "annual").otherwise("survey"))
-
-
-_YEARS = "y AS (SELECT c_mktsegment, c_nationkey, o_orderpriority, year(o_orderdate) AS year, CASE WHEN c_nationkey % 3 = 0 THEN 'province' ELSE 'regency' END AS level, CAST(max(o_orderdate) AS VARCHAR) AS updated, CASE WHEN year(o_orderdate) % 2 = 0 THEN 'annual' ELSE 'survey' END AS period FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+#: Orders as the values of variables: a segment is a variable, of which one has no areas, two have gaps in their years, one begins late and one has two kinds of period.
+_CODE = "CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_nationkey + 1 WHEN c_nationkey = 0 THEN 9999 WHEN c_nationkey < 13 THEN 1100 + 100 * c_nationkey ELSE 1101 + 100 * c_nationkey END"
+_KEPT = """NOT (c_mktsegment = 'BUILDING' AND year = 1995) AND NOT (c_mktsegment = 'FURNITURE' AND year IN (1994, 1995)) AND NOT (c_mktsegment = 'AUTOMOBILE' AND year < 1996)"""
 
 
-@query("profile_variable", f"""WITH {_YEARS} SELECT c_mktsegment, count(*) AS observed_cells, count(DISTINCT c_nationkey) AS units, count(DISTINCT o_orderpriority) AS categories, CAST(min(year) AS BIGINT) AS first_year, CAST(max(year) AS BIGINT) AS last_year,
-    count(DISTINCT c_nationkey) * count(DISTINCT o_orderpriority) * count(DISTINCT year) AS expected_cells, round(count(*) / (count(DISTINCT c_nationkey) * count(DISTINCT o_orderpriority) * count(DISTINCT year)), 4) AS density,
-    coalesce(array_to_string(list_sort(list_filter(range(min(year), max(year) + 1), lambda x: NOT list_contains(list(DISTINCT year), x))), ';'), '') AS year_gaps,
-    concat_ws(';', 'province=' || nullif(count(DISTINCT c_nationkey) FILTER (level = 'province'), 0), 'regency=' || nullif(count(DISTINCT c_nationkey) FILTER (level = 'regency'), 0)) AS units_by_level,
-    string_agg(DISTINCT period, ';' ORDER BY period) AS period_types, max(updated) AS last_update FROM y GROUP BY 1""")
-def profile_variable(spark, d):
-    out = compare.profile_variable(_order_years(spark, d), ["c_mktsegment"], "c_nationkey", "o_orderpriority", "year", "level", "period", "updated")
-    return out.withColumns({c: F.col(c).cast("long") for c in ("first_year", "last_year", "expected_cells")})
+def _cells(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.withColumns({"year": F.year("o_orderdate"), "code": F.expr(_CODE).cast("string")}).where(_KEPT)
+    period = F.when((F.col("c_mktsegment") == "MACHINERY") & (F.col("year") % 2 == 0), "Semester").otherwise("Tahun").alias("period")
+    return o.groupBy(F.col("c_mktsegment").alias("variable"), "code", F.col("o_orderpriority").alias("category"), "year", period).agg(F.max("o_orderdate").cast("string").alias("updated"))
+
+
+def _listed(spark, d):
+    cells = _cells(spark, d)
+    entry = lambda df, name, code, label: df.select("variable", F.lit(0).alias("response"), F.lit(name).alias("dimension"), code.cast("string").alias("code"), label.cast("string").alias("label")).distinct()
+    c = F.col
+    customers = table(spark, d, "customer").select(c("c_mktsegment").alias("variable"), F.expr(_CODE).cast("string").alias("code"))
+    variables = customers.select("variable").distinct()
+    years = entry(cells, "year", c("year"), F.concat(F.lit("Tahun "), c("year").cast("string"))).unionByName(entry(variables, "year", F.lit(1998), F.lit("Tahun 1998")))
+    return (
+        entry(customers, "unit", c("code"), c("code"))
+        .unionByName(entry(cells, "category", c("category"), c("category")))
+        .unionByName(entry(variables.where("variable = 'AUTOMOBILE'"), "category", F.lit("0"), F.lit("Tidak ada")))
+        .unionByName(years.distinct())
+        .unionByName(entry(cells, "period", c("period"), c("period")))
+        .unionByName(entry(variables, "unit_name", F.lit(""), F.concat(F.lit("units of "), c("variable"))))
+    )
+
+
+_PROFILE = f"""cells AS (SELECT c_mktsegment AS variable, CAST({_CODE} AS VARCHAR) AS code, o_orderpriority AS category, year, CASE WHEN c_mktsegment = 'MACHINERY' AND year % 2 = 0 THEN 'Semester' ELSE 'Tahun' END AS period, CAST(max(o_orderdate) AS VARCHAR) AS updated
+        FROM (SELECT *, year(o_orderdate) AS year FROM orders JOIN customer ON o_custkey = c_custkey) WHERE {_KEPT} GROUP BY 1, 2, 3, 4, 5),
+    us AS (SELECT DISTINCT c_mktsegment AS variable, CAST({_CODE} AS BIGINT) AS code FROM customer),
+    lu AS (SELECT variable, count(*) AS units, count(*) FILTER (code = 9999) AS nat, count(*) FILTER (code BETWEEN 1100 AND 9998 AND code % 100 = 0) AS prov, count(*) FILTER (code BETWEEN 1100 AND 9998 AND code % 100 <> 0) AS reg FROM us GROUP BY 1),
+    ly AS (SELECT variable, list_sort(list(DISTINCT year)) AS years FROM (SELECT variable, year FROM cells UNION SELECT variable, 1998 FROM lu) GROUP BY 1),
+    lc AS (SELECT variable, count(DISTINCT category) + CASE WHEN variable = 'AUTOMOBILE' THEN 1 ELSE 0 END AS n, string_agg(DISTINCT category, ';' ORDER BY category) AS categories, count(DISTINCT period) AS periods,
+                  string_agg(DISTINCT period, ';' ORDER BY period) AS period_types, count(*) AS observed_cells, max(updated) AS last_update FROM cells GROUP BY 1),
+    profiles AS (SELECT variable, nat + prov + reg = 0 AS breakdown, CASE WHEN nat + prov + reg = 0 THEN 'national' ELSE concat_ws(';', CASE WHEN nat > 0 THEN 'national' END, CASE WHEN prov > 0 THEN 'province' END, CASE WHEN reg > 0 THEN 'regency' END) END AS levels,
+        CASE WHEN nat + prov + reg = 0 THEN 1 ELSE nat END AS national_units, prov AS province_units, reg AS regency_units, CASE WHEN nat + prov + reg = 0 AND units > 1 THEN 'units of ' || variable ELSE '' END AS breakdowns, categories, period_types, years,
+        list_filter(range(years[1], years[-1] + 1), lambda y: NOT list_contains(years, y)) AS gaps, observed_cells, units * n * len(years) * periods AS expected_cells, round(observed_cells / (units * n * len(years) * periods), 4) AS density, last_update
+        FROM lu JOIN ly USING (variable) JOIN lc USING (variable))"""
 
 
 def _profiles(spark, d):
-    o = _order_years(spark, d).withColumn("indicator_key", F.col("o_orderpriority"))
-    levels = F.array_sort(F.collect_set(F.when(F.col("c_nationkey") < 12, "low").otherwise("high")))
-    return o.groupBy("indicator_key", "c_mktsegment").agg(levels.alias("levels"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.lit("").alias("year_gaps"))
+    return coverage.profile_variable(_cells(spark, d), _listed(spark, d), ["variable"])
 
 
-def _proposed(spark, d):
-    names = table(spark, d, "orders").select(F.col("o_orderpriority").alias("indicator_key")).distinct().unionByName(spark.sql("SELECT 'unknown' AS indicator_key"))
-    return names.withColumn("proposed", F.array(F.lit("low"), F.lit("mid")))
-
-
-_COVER = f"""{_YEARS}, c AS (SELECT o_orderpriority AS indicator_key, count(DISTINCT c_mktsegment) AS variables, max(year) - min(year) + 1 AS span, array_to_string(list_sort(list(DISTINCT CASE WHEN c_nationkey < 12 THEN 'low' ELSE 'high' END)), ';') AS verified FROM y GROUP BY 1),
-    n AS (SELECT DISTINCT o_orderpriority AS indicator_key FROM orders UNION ALL SELECT 'unknown'),
-    cover AS (SELECT indicator_key, coalesce(variables, 0) AS variables, CASE WHEN variables IS NULL OR verified NOT LIKE '%low%' THEN 'unavailable' ELSE 'partial' END AS status, coalesce(verified, '') AS verified_levels,
-         concat_ws(';', CASE WHEN span < 10 THEN 'short_series' END, CASE WHEN variables > 1 THEN 'multi_variable' END, CASE WHEN verified LIKE '%high%' THEN 'unproposed' END) AS flags FROM n LEFT JOIN c USING (indicator_key))"""
-
-
-@query("indicator_coverage", f"WITH {_COVER} SELECT indicator_key, variables, status, verified_levels, flags FROM cover")
+@query("profile_variable", f"""WITH {_PROFILE} SELECT variable, levels, national_units, province_units, regency_units, breakdowns, categories, period_types, array_to_string(years, ';') AS years,
+    coalesce(array_to_string(gaps, ';'), '') AS year_gaps, observed_cells, expected_cells, density, last_update FROM profiles""")
+def profile_variable(spark, d):
+    joined = {c: F.array_join(c, ";") for c in ("levels", "breakdowns", "categories", "period_types", "years", "year_gaps")}
+    return _profiles(spark, d).withColumns(joined)
+
+
+#: Indicators with their proposed levels and sources, their variables, and publications that speak of them.
+_INVENTORY = """('full', 'national;province;regency', 'api'), ('gap', 'national', 'api'), ('filled', 'national', 'api'), ('published', 'national;province', 'api;book'), ('late', 'national', 'book'),
+    ('missing_all', 'district', 'api'), ('derived', 'national', 'api'), ('derived_short', 'national;district', 'api'), ('none', 'national', 'api'), ('ghost', 'national', 'api'), ('book_only', 'province', 'book')"""
+_MAPPED = """('full', 'MACHINERY'), ('gap', 'BUILDING'), ('filled', 'BUILDING'), ('filled', 'MACHINERY'), ('published', 'FURNITURE'), ('late', 'AUTOMOBILE'), ('missing_all', 'HOUSEHOLD'), ('derived', 'BUILDING'), ('derived_short', 'BUILDING'), ('ghost', 'GHOST')"""
+_PUBLISHED = """('published', 'book_1995', 'regency', 1995, 1996), ('published', 'book_1994', 'province', 1993, 1994), ('book_only', 'book_2000', 'province;regency', 2000, 2003), ('derived', 'book_2001', 'national', NULL, NULL)"""
+_DERIVED = ("derived", "derived_short", "none")
+SPAN = 5
+_COVER = f"""{_PROFILE}, i AS (SELECT * FROM (VALUES {_INVENTORY}) t(indicator_key, proposed, proposed_sources)), m AS (SELECT * FROM (VALUES {_MAPPED}) t(indicator_key, variable)),
+    b AS (SELECT * FROM (VALUES {_PUBLISHED}) t(indicator_key, source_id, levels, first_year, last_year)), own AS (SELECT * FROM m JOIN profiles USING (variable)),
+    covered AS (SELECT indicator_key, unnest(years) AS year FROM own UNION SELECT indicator_key, unnest(range(first_year, last_year + 1)) FROM b WHERE first_year IS NOT NULL),
+    op AS (SELECT DISTINCT indicator_key, year FROM (SELECT indicator_key, unnest(gaps) AS year FROM own) ANTI JOIN covered USING (indicator_key, year)),
+    lv AS (SELECT indicator_key, list(DISTINCT level) AS levels FROM (SELECT indicator_key, unnest(string_split(levels, ';')) AS level FROM own UNION SELECT indicator_key, unnest(string_split(levels, ';')) FROM b) GROUP BY 1),
+    a AS (SELECT indicator_key, proposed, proposed_sources, (SELECT count(*) FROM m WHERE m.indicator_key = i.indicator_key) AS variables, (SELECT count(*) FROM own o WHERE o.indicator_key = i.indicator_key) AS profiles,
+             (SELECT count(DISTINCT source_id) FROM b WHERE b.indicator_key = i.indicator_key) + (SELECT count(*) FROM own o WHERE o.indicator_key = i.indicator_key AND observed_cells > 0) AS evidence,
+             list_filter(['national', 'province', 'regency'], lambda x: list_contains(coalesce(lv.levels, []), x)) AS verified, (SELECT min(year) FROM covered c WHERE c.indicator_key = i.indicator_key) AS period_start, (SELECT max(year) FROM covered c WHERE c.indicator_key = i.indicator_key) AS period_end,
+             coalesce((SELECT string_agg(year, ';' ORDER BY year) FROM op WHERE op.indicator_key = i.indicator_key), '') AS period_gaps, (SELECT list(DISTINCT x) FROM (SELECT unnest(string_split(period_types, ';')) AS x FROM own o WHERE o.indicator_key = i.indicator_key)) AS kinds,
+             coalesce((SELECT sum(observed_cells) FROM own o WHERE o.indicator_key = i.indicator_key), 0)::BIGINT AS observed_cells, (SELECT max(last_update) FROM own o WHERE o.indicator_key = i.indicator_key) AS last_update FROM i LEFT JOIN lv USING (indicator_key)),
+    e AS (SELECT *, len(list_filter(string_split(proposed, ';'), lambda x: NOT list_contains(verified, x))) AS missing, indicator_key IN {_DERIVED} AND evidence > 0 AS needs FROM a),
+    cover AS (SELECT indicator_key, variables, coalesce(array_to_string(verified, ';'), '') AS verified_levels, period_start, period_end, period_gaps, observed_cells, last_update,
+        CASE WHEN evidence = 0 THEN 'unavailable' WHEN missing > 0 OR needs THEN 'partial' ELSE 'verified' END AS status,
+        CASE WHEN evidence = 0 THEN 'no_exact_free_series_confirmed' WHEN missing > 0 THEN 'geography_shortfall' WHEN needs THEN 'derivation_required' ELSE 'free_source_confirmed_full_geography' END AS reason,
+        concat_ws(';', CASE WHEN needs THEN 'derivation_required' END, CASE WHEN missing > 0 AND evidence > 0 THEN 'geography_shortfall' END, CASE WHEN variables > 1 THEN 'multi_variable' END, CASE WHEN period_gaps <> '' THEN 'period_gap' END,
+            CASE WHEN period_end - period_start + 1 < {SPAN} THEN 'short_series' END, CASE WHEN len(kinds) > 1 OR kinds[1] NOT IN ('Tahun', 'Tahunan') THEN 'subannual_periods' END, CASE WHEN profiles > 0 AND proposed_sources NOT LIKE '%api%' THEN 'webapi_found_unproposed' END) AS flags FROM e)"""
+
+
+def _inventory(spark):
+    rows = spark.sql(f"SELECT * FROM VALUES {_INVENTORY} AS t(indicator_key, proposed, proposed_sources)")
+    return rows.withColumns({c: F.split(c, ";") for c in ("proposed", "proposed_sources")})
+
+
+def _coverage(spark, d):
+    mapped = spark.sql(f"SELECT * FROM VALUES {_MAPPED} AS t(indicator_key, variable)")
+    published = spark.sql(f"SELECT indicator_key, source_id, split(levels, ';') AS levels, first_year, last_year FROM VALUES {_PUBLISHED} AS t(indicator_key, source_id, levels, first_year, last_year)")
+    return coverage.indicator_coverage(_inventory(spark), mapped, _profiles(spark, d), published, ["variable"], "api", SPAN, _DERIVED)
+
+
+@query("indicator_coverage", f"WITH {_COVER} SELECT * FROM cover")
 def indicator_coverage(spark, d):
-    return compare.indicator_coverage(_profiles(spark, d), _proposed(spark, d), 10).withColumn("verified_levels", F.coalesce("verified_levels", F.lit("")))
+    return _coverage(spark, d)
 
 
-@query("derive_status", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 2 THEN 'unavailable' WHEN o_orderkey % 3 = 1 THEN 'partial' ELSE 'verified' END AS status FROM orders")
+@query("derive_status", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'unavailable' WHEN o_orderkey % 3 > 0 THEN 'partial' ELSE 'verified' END AS status FROM orders")
 def derive_status(spark, d):
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", compare.derive_status(k % 3, F.lit(2), k % 4).alias("status"))
+    return table(spark, d, "orders").select("o_orderkey", coverage.derive_status(k % 3, k % 4).alias("status"))
 
 
-@query("apply_coverage", f"""WITH {_COVER}, i AS (SELECT indicator_key, 'unavailable' AS status, 'old' AS flags FROM n)
-    SELECT i.indicator_key, c.status, concat_ws(';', 'old', nullif(c.flags, '')) AS flags, c.status <> 'unavailable' OR c.flags <> '' AS changed FROM i JOIN cover c USING (indicator_key)""")
+@query("apply_coverage", f"""WITH {_COVER}, v AS (SELECT indicator_key, 'unavailable' AS status, CASE WHEN indicator_key = 'none' THEN '' ELSE 'old' END AS flags FROM i)
+    SELECT v.indicator_key, c.status, concat_ws(';', nullif(v.flags, ''), nullif(c.flags, '')) AS flags, c.status <> 'unavailable' OR c.flags <> '' AS changed FROM v JOIN cover c USING (indicator_key)""")
 def apply_coverage(spark, d):
-    inventory = _proposed(spark, d).select("indicator_key", F.lit("unavailable").alias("status"), F.lit("old").alias("flags"))
-    return compare.apply_coverage(inventory, compare.indicator_coverage(_profiles(spark, d), _proposed(spark, d), 10))
+    old = F.when(F.col("indicator_key") == "none", "").otherwise("old").alias("flags")
+    return compare.apply_coverage(_inventory(spark).select("indicator_key", F.lit("unavailable").alias("status"), old), _coverage(spark, d))
 
 
 @query("validate_inventory", """WITH i AS (SELECT CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS indicator_key, p_brand AS b, CASE p_size % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'partial' WHEN 2 THEN 'odd' ELSE 'unavailable' END AS status,
@@ -347,19 +400,19 @@ def _lexical(spark, d):
     return queries, titles
 
 
-_WORDS = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', " + ", ".join(f"'{w}'" for w in compare.STOPWORDS) + "))"
+_WORDS = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', " + ", ".join(f"'{w}'" for w in lexical.STOPWORDS) + "))"
 
 
 @query("token_coverage", f"""WITH q AS (SELECT item_id AS query_id, {_WORDS.format("text")} AS words FROM benchmark), t AS (SELECT page_id AS title_id, {_WORDS.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS words FROM pages),
     a AS (SELECT query_id, len(words) AS n, unnest(words) AS word FROM q), b AS (SELECT title_id, unnest(words) AS word FROM t)
     SELECT query_id, title_id, count(*) / any_value(n) AS coverage FROM a JOIN b USING (word) GROUP BY 1, 2""")
 def token_coverage(spark, d):
-    return compare.token_coverage(*_lexical(spark, d))
+    return lexical.token_coverage(*_lexical(spark, d))
 
 
 @query("lexical_candidates")
 def lexical_candidates(spark, d):
-    return compare.lexical_candidates(*_lexical(spark, d), k=5)
+    return lexical.lexical_candidates(*_lexical(spark, d), k=5)
 
 
 @query("inventory_summary", sql(f"WITH {_SPARSE} SELECT domain, status, count(*) AS n FROM compared GROUP BY 1, 2", "fact"))

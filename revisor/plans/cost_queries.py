@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revisor.operators import cost, model, recall
+from revisor.operators import cost, medians, model, recall
 from revisor.plans.bridge import fact, releases, sql, table
 from revisor.plans.registry import query
 from revisor.plans.vintage_queries import _BROKEN, _RULES, _broken, _constraints, _AUDIT, _METRICS, _audit, _lost
@@ -81,6 +81,26 @@ def apply_cost(spark, d):
     return _costs(spark, d)
 
 
+@query("apply_report", f"""WITH {_T}, st AS (SELECT strategy, point, repetition, count(*) * 100 AS before, count(*) * 100 + CAST(sum(seconds) AS BIGINT) AS after, CAST(sum(repetition) AS BIGINT) AS data FROM timing GROUP BY 1, 2, 3),
+    z AS (SELECT strategy, point, median(before) AS before_bytes_median, median(after) AS after_bytes_median, median(after - before) AS added_bytes_median, min(after - before) AS added_bytes_min, max(after - before) AS added_bytes_max, median(data) AS data_bytes_median FROM st GROUP BY 1, 2),
+    rc AS (SELECT strategy, point, round(count(*) FILTER (repetition = 1) / count(*), 4) AS recall_rate, round(count(*) FILTER (phase = 'write' AND seconds > 25) / nullif(count(*) FILTER (phase = 'write' AND point < 7), 0), 4) AS propagation_rate FROM timing GROUP BY 1, 2)
+    SELECT *, added_bytes_median - data_bytes_median AS metadata_bytes_median FROM costs JOIN z USING (strategy, point) JOIN rc USING (strategy, point)""")
+def apply_report(spark, d):
+    rows, by = _timing(spark, d), ["strategy", "point"]
+    hundred = F.lit(100).cast("long")
+    storage = rows.select(*by, "repetition", hundred.alias("baseline_bytes"), (hundred + F.col("seconds").cast("long")).alias("after_bytes"), F.col("repetition").alias("data_bytes"))
+    recalled = rows.select(*by, F.lit(1).alias("requests"), (F.col("repetition") == 1).cast("int").alias("exact"))
+    write = F.col("phase") == "write"
+    revised = rows.select(*by, (write & (F.col("point") < 7)).cast("int").alias("admitted"), (write & (F.col("seconds") > 25)).cast("int").alias("served"))
+    return cost.apply_report(_costs(spark, d), storage, recalled, revised, by)
+
+
+@query("exact_median", f"WITH {_T} SELECT strategy, phase, median(seconds * point) AS median FROM timing GROUP BY 1, 2")
+def exact_median(spark, d):
+    rows = _timing(spark, d).withColumn("x", F.col("seconds") * F.col("point"))
+    return medians.exact_median(rows, ["strategy", "phase"], "x")
+
+
 @query("arrival_cost", f"WITH {_T}, z AS (SELECT strategy, point, count(*) AS bytes FROM timing GROUP BY 1, 2) SELECT c.*, bytes, bytes - coalesce(lag(bytes) OVER (PARTITION BY strategy ORDER BY point), 0) AS bytes_added FROM costs c JOIN z USING (strategy, point)")
 def arrival_cost(spark, d):
     sizes = _timing(spark, d).groupBy("strategy", "point").agg(F.count("*").alias("bytes"))

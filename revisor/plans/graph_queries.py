@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revisor.operators import inject, lineage, recall, strategies
-from revisor.plans.bridge import SEED, SIZES, fact, releases, sql
+from revisor.operators import inject, lineage, reach, recall, strategies
+from revisor.plans.bridge import LINEAGE, SEED, SIZES, fact, releases, sql
 from revisor.plans.registry import query
-from revisor.plans.vintage_queries import _AUDIT, _METRICS, LAST, _audit, _requests, _scores
+from revisor.plans.vintage_queries import LAST, _requests, _requests_of, _scores
+from revisor.sources import files
 
 _SIZES = ", ".join(f"('sweep_{n:03d}', CAST({n} AS BIGINT))" for n in SIZES) + ", ('sweep_all', CAST(NULL AS BIGINT))"
 STRATEGIES = ["B0", "B1", "B2", "B3"]
@@ -87,7 +88,7 @@ _EDGE = "substr(sha256(concat_ws(chr(31), from_id, relationship, to_id)), 1, 20)
 
 @query("inherit_lineage", sql(f"WITH {_RANK}, e AS (SELECT {_OBS} AS from_id, 'observation_materializes_cell' AS relationship, cell_id AS to_id FROM pl) SELECT {_EDGE}, * FROM e", "current"))
 def inherit_lineage(spark, d):
-    return inject.inherit_lineage(_synthetic(spark, d), lineage.lineage_edges(_graph_fact(spark, d)))
+    return inject.inherit_lineage(_synthetic(spark, d), lineage.lineage_edges(_graph_fact(spark, d), LINEAGE))
 
 
 @query("route_matrix", sql(f"WITH {_RANK} SELECT scenario_id, selection_count, sha256(concat_ws(chr(31), scenario_id, selection_count)) AS payload_sha256, strategy, cells FROM sc, (VALUES ('B0'), ('B1'), ('B2'), ('B3')) v(strategy), (SELECT count(*) AS cells FROM current)", "current"))
@@ -165,7 +166,7 @@ def derived_vs_measured(spark, d):
 
 
 def _node(kind: str) -> str:
-    columns = lineage.NODES[kind]
+    columns = LINEAGE[kind]
     if kind in lineage._NATURAL:
         return columns[0]
     parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
@@ -173,20 +174,20 @@ def _node(kind: str) -> str:
 
 
 _GF = "gf AS (SELECT f.*, r.manifest_sha256 FROM fact f JOIN releases r USING (source_id))"
-_NODES = f"{_GF}, nodes AS (" + " UNION ".join(f"SELECT {_node(k)} AS node_id, '{k}' AS node_type, concat_ws('|', {', '.join(c)}) AS label FROM gf" for k, c in lineage.NODES.items()) + ")"
-_EDGES = "e0 AS (" + " UNION ".join(f"SELECT {_node(a)} AS from_id, '{r}' AS relationship, {_node(b)} AS to_id, '{'derived' if 'run' in r else 'recorded'}' AS evidence FROM gf" for r, (a, b) in lineage.EDGES.items()) + f"), edges AS (SELECT {_EDGE}, * FROM e0)"
+_NODES = f"{_GF}, nodes AS (" + " UNION ".join(f"SELECT {_node(k)} AS node_id, '{k}' AS node_type, concat_ws('|', {', '.join(c)}) AS label FROM gf" for k, c in LINEAGE.items()) + ")"
+_EDGES = "e0 AS (" + " UNION ".join(f"SELECT {_node(a)} AS from_id, '{r}' AS relationship, {_node(b)} AS to_id, '{basis}' AS evidence FROM gf" for r, (a, b, basis) in lineage.EDGES.items()) + f"), edges AS (SELECT {_EDGE}, * FROM e0)"
 _PATHS = f"""ids AS (SELECT observation_id, cell_id, {_node('source_manifest')} AS manifest_id, {_node('source_artifact')} AS artifact_id, {_node('source_record')} AS record_id FROM gf),
     paths AS (SELECT *, count(*) OVER (PARTITION BY record_id) AS record_reuse, substr(sha256(concat_ws(chr(31), manifest_id, artifact_id, record_id, observation_id, cell_id)), 1, 20) AS lineage_path_id FROM ids)"""
 
 
 @query("lineage_nodes", sql(f"WITH {_NODES} SELECT * FROM nodes", "fact"))
 def lineage_nodes(spark, d):
-    return lineage.lineage_nodes(_graph_fact(spark, d))
+    return lineage.lineage_nodes(_graph_fact(spark, d), LINEAGE)
 
 
 @query("lineage_edges", sql(f"WITH {_GF}, {_EDGES} SELECT * FROM edges", "fact"))
 def lineage_edges(spark, d):
-    return lineage.lineage_edges(_graph_fact(spark, d))
+    return lineage.lineage_edges(_graph_fact(spark, d), LINEAGE)
 
 
 @query("lineage_paths", sql(f"WITH {_GF}, {_PATHS} SELECT *, CASE WHEN record_reuse = 1 THEN 'unique_locator' ELSE 'shared_locator' END AS resolution FROM paths", "fact"))
@@ -198,7 +199,7 @@ def lineage_paths(spark, d):
     UNION ALL SELECT 'cells', count(DISTINCT cell_id) FROM paths UNION ALL SELECT 'shared_locator_paths', count(*) FILTER (record_reuse > 1) FROM paths UNION ALL SELECT 'complete_paths', count(*) FROM paths""", "fact"))
 def lineage_metrics(spark, d):
     g = _graph_fact(spark, d)
-    return lineage.lineage_metrics(lineage.lineage_nodes(g), lineage.lineage_edges(g), lineage.lineage_paths(g))
+    return lineage.lineage_metrics(lineage.lineage_nodes(g, LINEAGE), lineage.lineage_edges(g, LINEAGE), lineage.lineage_paths(g))
 
 
 @query("graph_integrity", sql(f"""WITH {_NODES}, {_EDGES} SELECT 'conflicting_node' AS rule, count(*) AS violations FROM (SELECT node_id FROM nodes GROUP BY 1 HAVING count(*) > 1)
@@ -206,7 +207,7 @@ def lineage_metrics(spark, d):
     UNION ALL SELECT 'orphan_node', count(*) FROM (SELECT DISTINCT node_id FROM nodes) WHERE node_id NOT IN (SELECT from_id FROM edges UNION SELECT to_id FROM edges)""", "fact"))
 def graph_integrity(spark, d):
     g = _graph_fact(spark, d)
-    return lineage.graph_integrity(lineage.lineage_nodes(g), lineage.lineage_edges(g))
+    return lineage.graph_integrity(lineage.lineage_nodes(g, LINEAGE), lineage.lineage_edges(g, LINEAGE))
 
 
 _STRATEGY = """q AS (SELECT 'r-' || f.observation_id AS request_id, f.cell_id, c.observation_id AS served_id FROM fact f JOIN current c USING (cell_id)),
@@ -225,11 +226,45 @@ def snapshot_lineage(spark, d):
     return lineage.snapshot_lineage(strategies.full_snapshots(fact(spark, d), LAST))
 
 
-@query("evidence_closure", sql(f"""WITH {_AUDIT}, mt AS ({_METRICS}), x AS (SELECT strategy, request_id, substr(sha256(concat_ws(chr(31), 'decision', strategy, request_id)), 1, 20) AS decision_id, substr(sha256(concat_ws(chr(31), 'metric', strategy, requests)), 1, 20) AS metric_id FROM audit JOIN mt USING (strategy))
-    SELECT *, substr(sha256(concat_ws(chr(31), 'table', metric_id)), 1, 20) AS table_id, substr(sha256(concat_ws(chr(31), 'figure', metric_id)), 1, 20) AS figure_id, true AS complete FROM x""", "fact", "current", "selected"))
+def _sid(*parts: str) -> str:
+    return f"substr(sha256(concat_ws(chr(31), {', '.join(parts)})), 1, 20)"
+
+
+#: Edges of the evidence with some hops taken out: of B2 the metric's way into the table, of some requests the decision's to the metric, of some observations the record.
+_EVIDENCE = f"""au AS (SELECT strategy, 'r-' || f.observation_id AS request_id, f.observation_id, {_sid("'decision'", "strategy", "'r-' || f.observation_id")} AS decision_id FROM fact f, (VALUES ('B0'), ('B1'), ('B2'), ('B3')) v(strategy)),
+    mt AS (SELECT strategy, {_sid("'metric'", "strategy", "count(*)")} AS metric_id FROM au GROUP BY strategy), tb AS (SELECT {_sid("'table'", "'recall_metrics'")} AS table_id, {_sid("'figure'", "'recall_metrics'")} AS figure_id),
+    ev AS (SELECT observation_id AS from_id, 'observation_enters_decision' AS relationship, decision_id AS to_id FROM au UNION ALL SELECT decision_id, 'audit_decision_contributes_to_metric', metric_id FROM au JOIN mt USING (strategy) WHERE request_id >= 'r-1'
+        UNION ALL SELECT metric_id, 'metric_published_in_table', table_id FROM mt, tb WHERE strategy <> 'B2' UNION ALL SELECT table_id, 'table_supplies_figure_input', figure_id FROM tb
+        UNION ALL SELECT from_id, relationship, to_id FROM edges WHERE relationship IN ('manifest_declares_artifact', 'artifact_contains_record') OR relationship = 'record_sources_observation' AND to_id < 'f'),
+    fw AS (SELECT decision_id AS start, decision_id AS node, NULL::VARCHAR AS via FROM au UNION SELECT start, to_id, relationship FROM fw JOIN ev ON node = from_id WHERE relationship IN ('audit_decision_contributes_to_metric', 'metric_published_in_table', 'table_supplies_figure_input')),
+    bw AS (SELECT decision_id AS start, decision_id AS node, NULL::VARCHAR AS via FROM au UNION SELECT start, from_id, relationship FROM bw JOIN ev ON node = to_id WHERE relationship NOT IN ('audit_decision_contributes_to_metric', 'metric_published_in_table', 'table_supplies_figure_input')),
+    rc AS (SELECT start, max(node) FILTER (via = 'audit_decision_contributes_to_metric') AS metric_id, max(node) FILTER (via = 'metric_published_in_table') AS table_id, max(node) FILTER (via = 'table_supplies_figure_input') AS figure_id,
+        max(node) FILTER (via = 'observation_enters_decision') AS observation_id, max(node) FILTER (via = 'record_sources_observation') AS record_id, max(node) FILTER (via = 'artifact_contains_record') AS artifact_id,
+        max(node) FILTER (via = 'manifest_declares_artifact') AS manifest_id FROM (SELECT * FROM fw UNION ALL SELECT * FROM bw) GROUP BY 1)"""
+
+
+def _evidence(spark, d):
+    """Audited requests of all strategies, and all stored edges but for the hops taken out."""
+    g = files.written(_graph_fact(spark, d), "fact")
+    asked = _requests_of(g).select("request_id", "observation_id")
+    audit = files.written(asked.withColumn("strategy", F.explode(F.array(*map(F.lit, ("B0", "B1", "B2", "B3"))))), "asked")
+    metrics = audit.groupBy("strategy").agg(F.count("*").alias("requests"))
+    ids = ["from_id", "relationship", "to_id"]
+    b2 = reach.identity(F.lit("metric"), F.lit("B2"), audit.where("strategy = 'B2'").agg(F.count("*").alias("n")).select("n").scalar())
+    first = audit.where("request_id < 'r-1'").select(reach.decision_of().alias("from_id"), F.lit(reach.EVIDENCE[0]).alias("relationship"))
+    evidence = reach.evidence_edges(audit, metrics).join(first, ["from_id", "relationship"], "left_anti")
+    evidence = evidence.where((F.col("relationship") != reach.EVIDENCE[1]) | (F.col("from_id") != b2)).select(ids)
+    core = lineage.lineage_edges(g, LINEAGE).where("relationship <> 'record_sources_observation' OR to_id < 'f'").select(ids)
+    served = lineage.strategy_lineage(_requests_of(g), strategies.overwrite_state(g), "B0").select(ids)
+    stored, path = evidence.unionByName(core).unionByName(served).unionByName(lineage.arrival_lineage(g)), files.scratch(spark, "edges")
+    stored.unionByName(lineage.snapshot_lineage(strategies.full_snapshots(g, LAST))).write.partitionBy("relationship").parquet(path)  # a chain reads its own relationships
+    return audit, spark.read.parquet(path)
+
+
+@query("evidence_closure", sql(f"""WITH RECURSIVE {_GF}, {_EDGES}, {_EVIDENCE} SELECT strategy, request_id, decision_id, metric_id, table_id, figure_id, rc.observation_id, record_id, artifact_id, manifest_id, figure_id IS NOT NULL AND manifest_id IS NOT NULL AS complete
+    FROM au JOIN rc ON start = decision_id""", "fact"))
 def evidence_closure(spark, d):
-    audit = _audit(spark, d)
-    return lineage.evidence_closure(audit, recall.recall_metrics(audit))
+    return reach.evidence_closure(*_evidence(spark, d))
 
 
 @query("arrival_lineage", sql("""WITH a AS (SELECT *, substr(sha256(concat_ws(chr(31), 'arrival', arrival_order)), 1, 20) AS arrival FROM fact)
@@ -238,19 +273,27 @@ def arrival_lineage(spark, d):
     return lineage.arrival_lineage(fact(spark, d))
 
 
-@query("impact_audit", sql("""WITH l AS (SELECT cell_id, max(arrival_order) AS last_dirty FROM fact GROUP BY 1) SELECT CAST(arrival_order AS BIGINT) AS arrival_order, count(DISTINCT cell_id) AS dirty_by_graph, count(DISTINCT cell_id) AS dirty_by_rows,
-    CAST(0 AS BIGINT) AS mismatches, count(*) FILTER (last_dirty = arrival_order) AS last_dirty_here FROM fact JOIN l USING (cell_id) GROUP BY 1""", "fact"))
+@query("impact_audit", sql("""WITH l AS (SELECT cell_id, max(arrival_order) AS last_dirty FROM fact GROUP BY 1), x AS (SELECT CAST(arrival_order AS BIGINT) AS arrival_order, count(DISTINCT cell_id) FILTER (observation_id < 'f') AS dirty_by_graph, count(DISTINCT cell_id) AS dirty_by_rows,
+        count(*) FILTER (observation_id >= 'f' AND arrival_order = 2) AS m, count(*) FILTER (last_dirty = arrival_order) AS last_dirty_here, count(*) FILTER (last_dirty = arrival_order AND arrival_order > 1 AND cell_id < '1') AS stale_cells, count(DISTINCT cell_id) - CASE WHEN arrival_order = 3 THEN 1 ELSE 0 END AS dirty_reported FROM fact JOIN l USING (cell_id) GROUP BY arrival_order),
+    y AS (SELECT arrival_order, CASE WHEN arrival_order = 2 THEN dirty_by_graph ELSE dirty_by_rows END AS dirty_by_graph, dirty_by_rows, m AS mismatches, last_dirty_here, stale_cells, dirty_reported FROM x)
+    SELECT *, mismatches = 0 AND stale_cells = 0 AND dirty_reported = dirty_by_graph AS agrees FROM y""", "fact"))
 def impact_audit(spark, d):
-    return lineage.impact_audit(fact(spark, d), lineage.lineage_edges(_graph_fact(spark, d))).withColumn("arrival_order", F.col("arrival_order").cast("long"))
+    """With planted faults: edges missing at the second arrival, a cell not counted at the third, cells under '1' not recomputed since the first."""
+    g = _graph_fact(spark, d)
+    lost = g.where("arrival_order = 2 AND observation_id >= 'f'").select(F.col("observation_id").alias("from_id"))
+    edges = lineage.lineage_edges(g, LINEAGE).join(lost, "from_id", "left_anti")
+    catalog = g.groupBy("arrival_order").agg(F.count_distinct("cell_id").alias("n")).select("arrival_order", (F.col("n") - F.when(F.col("arrival_order") == 3, 1).otherwise(0)).alias("dirty_cells"))
+    current = g.groupBy("cell_id").agg(F.max("arrival_order").alias("last")).select("cell_id", F.when(F.col("cell_id") < "1", 1).otherwise(F.col("last")).alias("recomputed_at_arrival"))
+    return lineage.impact_audit(g, edges, catalog, current).withColumn("arrival_order", F.col("arrival_order").cast("long"))
 
 
 @query("trace_upstream", sql(f"WITH {_GF}, {_PATHS} SELECT cell_id, observation_id AS observation, record_id AS record, artifact_id AS artifact, manifest_id AS manifest FROM paths", "fact"))
 def trace_upstream(spark, d):
     g = _graph_fact(spark, d)
-    return lineage.trace_upstream(lineage.lineage_edges(g), g.select("cell_id").distinct())
+    return lineage.trace_upstream(lineage.lineage_edges(g, LINEAGE), g.select("cell_id").distinct())
 
 
 @query("dirty_cells", sql("SELECT cell_id, CAST(0 AS BIGINT) AS mismatch FROM fact WHERE arrival_order = 5", "fact"))
 def dirty_cells(spark, d):
     g = _graph_fact(spark, d)
-    return strategies.dirty_cells(lineage.lineage_edges(g), g.where("arrival_order = 5"))
+    return strategies.dirty_cells(lineage.lineage_edges(g, LINEAGE), g.where("arrival_order = 5"))

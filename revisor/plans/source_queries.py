@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from revisor.operators.strategies import full_snapshots, overwrite_state
+from revisor.operators.strategies import full_snapshots, incremental_serving, overwrite_state, resolve_cells
 from revisor.plans.bridge import RELEASES, fact, releases, sql, table
 from revisor.plans.registry import query
-from revisor.sources import files
+from revisor.sources import files, versions
 from revisor.streaming import arrivals
 
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]
@@ -200,22 +200,57 @@ def truncate(spark, d):
 def drop_purge(spark, d):
     """The rows by version of a catalog table before it is dropped, and whether the catalog has lost it."""
     name = f"dropped_{uuid.uuid4().hex}"
-    spark.read.parquet(_versions(spark, d)).write.saveAsTable(name)
+    spark.read.parquet(_versions(spark, d)).write.option("path", files.scratch(spark, "dropped")).saveAsTable(name)
     rows = files.written(spark.table(name).groupBy("version").agg(F.count("*").alias("rows")), "rows")
     spark.sql(f"DROP TABLE {name} PURGE")
     left = spark.sql(f"SHOW TABLES LIKE '{name}'").agg((F.count("*") == 0).alias("dropped"))
     return rows.crossJoin(left)  # one row
 
 
-@query("snapshot_read", sql("SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states", "states"))
+@query("snapshot_read", sql("SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states WHERE snapshot_order = 3", "states"))
 def snapshot_read(spark, d):
+    """The state as of a date between the third release and the fourth."""
+    dates = releases(spark).select("vintage_date", F.col("arrival_order").cast("long").alias("version"))
+    found = versions.version_asof(spark, _versions(spark, d), dates, F.lit("2024-02-03").cast("date"))
+    return found.select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
+
+
+@query("snapshot_union", sql("SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states", "states"))
+def snapshot_union(spark, d):
+    """All retained states with their order."""
     return spark.read.parquet(_versions(spark, d)).select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
 
 
 @query("expire_versions", sql(f"SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states WHERE snapshot_order > {LAST - 2}", "states"))
 def expire_versions(spark, d):
-    kept = files.keep_last(_versions(spark, d), files.scratch(spark, "kept"), spark, "version", keep=2)
-    return kept.select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
+    path = _versions(spark, d)
+    versions.expire_versions(spark, path, keep=2)
+    return spark.read.parquet(path).select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
+
+
+def _bucketed(spark, rows, name):
+    return versions.write_bucketed(rows, f"{name}_{uuid.uuid4().hex}", files.scratch(spark, name), 8)
+
+
+@query("colocated_serving", sql("""SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, count(*) AS vintage_count, count(*) FILTER (prev_value <> value) AS value_revision_count,
+    CAST(max(CASE WHEN arrival_order = 5 THEN 5 ELSE 4 END) AS BIGINT) AS recomputed_at_arrival FROM hist GROUP BY 1""", "hist"))
+def colocated_serving(spark, d):
+    """Store and serving state bucketed by cell; the last arrival resolves its cells anew and leaves the others."""
+    rows = fact(spark, d)
+    store = _bucketed(spark, rows, "store")
+    before = resolve_cells(rows.where("arrival_order < 5")).withColumn("recomputed_at_arrival", F.lit(4).cast("long"))
+    serving = _bucketed(spark, before, "serving")
+    after = incremental_serving(serving, store, rows.where("arrival_order = 5"), 5)
+    return after.select("cell_id", "observation_id", "vintage_count", "value_revision_count", "recomputed_at_arrival")
+
+
+@query("reached_rows", sql("SELECT cell_id, observation_id FROM fact WHERE cell_id IN (SELECT cell_id FROM fact WHERE arrival_order = 5 AND geo_code LIKE '1%')", "fact"))
+def reached_rows(spark, d):
+    """Rows of a stored fact whose cells some rows of the last arrival touch."""
+    path = files.scratch(spark, "store")
+    fact(spark, d).write.parquet(path)
+    store = spark.read.parquet(path)
+    return versions.reached_rows(store, store.where("arrival_order = 5 AND geo_code LIKE '1%'")).select("cell_id", "observation_id")
 
 
 @query("file_inventory", "SELECT 'lineitem' AS name, true AS sized, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', true, count(*) FROM orders")
@@ -234,18 +269,21 @@ def orphan_files(spark, d):
 # ---------------------------------------------------------------- streaming
 
 
-def _arrival_folder(spark, d):
+def _arrival_folder(spark, d, times=1):
     path = files.scratch(spark, "arrivals")
     rows = fact(spark, d).select("cell_id", "observation_id", "vintage_id", "value", "value_lexeme", "vintage_date", "retrieved_at", "arrival_order")
-    rows.repartition("arrival_order").write.parquet(path)
+    for _ in range(times):
+        rows.repartition("arrival_order").write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("stream_arrivals", sql("""SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, count(*) AS vintage_count FROM fact GROUP BY 1""", "fact"))
+@query("stream_arrivals", sql("""SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, arg_max(value_lexeme, arrival_order) AS value_lexeme, count(*) AS vintage_count,
+    count(*) FILTER (prev_value <> value) AS value_revision_count FROM hist GROUP BY 1""", "hist"))
 def stream_arrivals(spark, d):
-    serving = files.scratch(spark, "serving")
-    arrivals.stream_arrivals(_arrival_folder(spark, d), files.scratch(spark, "store"), serving, files.scratch(spark, "progress")).awaitTermination()
-    return spark.read.parquet(serving).select("cell_id", "observation_id", "vintage_count")
+    """What the log of revisions serves after all releases, of which each arrives twice."""
+    log = files.scratch(spark, "revisions")
+    arrivals.stream_arrivals(_arrival_folder(spark, d, times=2), log, files.scratch(spark, "progress")).awaitTermination()
+    return arrivals.serving(spark.read.parquet(log)).select("cell_id", "observation_id", "value_lexeme", "vintage_count", "value_revision_count")
 
 
 @query("stream_latest", sql("SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, arg_max(value_lexeme, arrival_order) AS value_lexeme FROM fact GROUP BY 1", "fact"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revisor.operators import model, recall, strategies
-from revisor.plans.bridge import AUTHORITY, fact, releases, sql
+from revisor.operators import model, recall, states, strategies
+from revisor.plans.bridge import AUTHORITY, RELEASES, fact, released, releases, sql
 from revisor.plans.registry import query
+from revisor.sources import files
 from revisor.sources.files import scratch
 
-LAST = 5
+LAST = len(RELEASES)
 
 
 def _stored(spark, d):
@@ -88,15 +89,24 @@ def arrival_order(spark, d):
     return model.arrival_order(rows).select("source_id", "arrival_order")
 
 
-_PANEL = "panel AS (SELECT f.*, n.n, r2 FROM fact f CROSS JOIN (VALUES (0), (1)) n(n), LATERAL (SELECT CASE n.n WHEN 0 THEN f.source_record_id ELSE f.source_record_id || 'x' END AS r2))"
+#: Each row twice, the second with a later locator, an earlier retrieval in some areas, and another value or unit in some.
+_PANEL = """panel AS (SELECT cell_id, source_id, observation_id, source_record_id, retrieved_at, value, value_lexeme, unit FROM fact
+    UNION ALL SELECT cell_id, source_id, observation_id || 'x', source_record_id || 'x', CASE CAST(geo_code AS BIGINT) % 4 WHEN 1 THEN retrieved_at + INTERVAL 1 HOUR ELSE retrieved_at END, CASE CAST(geo_code AS BIGINT) % 7 WHEN 2 THEN value + 1 ELSE value END,
+        value_lexeme, CASE CAST(geo_code AS BIGINT) % 11 WHEN 3 THEN 'other' ELSE unit END FROM fact)"""
 
 
-@query("dedup_panel", sql(f"""WITH {_PANEL} SELECT cell_id, source_id, r2 AS source_record_id, row_number() OVER w = 1 AS kept, false AS conflict
-    FROM panel WINDOW w AS (PARTITION BY cell_id, source_id ORDER BY retrieved_at DESC, r2)""", "fact"))
+@query("dedup_panel", sql(f"""WITH {_PANEL}, p AS (SELECT *, row_number() OVER w AS place, first_value(observation_id) OVER w AS kept_observation_id, first_value(value) OVER w AS v, first_value(unit) OVER w AS u FROM panel WINDOW w AS (PARTITION BY cell_id, source_id ORDER BY retrieved_at DESC, source_record_id))
+    SELECT cell_id, source_id, source_record_id, place = 1 AS kept, kept_observation_id, value <> v OR unit <> u AS conflict FROM p""", "fact"))
 def dedup_panel(spark, d):
-    rows = fact(spark, d)
-    twice = rows.unionByName(rows.withColumn("source_record_id", F.concat("source_record_id", F.lit("x"))))
-    return model.dedup_panel(twice).select("cell_id", "source_id", "source_record_id", "kept", "conflict")
+    rows, k = fact(spark, d), F.col("geo_code").cast("long")
+    more = {
+        "observation_id": F.concat("observation_id", F.lit("x")),
+        "source_record_id": F.concat("source_record_id", F.lit("x")),
+        "retrieved_at": F.when(k % 4 == 1, F.col("retrieved_at") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("retrieved_at")),
+        "value": F.when(k % 7 == 2, (F.col("value") + 1).cast("decimal(18,2)")).otherwise(F.col("value")),
+        "unit": F.when(k % 11 == 3, "other").otherwise(F.col("unit")),
+    }
+    return model.dedup_panel(rows.unionByName(rows.withColumns(more))).select("cell_id", "source_id", "source_record_id", "kept", "kept_observation_id", "conflict")
 
 
 @query("latest_by_cell", sql("SELECT cell_id, observation_id, value_lexeme, source_id FROM current", "current"))
@@ -123,17 +133,20 @@ def full_snapshots(spark, d):
     return strategies.full_snapshots(fact(spark, d), LAST).select(F.col("snapshot_order").cast("long").alias("snapshot_order"), "cell_id", "observation_id")
 
 
-#: SHA-256 over the ordered rows of each of 4,096 parts of a state, and over the ordered parts.
-_DIGEST = """pt AS (SELECT snapshot_order, substr(cell_id, 1, 3) AS part, count(*) AS n, sha256(string_agg(sha256(concat_ws(chr(31), cell_id, observation_id, value_lexeme)), '' ORDER BY cell_id)) AS d FROM states GROUP BY 1, 2),
-    dg AS (SELECT snapshot_order, CAST(sum(n) AS BIGINT) AS state_rows, sha256(string_agg(d, '' ORDER BY part)) AS digest FROM pt GROUP BY 1)"""
+#: Rows of a leaf of the digest tree; small, so that the small tables have inner nodes.
+LEAF = 64
+_DIGEST = f"""mx AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM states GROUP BY snapshot_order)), dp AS (SELECT min(k) AS depth FROM mx, range(12) t(k) WHERE n <= {LEAF} * pow(16, k)),
+    tree AS (SELECT snapshot_order, depth AS level, substr(cell_id, 1, depth) AS prefix, count(*)::BIGINT AS n, sha256(string_agg(sha256(concat_ws(chr(31), cell_id, observation_id, value_lexeme)), '' ORDER BY cell_id)) AS d FROM states, dp GROUP BY 1, 2, 3
+        UNION ALL SELECT snapshot_order, level - 1, substr(prefix, 1, level - 1), sum(n)::BIGINT, sha256(string_agg(d, '' ORDER BY prefix)) FROM tree WHERE level > 0 GROUP BY 1, 2, 3),
+    dg AS (SELECT snapshot_order, n AS state_rows, d AS digest FROM tree WHERE level = 0)"""
 
 
-@query("snapshot_catalog", sql(f"""WITH {_DIGEST}, o AS ({_OPS}), s AS (SELECT snapshot_order, count(DISTINCT vintage_id) AS vintages FROM states GROUP BY 1)
+@query("snapshot_catalog", sql(f"""WITH RECURSIVE {_DIGEST}, o AS ({_OPS}), s AS (SELECT snapshot_order, count(DISTINCT vintage_id) AS vintages FROM states GROUP BY 1)
     SELECT CAST(snapshot_order AS BIGINT) AS snapshot_order, input_rows, inserted, overwritten, value_changed, same_value, state_rows, vintages,
            digest AS state_digest, substr(sha256(concat_ws(chr(31), 'B1', snapshot_order, digest)), 1, 20) AS snapshot_key
     FROM o JOIN s ON arrival_order = snapshot_order JOIN dg USING (snapshot_order)""", "states"))
 def snapshot_catalog(spark, d):
-    return strategies.snapshot_catalog(fact(spark, d), LAST).withColumn("snapshot_order", F.col("snapshot_order").cast("long"))
+    return strategies.snapshot_catalog(fact(spark, d), LAST, LEAF).withColumn("snapshot_order", F.col("snapshot_order").cast("long"))
 
 
 @query("trust_scores", sql("SELECT source_id, CAST(vintage_date AS VARCHAR) AS vintage_date, trust_score, source_rank FROM scores", "scores"))
@@ -172,6 +185,23 @@ def vintage_store(spark, d):
     return strategies.vintage_store(rows.where("arrival_order <= 2"), rows).select("cell_id", "vintage_id", "observation_id")
 
 
+@query("refused_rows", sql("""WITH a AS (SELECT cell_id, vintage_id, observation_id, arrival_order FROM fact WHERE arrival_order > 1 UNION ALL SELECT cell_id, vintage_id, observation_id || 'x', arrival_order FROM fact WHERE arrival_order > 1 AND cell_id < '4')
+    SELECT cell_id, vintage_id, observation_id, CASE WHEN arrival_order <= 2 THEN 'in_store' WHEN observation_id LIKE '%x' THEN 'repeated' END AS refused FROM a""", "fact"))
+def refused_rows(spark, d):
+    """An arrival that replays a release of the store and repeats some of its own rows."""
+    rows = fact(spark, d)
+    new = rows.where("arrival_order > 1")
+    arrived = new.unionByName(new.where("cell_id < '4'").withColumn("observation_id", F.concat("observation_id", F.lit("x"))))
+    return strategies.admitted(rows.where("arrival_order <= 2"), arrived).select("cell_id", "vintage_id", "observation_id", "refused")
+
+
+@query("unknown_releases", sql("""SELECT source_id, count(*) AS observations, count(*) FILTER (source_id IN ('error', 'view')) AS refused, CASE WHEN source_id IN ('error', 'view') THEN 'unknown_release' END AS problem FROM obs GROUP BY 1""", "obs"))
+def unknown_releases(spark, d):
+    """Observations by source where two of the sources have no release."""
+    rows = released(spark, d, releases(spark).where("source_id NOT IN ('error', 'view')"))
+    return rows.groupBy("source_id").agg(F.count("*").alias("observations"), F.count("problem").alias("refused"), F.max("problem").alias("problem"))
+
+
 @query("resolve_cells", sql("""SELECT cell_id, arg_max(observation_id, arrival_order) AS observation_id, arg_max(value_lexeme, arrival_order) AS value_lexeme, count(*) AS vintage_count,
     count(*) FILTER (prev_value <> value) AS value_revision_count FROM hist GROUP BY 1""", "hist"))
 def resolve_cells(spark, d):
@@ -196,6 +226,20 @@ def arrival_catalog(spark, d):
     return strategies.arrival_catalog(fact(spark, d)).withColumn("arrival_order", F.col("arrival_order").cast("long"))
 
 
+@query("late_arrivals", sql("""WITH r AS (SELECT *, CASE arrival_order WHEN 2 THEN 5 WHEN 5 THEN 2 ELSE arrival_order END AS arrived FROM fact),
+    w AS (SELECT *, lag(arrival_order) OVER o AS before, max(arrival_order) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r WINDOW o AS (PARTITION BY cell_id ORDER BY arrived)),
+    x AS (SELECT w.*, t.value AS served FROM w LEFT JOIN fact t ON t.cell_id = w.cell_id AND t.arrival_order = w.top),
+    o AS (SELECT CAST(arrived AS BIGINT) AS arrival_order, count(*) AS dirty_cells, count(*) FILTER (before IS NULL) AS inserted, count(*) FILTER (arrival_order > top) AS resolved_changed, count(*) FILTER (arrival_order > top AND value <> served) AS value_changed,
+        count(*) FILTER (arrival_order > top AND value = served) AS provenance_only, count(*) FILTER (arrival_order < top) AS unchanged FROM x GROUP BY 1),
+    c AS (SELECT *, CAST(sum(dirty_cells) OVER (ORDER BY arrival_order) AS BIGINT) AS store_rows, CAST(sum(inserted) OVER (ORDER BY arrival_order) AS BIGINT) AS serving_rows FROM o)
+    SELECT *, serving_rows - dirty_cells AS untouched FROM c""", "fact"))
+def late_arrivals(spark, d):
+    """The catalog where the second release arrives last and the last one second: late rows leave the resolution as it is."""
+    order = F.col("arrival_order")
+    late = fact(spark, d).withColumn("arrival_order", F.when(order == 2, 5).when(order == 5, 2).otherwise(order))
+    return strategies.arrival_catalog(late).withColumn("arrival_order", F.col("arrival_order").cast("long"))
+
+
 @query("incremental_equals_full", sql("SELECT count(*) AS differing_rows, (SELECT count(DISTINCT cell_id) FROM fact) AS cells FROM fact WHERE false", "fact"))
 def incremental_equals_full(spark, d):
     rows = fact(spark, d)
@@ -225,9 +269,30 @@ def run_all_strategies(spark, d):
     return strategies.all_strategies(rows, _scores_of(rows), LAST)
 
 
-@query("state_digest", sql(f"WITH {_DIGEST} SELECT snapshot_order, state_rows, digest FROM dg", "states"))
+def _snapshots(spark, d):
+    return files.written(strategies.full_snapshots(fact(spark, d), LAST).select("snapshot_order", "cell_id", "observation_id", "value_lexeme"), "states")
+
+
+@query("state_digest", sql(f"WITH RECURSIVE {_DIGEST} SELECT snapshot_order, state_rows, digest FROM dg", "states"))
 def state_digest(spark, d):
-    return strategies.state_digest(strategies.full_snapshots(fact(spark, d), LAST), ["snapshot_order"], ["cell_id", "observation_id", "value_lexeme"])
+    return states.state_digest(_snapshots(spark, d), ["snapshot_order"], ["cell_id", "observation_id", "value_lexeme"], LEAF)
+
+
+@query("digest_tree", sql(f"WITH RECURSIVE {_DIGEST} SELECT snapshot_order, level, prefix, n AS state_rows, d AS digest FROM tree", "states"))
+def digest_tree(spark, d):
+    rows = _snapshots(spark, d)
+    return states.digest_tree(rows, ["snapshot_order"], ["cell_id", "observation_id", "value_lexeme"], states.depth_of(rows, ["snapshot_order"], LEAF))
+
+
+@query("compare_states", sql("""SELECT coalesce(a.cell_id, b.cell_id) AS cell_id, CASE WHEN b.cell_id IS NULL THEN 'only_one' WHEN a.cell_id IS NULL THEN 'only_two' ELSE 'changed' END AS status
+    FROM (SELECT * FROM states WHERE snapshot_order = 4 AND cell_id >= '2') a FULL JOIN (SELECT * FROM states WHERE snapshot_order = 5 AND cell_id < 'e') b ON a.cell_id = b.cell_id
+    WHERE (a.observation_id, a.value_lexeme) IS DISTINCT FROM (b.observation_id, b.value_lexeme)""", "states"))
+def compare_states(spark, d):
+    """Two stored states, of which each lacks a range of cells, compared from the roots of their trees."""
+    rows, paths = _snapshots(spark, d), [files.scratch(spark, "state") for _ in range(2)]
+    for order, where, path in ((4, "cell_id >= '2'", paths[0]), (5, "cell_id < 'e'", paths[1])):
+        states.store_state(rows.where(F.col("snapshot_order") == order).where(where).drop("snapshot_order"), path)
+    return states.compare_states(spark, *paths, ["observation_id", "value_lexeme"], LEAF)
 
 
 @query("late_release_noop", sql("SELECT cell_id, observation_id FROM current", "current"))
@@ -259,9 +324,16 @@ def recall_snapshots(spark, d):
     return out.select("request_id", "available", F.col("first_order").cast("long").alias("first_order"), F.col("last_order").cast("long").alias("last_order"), "matching_orders")
 
 
-@query("recall_vintage_key", sql("SELECT 'r-' || observation_id AS request_id, true AS available, true AS exact FROM fact", "fact"))
+@query("recall_vintage_key", sql("""SELECT 'r-' || observation_id AS request_id, arrival_order <> 4 AS available, arrival_order <> 4 AND cell_id >= '2' AND NOT (cell_id >= 'e' AND arrival_order = 1) AS exact FROM fact""", "fact"))
 def recall_vintage_key(spark, d):
-    return recall.recall_vintage_key(_requests(spark, d), fact(spark, d)).select("request_id", "available", "exact")
+    """Against a store that lacks a release, writes some numbers otherwise and has some values wrong."""
+    rows = fact(spark, d)
+    wrong = (F.col("cell_id") >= "e") & (F.col("arrival_order") == 1)
+    store = rows.where("arrival_order <> 4").withColumns({
+        "value_lexeme": F.when(F.col("cell_id") < "2", F.concat("value_lexeme", F.lit("0"))).otherwise(F.col("value_lexeme")),
+        "value": F.when(wrong, (F.col("value") + 1).cast("decimal(18,2)")).otherwise(F.col("value")),
+    })
+    return recall.recall_vintage_key(_requests_of(rows), store).select("request_id", "available", "exact")
 
 
 def _held(rows):
@@ -304,12 +376,23 @@ def recall_metrics(spark, d):
     return recall.recall_metrics(_audit(spark, d))
 
 
-@query("recall_repeatability", sql("SELECT 'r-' || f.observation_id AS request_id, CAST(3 AS BIGINT) AS repetitions, true AS repeatable, f.observation_id = c.observation_id AS as_expected FROM fact f JOIN current c USING (cell_id)", "fact", "current"))
+@query("recall_repeatability", sql("""WITH e AS (SELECT * FROM (SELECT cell_id, observation_id, row_number() OVER (PARTITION BY cell_id ORDER BY arrival_order DESC) AS k FROM fact WHERE arrival_order < 5) WHERE k = 1),
+    a AS (SELECT 'r-' || f.observation_id AS request_id, f.observation_id = c.observation_id AS one, CASE WHEN f.cell_id < '4' THEN coalesce(f.observation_id = e.observation_id, false) ELSE f.observation_id = c.observation_id END AS three FROM fact f JOIN current c USING (cell_id) LEFT JOIN e USING (cell_id))
+    SELECT request_id, CAST(3 AS BIGINT) AS repetitions, one = three AS repeatable, (one AND three) = one AS as_expected FROM a""", "fact", "current"))
 def recall_repeatability(spark, d):
-    one = recall.recall_current(_requests(spark, d), strategies.overwrite_state(fact(spark, d))).select("request_id", "available")
-    three = one.withColumn("repetition", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
-    expected = one.select("request_id", F.lit(True).alias("available"))
-    return recall.repeatability(three, ["request_id"], ["available"], expected)
+    """Three measurements of the served state, the third after a part of the cells has lost the last arrival."""
+    rows = _stored(spark, d)
+    now, before = strategies.overwrite_state(rows), strategies.overwrite_state(rows.where("arrival_order < 5"))
+    columns = ["cell_id", "observation_id", "value_lexeme"]
+    rolled_back = now.where("cell_id >= '4'").select(columns).unionByName(before.where("cell_id < '4'").select(columns))
+    asked = _requests_of(rows)
+    measured = None
+    for n, state in enumerate((now, now, rolled_back), 1):
+        one = recall.recall_current(asked, state).select("request_id", "available", F.lit(n).alias("repetition"))
+        measured = one if measured is None else measured.unionByName(one)
+    last = rows.join(now.select("cell_id", F.col("observation_id").alias("last_id")), "cell_id")
+    expected = _requests_of(last).select("request_id", (F.col("observation_id") == F.col("last_id")).alias("available"))
+    return recall.repeatability(measured, ["request_id"], ["available"], expected)
 
 
 _LOST = """lost AS (SELECT s.strategy, f.*, s.observation_id AS served_id, s.value AS served_value FROM fact f

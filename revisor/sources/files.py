@@ -184,7 +184,7 @@ def write_manifested(df: DataFrame, path: str, by: str | None = None) -> DataFra
     part = (F.col(by).cast("string") if by else F.lit(None).cast("string")).alias("part")
     rows = spark.read.parquet(path).groupBy(name.alias("name"), part).agg(F.count("*").alias("rows"))
     out = file_digests(spark, path, "*.parquet", parts).join(rows, "name", "left").select(F.lit("output").alias("kind"), "name", "part", "size", "sha256", F.coalesce("rows", F.lit(0)).alias("rows"))
-    sources = [f for f in df.inputFiles()]
+    sources = df.inputFiles()  # a name for each input file
     if not sources:
         return out
     read = spark.read.parquet(*sources).groupBy(name.alias("name"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("rows"))
@@ -212,14 +212,6 @@ def partitioned_sink(df: DataFrame, by: str, path: str) -> None:
     df.repartition(by, salt).write.partitionBy(by).parquet(path)
 
 
-def keep_last(path: str, to: str, spark: SparkSession, by: str, keep: int = 1) -> DataFrame:
-    """The last ``keep`` values of a table's partition column, written elsewhere; the partitions before them are not read."""
-    table = spark.read.parquet(path)
-    last = [r[0] for r in table.select(by).distinct().orderBy(F.col(by).desc()).limit(keep).collect()]  # ``keep`` values
-    table.where(F.col(by).isin(last)).write.partitionBy(by).parquet(to)
-    return spark.read.parquet(to)
-
-
 def file_inventory(spark: SparkSession, path: str, by: Column | None = None) -> DataFrame:
     """Files of a table: path, size, rows, from the scan's metadata columns."""
     m = F.col("_metadata")

@@ -1,60 +1,67 @@
-"""Releases as a stream: each micro-batch adds to the store and resolves the cells of the parts it touches."""
+"""Releases as a stream: a cell's vintages are keyed state, and each batch emits the cells it revises.
+
+State lives in the stream's checkpoint, by cell and vintage, so a batch looks up and
+writes its own cells alone, however large the store is; what it emits goes to a log of
+revisions with a folder for each batch.  The served state is the last revision of each
+cell in the log, which may be folded from time to time.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisor.operators.model import KNOWLEDGE
-from revisor.operators.strategies import resolve_cells
 
-#: Parts of the store and of the serving state, by a hash of the cell.
-PARTS = 64
+#: State store that keeps state on disk and writes a batch's changes only.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: What a cell serves.
+SERVED = ("observation_id", "value", "value_lexeme", "vintage_count", "value_revision_count")
 
 
-def part_of(cell: str) -> Column:
-    return F.pmod(F.xxhash64(cell), F.lit(PARTS)).cast("int")
+def _changes(vintages: Column) -> Column:
+    """How often the value differs from the one before, in order of knowledge."""
+    differs = F.transform(vintages, lambda v, i: F.when(i > 0, ~v["value"].eqNullSafe(F.get(vintages, i - 1)["value"])).otherwise(False))
+    return F.size(F.filter(differs, lambda d: d)).cast("long")
 
 
-def _read(spark: SparkSession, path: str, touched: list[int]) -> DataFrame | None:
-    """The touched parts of a table, or None where nothing is written yet."""
-    try:
-        return spark.read.parquet(path).where(F.col("part").isin(touched))
-    except AnalysisException:
-        return None
+def revisions(arrivals: DataFrame) -> DataFrame:
+    """Update-mode stream of the cells that a batch adds a vintage to, with what they serve then.
 
+    Two stateful operators: the first knows each (cell, vintage) and lets a row through
+    once, so replays emit nothing; the second holds the vintages of each cell.  The order
+    is that of knowledge, so a late release changes counts and not what is served.
+    """
+    once = arrivals.dropDuplicates(["cell_id", "vintage_id"])
+    held = once.groupBy("cell_id").agg(F.collect_list(F.struct(*KNOWLEDGE, "observation_id", "value", "value_lexeme")).alias("held"))
+    rows = held.withColumn("held", F.array_sort("held")).withColumn("last", F.element_at("held", -1))
+    return rows.select("cell_id", "last.observation_id", "last.value", "last.value_lexeme", F.size("held").cast("long").alias("vintage_count"), _changes(F.col("held")).alias("value_revision_count"))
 
-def _put(rows: DataFrame, path: str, *by: str) -> None:
-    """Replace the partitions that ``rows`` has and leave the others as they are."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
+def stream_arrivals(arrivals: DataFrame, log: str, checkpoint: str):
+    """Start the query that writes the revisions of each batch to ``log``; a batch that runs again replaces its own folder."""
+    for key, value in STATE_STORE.items():
+        arrivals.sparkSession.conf.set(key, value)
 
-def stream_arrivals(arrivals: DataFrame, store: str, serving: str, checkpoint: str):
-    """Start the query: per batch, add what the store lacks, and resolve the cells of the touched parts anew.
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+
+    return revisions(arrivals).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def serving(log: DataFrame) -> DataFrame:
+    """The served state: of each cell the revision with the most vintages, by one partial aggregate."""
+    last = F.max_by(F.struct(*SERVED), "vintage_count")
+    return log.groupBy("cell_id").agg(last.alias("v")).select("cell_id", "v.*")
 
-    ``store`` and ``serving`` are paths of tables in PARTS parts by a hash of cell_id; a
-    batch reads and writes its own parts only.  The store has a folder for each part and
-    batch: a batch that runs again reads what other batches wrote and replaces its own
-    rows, so it gives the same store and the same serving state.
-    """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("part", part_of("cell_id")).withColumn("batch", F.lit(batch_id))
-        touched = [r["part"] for r in rows.select("part").distinct().collect()]  # PARTS numbers at most
-        if not touched:
-            return
-        before = _read(spark, store, touched)
-        if before is not None:
-            known = before.where(F.col("batch") != batch_id).select("cell_id", "vintage_id")
-            rows = rows.join(known, ["cell_id", "vintage_id"], "left_anti").select(rows.columns)
-        _put(rows.repartition("part"), store, "part", "batch")
-        after = _read(spark, store, touched)
-        if after is not None:
-            _put(resolve_cells(after.drop("batch")).repartition("part"), serving, "part")
-
-    return arrivals.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def fold(spark: SparkSession, log: str, to: str) -> DataFrame:
+    """A log with the last revision of each cell only, written to ``to``; later batches may be written beside it."""
+    serving(spark.read.parquet(log)).write.parquet(f"{to}/batch=-1")
+    return spark.read.parquet(to)
 
 
 def stream_latest(arrivals: DataFrame) -> DataFrame:
