@@ -92,15 +92,20 @@ def _routed(synthetic: DataFrame, official: DataFrame, scores: DataFrame) -> Dat
     return rows.withColumn("takes", (F.col("strategy") != "B2") | (F.col("revised_score") >= F.col("trust_score")))
 
 
-def execute_routes(synthetic: DataFrame, official: DataFrame, scores: DataFrame) -> DataFrame:
+def execute_routes(synthetic: DataFrame, official: DataFrame, scores: DataFrame, observations: DataFrame) -> DataFrame:
     """What each scenario does under each strategy.
 
     ``synthetic``: scenario_id, cell_id, observation_id, after, base_id, revised_source.
-    ``official``: cell_id, strategy, observation_id, value and trust_score as served before.
+    ``official``: cell_id, strategy, observation_id, value, trust_score and is_latest as
+    served before.  ``observations``: one row, the number of stored observations.
+
+    B0 writes the revised cells, B1 the whole state again, B2 the cells that change and B3
+    the new rows and the cells they reach.  B1 and B3 can give every observation, B0 and
+    B2 those they serve.
     """
     rows = _routed(synthetic, official, scores)
     keeps_base = F.col("strategy").isin("B1", "B3") | ~F.col("takes") | (F.col("served_id") != F.col("base_id"))
-    return rows.groupBy("scenario_id", "strategy").agg(
+    by = rows.groupBy("scenario_id", "strategy").agg(
         F.count("*").alias("cells"),
         F.count_if("takes").alias("served_new"),
         F.count_if(~F.col("takes")).alias("refused"),
@@ -108,7 +113,21 @@ def execute_routes(synthetic: DataFrame, official: DataFrame, scores: DataFrame)
         F.count_if(keeps_base).alias("base_still_addressable"),
         F.count_if(~keeps_base).alias("base_unavailable"),
         F.count_if(~F.col("takes") & (F.col("served_id") == F.col("base_id"))).alias("base_still_served"),
+        F.count_if("is_latest").alias("were_latest"),
     )
+    states = official.groupBy("strategy").agg(F.count("*").alias("all_cells"), F.count_if("is_latest").alias("all_latest"))
+    rows = by.join(states, "strategy").crossJoin(observations.toDF("stored"))  # one row
+    n, every, whole = F.col("cells"), F.col("all_cells"), F.col("strategy").isin("B1", "B3")
+    requests = F.col("stored") + n
+    found = {
+        "cells_evaluated": F.when(F.col("strategy") == "B1", every).otherwise(n),
+        "rows_written": F.when(F.col("strategy") == "B1", every).when(F.col("strategy") == "B2", F.col("served_new")).when(F.col("strategy") == "B3", 2 * n).otherwise(n),
+        "latest_cells": F.col("all_latest") - F.col("were_latest") + F.col("served_new"),
+        "requests": requests,
+        "addressable": F.when(whole, requests).otherwise(every),
+        "unavailable": F.when(whole, F.lit(0).cast("long")).otherwise(requests - every),
+    }
+    return rows.withColumns(found).drop("all_cells", "all_latest", "were_latest", "stored")
 
 
 def served_after(synthetic: DataFrame, official: DataFrame, scores: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ A title's score is ``COVERAGE`` times the share of the query's words that it has
 ``SEQUENCE`` times the ratio of matching blocks, so every title has a score.  To find
 the k best without scoring all pairs:
 
-1. seeds: of each of a query's words the ``k`` titles with the most words (the head of
-   its posting list), and titles of about the query's length.  The k-th best of the
+1. seeds: of each of a query's words some titles with the most words (the head of its
+   posting list), rare words first, and titles of about the query's length.  The k-th best of the
    seeds' scores is a bound that a title must reach;
 2. with the bound, a title that shares c words has at most ``COVERAGE`` c / n +
    ``SEQUENCE``.  If that takes c words at least, it has one of the n - c + 1 rarest
@@ -34,6 +34,8 @@ from revisor.sources.files import small, written
 STOPWORDS = ("atau", "dan", "dengan", "dari", "ke", "menurut", "pada", "per", "persentase", "proporsi", "rata", "rumah", "tangga", "yang")
 #: Weights of word coverage and of the sequence ratio in a title's score (fixed values).
 COVERAGE, SEQUENCE = 0.7, 0.3
+#: Seeds of a query beyond the k.
+MORE = 8
 #: Titles of a posting list or length class in one task; ratio of lengths in a class; classes on either side that seeds come from.
 HOT, CLASS, NEAR = 50_000, 1.25, 12
 #: Scores are rounded to four places, so bounds give way by as much.
@@ -119,10 +121,10 @@ def _scored(pairs: DataFrame, q: DataFrame, t: DataFrame, least: bool) -> DataFr
 
 def _bounds(q: DataFrame, t: DataFrame, asked: DataFrame, posted: DataFrame, k: int) -> DataFrame:
     """query_id, bound: the k-th best score of the seeds, 0 where there are fewer."""
-    head = Window.partitionBy("word").orderBy(F.col("words").desc(), "title_id")
-    heads = posted.withColumn("r", F.row_number().over(head)).where(F.col("r") <= k).select("word", "title_id")
-    by_word = asked.join(heads, "word").groupBy("query_id", "title_id").count()
-    by_word = _best(by_word, k, F.col("count").desc(), "title_id").select("query_id", "title_id")
+    n, head = k + MORE, Window.partitionBy("word").orderBy(F.col("words").desc(), "title_id")
+    heads = posted.withColumn("r", F.row_number().over(head)).where(F.col("r") <= n).select("word", "title_id")
+    by_word = asked.join(heads, "word").groupBy("query_id", "title_id").agg(F.sum(1 / F.col("titles")).alias("rarity"))
+    by_word = _best(by_word, n, F.col("rarity").desc(), "title_id").select("query_id", "title_id")
     few = Window.partitionBy("class").orderBy("title_id")
     some = written(t.select("title_id", "n", "class").withColumn("r", F.row_number().over(few)).where(F.col("r") <= k).select("title_id", F.col("n").alias("m"), "class"), "classes")
     around = q.select("query_id", "n", F.explode(F.sequence(F.col("class") - NEAR, F.col("class") + NEAR)).alias("class"))
@@ -138,7 +140,7 @@ def candidate_pairs(q: DataFrame, t: DataFrame, k: int) -> DataFrame:
     asked = q.select("query_id", F.explode("words").alias("word"))
     frequency = posted.groupBy("word").agg(F.count("*").alias("titles"))
     rarest = Window.partitionBy("query_id").orderBy(F.coalesce("titles", F.lit(0)), "word")
-    asked = written(asked.join(frequency, "word", "left").withColumn("place", F.row_number().over(rarest)).drop("titles"), "asked")
+    asked = written(asked.join(frequency, "word", "left").withColumn("place", F.row_number().over(rarest)), "asked")
     bounds = _bounds(q, t, asked, posted, k)
     needed = F.ceil((F.col("bound") - SLACK - SEQUENCE) * F.col("n_words") / COVERAGE - 1e-9)
     bounds = bounds.withColumn("needed", F.greatest(needed, F.lit(0)))
@@ -156,7 +158,10 @@ def candidate_pairs(q: DataFrame, t: DataFrame, k: int) -> DataFrame:
     by_length = two.join(one, ["class", "salt"]).join(texts, "query_id").where(SEQUENCE * _ratio_bound(F.col("n"), F.col("m")) + SLACK >= F.col("bound"))
     both = F.aggregate(F.zip_with("letters", "own", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     by_length = by_length.where((F.col("n") + F.col("m") == 0) | (SEQUENCE * 2.0 * both / (F.col("n") + F.col("m")) + SLACK >= F.col("bound")))
-    return by_word.unionByName(by_length.select("query_id", "title_id", "bound")).distinct()
+    # Titles that score nothing are in order of their ids.
+    first = t.select("title_id").orderBy("title_id").limit(k)
+    by_id = bounds.where(F.col("bound") <= SLACK).select("query_id", "bound").crossJoin(first)  # k rows
+    return by_word.unionByName(by_length.select("query_id", "title_id", "bound")).unionByName(by_id.select("query_id", "title_id", "bound")).distinct()
 
 
 def lexical_candidates(queries: DataFrame, titles: DataFrame, k: int, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:

@@ -101,19 +101,23 @@ def route_matrix(spark, d):
 def _official(spark, d):
     rows = fact(spark, d)
     c = ["cell_id", "observation_id", "value"]
-    now = strategies.overwrite_state(rows).select(*c, F.lit(None).cast("double").alias("trust_score"), F.explode(F.array(*map(F.lit, ("B0", "B1", "B3")))).alias("strategy"))
-    return now.unionByName(strategies.select_single_source(rows, _scores(spark, d)).select(*c, "trust_score", F.lit("B2").alias("strategy")))
+    now = strategies.overwrite_state(rows).select(*c, F.lit(None).cast("double").alias("trust_score"), F.lit(True).alias("is_latest"), F.explode(F.array(*map(F.lit, ("B0", "B1", "B3")))).alias("strategy"))
+    chosen = strategies.select_single_source(rows, _scores(spark, d))
+    return now.unionByName(chosen.select(*c, "trust_score", F.col("selected_is_latest_vintage").alias("is_latest"), F.lit("B2").alias("strategy")))
 
 
-_OFF = """off AS (SELECT cell_id, observation_id AS served_id, value AS served_value, NULL AS trust_score, strategy FROM current, (VALUES ('B0'), ('B1'), ('B3')) v(strategy) UNION ALL SELECT cell_id, observation_id, value, trust_score, 'B2' FROM selected),
-    routed AS (SELECT pl.*, off.strategy, served_id, served_value, strategy <> 'B2' OR s.trust_score >= off.trust_score AS takes FROM pl JOIN off USING (cell_id) JOIN scores s ON s.source_id = revised_source)"""
+_OFF = """off AS (SELECT cell_id, observation_id AS served_id, value AS served_value, NULL AS trust_score, strategy, true AS is_latest FROM current, (VALUES ('B0'), ('B1'), ('B3')) v(strategy) UNION ALL SELECT cell_id, observation_id, value, trust_score, 'B2', selected_is_latest_vintage FROM selected),
+    routed AS (SELECT pl.*, off.strategy, served_id, served_value, is_latest, strategy <> 'B2' OR s.trust_score >= off.trust_score AS takes FROM pl JOIN off USING (cell_id) JOIN scores s ON s.source_id = revised_source)"""
 
 
-@query("execute_routes", sql(f"""WITH {_RANK}, {_OFF}, k AS (SELECT *, strategy IN ('B1', 'B3') OR NOT takes OR served_id <> base_id AS keeps FROM routed)
-    SELECT scenario_id, strategy, count(*) AS cells, count(*) FILTER (takes) AS served_new, count(*) FILTER (NOT takes) AS refused, count(*) FILTER (takes AND value + 0.01 <> served_value) AS value_changed,
-    count(*) FILTER (keeps) AS base_still_addressable, count(*) FILTER (NOT keeps) AS base_unavailable, count(*) FILTER (NOT takes AND served_id = base_id) AS base_still_served FROM k GROUP BY 1, 2""", "current", "selected"))
+@query("execute_routes", sql(f"""WITH {_RANK}, {_OFF}, k AS (SELECT *, strategy IN ('B1', 'B3') OR NOT takes OR served_id <> base_id AS keeps FROM routed),
+    g AS (SELECT scenario_id, strategy, count(*) AS cells, count(*) FILTER (takes) AS served_new, count(*) FILTER (NOT takes) AS refused, count(*) FILTER (takes AND value + 0.01 <> served_value) AS value_changed,
+    count(*) FILTER (keeps) AS base_still_addressable, count(*) FILTER (NOT keeps) AS base_unavailable, count(*) FILTER (NOT takes AND served_id = base_id) AS base_still_served, count(*) FILTER (is_latest) AS were FROM k GROUP BY 1, 2),
+    z AS (SELECT strategy, count(*) AS every, count(*) FILTER (is_latest) AS latest, (SELECT count(*) FROM fact) AS stored FROM off GROUP BY 1)
+    SELECT g.* EXCLUDE (were), CASE strategy WHEN 'B1' THEN every ELSE cells END AS cells_evaluated, CASE strategy WHEN 'B1' THEN every WHEN 'B2' THEN served_new WHEN 'B3' THEN 2 * cells ELSE cells END AS rows_written, latest - were + served_new AS latest_cells,
+        stored + cells AS requests, CASE WHEN strategy IN ('B1', 'B3') THEN stored + cells ELSE every END AS addressable, CASE WHEN strategy IN ('B1', 'B3') THEN 0 ELSE stored + cells - every END AS unavailable FROM g JOIN z USING (strategy)""", "fact", "current", "selected"))
 def execute_routes(spark, d):
-    return inject.execute_routes(_synthetic(spark, d), _official(spark, d), _scores(spark, d))
+    return inject.execute_routes(_synthetic(spark, d), _official(spark, d), _scores(spark, d), fact(spark, d).agg(F.count("*").alias("n")))
 
 
 @query("scenario_predictions", sql(f"""WITH {_RANK}, {_OFF} SELECT scenario_id, strategy, cell_id, CASE WHEN takes THEN {{}} ELSE served_id END AS observation_id,

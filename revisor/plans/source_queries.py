@@ -170,13 +170,14 @@ def _versions(spark, d):
     return path
 
 
-@query("overwrite_table", sql(f"SELECT cell_id, observation_id FROM states WHERE snapshot_order = {LAST}", "states"))
+@query("overwrite_table", sql("SELECT CAST(snapshot_order AS BIGINT) AS release, cell_id, observation_id FROM states", "states"))
 def overwrite_table(spark, d):
-    """Each release overwrites one table with the state after it, smaller and larger ones in turn."""
-    path, rows = files.scratch(spark, "overwritten"), fact(spark, d)
+    """Each release overwrites one table with the state after it; the table as it is found after each."""
+    path, seen, rows = files.scratch(spark, "overwritten"), files.scratch(spark, "seen"), files.written(fact(spark, d), "fact")
     for order in range(1, LAST + 1):
         _state(rows, order).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        spark.read.parquet(path).write.parquet(f"{seen}/release={order}")
+    return spark.read.parquet(seen).select(F.col("release").cast("long").alias("release"), "cell_id", "observation_id")
 
 
 @query("append_table", sql("SELECT cell_id, observation_id FROM fact", "fact"))

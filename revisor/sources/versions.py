@@ -51,11 +51,11 @@ def write_bucketed(rows: DataFrame, name: str, path: str, buckets: int, by: str
 
 
 def reached_rows(store: DataFrame, dirty: DataFrame, by: str = "cell_id") -> DataFrame:
-    """The store's rows of the dirty cells.
+    """The store's rows of the dirty cells, which are a part of a table by some condition.
 
     Spark filters the store's scan by a Bloom filter of the cells, so about as many rows
     as are wanted are shuffled; the semi join takes out those that the filter lets by.
     """
     for key, value in BLOOM.items():
         store.sparkSession.conf.set(key, value)
-    return store.join(dirty.select(by).distinct(), by, "left_semi")
+    return store.join(dirty.select(by), by, "left_semi")
