@@ -1,9 +1,9 @@
 """Personal data by weak supervision, in DataFrame and SQL functions alone.
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay.  Further
-spans are secrets: long tokens of letters and digits on which regex, gazetteer
-(KEY_PREFIXES and ORDINARY, tables that a caller may extend), shape and context labelers
-vote.  Expectation-maximisation over the counts of vote
+spans are secrets: long tokens of letters and digits on which regex, gazetteer, shape
+and context labelers vote.  A caller may pass other gazetteers than the two given here:
+beginnings of issued keys, looked up by each of their lengths, and ordinary stems.  Expectation-maximisation over the counts of vote
 patterns (243 at most) estimates how reliable each labeler is, without labels; its
 posteriors train the final span classifier, naive Bayes over votes and shape.
 
@@ -20,6 +20,7 @@ classifier is the prior and adds nothing.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +107,14 @@ def with_base(rows: DataFrame) -> DataFrame:
     return rows.withColumn("base", F.concat(*(F.filter(_spans(kind, k), _keeps(kind)) for k, kind in enumerate(BASE))))
 
 
+@dataclass(frozen=True)
+class Gazetteers:
+    """Beginnings of keys, and lower-case stems of ordinary words; each is inlined in the plan, so thousands of entries at most."""
+
+    prefixes: tuple[str, ...] = KEY_PREFIXES
+    ordinary: tuple[str, ...] = ORDINARY
+
+
 def _begins_with_one_of(hit: Column, prefixes: tuple[str, ...]) -> Column:
     """Look-up of the hit's beginning in a gazetteer, once for each length of its entries."""
     found = F.lit(False)
@@ -114,17 +123,17 @@ def _begins_with_one_of(hit: Column, prefixes: tuple[str, ...]) -> Column:
     return found
 
 
-def _votes(s: Column) -> dict[str, Column]:
+def _votes(s: Column, known: Gazetteers) -> dict[str, Column]:
     """Each labeler's vote: 1 for, -1 against, 0 for none."""
     hit = s["hit"]
     share = F.length(_digits(hit)) / F.length(hit)
     distinct = F.size(F.array_distinct(F.split(hit, "")))
     against = lambda c: F.when(c, -1).otherwise(0)
     return {
-        "prefix": F.when(_begins_with_one_of(hit, KEY_PREFIXES), 1).otherwise(0),
+        "prefix": F.when(_begins_with_one_of(hit, known.prefixes), 1).otherwise(0),
         "cue": F.when(s["left"].rlike(CUE), 1).otherwise(0),
         "mixed": F.when(share.between(0.08, 0.9) & (distinct >= 8) & hit.rlike("[A-Za-z]"), 1).otherwise(-1),
-        "ordinary": against(F.regexp_extract(F.lower(hit), "^([a-z]+)_?[0-9]+(?:_?[a-z]+)*$", 1).isin(*ORDINARY) | hit.rlike("^[0-9_]+$")),
+        "ordinary": against(F.regexp_extract(F.lower(hit), "^([a-z]+)_?[0-9]+(?:_?[a-z]+)*$", 1).isin(*known.ordinary) | hit.rlike("^[0-9_]+$")),
         "wordlike": against(hit.rlike("^[A-Za-z]?[a-z]{6,}[0-9]{1,4}$")),
     }
 
@@ -156,11 +165,11 @@ def _apart(spans: Column, base: Column) -> Column:
     return F.when(F.size(spans) == 0, spans).when(F.size(base) == 0, spans).otherwise(F.filter(judged, lambda s: s.isNotNull()))
 
 
-def with_candidates(rows: DataFrame) -> DataFrame:
+def with_candidates(rows: DataFrame, known: Gazetteers = Gazetteers()) -> DataFrame:
     """Adds maybe: candidate secrets outside the base spans, with votes and features."""
     rows = _cut(rows, "token", F.col("text").rlike("[0-9]"), TOKEN)
     apart = _apart(_spans("token", len(BASE)), F.col("base"))
-    judged = F.transform("apart", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), *(v.cast("int").alias(k) for k, v in (_votes(s) | _features(s)).items())))
+    judged = F.transform("apart", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), *(v.cast("int").alias(k) for k, v in (_votes(s, known) | _features(s)).items())))
     return rows.withColumn("apart", apart).withColumn("maybe", judged)
 
 
@@ -223,14 +232,14 @@ def _chosen(prior: float, model: dict[str, dict[int, float]]):
     return classify
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Gazetteers = Gazetteers()) -> DataFrame:
     """doc_id, base, added: arrays of (kind, start, stop); a row for each row of ``docs``.
 
     One pass over the texts into a written table of spans; everything after reads that.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    rows = written(with_candidates(with_base(texts)).select("doc_id", plain.alias("base"), "maybe"), "spans")
+    rows = written(with_candidates(with_base(texts), known).select("doc_id", plain.alias("base"), "maybe"), "spans")
     prior, model = train(rows.select(F.explode("maybe").alias("s")).select("s.*"))
     added = F.transform(F.filter("maybe", _chosen(prior, model)), lambda s: F.struct(F.lit(len(BASE)).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     return rows.select("doc_id", "base", added.alias("added"))

@@ -326,3 +326,23 @@ def test_trees_hold_every_point_once(monkeypatch):
         for (start, end, _, _), centre, radius, total in zip(tree["nodes"], tree["centre"], tree["radius"], tree["total"], strict=True):
             own = points[tree["order"][start:end]]
             assert (own.sum(0) == total).all() and (np.sqrt(((own - centre) ** 2).sum(1)) <= radius + 1e-9).all()
+
+
+# ------------------------------------------------------------------ gazetteers
+
+
+def test_other_gazetteers_change_votes_and_not_base_spans(spark):
+    from revisor.llm import pii
+
+    rows = [(1, "mail a@b.org then ZQKEY_12ab34cd56 and flapdoodle2024xx"), (2, "nothing"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def votes(known):
+        found = pii.with_candidates(pii.with_base(texts), known).where("doc_id = 1").first()
+        return [(m.prefix, m.ordinary) for m in found.maybe], [(s.start, s.stop) for s in found.base]
+
+    given, more = votes(pii.Gazetteers()), votes(pii.Gazetteers(prefixes=(*pii.KEY_PREFIXES, "ZQKEY_", "ZQ"), ordinary=(*pii.ORDINARY, "flapdoodle")))
+    assert given == ([(0, 0), (0, 0)], [(5, 12)]) and more == ([(1, 0), (0, -1)], [(5, 12)])
+    base = lambda known: [tuple(r) for r in pii.find(docs, known=known).select("doc_id", pii.as_text(F.col("base"))).collect()]
+    assert sorted(base(pii.Gazetteers())) == sorted(base(pii.Gazetteers(prefixes=("ZQ",), ordinary=())))
