@@ -6,10 +6,15 @@
    Two texts of Jaccard s share a cell with probability 1 - (1 - s^ROWS)^BANDS: 0.9999
    at 0.8, more above.
 3. In cells of up to ``CELL_ROWS`` texts all pairs are candidates.  In larger cells
-   some leaders (the least id first, twice as many each round) are compared with all;
-   leaders leave the cell, and so do texts found to be like one of a smaller id.
-   Rounds go on until no large cell is left, so a group of n copies gives about n
-   candidates and nothing is capped.
+   the text of the least id leads and is compared with all; it leaves the cell, and so
+   do texts found to be like one of a smaller id.  What is left in large cells goes to
+   new ones: the rarest shingles of a text, n - ceil(s n) + 1 of its n at the similarity
+   s, counted among these texts.  Two texts of that Jaccard share one, and for the
+   shorter it is among its first n - ceil(2 s / (1 + s) n) + 1; there the text is
+   ``short`` of the cell.  So nothing is lost, while texts that a common passage brought
+   together share none.  In these cells leaders, taken from those that are short of
+   them, go on, twice as many each round, until none is left, so a group of n copies
+   gives about n candidates and nothing is capped.
 4. A byte of each minimum makes a signature.  Candidates whose sizes allow the
    similarity and whose signatures agree in ``NEAR`` or more of the places go on; a pair
    at 0.8 fails that with probability 1e-7.
@@ -31,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from .common import drop_written, give_back, small_batches, word_blocks, written
@@ -117,6 +123,34 @@ def _sets(width: int):
     return sets
 
 
+def _elements(width: int):
+    def elements(batches):
+        for batch in batches:
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = shingles(raw.as_py(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc_id)), pa.array(found)], names=["doc_id", "cell"])
+        give_back()
+
+    return elements
+
+
+def _by_rare_shingles(texts: DataFrame, sketches: DataFrame, ids: DataFrame, width: int, least: float) -> DataFrame:
+    """doc_id, cell, short: of each text of ``ids`` those of its rarest shingles that a text like it must share, if another text has them."""
+    ids = written(ids, "ids")
+    elements = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_elements(width), "doc_id long, cell long"), "elements")
+    frequency = written(elements.groupBy("cell").agg(F.count("*").alias("texts")).where("texts > 1"), "frequency")
+    shared = elements.join(frequency, "cell").join(sketches.select("doc_id", "n"), "doc_id")
+    text = Window.partitionBy("doc_id")  # a text's own shingles
+    alone = F.col("n") - F.count("*").over(text)  # shingles of no other text come first
+    place = alone + F.row_number().over(text.orderBy("texts", "cell"))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1
+    rows = shared.withColumn("place", place).where(F.col("place") <= first(least))
+    rows = written(rows.select("doc_id", "cell", (F.col("place") <= first(2 * least / (1 + least))).alias("short")), "cells")
+    for table in (ids, elements, frequency):
+        drop_written(table)
+    return rows
+
+
 def _alike(least: float):
     def alike(batches):
         for batch in batches:
@@ -164,25 +198,35 @@ def like_smaller(docs: DataFrame, id_col: str, text_col: str = "text", among: Da
     texts = _texts(docs, id_col, text_col)
     made = texts.mapInArrow(_sketch(width), "doc_id long, n long, mark binary, cells array<long>")
     sketches = written(made.join(among.select("doc_id"), "doc_id", "left_semi") if among is not None else made, "sketches")
-    rows, found, leaders = sketches.select("doc_id", F.explode("cells").alias("cell")), [], 1
+    rows, found, leaders = sketches.select("doc_id", F.explode("cells").alias("cell"), F.lit(True).alias("short")), [], 1
+    judged: list[DataFrame] = []
     while True:
-        sizes = written(rows.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "sizes")  # written: a join on it may then split a frequent cell
+        sizes = written(rows.groupBy("cell").agg(F.count("*").alias("size"), F.some("short").alias("open")).where("size > 1 AND open").select("cell", "size"), "sizes")  # written: a join on it may then split a frequent cell
         shared = written(rows.join(sizes, "cell"), "shared")
         few, many = shared.where(F.col("size") <= CELL_ROWS), shared.where(F.col("size") > CELL_ROWS)
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(leaders))
-        lead = written(many.groupBy("cell", salt.alias("salt")).agg(F.min("doc_id").alias("other")).select("cell", "other"), "leaders")
-        pairs = few.join(few.select("cell", F.col("doc_id").alias("other")), "cell").where("other < doc_id").unionByName(many.join(lead, "cell").where("other <> doc_id"))
-        pairs = written(pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct(), "pairs")
+        lead = written(many.where("short").groupBy("cell", salt.alias("salt")).agg(F.min("doc_id").alias("other")).select("cell", "other"), "leaders")
+        every = few.join(few.select("cell", F.col("doc_id").alias("other"), F.col("short").alias("other_short")), "cell").where("other < doc_id AND (short OR other_short)")
+        pairs = every.select("doc_id", "other").unionByName(many.join(lead, "cell").where("other <> doc_id").select("doc_id", "other"))
+        pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        for before in judged:  # pairs once judged are not made again
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
         alike = _alike_pairs(texts, sketches, pairs, width, least)
         found.append(alike)
-        drop_written(pairs)
+        judged.append(pairs)
         if lead.isEmpty():
-            every = found[0]
+            for table in judged:
+                drop_written(table)
+            both = found[0]
             for more in found[1:]:
-                every = every.unionByName(more)
-            return every.select(F.col("b").alias("gone"), F.col("a").alias("like"))
+                both = both.unionByName(more)
+            return both.select(F.col("b").alias("gone"), F.col("a").alias("like"))
         left = many.join(lead.withColumnRenamed("other", "doc_id"), ["cell", "doc_id"], "left_anti")
         gone = written(alike.select(F.col("b").alias("doc_id")).distinct(), "gone")
-        rows = written(left.join(gone, "doc_id", "left_anti").select("doc_id", "cell"), "cells")
+        rest = left.join(gone, "doc_id", "left_anti")
+        if len(found) == 1:
+            rows = _by_rare_shingles(texts, sketches, rest.select("doc_id").distinct(), width, least)
+        else:
+            rows, leaders = written(rest.select("doc_id", "cell", "short"), "cells"), 2 * leaders
         drop_written(shared)
-        leaders *= 2

@@ -145,3 +145,35 @@ def test_empty_tables_and_null_texts(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.distinct_texts(spark, rows, DIR).collect()) == [(1, ""), (3, "x")]
     assert corpus_pipeline.without_benchmark(spark, rows, DIR).count() == 4
     assert sorted(r.length for r in corpus_pipeline.packed(spark, rows, DIR).collect()) == [1, 1, 1, 2]
+
+
+def test_boilerplate_does_not_make_all_pairs(spark, monkeypatch):
+    """Texts that share a long passage and are not alike, with groups of near copies among them: none is lost, and far fewer pairs than all are judged."""
+    import random
+
+    from revisor.llm import similar
+
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(150)]
+    texts = [" ".join(passage + [f"w{rng.random()}" for _ in range(50)]) for _ in range(260)]
+    for k in range(8):  # eight groups of near copies
+        base = (passage + [f"g{k}x{j}" for j in range(60)]) if k % 2 else [f"h{k}x{j}" for j in range(200)]
+        texts += [" ".join([*base, f"end{n}"]) for n in range(25)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[at]) for i, at in enumerate(order)], "doc_id long, text string")
+    written, judged = similar.written, []
+
+    def watched(df, name="table"):
+        out = written(df, name)
+        if name == "pairs":
+            judged.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "written", watched)
+    found = {(r.like, r.gone) for r in similar.like_smaller(docs, "doc_id").collect()}
+    sets = [set(zip(*(texts[at].split()[k:] for k in range(5)), strict=False)) for at in order]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    gone = {b for _, b in found}
+    assert found <= alike and gone == {b for _, b in alike}
+    assert sum(judged) < 0.25 * len(texts) * (len(texts) - 1) / 2
