@@ -48,9 +48,22 @@ def scenario_filter(spark, d):
     return _plan(spark, d).where("scenario_id = 'sweep_016'").select("cell_id", "selection_rank")
 
 
-@query("mutate_one_unit", sql("SELECT observation_id, CAST(value + 0.01 AS DOUBLE) AS after, CAST(CAST(value + 0.01 AS DECIMAL(18,2)) AS VARCHAR) AS after_lexeme FROM fact", "fact"))
+#: Values of 0 to 3 places, a third of them percentages, many of which would pass 100.
+_SHAPES = """m AS (SELECT observation_id, CAST(geo_code AS BIGINT) % 4 AS places, CASE WHEN CAST(geo_code AS BIGINT) % 3 = 0 THEN 'percent' ELSE 'amount' END AS unit, CASE WHEN CAST(geo_code AS BIGINT) % 3 = 0 THEN 100 - CAST(geo_code AS BIGINT) % 2 * 0.5 ELSE value END::DECIMAL(18,3) AS value FROM fact),
+    u AS (SELECT *, CASE places WHEN 0 THEN 1 WHEN 1 THEN 0.1 WHEN 2 THEN 0.01 ELSE 0.001 END::DECIMAL(18,3) AS step FROM m), a AS (SELECT *, CASE WHEN unit = 'percent' AND value + step > 100 THEN value - step ELSE value + step END AS after FROM u)"""
+
+
+@query("mutate_one_unit", sql(f"""WITH {_SHAPES} SELECT observation_id, unit, places, CAST(after AS DOUBLE) AS after, CASE places WHEN 0 THEN CAST(CAST(after AS DECIMAL(18,0)) AS VARCHAR) WHEN 1 THEN CAST(CAST(after AS DECIMAL(18,1)) AS VARCHAR)
+    WHEN 2 THEN CAST(CAST(after AS DECIMAL(18,2)) AS VARCHAR) ELSE CAST(CAST(after AS DECIMAL(18,3)) AS VARCHAR) END AS after_lexeme FROM a""", "fact"))
 def mutate_one_unit(spark, d):
-    return inject.mutate_one_unit(fact(spark, d)).select("observation_id", F.col("after").cast("double").alias("after"), "after_lexeme")
+    k = F.col("geo_code").cast("long")
+    percent = k % 3 == 0
+    rows = fact(spark, d).withColumns({
+        "places": k % 4,
+        "unit": F.when(percent, "percent").otherwise("amount"),
+        "value": F.when(percent, F.lit(100) - (k % 2) * F.lit(0.5)).otherwise(F.col("value").cast("double")).cast("decimal(18,3)"),
+    })
+    return inject.mutate_one_unit(rows).select("observation_id", "unit", "places", F.col("after").cast("double").alias("after"), "after_lexeme")
 
 
 _SYN = """substr(sha256(concat_ws(chr(31), 'synthetic', DATE '2024-02-06', 'synthetic')), 1, 20)"""
