@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
-#: Vectors of one set of trees, and points up to which a ball is a leaf.
+#: Vectors of one set of trees (of 64 components; fewer of longer ones, so that it has some 10 MB), and points up to which a ball is a leaf.
 PIECE, LEAF = 8192, 128
 
 
@@ -199,6 +199,7 @@ def _whole(vectors: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 
 def _plant(dims: int):
     """Trees of the pieces of a task's rows."""
+    most = max(2, PIECE * 64 // max(64, dims))
 
     def piece(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
@@ -210,9 +211,9 @@ def _plant(dims: int):
     def plant(batches):
         held, n = [], 0
         for batch in batches:
-            while n + batch.num_rows >= PIECE:
-                held.append(batch.slice(0, PIECE - n))
-                batch, n = batch.slice(PIECE - n), 0
+            while n + batch.num_rows >= most:
+                held.append(batch.slice(0, most - n))
+                batch, n = batch.slice(most - n), 0
                 yield piece(held)
                 held = []
             if batch.num_rows:
