@@ -13,7 +13,7 @@
    shorter it is among its first n - ceil(2 s / (1 + s) n) + 1; there the text is
    ``short`` of the cell.  So nothing is lost, while texts that a common passage brought
    together share none.  In these cells leaders, taken from those that are short of
-   them, go on, twice as many each round, until none is left, so a group of n copies
+   them, go on, four times as many each round, until none is left, so a group of n copies
    gives about n candidates and nothing is capped.
 4. A byte of each minimum makes a signature.  Candidates whose sizes allow the
    similarity and whose signatures agree in ``NEAR`` or more of the places go on; a pair
@@ -30,7 +30,7 @@ and not null; very long texts are read in blocks; an empty table gives an empty
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Cells up to this size are compared pair by pair.
 CELL_ROWS = 16
+#: Ids of texts up to which they are broadcast (some 30 MB).
+FEW_IDS = 1_000_000
 #: Share of equal signature bytes from which on a candidate is verified; it stands for a similarity of 0.8.
 NEAR = 0.61
 
@@ -137,7 +139,7 @@ def _elements(width: int):
 def _by_rare_shingles(texts: DataFrame, sketches: DataFrame, ids: DataFrame, width: int, least: float) -> DataFrame:
     """doc_id, cell, short: of each text of ``ids`` those of its rarest shingles that a text like it must share, if another text has them."""
     ids = written(ids, "ids")
-    elements = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_elements(width), "doc_id long, cell long"), "elements")
+    elements = written(_of(texts, ids).mapInArrow(_elements(width), "doc_id long, cell long"), "elements")
     frequency = written(elements.groupBy("cell").agg(F.count("*").alias("texts")).where("texts > 1"), "frequency")
     shared = elements.join(frequency, "cell").join(sketches.select("doc_id", "n"), "doc_id")
     text = Window.partitionBy("doc_id")  # a text's own shingles
@@ -165,10 +167,15 @@ def _alike(least: float):
     return alike
 
 
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids``, a written table: where they are counted to be few they are broadcast, so that no text is shuffled."""
+    return texts.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard is ``least`` or more, written."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = written(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, set binary"), "sets")
+    sets = written(_of(texts, ids).mapInArrow(_sets(width), "doc_id long, set binary"), "sets")
     one, two = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     alike = written(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_alike(least), "a long, b long"), "alike")
     for table in (sets, ids):
@@ -209,8 +216,8 @@ def like_smaller(docs: DataFrame, id_col: str, text_col: str = "text", among: Da
         every = few.join(few.select("cell", F.col("doc_id").alias("other"), F.col("short").alias("other_short")), "cell").where("other < doc_id AND (short OR other_short)")
         pairs = every.select("doc_id", "other").unionByName(many.join(lead, "cell").where("other <> doc_id").select("doc_id", "other"))
         pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-        for before in judged:  # pairs once judged are not made again
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        if judged:  # pairs once judged are not made again
+            pairs = pairs.join(reduce(DataFrame.unionByName, judged), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         alike = _alike_pairs(texts, sketches, pairs, width, least)
         found.append(alike)
@@ -218,15 +225,12 @@ def like_smaller(docs: DataFrame, id_col: str, text_col: str = "text", among: Da
         if lead.isEmpty():
             for table in judged:
                 drop_written(table)
-            both = found[0]
-            for more in found[1:]:
-                both = both.unionByName(more)
-            return both.select(F.col("b").alias("gone"), F.col("a").alias("like"))
+            return reduce(DataFrame.unionByName, found).select(F.col("b").alias("gone"), F.col("a").alias("like"))
         left = many.join(lead.withColumnRenamed("other", "doc_id"), ["cell", "doc_id"], "left_anti")
         gone = written(alike.select(F.col("b").alias("doc_id")).distinct(), "gone")
         rest = left.join(gone, "doc_id", "left_anti")
         if len(found) == 1:
             rows = _by_rare_shingles(texts, sketches, rest.select("doc_id").distinct(), width, least)
         else:
-            rows, leaders = written(rest.select("doc_id", "cell", "short"), "cells"), 2 * leaders
+            rows, leaders = written(rest.select("doc_id", "cell", "short"), "cells"), 4 * leaders
         drop_written(shared)
