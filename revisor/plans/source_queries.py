@@ -208,11 +208,11 @@ def drop_purge(spark, d):
     return rows.crossJoin(left)  # one row
 
 
-@query("snapshot_read", sql("SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states WHERE snapshot_order = 3", "states"))
+@query("snapshot_read", sql("SELECT cell_id, observation_id, CAST(snapshot_order AS BIGINT) AS version FROM states", "states"))
 def snapshot_read(spark, d):
-    """The state as of a date between the third release and the fourth."""
+    """The state as of the date of every release, each read by its date."""
     dates = releases(spark).select("vintage_date", F.col("arrival_order").cast("long").alias("version"))
-    found = versions.version_asof(spark, _versions(spark, d), dates, F.lit("2024-02-03").cast("date"))
+    found = versions.versions_asof(spark, _versions(spark, d), dates, dates.select(F.col("vintage_date").alias("when")))
     return found.select("cell_id", "observation_id", F.col("version").cast("long").alias("version"))
 
 
