@@ -53,9 +53,9 @@ def lineage_nodes(fact: DataFrame, names: Names = NODES) -> DataFrame:
     return fact.select(F.explode(each).alias("n")).select("n.*").distinct()
 
 
-def lineage_edges(fact: DataFrame, names: Names = NODES) -> DataFrame:
-    """edge_id, from_id, relationship, to_id, evidence: nine edges of every observation, each once."""
-    each = F.array(*(F.struct(node_id(a, names).alias("from_id"), F.lit(r).alias("relationship"), node_id(b, names).alias("to_id"), F.lit(basis).alias("evidence")) for r, (a, b, basis) in EDGES.items()))
+def lineage_edges(fact: DataFrame, names: Names = NODES, only: tuple[str, ...] = tuple(EDGES)) -> DataFrame:
+    """edge_id, from_id, relationship, to_id, evidence: nine edges of every observation (or ``only`` some relationships), each once."""
+    each = F.array(*(F.struct(node_id(a, names).alias("from_id"), F.lit(r).alias("relationship"), node_id(b, names).alias("to_id"), F.lit(basis).alias("evidence")) for r, (a, b, basis) in EDGES.items() if r in only))
     rows = fact.select(F.explode(each).alias("e")).select("e.*").distinct()
     return rows.select(identity("from_id", "relationship", "to_id").alias("edge_id"), "*")
 

@@ -23,3 +23,20 @@ def test_versions_as_of_several_dates(spark, tmp_path):
     asked = spark.createDataFrame([(date(2023, 12, 31),), (date(2024, 1, 1),), (date(2024, 1, 20),), (date(2024, 3, 9),)], "when date")
     got = versions.versions_asof(spark, path, releases, asked).groupBy("when").agg(F.count("*"), F.min("version"), F.max("version"))
     assert sorted(map(tuple, got.collect())) == [(date(2024, 1, 1), 1000, 1, 1), (date(2024, 1, 20), 1000, 1, 1), (date(2024, 3, 9), 1000, 3, 3)]
+
+
+def test_closure_reaches_from_nodes_not_from_decisions(spark, monkeypatch):
+    """What lies behind a metric or an artifact is found once for it; before, a frontier of every decision was moved."""
+    from revisor.operators import reach
+
+    audit = spark.createDataFrame([(s, f"r-{i}", f"o{i}") for s in ("B0", "B3") for i in range(40)], "strategy string, request_id string, observation_id string")
+    edges = reach.evidence_edges(audit, audit.groupBy("strategy").agg(F.count("*").alias("requests")))
+    core = [("m", "manifest_declares_artifact", "a"), ("n", "manifest_declares_artifact", "a"), ("z", "manifest_declares_artifact", "b")]
+    core += [(a, "artifact_contains_record", f"rec{i}") for i in range(20) for a in ("a", "b")] + [(f"rec{i % 20}", "record_sources_observation", f"o{i}") for i in range(30)]
+    edges = edges.unionByName(spark.createDataFrame(core, edges.schema))
+    starts, plain = [], reach.reachable
+    monkeypatch.setattr(reach, "reachable", lambda e, s: starts.append(s.distinct().count()) or plain(e, s))
+    got = reach.evidence_closure(audit, edges).collect()
+    assert len(got) == 80 and sum(starts) == 2 + 2
+    assert {(r.record_id, r.artifact_id, r.manifest_id, r.complete) for r in got if r.request_id == "r-29"} == {("rec9", "b", "z", True)}
+    assert {(r.observation_id, r.record_id, r.figure_id is not None, r.complete) for r in got if r.request_id == "r-33"} == {("o33", None, True, False)}
