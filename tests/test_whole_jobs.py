@@ -40,3 +40,17 @@ def test_closure_reaches_from_nodes_not_from_decisions(spark, monkeypatch):
     assert len(got) == 80 and sum(starts) == 2 + 2
     assert {(r.record_id, r.artifact_id, r.manifest_id, r.complete) for r in got if r.request_id == "r-29"} == {("rec9", "b", "z", True)}
     assert {(r.observation_id, r.record_id, r.figure_id is not None, r.complete) for r in got if r.request_id == "r-33"} == {("o33", None, True, False)}
+
+
+def test_rows_of_a_column_do_not_meet_in_one_task(spark):
+    """The modal precision of few columns is broadcast whatever the size that Spark guesses."""
+    from revisor.sources import files
+
+    rows = spark.range(2000).select("id", (F.col("id") % 2).cast("string").alias("col"), F.concat("id", F.lit(",25")).alias("token"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if both sides were large
+    try:
+        out = files.modal_precision_split(rows, "col", "token")
+        assert out.count() == 2000 and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
