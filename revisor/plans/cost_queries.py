@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from revisor.operators import cost, medians, model, recall
 from revisor.plans.bridge import fact, releases, sql, table
 from revisor.plans.registry import query
-from revisor.plans.vintage_queries import _BROKEN, _RULES, _broken, _constraints, _AUDIT, _METRICS, _audit, _lost
+from revisor.plans.vintage_queries import _BROKEN, _RULES, _broken, _constraints, _AUDIT, _METRICS, _audit_of, _lost_of, _stored
 
 
 def _timing(spark, d):
@@ -188,10 +188,11 @@ def cost_of_recall(spark, d):
 
     lines = _lines(spark, d)
     names = lines.select("strategy", F.concat(F.lit("B"), (F.row_number().over(Window.orderBy("strategy")) - 1).cast("string")).alias("b"))  # a row for each strategy
-    failures = _lost(spark, d).groupBy("strategy").agg(F.count_if("material").alias("material"))
+    rows = _stored(spark, d)
+    failures = _lost_of(rows).groupBy("strategy").agg(F.count_if("material").alias("material"))
     reads = _timing(spark, d).groupBy("strategy").agg(F.count("*").alias("bytes_read")).join(names, "strategy").drop("strategy").withColumnRenamed("b", "strategy")
     slopes = lines.join(names, "strategy").drop("strategy").withColumnRenamed("b", "strategy").select("strategy", F.round("slope", 4).alias("slope"))
-    return cost.cost_of_recall(recall.recall_metrics(_audit(spark, d)), failures, slopes, reads)
+    return cost.cost_of_recall(recall.recall_metrics(_audit_of(rows)), failures, slopes, reads)
 
 
 _FLAGS = ["AF", "AO", "NF", "NO", "RF", "RO"]
