@@ -54,3 +54,34 @@ def test_rows_of_a_column_do_not_meet_in_one_task(spark):
         assert out.count() == 2000 and "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+
+def test_audit_joins_a_request_once(spark):
+    """Requests are joined with all strategies at once, not once for each; the names found are those given."""
+    from revisor.operators import recall
+
+    facts = spark.range(60).select(F.concat(F.lit("o"), "id").alias("observation_id"), F.concat(F.lit("c"), F.col("id") % 20).alias("cell_id"), (F.col("id") % 4).cast("decimal(18,2)").alias("value"), (F.col("id") % 4).cast("string").alias("value_lexeme"))
+    last = facts.where("substr(observation_id, 2) >= 40").select("cell_id", "observation_id")
+    held = last.select(F.lit("X").alias("strategy"), "*", F.lit(False).alias("historical"))
+    held = held.unionByName(facts.select(F.lit("Y").alias("strategy"), "cell_id", "observation_id", (F.substring("observation_id", 2, 9).cast("int") < 40).alias("historical")))
+    asked = facts.withColumn("request_id", F.concat(F.lit("r-"), "observation_id"))
+    got, given = recall.recall_audit(asked, held, facts), recall.recall_audit(asked, held, facts, ["X", "Y"])
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, given.collect())) and len(rows) == 120
+    found = {(r[0], r[2], r[5], r[6]): 0 for r in rows}
+    assert set(found) == {("X", "serving", True, "none"), ("X", "unavailable", True, "duplicate_value"), ("Y", "serving", True, "none"), ("Y", "historical", True, "none")}
+
+
+def test_queries_build_the_fact_once(spark, monkeypatch):
+    """failure_synthesis, cost_of_recall and derived_vs_measured derive the fact once; before, up to three and seven times."""
+    from revisor.plans import graph_queries, vintage_queries
+
+    made = []
+    for module in (graph_queries, vintage_queries):
+        plain = module.fact
+        monkeypatch.setattr(module, "fact", lambda *a, plain=plain: made.append(1) or plain(*a))
+    for name in ("failure_synthesis", "cost_of_recall", "derived_vs_measured"):
+        made.clear()
+        entry.queries()[name](spark, DIR)
+        assert len(made) == 1, name
