@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisor.llm import decontaminate, exact_dedup, packing, similar, simhash, toxicity
-from revisor.llm.common import with_row_key, written
+from revisor.llm.common import among, with_row_key, written
 
 
 def _without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
     """``rows`` without those whose key is in ``dropped`` (row), and without the key."""
-    return rows.join(dropped.select(F.col("row").alias(key)).distinct(), key, "left_anti").select([f"`{c}`" for c in rows.columns if c != key])
+    return among(rows, key, dropped.select("row"), inside=False).select([f"`{c}`" for c in rows.columns if c != key])
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     five-word shingles have a Jaccard similarity of 0.8 or more.
     """
     rows, key = with_row_key(docs)
-    near = written(simhash.near_duplicates(rows, row_col=key).select("row", "named"), "near")
-    first, others = near.where("named").select(F.col("row").alias("doc_id")), near.where("not named").select("row")
-    alike = similar.like_smaller(rows, key, among=first).select(F.col("gone").alias("row"))
+    others = written(simhash.near_duplicates(rows, row_col=key).where("not named").select("row"), "near")
+    alike = similar.like_smaller(among(rows, key, others, inside=False), key).select(F.col("gone").alias("row"))
     return _without(rows, key, others.unionByName(alike))
 
 

@@ -1,4 +1,4 @@
-"""What several operators share: the shared folder, written tables, row keys, text blocks, running folds and components."""
+"""What several operators share: the shared folder, written tables, row keys, rows by their keys, text blocks, running folds and components."""
 
 from __future__ import annotations
 
@@ -81,6 +81,28 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns), (F.shiftleft(key, 40) + F.col(place)).alias(key)), key
 
 
+#: Up to so many words of 64 keys, they are broadcast (some 70 MB).
+MOST_WORDS = 1_000_000
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """``rows`` whose ``key`` (long, not null) is one of ``ids`` (one column of longs, repeats allowed), or is none of them.
+
+    An id is a bit in a word of 64, so a word holds what is near: keys of ``with_row_key``
+    take a word for 64 rows, and the rows themselves, whole texts among them, are not
+    shuffled while the words are few.  More words are joined as Spark decides.
+    """
+    columns, (of,) = [F.col(f"`{c}`") for c in rows.columns], ids.columns
+    word, bits = (free_name(n, rows.columns) for n in ("word", "bits"))
+    place = lambda c: F.col(c).bitwiseAND(F.lit(63)).cast("int")
+    words = ids.groupBy(F.shiftright(of, 6).alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place(of))).alias(bits))
+    words = written(words, "words")
+    few = words.count() <= MOST_WORDS
+    found = F.call_function("shiftright", F.col(bits), place(key)).bitwiseAND(F.lit(1))
+    joined = rows.join(F.broadcast(words) if few else words, F.shiftright(key, 6) == F.col(word), "inner" if inside else "left")
+    return joined.where(found == 1 if inside else F.coalesce(found, F.lit(0)) == 0).select(*columns)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value found once for a row, however often and wherever it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -39,14 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import drop_written, give_back, small_batches, word_blocks, written
+from .common import among, drop_written, give_back, small_batches, word_blocks, written
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Cells up to this size are compared pair by pair.
 CELL_ROWS = 16
-#: Ids of texts up to which they are broadcast (some 30 MB).
-FEW_IDS = 1_000_000
 #: Share of equal signature bytes from which on a candidate is verified; it stands for a similarity of 0.8.
 NEAR = 0.61
 
@@ -138,8 +136,7 @@ def _elements(width: int):
 
 def _by_rare_shingles(texts: DataFrame, sketches: DataFrame, ids: DataFrame, width: int, least: float) -> DataFrame:
     """doc_id, cell, short: of each text of ``ids`` those of its rarest shingles that a text like it must share, if another text has them."""
-    ids = written(ids, "ids")
-    elements = written(_of(texts, ids).mapInArrow(_elements(width), "doc_id long, cell long"), "elements")
+    elements = written(among(texts, "doc_id", ids).mapInArrow(_elements(width), "doc_id long, cell long"), "elements")
     frequency = written(elements.groupBy("cell").agg(F.count("*").alias("texts")).where("texts > 1"), "frequency")
     shared = elements.join(frequency, "cell").join(sketches.select("doc_id", "n"), "doc_id")
     text = Window.partitionBy("doc_id")  # a text's own shingles
@@ -148,7 +145,7 @@ def _by_rare_shingles(texts: DataFrame, sketches: DataFrame, ids: DataFrame, wid
     first = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1
     rows = shared.withColumn("place", place).where(F.col("place") <= first(least))
     rows = written(rows.select("doc_id", "cell", (F.col("place") <= first(2 * least / (1 + least))).alias("short")), "cells")
-    for table in (ids, elements, frequency):
+    for table in (elements, frequency):
         drop_written(table)
     return rows
 
@@ -167,25 +164,23 @@ def _alike(least: float):
     return alike
 
 
-def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ``ids``, a written table: where they are counted to be few they are broadcast, so that no text is shuffled."""
-    return texts.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard is ``least`` or more, written."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = written(_of(texts, ids).mapInArrow(_sets(width), "doc_id long, set binary"), "sets")
+    sets = written(among(texts, "doc_id", _ends(pairs)).mapInArrow(_sets(width), "doc_id long, set binary"), "sets")
     one, two = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     alike = written(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_alike(least), "a long, b long"), "alike")
-    for table in (sets, ids):
-        drop_written(table)
+    drop_written(sets)
     return alike
 
 
 def _alike_pairs(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """Of candidates (a, b), pairs that are alike: at least one for each b that has any."""
-    one, two = (sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab")
+    own = among(sketches, "doc_id", _ends(pairs))
+    one, two = (own.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab")
     fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least)
     near = written(pairs.join(one, "a").join(two, "b").where(fits).select("a", "b", "mark_a", "mark_b").mapInArrow(_agree, "a long, b long, share double"), "near")
     best = written(near.groupBy("b").agg(F.max(F.struct("share", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b"), "best")
@@ -198,13 +193,12 @@ def _alike_pairs(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, width:
     return alike
 
 
-def like_smaller(docs: DataFrame, id_col: str, text_col: str = "text", among: DataFrame | None = None, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """gone (id), like (a smaller id): verified pairs.  ``among``: the ids (doc_id) that count; else all do."""
+def like_smaller(docs: DataFrame, id_col: str, text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """gone (id), like (a smaller id): verified pairs."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = _texts(docs, id_col, text_col)
-    made = texts.mapInArrow(_sketch(width), "doc_id long, n long, mark binary, cells array<long>")
-    sketches = written(made.join(among.select("doc_id"), "doc_id", "left_semi") if among is not None else made, "sketches")
+    sketches = written(texts.mapInArrow(_sketch(width), "doc_id long, n long, mark binary, cells array<long>"), "sketches")
     rows, found, leaders = sketches.select("doc_id", F.explode("cells").alias("cell"), F.lit(True).alias("short")), [], 1
     judged: list[DataFrame] = []
     while True:
@@ -230,7 +224,7 @@ def like_smaller(docs: DataFrame, id_col: str, text_col: str = "text", among: Da
         gone = written(alike.select(F.col("b").alias("doc_id")).distinct(), "gone")
         rest = left.join(gone, "doc_id", "left_anti")
         if len(found) == 1:
-            rows = _by_rare_shingles(texts, sketches, rest.select("doc_id").distinct(), width, least)
+            rows = _by_rare_shingles(texts, sketches, rest.select("doc_id"), width, least)
         else:
             rows, leaders = written(rest.select("doc_id", "cell", "short"), "cells"), 4 * leaders
         drop_written(shared)

@@ -177,3 +177,39 @@ def test_boilerplate_does_not_make_all_pairs(spark, monkeypatch):
     gone = {b for _, b in found}
     assert found <= alike and gone == {b for _, b in alike}
     assert sum(judged) < 0.25 * len(texts) * (len(texts) - 1) / 2
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_rows_by_their_keys(spark, monkeypatch, most):
+    """Repeated, negative and very large ids, columns named like the words: the same rows broadcast or shuffled."""
+    from revisor.llm import common
+
+    monkeypatch.setattr(common, "MOST_WORDS", most)
+    keys = [*range(200), -1, -64, -65, 2**40, 2**40 + 63, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(k, f"t{k}", "w", k) for k in keys], "row_key long, `a.text` string, word string, _bits long")
+    ids = [3, 3, 63, 64, 127, 128, 199, -1, -65, 2**40 + 63, 2**63 - 1, -(2**63), 7_000]
+    some, none = spark.createDataFrame([(i,) for i in ids], "row long"), spark.createDataFrame([], "row long")
+    of = lambda df: sorted(r.row_key for r in df.collect())
+    for found in (ids, []):
+        table = some if found else none
+        assert of(common.among(rows, "row_key", table)) == sorted(set(keys) & set(found))
+        assert of(common.among(rows, "row_key", table, inside=False)) == sorted(set(keys) - set(found))
+    assert common.among(rows, "row_key", some).columns == rows.columns
+
+
+def _exchanges(df):
+    return re.findall(r"Exchange (?:hash|range)partitioning", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_stages_remove_rows_without_a_shuffle_of_texts(spark, monkeypatch):
+    """However many bytes of ids Spark would broadcast of itself: no stage deals its rows out, so bytes shuffled follow the input."""
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "toxicity", lambda docs, model, id_col="doc_id": docs.selectExpr(f"{id_col} AS doc_id", "1 AS predicted"))
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {name: _exchanges(stage(spark, docs, small)) for name, stage in corpus_pipeline.STAGES[:-1]}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans == dict.fromkeys(plans, [])
