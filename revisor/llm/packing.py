@@ -127,6 +127,12 @@ def _encoder(path: str, specials_as_text: bool) -> WordEncoder:
     return _ENCODERS[key]
 
 
+def _forget() -> None:
+    """Drop the encoders: a worker that has tokenized may place pieces next."""
+    _ENCODERS.clear()
+    give_back()
+
+
 def _segments(text: str, size: int = 1 << 20):
     """A long text in parts that end at white space."""
     at = 0
@@ -256,6 +262,7 @@ def packed(pieces: DataFrame, room: int = ROOM) -> DataFrame:
     fields = pieces.columns
 
     def place(batches):
+        _forget()
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.empty(len(batch), np.int64), np.empty(len(batch), np.int64)

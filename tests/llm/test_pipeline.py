@@ -213,3 +213,15 @@ def test_stages_remove_rows_without_a_shuffle_of_texts(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plans == dict.fromkeys(plans, [])
+
+
+def test_encoders_are_dropped_before_pieces_are_placed():
+    import public_tokenizers
+
+    from revisor.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = packing.encoded("one two", packing._encoder(path, False))
+    packing._forget()
+    assert not packing._ENCODERS
+    assert packing.encoded("one two", packing._encoder(path, False)) == ids
