@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 LOCAL_DIR = "/tmp/checkpoints"
 #: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Rows that Spark's Parquet reader decodes at once; their texts lie side by side in one array, which grows by doubling.
+READ_ROWS = 512
 #: A writer holds a row group in memory until it is full.
 ROW_GROUP_BYTES = 16 << 20
 
@@ -125,7 +127,8 @@ def running(values: Column, zero: Column, fold) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and bytes; texts may be long."""
+    """Bound the Arrow batches by rows and bytes, and what is decoded at once by rows; texts may be long."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -67,7 +67,7 @@ LEAST_RATIO = 5
 #: Documents with a score from here on are predicted toxic (fixed by the contract).
 THRESHOLD = 0.7
 #: Scored words that a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _GAPS = [(a, b, c) for a, b, c in combinations(range(1, SPAN), 3)]
 _TABLE = 1 << 20
@@ -163,7 +163,7 @@ class _Sentences:
         self.toxic.append(toxic)
 
     def arrays(self):
-        return list(self.number), *(np.array(x, np.int32) for x in (self.word, self.sentence, self.document, self.toxic))
+        return list(self.number), *(np.asarray(x) for x in (self.word, self.sentence, self.document, self.toxic))  # not copied
 
 
 def _in_parts(words: list[str], size: int = 20_000):
@@ -217,8 +217,9 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE) -
     penalty[-1] = 1e-6
     for _ in range(30):
         active = y * (x @ w) < 1
-        part = x[active] * cost[active, None]
-        new = np.linalg.solve(part.T @ x[active] + np.diag(penalty), part.T @ y[active])
+        own = x if active.all() else x[active]
+        part = own * cost[active, None]
+        new = np.linalg.solve(part.T @ own + np.diag(penalty), part.T @ y[active])
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
@@ -278,8 +279,13 @@ class _Landmarks:
         good = values > 1e-6 * values[-1]
         self.to_space = vectors[:, good] / np.sqrt(values[good])
 
-    def features(self, words: list[str]) -> np.ndarray:
-        return _kernel(words, self.rows, self.weights) @ self.to_space
+    def features(self, words: list[str], ones: int = 0) -> np.ndarray:
+        """Places in the space, and so many columns of ones after them."""
+        size = self.to_space.shape[1]
+        out = np.ones((len(words), size + ones))
+        for i, part in _in_parts(words, 3000):
+            out[i : i + len(part), :size] = _kernel(part, self.rows, self.weights) @ self.to_space
+        return out
 
     def folded(self, w: np.ndarray) -> np.ndarray:
         """Weights by subsequence that give the same products as ``w`` in the space."""
@@ -288,29 +294,46 @@ class _Landmarks:
         return table
 
 
+def _distinct(document: np.ndarray, word: np.ndarray, n_words: int) -> np.ndarray:
+    """The sorted distinct values of document * n_words + word, with two arrays of their size at once."""
+    found = document.astype(np.int64)
+    found *= n_words
+    found += word
+    found.sort()
+    return found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
+
+
 def fit_margins(words: list[str], word: np.ndarray, sentence: np.ndarray, document: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, list[str]]:
     """(table, bias, landmarks) of the SVM on the sentences of documents of both classes."""
     pos, neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
     of_word = document[sentence]
-    seen = np.unique(of_word.astype(np.int64) * len(words) + word)
+    seen = _distinct(of_word, word, len(words))
     seen_toxic = toxic[seen // len(words)] == 1
     n_toxic, n_clean = (np.bincount(seen[k] % len(words), minlength=len(words)).astype(float) for k in (seen_toxic, ~seen_toxic))
     no_witness = n_clean * pos * LEAST_RATIO > n_toxic * neg
     clean_words = np.flatnonzero(n_clean > 0)
     in_toxic, clean = np.flatnonzero(toxic[document] == 1), np.flatnonzero(toxic[document] == 0)
-    some = np.random.default_rng(0).permutation(np.flatnonzero(toxic[of_word] == 0))[:HARD_SENTENCES]
+    some = np.random.default_rng(0).permutation(np.flatnonzero(toxic[of_word] == 0))[:HARD_SENTENCES].copy()  # not a view that holds all
+    del of_word, seen, seen_toxic
 
     first = np.flatnonzero(np.concatenate(([True], np.diff(sentence) != 0)))
     length = np.diff(np.concatenate((first, [len(sentence)])))
 
     def heads(scores):
         """Each sentence's word of the highest score, and that score."""
-        values = scores[word]
-        best = np.maximum.reduceat(values, first)
-        at_best = np.flatnonzero(values == np.repeat(best, length))
-        return word[at_best[np.searchsorted(at_best, first)]], best
-
+        head, best = np.empty(len(first), word.dtype), np.empty(len(first))
+        for at in range(0, len(first), 10_000):
+            part = slice(at, at + 10_000)
+            start, own = first[part] - first[at], word[first[at] : first[part][-1] + length[part][-1]]
+            values = scores[own]
+            best[part] = np.maximum.reduceat(values, start)
+            at_best = np.flatnonzero(values == np.repeat(best[part], length[part]))
+            head[part] = own[at_best[np.searchsorted(at_best, start)]]
+        return head, best
+
+    give_back()
     scores = _evidence(words, n_toxic, n_clean, pos, neg)
+    give_back()
     keep = lambda value, top: value >= 0.5 * top
     space, table, bias, marks, hard = None, np.zeros(_TABLE), 0.0, [], np.empty(0, np.int64)
     for _ in range(ROUNDS):
@@ -326,11 +349,13 @@ def fit_margins(words: list[str], word: np.ndarray, sentence: np.ndarray, docume
         held = np.bincount(np.concatenate((head[hard], word[some])), minlength=len(words))
         held[witnesses] = 0
         against = np.flatnonzero(held)
-        x = np.concatenate((space.features([words[i] for i in witnesses] + [words[i] for i in against]), np.ones((len(witnesses) + len(against), 1))), axis=1)
+        x = space.features([words[i] for i in np.concatenate((witnesses, against))], ones=1)
         y = np.concatenate((np.ones(len(witnesses)), -np.ones(len(against))))
         cost = 1000 * np.concatenate((np.full(len(witnesses), 1 / len(witnesses)), held[against] / max(1, held.sum())))
         w = _svm(x, y, cost, RIDGE)
         table, bias = space.folded(w[:-1]), float(w[-1])
+        del x, y, cost
+        give_back()
         scores = _all_scores(words, table) + bias
         keep = lambda value, top: value > 0
     return table, bias, marks
@@ -355,7 +380,7 @@ def fit_fold(bags: _Sentences, fold: int) -> tuple[dict, list[tuple]]:
     kept = chosen[sentence]
     table, bias, marks = fit_margins(words, word[kept], (np.cumsum(chosen, dtype=np.int32) - 1)[sentence[kept]], (np.cumsum(inside, dtype=np.int32) - 1)[document[chosen]], toxic[inside])
     scores = _all_scores(words, table) + bias
-    seen = np.unique(document[sentence].astype(np.int64) * len(words) + word)
+    seen = _distinct(document[sentence], word, len(words))
     owner, out = seen // len(words), []
     for d in np.flatnonzero(~inside):
         own = seen[np.searchsorted(owner, d) : np.searchsorted(owner, d, "right")] % len(words)
@@ -401,12 +426,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         if not held:
             return
         table, bags = pa.Table.from_batches(held), _Sentences()
+        del held
         fold = table.column("fold")[0].as_py()
         for i in pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_pylist():  # the same model however rows arrive
             bags.add(table.column("text")[i].as_py(), table.column("toxic")[i].as_py())
+        del table
+        give_back()  # the texts, before the fit takes memory of its own
         model, unseen = fit_fold(bags, fold)
         raw = zlib.compress(json.dumps({"fold": fold, "model": model, "unseen": unseen}).encode())
-        del held, table, bags
+        del bags
         give_back()
         yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["made"])
 

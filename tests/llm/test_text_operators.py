@@ -465,6 +465,32 @@ def test_a_toxic_documents_other_sentences_are_not_held_against_their_words():
     assert len(unseen) == 24 and all((s[0] > 0) == bool(t) for t, s in unseen)
 
 
+def test_a_fold_is_fitted_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=6)) for _ in range(3000)]
+    bags = toxicity._Sentences()
+    for i in range(800):
+        sentences = [" ".join(rng.choices(words, k=20)) for _ in range(60)]
+        if i % 4 == 0:
+            sentences[0] = "you zwyxvuzx fool"
+        bags.add(". ".join(sentences), int(i % 4 == 0))
+    tracemalloc.start()
+    model, _ = toxicity.fit_fold(bags, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model["index"]
+    assert peak < 32e6 + 30 * len(bags.word)  # four tables of weights, and few copies of the words' numbers
+
+
+def test_texts_are_read_in_small_batches(spark):
+    from revisor.llm.common import small_batches
+
+    small_batches(spark)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1000
+
+
 def test_score_is_the_curve_over_the_documents_margins():
     model = {"index": [toxicity._subsequences(*toxicity._flat(["abcd"]), [(1, 2, 3)]).__next__()[0][0].item()], "weight": [10.0], "bias": -1.0, "curve": [1.0, 0, 0, 2.0, 0, 0, 0, 0.5, 3.0]}
     margin = 10.0 * toxicity.DECAY**4 - 1
